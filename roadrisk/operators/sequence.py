@@ -86,7 +86,8 @@ def previous(df, keys, order, cols: dict[str, str], frame="frame_id", rows=SEGME
 def run_starts(df, keys, pos, merge_gap=0, name="run_start", rows=SEGMENT_ROWS) -> DataFrame:
     """Give each (true) row the position at which its run starts.
 
-    Rows belong to one run while at most ``merge_gap`` positions lie between neighbours.
+    Rows belong to one run while at most ``merge_gap`` positions (a number or a column) lie
+    between neighbours.
     """
     h = with_halo(df, keys, [pos], 1, pos, rows)
     w = seg_window(keys, [pos])
