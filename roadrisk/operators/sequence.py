@@ -123,3 +123,18 @@ def running_total(df, keys, order, value: Column, name, frame="frame_id", rows=S
         .withColumn(name, F.col("_local") + F.col("_off"))
         .drop(SEG, "_v", "_local", "_off")
     )
+
+
+def running_max(df, keys, order, value: Column, name, frame="frame_id", rows=SEGMENT_ROWS) -> DataFrame:
+    """Greatest ``value`` so far in order, including the current row; NULLs are passed over."""
+    s = segmented(df, frame, rows).withColumn("_v", value)
+    earlier = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        s.groupBy(*keys, SEG).agg(F.max("_v").alias("_m"))
+        .select(*keys, SEG, F.max("_m").over(earlier).alias("_carry"))
+    )
+    local = F.max("_v").over(seg_window(keys, order).rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        s.withColumn("_local", local).join(carry, [*keys, SEG])
+        .withColumn(name, F.greatest("_local", "_carry")).drop(SEG, "_v", "_local", "_carry")
+    )

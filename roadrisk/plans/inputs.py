@@ -41,3 +41,22 @@ def boxes(t) -> DataFrame:
 
 def detections(t) -> DataFrame:
     return t.detections.withColumn("box", G.box("x0", "y0", "x1", "y1")).drop("x0", "y0", "x1", "y1")
+
+
+def components(t) -> DataFrame:
+    """One component per frame: the most confident detection."""
+    best = F.min(F.struct((-F.col("confidence")).alias("c"), "ordinal", "box"))
+    return detections(t).groupBy(TRIP, FRAME).agg(best.alias("b")).select(
+        TRIP, FRAME, F.col("b.box").alias("box"))
+
+
+def evidence(t) -> DataFrame:
+    """Per frame: union TTC and source, truth, own motion, and the selected component's box."""
+    f = t.frames.select(TRIP, FRAME, "speed_mps", "lateral_accel")
+    return union_predictions(t).join(f, [TRIP, FRAME]).join(components(t), [TRIP, FRAME], "left")
+
+
+def updates(t) -> DataFrame:
+    """Track measurements of a frame: the candidates with their boxes."""
+    return boxes(t).select(TRIP, FRAME, "ordinal", "track_id", "depth_m", "confidence", "closing_mps",
+                           "residual_m", "candidate_ttc", "box")

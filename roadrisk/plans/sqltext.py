@@ -60,3 +60,12 @@ BOX = """(SELECT *,
   least(640, floor(center_x * 640) + floor(greatest(5, floor(width * 640)) / 2)) AS x1,
   least(360, floor(bottom_y * 360)) AS y1
   FROM candidates)"""
+
+# selected component of a frame: the most confident detection
+COMPONENT = """(SELECT trip_id, frame_id, x0, y0, x1, y1, confidence FROM (SELECT *, row_number() OVER (PARTITION BY trip_id, frame_id
+  ORDER BY confidence DESC, ordinal) AS rn FROM detections) WHERE rn = 1)"""
+EVIDENCE = f"""(SELECT u.trip_id, u.frame_id, u.t_sec, u.truth_ttc, u.predicted_ttc, u.union_source, u.classical_ttc, u.detector_ttc,
+  f.speed_mps, f.lateral_accel, c.x0 AS ex0, c.y0 AS ey0, c.x1 AS ex1, c.y1 AS ey1
+  FROM {UNION} u JOIN frames f ON f.trip_id = u.trip_id AND f.frame_id = u.frame_id
+  LEFT JOIN {COMPONENT} c ON c.trip_id = u.trip_id AND c.frame_id = u.frame_id)"""
+DANGER = "(union_source LIKE 'classical%' AND predicted_ttc < 2)"
