@@ -260,16 +260,16 @@ def loto_select(scores: DataFrame, grid: DataFrame, current_id: int, min_composi
         "b.held_f1", "b.held_composite", (F.col("b.train_f1") - F.col("b.held_f1")).alias("gap"))
 
 
-def loto_semantic(scores: DataFrame, min_composite=SEMANTIC_MINIMUM_COMPOSITE) -> DataFrame:
+def loto_semantic(scores: DataFrame, min_composite=SEMANTIC_MINIMUM_COMPOSITE, mae_tolerance=1e-4) -> DataFrame:
     """Leave-one-trip-out choice among semantic settings (config_id >= 1; 0 is the guard alone).
 
     The highest mean training F1 wins, first in grid order on a tie; feasible settings keep
-    ``min_composite`` and the guard's mean MAE (+1e-4). Folds without one are kept, marked.
+    ``min_composite`` and the guard's mean MAE (+``mae_tolerance``). Folds without one are kept, marked.
     """
     j = _training(scores)
     limit = j.filter("config_id = 0").select("trip_id", F.col("t_mae_critical").alias("_limit"))
     rows = j.filter("config_id > 0").join(limit, "trip_id")
-    ok = (F.col("t_composite") >= min_composite) & (F.col("t_mae_critical") <= F.col("_limit") + 1e-4)
+    ok = (F.col("t_composite") >= min_composite) & (F.col("t_mae_critical") <= F.col("_limit") + mae_tolerance)
     best = F.min(F.when(ok, F.struct(
         (-_r("t_f1")).alias("_1"), "config_id", "t_f1", "t_composite", "t_mae_critical", "f1", "composite",
         "mae_critical", "recall", "fp")))
@@ -282,7 +282,8 @@ def loto_semantic(scores: DataFrame, min_composite=SEMANTIC_MINIMUM_COMPOSITE) -
         F.col("b.fp").alias("held_fp"))
 
 
-def selection_modes(scores: DataFrame, min_composite=SEMANTIC_MINIMUM_COMPOSITE, target_f1=0.60) -> DataFrame:
+def selection_modes(scores: DataFrame, min_composite=SEMANTIC_MINIMUM_COMPOSITE, mae_tolerance=1e-4,
+                    target_f1=0.60) -> DataFrame:
     """Macro scores of four ways to choose: baseline, global_best, loto, oracle (upper bound)."""
     macro = scores.groupBy("config_id").agg(
         F.avg("f1").alias("macro_f1"), F.avg("composite").alias("macro_composite"),
@@ -297,10 +298,10 @@ def selection_modes(scores: DataFrame, min_composite=SEMANTIC_MINIMUM_COMPOSITE,
 
     # one row of limits joined to at most 28 rows
     m = macro.filter("config_id > 0").join(limit, F.lit(True))
-    ok = (F.col("macro_composite") >= min_composite) & (F.col("macro_mae") <= F.col("_limit") + 1e-4)
+    ok = (F.col("macro_composite") >= min_composite) & (F.col("macro_mae") <= F.col("_limit") + mae_tolerance)
     order = F.struct((~ok).alias("_0"), (-_r("macro_f1")).alias("_1"), "config_id", *cols)
     best = m.agg(F.min(order).alias("b")).select("b.*")
-    folds = loto_semantic(scores, min_composite).filter("not infeasible").agg(
+    folds = loto_semantic(scores, min_composite, mae_tolerance).filter("not infeasible").agg(
         F.avg("held_f1").alias("macro_f1"), F.avg("held_composite").alias("macro_composite"),
         F.avg("held_mae_critical").alias("macro_mae"), F.sum("held_fp").alias("total_fp"),
         F.avg("held_recall").alias("macro_recall"), F.count(F.lit(1)).alias("trips")).withColumn("config_id", F.lit(None))
@@ -315,5 +316,5 @@ def selection_modes(scores: DataFrame, min_composite=SEMANTIC_MINIMUM_COMPOSITE,
     out = out.join(limit, F.lit(True))
     return out.withColumns({
         "passes_composite": F.coalesce(F.col("macro_composite") >= min_composite, F.lit(False)),
-        "passes_mae": F.coalesce(F.col("macro_mae") <= F.col("_limit") + 1e-4, F.lit(False)),
+        "passes_mae": F.coalesce(F.col("macro_mae") <= F.col("_limit") + mae_tolerance, F.lit(False)),
         "reaches_target": F.coalesce(F.col("macro_f1") >= target_f1, F.lit(False))}).drop("_limit")

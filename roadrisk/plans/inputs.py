@@ -60,3 +60,16 @@ def updates(t) -> DataFrame:
     """Track measurements of a frame: the candidates with their boxes."""
     return boxes(t).select(TRIP, FRAME, "ordinal", "track_id", "depth_m", "confidence", "closing_mps",
                            "residual_m", "candidate_ttc", "box")
+
+
+def observations(t) -> DataFrame:
+    """One measurement per (trip, track, frame): the first candidate, with time and own motion."""
+    cx = (F.col("box.x0") + F.col("box.x1")) / 2.0
+    area = (F.col("box.x1") - F.col("box.x0")) * (F.col("box.y1") - F.col("box.y0"))
+    one = F.min(F.struct(
+        "ordinal", "depth_m", cx.alias("centre_x"), area.alias("area"), (0.5 + F.col("residual_m")).alias("sigma_m"),
+        ((cx - 320.0) * F.col("depth_m") / 500.0).alias("lateral_m"), F.col("candidate_ttc").alias("ttc"), "confidence",
+        "closing_mps", "box"))
+    f = t.frames.select(TRIP, FRAME, "t_sec", "speed_mps", "lateral_accel", F.col("min_ttc").alias("truth_ttc"))
+    return boxes(t).groupBy(TRIP, FRAME, "track_id").agg(one.alias("o")).select(
+        TRIP, FRAME, "track_id", "o.*").join(f, [TRIP, FRAME])

@@ -69,3 +69,28 @@ EVIDENCE = f"""(SELECT u.trip_id, u.frame_id, u.t_sec, u.truth_ttc, u.predicted_
   FROM {UNION} u JOIN frames f ON f.trip_id = u.trip_id AND f.frame_id = u.frame_id
   LEFT JOIN {COMPONENT} c ON c.trip_id = u.trip_id AND c.frame_id = u.frame_id)"""
 DANGER = "(union_source LIKE 'classical%' AND predicted_ttc < 2)"
+
+# one measurement per (trip, track, frame)
+OBS = f"""(SELECT b.trip_id, b.frame_id, b.track_id, b.ordinal, b.depth_m, (x0 + x1) / 2 AS centre_x, (x1 - x0) * (y1 - y0) AS area, 5e-1 + residual_m AS sigma_m,
+  ((x0 + x1) / 2 - 320) * depth_m / 500 AS lateral_m, candidate_ttc AS ttc, confidence, closing_mps, x0, y0, x1, y1, f.t_sec, f.speed_mps, f.lateral_accel, f.min_ttc AS truth_ttc
+  FROM (SELECT *, row_number() OVER (PARTITION BY trip_id, frame_id, track_id ORDER BY ordinal) AS first FROM {BOX}) b
+  JOIN frames f ON f.trip_id = b.trip_id AND f.frame_id = b.frame_id WHERE b.first = 1)"""
+
+
+def recent_rows(src: str, n: int, keys: str, cols: str) -> str:
+    """CTEs o (numbered rows) and p (row rn with each of its last n rows a)."""
+    on = " AND ".join(f"a.{k.strip()} = i.{k.strip()}" for k in keys.split(","))
+    ik = ", ".join(f"i.{k.strip()}" for k in keys.split(","))
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY frame_id) AS rn FROM {src}),
+ p AS (SELECT {ik}, i.rn, a.rn AS ra, {cols} FROM o i JOIN (SELECT unnest(generate_series(0, {n - 1})) AS k) ON true JOIN o a ON {on} AND a.rn = i.rn - k)"""
+
+
+def slopes(keys: str) -> str:
+    """CTEs sl (median slope), ic (median intercept), rs (median residual), count n, span."""
+    on = " AND ".join(f"y.{k.strip()} = x.{k.strip()}" for k in keys.split(","))
+    xk = ", ".join(f"x.{k.strip()}" for k in keys.split(","))
+    j = lambda a, b: " AND ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in keys.split(","))
+    pk = ", ".join(f"p.{k.strip()}" for k in keys.split(","))
+    return f"""sl AS (SELECT {xk}, x.rn, median((y.v - x.v) / (y.t - x.t)) AS slope FROM p x JOIN p y ON {on} AND y.rn = x.rn WHERE y.ra > x.ra AND y.t > x.t GROUP BY {xk}, x.rn),
+ ic AS (SELECT {pk}, p.rn, any_value(slope) AS slope, median(p.v - slope * p.t) AS intercept, count(*) AS n, max(t) - min(t) AS span FROM p LEFT JOIN sl ON {j('sl', 'p')} AND sl.rn = p.rn GROUP BY {pk}, p.rn),
+ rs AS (SELECT {pk}, p.rn, median(abs(p.v - (slope * p.t + intercept))) AS residual FROM p JOIN ic ON {j('ic', 'p')} AND ic.rn = p.rn GROUP BY {pk}, p.rn)"""

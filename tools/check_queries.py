@@ -5,6 +5,7 @@
 import argparse
 import os
 import sys
+import threading
 import time
 import traceback
 
@@ -47,11 +48,14 @@ def main():
     con = duckdb.connect()
     for t in BASE_TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{a.sf}/{t}.parquet'")
+    limit = float(os.environ.get("LIMIT", "75"))
     bad = 0
     for name in QUERIES:
         if a.names and not any(n == name or (n.endswith("*") and name.startswith(n[:-1])) for n in a.names):
             continue
         t0 = time.time()
+        alarm = threading.Timer(limit, lambda: (spark.sparkContext.cancelAllJobs(), con.interrupt()))
+        alarm.start()
         try:
             df = QUERIES[name](spark, a.sf)
             cols = sorted(df.columns)
@@ -81,6 +85,8 @@ def main():
             print(f"FAIL  {name}: {type(e).__name__} {str(e)[:700]}", flush=True)
             if os.environ.get("TRACE"):
                 traceback.print_exc()
+        finally:
+            alarm.cancel()
     print("bad:", bad)
 
 
