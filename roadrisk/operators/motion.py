@@ -3,8 +3,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F, types as T
 
 from roadrisk.constants import FRAME_PERIOD_S, INF, MIN_CLOSING_MPS
 from roadrisk.functions.ttc import is_finite
@@ -20,24 +22,37 @@ def median_of(a) -> Column:
     return F.when(n > 0, (s[lo] + s[hi]) / 2.0)
 
 
-def pairwise_slopes(p) -> Column:
-    """Slopes between all pairs of a short array of struct<t, v> with rising t."""
-    n = F.size(p)
+_LINE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("slope", "intercept", "residual")])
 
-    def from_point(i):
-        later = F.filter(F.slice(p, i + 2, n), lambda q: q["t"] > p[i]["t"])
-        return F.transform(later, lambda q: (q["v"] - p[i]["v"]) / (q["t"] - p[i]["t"]))
 
-    return F.when(n > 1, F.flatten(F.transform(F.sequence(F.lit(0), n - 2), from_point)))
+@F.pandas_udf(_LINE)
+def _theil_sen(t: pd.Series, v: pd.Series) -> pd.DataFrame:
+    out = np.full((len(t), 3), np.nan)
+    sizes = t.map(len).to_numpy()
+    for n in np.unique(sizes[sizes > 1]):
+        rows = np.flatnonzero(sizes == n)
+        x, y = np.stack(t.iloc[rows].to_numpy()), np.stack(v.iloc[rows].to_numpy())
+        i, j = np.triu_indices(n, k=1)
+        run = x[:, j] - x[:, i]
+        rise = y[:, j] - y[:, i]
+        pairs = np.ma.masked_array(rise / np.where(run > 0, run, 1.0), mask=~(run > 0))
+        slope = np.ma.median(pairs, axis=1).filled(np.nan)
+        base = y - slope[:, None] * x
+        intercept = np.median(base, axis=1)
+        out[rows] = np.column_stack([slope, intercept, np.median(np.abs(base - intercept[:, None]), axis=1)])
+    return pd.DataFrame(out, columns=["slope", "intercept", "residual"])
 
 
-def with_theil_sen(df: DataFrame, points: str) -> DataFrame:
-    """Add _slope (median pairwise), _intercept (median) and _residual (median absolute) of the
-    array column ``points`` of struct<t, v>. Each step is its own column, computed once."""
-    df = df.withColumn("_slope", median_of(pairwise_slopes(F.col(points))))
-    df = df.withColumn("_intercept", median_of(F.transform(points, lambda q: q["v"] - F.col("_slope") * q["t"])))
-    return df.withColumn("_residual", median_of(F.transform(
-        points, lambda q: F.abs(q["v"] - (F.col("_slope") * q["t"] + F.col("_intercept"))))))
+def theil_sen(points) -> Column:
+    """``struct<slope, intercept, residual>`` of an array of struct<t, v> (a short window).
+
+    Median of pairwise slopes, median intercept, median absolute residual; NULLs without a
+    pair of rising t. A whole batch of windows is solved at once: as nested higher-order
+    functions Catalyst would inline the slopes into every later step.
+    """
+    points = F.col(points) if isinstance(points, str) else points
+    return _theil_sen(F.transform(points, lambda q: q["t"].cast("double")),
+                      F.transform(points, lambda q: q["v"].cast("double")))
 
 
 def recent(df: DataFrame, keys, n: int, cols: dict[str, str], order=("position",), frame="position", name="recent"):
@@ -51,9 +66,10 @@ def theil_sen_windows(obs: DataFrame, keys, n=11, value="depth_m", time="t_sec",
     """Robust line through the last ``n`` finite observations, at every one of them."""
     f = obs.filter(F.coalesce(is_finite(value), F.lit(False)))
     f = recent(with_position(f, list(keys), list(order)), keys, n, {"t": time, "v": value})
-    f = with_theil_sen(f, "recent").withColumnsRenamed(
-        {"_slope": "slope", "_intercept": "intercept", "_residual": "residual"})
-    return f.withColumn("observations", F.size("recent")).drop("recent", "position")
+    f = f.withColumn("_fit", theil_sen("recent"))
+    return f.withColumns({
+        "observations": F.size("recent"), "slope": F.col("_fit.slope"), "intercept": F.col("_fit.intercept"),
+        "residual": F.col("_fit.residual")}).drop("recent", "_fit", "position")
 
 
 def causal_ttc(frames: DataFrame, feature: str, n=11, estimator="theil_sen", max_speed=None, min_obs=2,
@@ -74,7 +90,7 @@ def causal_ttc(frames: DataFrame, feature: str, n=11, estimator="theil_sen", max
         sxx = total(lambda q: (q["t"] - F.col("_mt")) * (q["t"] - F.col("_mt")))
         slope = F.try_divide(sxy, sxx)
     elif estimator == "theil_sen":
-        slope = median_of(pairwise_slopes(F.col("recent")))
+        slope = theil_sen("recent")["slope"]
     else:
         raise ValueError(f"unknown estimator {estimator}")
     f = f.withColumn("closing_mps", -slope)
@@ -128,7 +144,7 @@ def path_intersection(obs: DataFrame, keys=("trip_id", "track_id"), focal_px=500
         (F.size(r) >= n) & (r[n - 1]["t"] - r[0]["t"] >= 0.15) & F.forall(r, lambda q: q["d"] > 0)
         & (ttc > 0) & (ttc <= 2.0)
     )
-    f = f.withColumn("_slope", F.when(good, median_of(pairwise_slopes(r))))
+    f = f.withColumn("_slope", theil_sen("recent")["slope"])
     gap = F.abs(F.col("_lat") + F.col("_slope") * ttc - 0.5 * F.col("lateral_accel") * ttc * ttc)
     f = f.withColumn("separation_m", F.when(F.coalesce(good, F.lit(False)), gap))
     inside = F.coalesce(F.col("separation_m") <= half, F.lit(True))
@@ -265,10 +281,10 @@ def closing_reliability(obs: DataFrame, keys=("trip_id", "track_id"), n=5, order
     f = recent(with_position(obs, keys, list(order)), keys, n, {"t": "t_sec", "v": "depth_m"})
     r, m = F.col("recent"), F.size("recent")
     ok = (m >= 3) & (r[m - 1]["t"] - r[0]["t"] >= 0.15)
-    f = with_theil_sen(f, "recent")
+    f = f.withColumn("_fit", theil_sen("recent"))
     return f.withColumns({
-        "closing_mps": F.when(ok, -F.col("_slope")), "residual_mad_m": F.when(ok, F.col("_residual")),
-    }).drop("recent", "_slope", "_intercept", "_residual", "position")
+        "closing_mps": F.when(ok, -F.col("_fit.slope")), "residual_mad_m": F.when(ok, F.col("_fit.residual")),
+    }).drop("recent", "_fit", "position")
 
 
 def motion_consistency(obs: DataFrame, by="truth_group", keys=("trip_id", "track_id")) -> DataFrame:
@@ -337,8 +353,6 @@ def kalman_distance(obs: DataFrame, keys=("trip_id", "track_id")) -> DataFrame:
     order and only the filter state is held, however long a track is; sightings split by gaps
     are spread over tasks.
     """
-    import pandas as pd
-
     keys = list(keys)
     names = [*keys, "session", "frame_id", "ordinal", "t_sec", "depth_m", "sigma_m"]
     # one row per frame decides the sightings; duplicates follow their frame
