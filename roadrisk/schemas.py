@@ -44,13 +44,19 @@ TRACK_JSON = T.ArrayType(struct({
     "accepted": B, "mahalanobis_squared": D, "corridor_occupancy_probability": D,
 }))
 OBJECT = struct({
-    "track_id": L, "object_type": S, "bbox_xyxy": T.ArrayType(D), "confidence": D, "distance_m": D,
-    "relative_speed_mps": D, "ttc_sec": D, "in_risk_corridor": B, "age_frames": L,
+    "track_id": L, "object_type": S, "bbox_xyxy": T.ArrayType(D), "detection_confidence": D, "distance_m": D,
+    "closing_speed_mps": D, "ttc_sec": D, "in_collision_corridor": B, "ttc_quality": D,
 })
 PERCEPTION = struct({
-    "schema_version": S, "run_id": S, "trip_id": S, "frame_id": L, "timestamp": D, "status": S,
-    "objects": T.ArrayType(OBJECT), "min_ttc_sec": D, "risk_level": S, "processing_latency_ms": D,
-    "input_degraded": B, "degraded_reasons": T.ArrayType(S),
+    "schema_version": S, "run_id": S, "trip_id": S, "frame_id": L, "timestamp": D, "image_width": L, "image_height": L,
+    "status": S, "objects": T.ArrayType(OBJECT), "min_ttc_sec": D, "risk_level": S, "perception_quality": D,
+    "latency_ms": D, "degraded_reasons": T.ArrayType(S),
+})
+RUN_MANIFEST = struct({
+    "schema_version": S, "run_id": S, "created_at": S, "code_commit": S, "model_version": S, "config_sha256": S,
+    "dataset_id": S, "processing_mode": S, "input_features": T.ArrayType(S), "uses_future_frames": B,
+    "uses_full_event_schedule": B, "depth_keyframe_policy": S, "hardware": struct({"platform": S, "accelerator": S}),
+    "contract_versions": struct({"perception": S, "risk_event": S}),
 })
 RISK_EVENT = struct({
     "schema_version": S, "run_id": S, "event_id": S, "trip_id": S, "start_frame": L, "end_frame": L,
