@@ -375,3 +375,20 @@ def kalman_distance(obs: DataFrame, keys=("trip_id", "track_id")) -> DataFrame:
 
     types = ", ".join(f"{k} {obs.schema[k].dataType.simpleString()}" for k in (*keys, "frame_id", "ordinal"))
     return s.mapInPandas(run, f"{types}, distance_m double, closing_mps double, ttc double, residual_m double")
+
+
+def track_confidence(obs: DataFrame, keys, ground_confidence, n=11) -> DataFrame:
+    """Confidence of a track at each observation: history, quality, fit residual, ground, motion.
+
+    obs: keys, frame_id, t_sec, depth_m, quality. Fewer than three observations have no fit.
+    """
+    keys = list(keys)
+    f = recent(with_position(obs, keys, ["frame_id"]), keys, n, {"t": "t_sec", "v": "depth_m", "q": "quality"})
+    f = f.withColumns({"_fit": theil_sen("recent"), "observations": F.size("recent")})
+    fitted = (F.col("observations") >= 3) & F.col("_fit.residual").isNotNull()
+    quality = F.aggregate("recent", F.lit(0.0), lambda a, x: a + x["q"]) / F.col("observations")
+    calm = F.when(fitted, F.exp(-F.col("_fit.residual") / F.greatest(F.lit(0.5), F.col("depth_m") * 0.10))).otherwise(0.0)
+    moving = F.when(fitted & (-F.col("_fit.slope") > MIN_CLOSING_MPS), 1.0).otherwise(0.5)
+    history = F.least(F.lit(1.0), F.col("observations") / 7.0)
+    score = 0.25 * history + 0.30 * quality + 0.20 * calm + 0.15 * F.lit(ground_confidence) + 0.10 * moving
+    return f.withColumn("track_confidence", score).drop("recent", "_fit", "position")

@@ -1,7 +1,7 @@
 """All registered queries; importing the modules registers them."""
 import importlib
 
-MODULES = ["score_queries", "event_queries", "geometry_queries", "sweep_queries", "motion_queries", "audit_queries", "pixel_queries", "quality_queries"]
+MODULES = ["score_queries", "event_queries", "geometry_queries", "sweep_queries", "motion_queries", "audit_queries", "pixel_queries", "quality_queries", "model_queries"]
 
 for _m in MODULES:
     importlib.import_module(f"roadrisk.plans.{_m}")

@@ -69,10 +69,10 @@ def _(t):
     return C.validate_submission(flawed(t), 1800)
 
 
-@query("trip_set_check", """SELECT trip_id, 'missing' AS problem FROM (SELECT trip_id FROM frames EXCEPT SELECT trip_id FROM track_labels WHERE cpa_distance_m > 5)
-UNION ALL SELECT trip_id, 'extra' FROM (SELECT trip_id FROM track_labels WHERE cpa_distance_m > 5 EXCEPT SELECT trip_id FROM frames)""")
+@query("trip_set_check", """SELECT trip_id, 'missing' AS problem FROM (SELECT trip_id FROM frames EXCEPT SELECT trip_id FROM stream_frames)
+UNION ALL SELECT trip_id, 'extra' FROM (SELECT trip_id FROM stream_frames EXCEPT SELECT trip_id FROM frames)""")
 def _(t):
-    return C.trip_set_check(t.track_labels.filter("cpa_distance_m > 5"), t.frames)
+    return C.trip_set_check(t.stream_frames, t.frames)
 
 
 LINE = "concat_ws(',', frame_id, printf('%.3f', t_sec), CASE WHEN isfinite(predicted_ttc) THEN printf('%.6f', predicted_ttc) ELSE 'inf' END)"
@@ -106,7 +106,7 @@ def _(t):
 
 @query("normalize_predictions", """SELECT trip_id, frame_id, "timestamp", predicted_ttc FROM """ + FLAWED, '"timestamp"')
 def _(t):
-    raw = flawed(t).withColumnRenamed("frame_id", "﻿rame_id".replace("﻿rame", "﻿frame"))
+    raw = flawed(t).withColumnRenamed("frame_id", "\ufeffframe_id")
     return W.normalize_predictions(raw.withColumn("ground_truth_ttc", F.lit("1")))
 
 

@@ -21,7 +21,7 @@ def write_predictions(df: DataFrame, path: str) -> None:
 
 def normalize_predictions(df: DataFrame) -> DataFrame:
     """Drop a byte-order mark from column names and all columns but the three of a submission."""
-    clean = {c: c.replace("﻿", "").strip() for c in df.columns}
+    clean = {c: c.replace("\ufeff", "").strip() for c in df.columns}
     keep = [c for c in ("trip_id", "frame_id", "timestamp", "predicted_ttc") if c in clean.values()]
     return df.withColumnsRenamed(clean).select(*keep)
 
