@@ -38,7 +38,7 @@ def _oracle(sql: str, doubles: str) -> str:
     names = doubles.split()
     if names:
         fixed = ", ".join(
-            f"CASE WHEN isfinite({n}) THEN round({n}, 6) + 0.0 END AS {n}" for n in names
+            f"CASE WHEN isfinite(CAST({n} AS DOUBLE)) THEN round(CAST({n} AS DOUBLE), 6) + 0e0 END AS {n}" for n in names
         )
         body = f"SELECT * REPLACE ({fixed}) FROM (\n{body}\n) AS answer"
     return (f"WITH RECURSIVE {', '.join(ctes)}\n" if ctes else "") + body

@@ -42,7 +42,7 @@ def explode_events(trips: DataFrame) -> DataFrame:
 
 def read_predictions(spark: SparkSession, path: str, mode="lenient") -> DataFrame:
     """Prediction CSVs, one per trip. TTC is read as text: the CSV reader would lose 'inf'."""
-    d = spark.read.schema(schemas.PREDICTIONS_CSV).option("header", True).option("enforceSchema", False).csv(path)
+    d = spark.read.schema(schemas.PREDICTIONS_CSV).option("header", True).csv(path)
     p, t = parse_ttc("predicted_ttc", mode), parse_ttc("ground_truth_ttc", "lenient")
     return d.select(_stem().alias("trip_id"), "frame_id", F.col("timestamp").alias("t_sec"), F.col("predicted_ttc").alias("ttc_text"),
                     p["value"].alias("predicted_ttc"), p["error"].alias("ttc_error"), t["value"].alias("truth_ttc"))
