@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from roadrisk.constants import CURRENT_GUARD, SEMANTIC_AXES
 from roadrisk.functions.geometry import guard_predicate
+from roadrisk.operators.lineage import cut
 from roadrisk.operators.sequence import (
     drop_halo, running_max, seg_window, with_halo, with_position,
 )
@@ -21,11 +22,13 @@ def semantic_state(associations: DataFrame) -> DataFrame:
 
     Input: trip_id, track_id, frame_id, ordinal, matched, det_confidence; rows of a track are
     taken in (frame_id, ordinal) order. The recursion is a sum with weights 0.6 ** age, so
-    it is a running sum within segments that overlap by ``_LOOK_BACK`` rows.
+    it is a running sum within segments that overlap by ``_LOOK_BACK`` rows. The associations
+    are costly and read several times, hence the cuts.
     """
     keys = ["trip_id", "track_id"]
-    p = with_position(associations, keys, ["frame_id", "ordinal"])
+    p = with_position(cut(associations), keys, ["frame_id", "ordinal"])
     p = running_max(p, keys, ["position"], F.when(F.col("matched"), F.col("position")), "_hit", "position")
+    p = cut(p)
     h = with_halo(p, keys, ["position"], _LOOK_BACK, "position", _ROWS)
     age = F.col("position") - F.col("_seg") * _ROWS
     value = F.when(F.col("matched"), F.col("det_confidence")).otherwise(0.0) * F.pow(F.lit(1.0 / KEEP), age)

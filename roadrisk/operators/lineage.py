@@ -22,3 +22,12 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-roadrisk-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Hash-partition by ``keys`` into the session's number of shuffle partitions.
+
+    For steps that compute much on few bytes: adaptive execution would merge their partitions
+    by size, and leave them to a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F, types as T
 
 from roadrisk.constants import FRAME_PERIOD_S, INF, MIN_CLOSING_MPS
 from roadrisk.functions.ttc import is_finite
+from roadrisk.operators.lineage import spread
 from roadrisk.operators.quantiles import exact_quantiles
 from roadrisk.operators.sequence import drop_halo, previous, run_starts, seg_window, with_halo, with_position
 
@@ -358,7 +359,7 @@ def kalman_distance(obs: DataFrame, keys=("trip_id", "track_id")) -> DataFrame:
     # one row per frame decides the sightings; duplicates follow their frame
     frames = distance_filter_sessions(obs.select(*keys, "frame_id").distinct(), keys)
     s = obs.join(frames, [*keys, "frame_id"]).select(*names)
-    s = s.repartition(*keys, "session").sortWithinPartitions(*keys, "session", "frame_id", "ordinal")
+    s = spread(s, *keys, "session").sortWithinPartitions(*keys, "session", "frame_id", "ordinal")
 
     def run(batches):
         at, state = None, None

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from roadrisk.constants import DEFAULT_PRESET, RISK_PRESETS
 from roadrisk.functions.ttc import ttc_band
+from roadrisk.operators.lineage import spread
 from roadrisk.operators.sequence import SEG, segmented
 
 SYMBOLS = ("SAFE", "WARNING", "DANGER", "CRITICAL", "UNKNOWN")
@@ -99,6 +100,23 @@ def _segment_maps(presets):
     return left_by
 
 
+def _entries():
+    @F.pandas_udf("struct<entry: array<int>, earlier: array<bigint>>")
+    def compose(maps: pd.Series, lengths: pd.Series) -> pd.DataFrame:
+        entry, earlier = [], []
+        for ms, ns in zip(maps, lengths):
+            s, path = 0, []
+            for m in ms:
+                path.append(s)
+                s = int(m[s])
+            entry.append(path)
+            n = np.asarray(ns, dtype=np.int64)
+            earlier.append(np.cumsum(n) - n)
+        return pd.DataFrame({"entry": entry, "earlier": earlier})
+
+    return compose
+
+
 def _walk(presets):
     tables = {n: automaton(preset_of(n))[1:] for n in presets}
 
@@ -143,24 +161,18 @@ def risk_states(frames: DataFrame, presets=(DEFAULT_PRESET,), ttc="ttc", reliabl
     f = segmented(f, **({"rows": rows} if rows else {}))
     row = F.struct("frame_id", "_sym", "ttc")
     # one array per segment: at most SEGMENT_ROWS frames, whatever the trip's length
-    segs = f.groupBy(*keys, SEG).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    segs = spread(f, *keys, SEG).groupBy(*keys, SEG).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     segs = segs.withColumn("_len", F.size("_rows"))
     segs = segs.withColumn("preset", F.explode(F.array(*[F.lit(p) for p in presets])))
     syms = F.col("_rows._sym")
     maps = segs.select(*keys, SEG, "preset", "_len", _segment_maps(presets)(syms, F.col("preset")).alias("_map"))
 
     # maps of earlier segments, composed: entry state of each segment (one row per segment)
-    def compose(pdf):
-        pdf = pdf.sort_values(SEG)
-        entry, s = [], 0
-        for m in pdf["_map"]:
-            entry.append(s)
-            s = int(m[s])
-        earlier = pdf["_len"].cumsum() - pdf["_len"]
-        return pdf.drop(columns=["_map", "_len"]).assign(_entry=entry, _earlier=earlier)
-
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in maps.drop("_map", "_len").schema.fields)
-    entries = maps.groupBy(*keys, "preset").applyInPandas(compose, f"{types}, _entry int, _earlier bigint")
+    trips = maps.groupBy(*keys, "preset").agg(F.array_sort(F.collect_list(F.struct(SEG, "_len", "_map"))).alias("_s"))
+    trips = trips.withColumn("_e", _entries()("_s._map", "_s._len"))
+    zipped = F.arrays_zip(F.col(f"_s.{SEG}").alias("s"), F.col("_e.entry").alias("e"), F.col("_e.earlier").alias("n"))
+    entries = trips.select(*keys, "preset", F.explode(zipped).alias("z")).select(
+        *keys, "preset", F.col("z.s").alias(SEG), F.col("z.e").alias("_entry"), F.col("z.n").alias("_earlier"))
     done = segs.drop("_len").join(entries, [*keys, SEG, "preset"]).withColumn(
         "_w", _walk(presets)(syms, F.col("_entry"), F.col("preset")))
     words, reasons = _names(presets)

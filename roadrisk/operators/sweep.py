@@ -21,6 +21,7 @@ from roadrisk.constants import (
 )
 from roadrisk.functions.geometry import corridor_member
 from roadrisk.functions.ttc import is_finite
+from roadrisk.operators.lineage import spread
 from roadrisk.operators.scoring import score_sums, scores_from_sums
 
 AXES = list(GUARD_AXES)
@@ -85,14 +86,19 @@ def grid_cell() -> Column:
     return F.when(alive, code).cast("int")
 
 
-def _to_grid_order(dense: np.ndarray, combine) -> np.ndarray:
-    """(rows, cells) counted from the strictest value -> (rows, guards) in grid order."""
-    a = dense.reshape((-1, *SHAPE))
-    for i, axis in enumerate(AXES, start=1):
-        a = combine.accumulate(a, axis=i)
-        if axis.startswith("minimum"):
-            a = np.flip(a, axis=i)
-    return a.reshape(len(dense), -1)
+_CELLS = np.arange(GRID_SIZE).reshape(SHAPE)
+# cell (counted from the strictest value of each axis) of every guard in grid order
+_GRID_ORDER = np.flip(_CELLS, [i for i, axis in enumerate(AXES) if axis.startswith("minimum")]).ravel()
+
+
+def _accumulate(cells: np.ndarray, combine) -> np.ndarray:
+    """Combine every cell with all cells at or below it; cells are the first axis, in place."""
+    a = cells.reshape((*SHAPE, -1))
+    for axis, n in enumerate(SHAPE):
+        for k in range(1, n):
+            here = (slice(None),) * axis
+            combine(a[(*here, k)], a[(*here, k - 1)], out=a[(*here, k)])
+    return cells
 
 
 def grid_candidates(candidates: DataFrame) -> DataFrame:
@@ -101,29 +107,29 @@ def grid_candidates(candidates: DataFrame) -> DataFrame:
     counts = cells.groupBy("trip_id", "cell").agg(F.count(F.lit(1)).alias("n"))
 
     def spread(pdf):  # at most one row per cell of the grid
-        dense = np.zeros((1, GRID_SIZE))
-        dense[0, pdf["cell"]] = pdf["n"]
+        dense = np.zeros((GRID_SIZE, 1))
+        dense[pdf["cell"], 0] = pdf["n"]
         return pd.DataFrame({
             "trip_id": pdf["trip_id"].iloc[0], "config_id": np.arange(GRID_SIZE),
-            "accepted": _to_grid_order(dense, np.add)[0].astype("int64")})
+            "accepted": _accumulate(dense, np.add)[_GRID_ORDER, 0].astype("int64")})
 
     return counts.groupBy("trip_id").applyInPandas(spread, "trip_id string, config_id bigint, accepted bigint")
 
 
 def _contributions(p, t):
-    """Per (frame, guard) score sums minus those of an infinite prediction."""
-    hot, true = p < DANGER_TTC, t < DANGER_TTC
-    some = np.isfinite(p)
+    """Summed over frames (columns of ``p``) per cell: score sums minus those of an infinite
+    prediction, in the order of SUMS. ``t`` holds the truth per frame."""
+    hot = (p < DANGER_TTC).astype(np.float32)
+    true = (t < DANGER_TTC).astype(np.float32)
+    tp, fp = (hot @ true).astype(float), (hot @ (1 - true)).astype(float)
+    near = t < CRITICAL_ZONE_TTC
+    q = p[:, near]
+    q[np.isinf(q)] = INF_AS_SECONDS
+    critical = np.abs(q - t[near]).sum(axis=1) - (INF_AS_SECONDS - t[near]).sum()
     inv_t = np.where(np.isfinite(t), 1.0 / np.maximum(t, MIN_TTC_FOR_INVERSE), 0.0)
-    inv_p = np.where(some, 1.0 / np.maximum(p, MIN_TTC_FOR_INVERSE), 0.0)
-    critical = t < CRITICAL_ZONE_TTC
-    ct = np.where(critical, t, 0.0)
-    clipped = np.where(some, p, INF_AS_SECONDS)
-    return (
-        hot & true, hot & ~true, -1.0 * (hot & true), -1.0 * (hot & ~true),
-        np.where(critical, np.abs(clipped - ct) - (INF_AS_SECONDS - ct), 0.0),
-        np.abs(inv_p - inv_t) - inv_t,
-    )
+    inv_p = 1.0 / np.maximum(p, MIN_TTC_FOR_INVERSE)  # 1 / inf is 0
+    inverse = np.abs(inv_p - inv_t).sum(axis=1) - inv_t.sum()
+    return np.stack([tp, fp, -tp, -fp, critical, inverse])
 
 
 def grid_sweep(candidates: DataFrame, frames: DataFrame, truth="truth_ttc") -> DataFrame:
@@ -136,34 +142,33 @@ def grid_sweep(candidates: DataFrame, frames: DataFrame, truth="truth_ttc") -> D
     # at most one entry per grid cell, whatever the number of candidates
     per_frame = cells.groupBy(*keys).agg(
         F.collect_list("cell").alias("cells"), F.collect_list("ttc").alias("ttcs"))
-    rows = per_frame.join(frames.select(*keys, truth), keys).withColumn("_part", F.floor(F.col("frame_id") / 4096))
-    rows = rows.repartition("trip_id", "_part").sortWithinPartitions("trip_id", "_part")
+    rows = per_frame.join(frames.select(*keys, truth), keys).withColumn("_part", F.floor(F.col("frame_id") / 1024))
+    rows = spread(rows, "trip_id", "_part").sortWithinPartitions("trip_id", "_part")
 
     def add_up(batches):
         trip, acc = None, None
 
         def flush():
             return pd.DataFrame({"trip_id": trip, "config_id": np.arange(GRID_SIZE),
-                                 **{n: acc[i] for i, n in enumerate(SUMS)}})
+                                 **{n: acc[i][_GRID_ORDER] for i, n in enumerate(SUMS)}})
 
         for batch in batches:
             for start in range(0, len(batch), 128):
                 part = batch.iloc[start:start + 128]
-                dense = np.full((len(part), GRID_SIZE), np.inf)
+                dense = np.full((GRID_SIZE, len(part)), np.inf)
                 for i, (c, v) in enumerate(zip(part["cells"], part["ttcs"])):
-                    dense[i, c] = v
-                least = _to_grid_order(dense, np.minimum)
-                t = part[truth].to_numpy(dtype=float)[:, None]
-                sums = _contributions(least, t)
+                    dense[c, i] = v
+                least = _accumulate(dense, np.minimum)
+                t = part[truth].to_numpy(dtype=float)
                 names = part["trip_id"].to_numpy()
                 for name in pd.unique(names):
                     mine = names == name
+                    one = least if mine.all() else least[:, mine]
                     if name != trip:
                         if trip is not None:
                             yield flush()
                         trip, acc = name, np.zeros((len(SUMS), GRID_SIZE))
-                    for i, s in enumerate(sums):
-                        acc[i] += s[mine].sum(axis=0)
+                    acc += _contributions(one, t[mine])
         if trip is not None:
             yield flush()
 

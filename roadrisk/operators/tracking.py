@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from roadrisk.constants import IMAGE_HEIGHT, IMAGE_WIDTH, INF
 from roadrisk.functions import geometry as G
 from roadrisk.operators.association import KEYS
+from roadrisk.operators.lineage import spread
 from roadrisk.operators.motion import distance_filter_sessions
 from roadrisk.operators.sequence import run_starts, running_total
 
@@ -60,7 +61,7 @@ def track_components(components: DataFrame, max_missed=3) -> DataFrame:
         *KEYS, "ordinal", F.col("depth_m").cast("double").alias("depth_m"), "box.*",
         *[x.alias(n) for x, n in zip(G.centre("box"), ("cx", "cy"))])
     stretch = run_starts(c.select(*KEYS).distinct(), ["trip_id"], "frame_id", max_missed, "stretch")
-    c = c.join(stretch, KEYS).repartition("trip_id", "stretch").sortWithinPartitions("trip_id", "stretch", "frame_id", "ordinal")
+    c = spread(c.join(stretch, KEYS), "trip_id", "stretch").sortWithinPartitions("trip_id", "stretch", "frame_id", "ordinal")
 
     def run(batches):
         at, last, tracks, made, out = None, None, [], 0, []
@@ -148,7 +149,7 @@ def planar_filter(obs: DataFrame, keys=("trip_id", "track_id")) -> DataFrame:
     o = obs.select(*keys, "frame_id", "ordinal", "t_sec", F.col("forward_m").cast("double").alias("forward_m"), "lateral_m",
                    "speed_mps", "yaw", s["forward"].alias("_s0"), s["lateral"].alias("_s1")).filter("_s0 is not null")
     frames = distance_filter_sessions(o.select(*keys, "frame_id").distinct(), keys)
-    o = o.join(frames, [*keys, "frame_id"]).repartition(*keys, "session").sortWithinPartitions(*keys, "session", "frame_id", "ordinal")
+    o = spread(o.join(frames, [*keys, "frame_id"]), *keys, "session").sortWithinPartitions(*keys, "session", "frame_id", "ordinal")
     names = ["accepted", "mahalanobis_squared", "forward_m", "lateral_m", "forward_mps", "lateral_mps", "horizon_s",
              "lateral_mean_m", "lateral_variance_m2"]
 
@@ -192,7 +193,7 @@ def multicue_rank(items: DataFrame, candidates: DataFrame) -> DataFrame:
     p = p.select(*KEYS, "ordinal", "track_id", G.contains_centre("_i", "box").alias("contains"),
                  G.normalised_centre_distance("_i", "box").alias("distance"), G.bbox_iou("_i", "box").alias("iou"))
     stretch = run_starts(p.select(*KEYS).distinct(), ["trip_id"], "frame_id", 0, "stretch")
-    p = p.join(stretch, KEYS).repartition("trip_id", "stretch").sortWithinPartitions("trip_id", "stretch", "frame_id", "ordinal")
+    p = spread(p.join(stretch, KEYS), "trip_id", "stretch").sortWithinPartitions("trip_id", "stretch", "frame_id", "ordinal")
 
     def run(batches):
         at, chosen, out = None, None, []
