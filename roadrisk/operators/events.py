@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from roadrisk.constants import FRAME_PERIOD_S, RISK_PRESETS, SEVERE_TTC
 from roadrisk.functions.ttc import finite, is_danger
 from roadrisk.operators.intervals import overlap_join, points_in_runs
+from roadrisk.operators.lineage import cut
 from roadrisk.operators.scoring import score_sums, scores_from_sums
 from roadrisk.operators.sequence import previous, run_starts, with_position
 
@@ -111,8 +112,9 @@ def event_overlap(truth_runs: DataFrame, pred_runs: DataFrame, keys=("trip_id",)
     overlaps, and for truth the onset delay in frames and the extra fragments.
     """
     keys = list(keys)
-    t = truth_runs.select(*keys, F.col("start_pos").alias("t0"), F.col("end_pos").alias("t1"))
-    p = pred_runs.select(*keys, F.col("start_pos").alias("p0"), F.col("end_pos").alias("p1"))
+    # both are short and read three times
+    t = cut(truth_runs.select(*keys, F.col("start_pos").alias("t0"), F.col("end_pos").alias("t1")))
+    p = cut(pred_runs.select(*keys, F.col("start_pos").alias("p0"), F.col("end_pos").alias("p1")))
     pairs = overlap_join(t, p, keys, ("t0", "t1"), ("p0", "p1"))
 
     def side(spans, a, b, kind):
