@@ -3,11 +3,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadrisk.llm import language, simhash
-from roadrisk.llm.tables import remainder, table
+from roadrisk.llm import decontaminate, language, mixing, simhash, tokens
+from roadrisk.llm.tables import new_folder, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +37,20 @@ def op10_language(spark, sf_dir):
     return language.identify(docs.select("doc_id", "text"), model).select(
         "doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
         "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
+
+
+@query("op9_decontaminate")
+def op9_decontaminate(spark, sf_dir):
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_mixing")
+def op4_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query("op1_token_ids")
+def op1_token_ids(spark, sf_dir):
+    folder = new_folder(spark, "token-ids")
+    tokens.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
+    return tokens.read_ids(spark, folder, digest=True)
