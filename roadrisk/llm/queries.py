@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadrisk.llm import decontaminate, language, mixing, simhash, tokens
+from roadrisk.llm import compression, decontaminate, language, mixing, rules, simhash, tokens
 from roadrisk.llm.tables import new_folder, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,19 @@ def op1_token_ids(spark, sf_dir):
     folder = new_folder(spark, "token-ids")
     tokens.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
     return tokens.read_ids(spark, folder, digest=True)
+
+
+@query("op3_quality")
+def op3_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = compression.fit(docs, compression.training_labels(table(spark, sf_dir, "labels")))
+    scored = compression.with_quality(docs.select("doc_id", "text"), model, "score")
+    return scored.select(
+        "doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= compression.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op8_rules")
+def op8_rules(spark, sf_dir):
+    return rules.filter_quality(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
