@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadrisk.llm import chat, compression, decontaminate, language, mixing, revisit, rules, simhash, tokens
+from roadrisk.llm import chat, compression, decontaminate, language, mixing, pitman_yor, revisit, rules, simhash, tokens
 from roadrisk.llm.tables import new_folder, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,11 @@ def op2_revisit(spark, sf_dir):
         "record_id", "canonical_url", "response_id", "status", F.col("headers")["etag"].alias("etag"),
         F.col("headers")["content-length"].alias("content_length"), F.col("headers")["date"].alias("date"),
         F.size("headers").cast("long").alias("n_headers"))
+
+
+@query("op6_pitman_yor")
+def op6_pitman_yor(spark, sf_dir):
+    held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
+    found = pitman_yor.score(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select(
+        "doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
