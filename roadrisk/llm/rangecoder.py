@@ -17,74 +17,78 @@ import zlib
 
 import numpy as np
 
-BLOCK_IDS = 4096
+BLOCK_IDS = 2048
 BUCKET_BITS, BUCKETS = 10, 1024
 SHARE_BITS, SHARES = 12, 4096
 COUNT_BITS, COUNTS = 13, 8192
 SLOTS_1, SLOTS_2 = 512, 1024
 LOW, HIGH, HIGH_MEMBER, RATE = 32, 3968, 3400, 5
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
+TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 48)
+TOTAL_BITS = 2 * SHARE_BITS + COUNT_BITS  #: shares of one id add up to 2**37, below the least range of 2**48
 WORD = np.uint64(16)
-REBUILD = frozenset([1 << k for k in range(3, 12)] + list(range(1024, BLOCK_IDS, 512)))
+REBUILD = frozenset([1 << k for k in range(3, 10)] + list(range(512, BLOCK_IDS, 512)))
 MOST_IDS = BUCKETS * 512  #: largest vocabulary
 
 
 class _Model:
+    """State of all lanes in flat tables. An order-1 or order-2 slot packs an id and how sure it is
+    (two bits); a bucket packs the shares below it and its own (fourteen bits)."""
+
     def __init__(self, lanes: int, vocabulary: int):
         if not 0 < vocabulary <= MOST_IDS:
             raise ValueError(f"vocabulary of {vocabulary} ids; at most {MOST_IDS} can be coded")
         self.members = -(-vocabulary // BUCKETS)
         row = np.arange(lanes)
         self.at1, self.at2, self.at4, self.atb = row * SLOTS_1, row * SLOTS_2, row * 4, row * BUCKETS
-        self.id1, self.id2 = np.zeros(lanes * SLOTS_1, np.int32), np.zeros(lanes * SLOTS_2, np.int32)
-        self.sure1, self.sure2 = np.zeros(lanes * SLOTS_1, np.uint8), np.zeros(lanes * SLOTS_2, np.uint8)
-        self.trust1 = np.tile(np.array([256, 1024, 2048, 3072], np.int32), lanes)
-        self.trust2 = np.tile(np.array([256, 1536, 2560, 3584], np.int32), lanes)
-        self.same = np.full(lanes, 2048, np.int32)
-        self.last = np.zeros(lanes * BUCKETS, np.int32)
-        self.count = np.zeros((lanes, BUCKETS), np.int32)
+        self.slot1, self.slot2 = np.zeros(lanes * SLOTS_1, np.int32), np.zeros(lanes * SLOTS_2, np.int32)
+        self.trust1 = np.tile(np.array([256, 1024, 2048, 3072], np.int64), lanes)
+        self.trust2 = np.tile(np.array([256, 1536, 2560, 3584], np.int64), lanes)
+        self.same = np.full(lanes, 2048, np.int64)
+        self.last = np.zeros(lanes * BUCKETS, np.int16)
+        self.count = np.zeros((lanes, BUCKETS), np.int16)
         self.flat = self.count.reshape(-1)
         self.prev = np.zeros(lanes, np.int64)
-        self.prev2 = np.zeros(lanes, np.int64)
+        self.mixed = np.zeros(lanes, np.int64)
         self.rebuild(0, False)
 
     def rebuild(self, seen: int, search: bool) -> None:
-        """Cumulative bucket shares from the counts so far, and for a decoder their inverse."""
+        """Bucket shares from the counts so far, and for a decoder their inverse."""
         if seen == 0:
-            share = np.full_like(self.count, COUNTS // BUCKETS)
+            share = np.full(self.count.shape, COUNTS // BUCKETS, np.int32)
         else:
-            share = self.count * np.int32((COUNTS - BUCKETS) // seen) + np.int32(1) if seen <= 64 else (
-                self.count * np.float32((COUNTS - BUCKETS) / seen)).astype(np.int32) + np.int32(1)
+            share = (self.count * np.float32((COUNTS - BUCKETS) / seen)).astype(np.int32) + np.int32(1)
             share[:, -1] += COUNTS - share.sum(1, dtype=np.int32)
-        upto = np.cumsum(share, axis=1, dtype=np.int32)
-        self.share, self.below = share.reshape(-1), (upto - share).reshape(-1)
+        below = np.cumsum(share, axis=1, dtype=np.int32) - share
+        self.bucket_shares = ((below << 14) | share).reshape(-1)
         if search:
             bucket = np.broadcast_to(np.arange(BUCKETS, dtype=np.uint16), share.shape).reshape(-1)
-            self.bucket = np.repeat(bucket, self.share)
+            self.bucket = np.repeat(bucket, share.reshape(-1))
 
     def predict(self):
-        """Predicted ids, and the shares of order 2, order 1 and order 0."""
-        self.s1 = self.at1 + ((self.prev * 40503 >> 7) & (SLOTS_1 - 1))
-        self.s2 = self.at2 + ((self.prev * 40503 + self.prev2 * 60493 >> 6) & (SLOTS_2 - 1))
-        g1, g2 = self.id1[self.s1], self.id2[self.s2]
-        self.k1, self.k2 = self.sure1[self.s1], self.sure2[self.s2]
+        """Predicted ids, and the shares of order 2 and order 1; the rest is that of order 0."""
+        h = self.prev * 40503
+        self.s1 = self.at1 + (h >> 7 & (SLOTS_1 - 1))
+        self.s2 = self.at2 + (h + self.mixed >> 6 & (SLOTS_2 - 1))
+        self.mixed = self.prev * 60493
+        p1, p2 = self.slot1[self.s1], self.slot2[self.s2]
+        self.k1, self.k2 = p1 & 3, p2 & 3
         self.j1, self.j2 = self.at4 + self.k1, self.at4 + self.k2
+        g1, g2 = p1 >> 2, p2 >> 2
         self.t1, f2 = self.trust1[self.j1], self.trust2[self.j2]
         f1 = ((SHARES - f2) * self.t1) >> SHARE_BITS
         f1 *= g1 != g2
-        return g1, g2, f1, f2, SHARES - f2 - f1
+        return g1, g2, f1, f2
 
     def learn(self, x, hit1, hit2, f2, missed, member, same, at_bucket) -> None:
-        self.trust2[self.j2] = f2 + ((np.where(hit2, HIGH, LOW) - f2) >> RATE)
-        self.trust1[self.j1] = self.t1 + ((np.where(hit1, HIGH, LOW) - self.t1) >> RATE)
-        self.sure2[self.s2] = np.minimum(self.k2 + 1, 3) * hit2
-        self.sure1[self.s1] = np.minimum(self.k1 + 1, 3) * hit1
-        self.id2[self.s2] = x
-        self.id1[self.s1] = x
-        self.same += ((np.where(same, HIGH_MEMBER, LOW) - self.same) >> RATE) * missed
+        self.trust2[self.j2] = f2 + ((LOW + (HIGH - LOW) * hit2 - f2) >> RATE)
+        self.trust1[self.j1] = self.t1 + ((LOW + (HIGH - LOW) * hit1 - self.t1) >> RATE)
+        packed = x << 2
+        self.slot2[self.s2] = packed | np.minimum(self.k2 + 1, 3) * hit2
+        self.slot1[self.s1] = packed | np.minimum(self.k1 + 1, 3) * hit1
+        self.same += ((LOW + (HIGH_MEMBER - LOW) * same - self.same) >> RATE) * missed
         self.last[at_bucket] = member
         self.flat[at_bucket] += 1
-        self.prev2, self.prev = self.prev, x
+        self.prev = x
 
 
 class _Writer:
@@ -92,17 +96,18 @@ class _Writer:
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
         self.words, self.n = np.zeros((lanes, 1024), np.uint16), np.zeros(lanes, np.int64)
 
-    def put(self, below, share, bits: int) -> None:
-        unit = self.range >> np.uint64(bits)
-        self.low += unit * below.astype(np.uint64)
-        self.range = unit * share.astype(np.uint64)
+    def put(self, below, share) -> None:
+        unit = self.range >> np.uint64(TOTAL_BITS)
+        self.low += unit * below.view(np.uint64)
+        self.range = unit * share.view(np.uint64)
         settle(self)
 
     def shifted(self, lanes, low) -> None:
-        if self.n.max() + 8 > self.words.shape[1]:
+        n = self.n[lanes]
+        if int(n.max()) + 8 > self.words.shape[1]:
             self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
-        self.words[lanes, self.n[lanes]] = low >> np.uint64(48)
-        self.n[lanes] += 1
+        self.words[lanes, n] = low >> np.uint64(48)
+        self.n[lanes] = n + 1
 
     def close(self) -> list[bytes]:
         lanes = np.arange(len(self.low))
@@ -116,7 +121,7 @@ class _Reader:
     def __init__(self, payloads: list[bytes]):
         lanes = len(payloads)
         size = [len(p) // 2 for p in payloads]
-        self.words = np.zeros((lanes, max(size, default=0) + 8), np.uint64)
+        self.words = np.zeros((lanes, max(size, default=0) + 8), np.uint16)
         for i, p in enumerate(payloads):
             self.words[i, : size[i]] = np.frombuffer(p, "<u2", size[i])
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
@@ -125,18 +130,19 @@ class _Reader:
         for _ in range(4):
             self.shifted(np.arange(lanes), None)
 
-    def look(self, bits: int):
-        self.unit = self.range >> np.uint64(bits)
-        return np.minimum((self.code - self.low) // self.unit, np.uint64((1 << bits) - 1)).astype(np.int64)
+    def look(self):
+        self.unit = self.range >> np.uint64(TOTAL_BITS)
+        return np.minimum((self.code - self.low) // self.unit, np.uint64((1 << TOTAL_BITS) - 1)).view(np.int64)
 
     def take(self, below, share) -> None:
-        self.low += self.unit * below.astype(np.uint64)
-        self.range = self.unit * share.astype(np.uint64)
+        self.low += self.unit * below.view(np.uint64)
+        self.range = self.unit * share.view(np.uint64)
         settle(self)
 
     def shifted(self, lanes, _) -> None:
-        self.code[lanes] = (self.code[lanes] << WORD) | self.words[lanes, np.minimum(self.n[lanes], self.most)]
-        self.n[lanes] += 1
+        n = self.n[lanes]
+        self.code[lanes] = (self.code[lanes] << WORD) | self.words[lanes, np.minimum(n, self.most)]
+        self.n[lanes] = n + 1
 
 
 def settle(c) -> None:
@@ -171,22 +177,23 @@ def encode(ids: np.ndarray, vocabulary: int) -> tuple[list[bytes], list[int]]:
         if t in REBUILD:
             m.rebuild(t, False)
         x = grid[t].astype(np.int64)
-        g1, g2, f1, f2, f0 = m.predict()
-        hit2 = x == g2
-        hit1 = x == g1
-        use1 = hit1 & ~hit2
-        missed = ~(hit1 | hit2)
+        g1, g2, f1, f2 = m.predict()
+        hit1, hit2 = x == g1, x == g2
+        known = hit1 | hit2
+        f = f2 + f1
         at = m.atb + (x & (BUCKETS - 1))
-        below = np.where(missed, ((f2 + f1) << COUNT_BITS) + f0 * m.below[at], np.where(use1, f2 << COUNT_BITS, 0))
-        share = np.where(missed, f0 * m.share[at], np.where(use1, f1, f2) << COUNT_BITS)
-        out.put(below, share, SHARE_BITS + COUNT_BITS)
+        bucket = m.bucket_shares[at]
         member = x >> BUCKET_BITS
         same = m.last[at] == member
         width = (SHARES - m.same) // m.members
-        below = np.where(missed & ~same, m.same + member * width, 0)
-        share = np.where(missed, np.where(same, m.same, width), SHARES)
-        out.put(below, share, SHARE_BITS)
-        m.learn(x, hit1, hit2, f2, missed, member, same, at)
+        share = (SHARES - f) * (bucket & 16383)
+        below = (((f << COUNT_BITS) + (SHARES - f) * (bucket >> 14)) << SHARE_BITS) + share * ((m.same + member * width) * ~same)
+        share *= np.where(same, m.same, width)
+        first = np.where(hit2, 0, f2)
+        below = np.where(known, first << (SHARE_BITS + COUNT_BITS), below)
+        share = np.where(known, np.where(hit2, f2, f1) << (SHARE_BITS + COUNT_BITS), share)
+        out.put(below, share)
+        m.learn(x, hit1, hit2, f2, ~known, member, same, at)
     return out.close(), crcs
 
 
@@ -205,30 +212,33 @@ def decode(payloads: list[bytes], crcs: list[int], n: int, vocabulary: int) -> n
     for t in range(steps):
         if t in REBUILD:
             m.rebuild(t, True)
-        g1, g2, f1, f2, f0 = m.predict()
-        v = src.look(SHARE_BITS + COUNT_BITS)
-        top = v >> COUNT_BITS
-        use2 = top < f2
-        missed = top >= f2 + f1
-        place = np.minimum(np.maximum(v - ((f2 + f1).astype(np.int64) << COUNT_BITS), 0) // np.maximum(f0, 1), COUNTS - 1)
-        bucket = m.bucket[row + place].astype(np.int64)
-        known = np.where(use2, g2, g1)
-        at = m.atb + np.where(missed, bucket, known & (BUCKETS - 1))
-        below = np.where(missed, ((f2 + f1) << COUNT_BITS) + f0 * m.below[at], np.where(use2, 0, f2 << COUNT_BITS))
-        share = np.where(missed, f0 * m.share[at], np.where(use2, f2, f1) << COUNT_BITS)
-        src.take(below, share)
-        v = src.look(SHARE_BITS)
+        g1, g2, f1, f2 = m.predict()
+        f = f2 + f1
+        v = src.look()
+        top = v >> (SHARE_BITS + COUNT_BITS)
+        use2, known = top < f2, top < f
+        rest = np.maximum(v - (f << (SHARE_BITS + COUNT_BITS)), 0)
+        unit = np.maximum(SHARES - f, 1)
+        place = np.minimum((rest >> SHARE_BITS) // unit, COUNTS - 1)
+        guess = np.where(use2, g2, g1)
+        at = m.atb + np.where(known, guess & (BUCKETS - 1), m.bucket[row + place])
+        bucket = m.bucket_shares[at]
+        share = unit * (bucket & 16383)
+        start = unit * (bucket >> 14) << SHARE_BITS
+        inner = np.clip((rest - start) // share, 0, SHARES - 1)
         width = (SHARES - m.same) // m.members
         old = m.last[at]
-        apart = missed & (v >= m.same)
-        guess = np.minimum((v - m.same) // width, m.members - 1)
-        member = np.where(missed, np.where(apart, guess, old), known >> BUCKET_BITS).astype(np.int64)
-        below = np.where(apart, m.same + member * width, 0)
-        share = np.where(missed, np.where(apart, width, m.same), SHARES)
+        same = inner < m.same
+        member = np.where(same, old, np.minimum((inner - m.same) // width, m.members - 1))
+        below = (f << (SHARE_BITS + COUNT_BITS)) + start + share * ((m.same + member * width) * ~same)
+        share *= np.where(same, m.same, width)
+        below = np.where(known, np.where(use2, 0, f2) << (SHARE_BITS + COUNT_BITS), below)
+        share = np.where(known, np.where(use2, f2, f1) << (SHARE_BITS + COUNT_BITS), share)
         src.take(below, share)
-        x = np.where(missed, (member << BUCKET_BITS) | (at - m.atb), known).astype(np.int64)
+        x = np.where(known, guess, (member << BUCKET_BITS) | (at - m.atb)).astype(np.int64)
+        member = x >> BUCKET_BITS
         grid[t] = x
-        m.learn(x, x == g1, x == g2, f2, missed, member, old == member, at)
+        m.learn(x, x == g1, x == g2, f2, ~known, member, old == member, at)
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:n]
     raw = ids.astype("<u4")
     for k, crc in enumerate(crcs):

@@ -7,7 +7,10 @@ alone; the place of a document among all ids follows from the lengths of the seg
 """
 from __future__ import annotations
 
+import functools
+import itertools
 import os
+import re
 import zlib
 
 import numpy as np
@@ -24,7 +27,13 @@ END_ID = 2
 SEGMENT_IDS = 1 << 23
 SLICE_BYTES = 1 << 22
 LEAST_BYTES, MOST_BYTES = 1 << 22, 3 << 23  #: text of a task
-CACHED_WORDS = 1 << 20  #: words whose ids a task remembers; beyond it starts afresh
+CACHED_WORDS = 500_000  #: words whose ids a Python worker remembers; beyond it forgets those met once
+JOINED = 500            #: parts of words that are encoded as one text
+#: words of Latin-1 letters and ASCII signs but the apostrophe: their runs of one kind are encoded
+#: apart by the tokenizer, so each run can be encoded once
+PLAIN = re.compile("(?!.*<[|])[A-Za-zª-ÿ!-&(-/:-@\\[-`{-~]+")
+RUN = re.compile("[A-Za-zª-ÿ]+|[!-&(-/:-@\\[-`{-~]+")
+NOT_LETTERS = re.compile("[«-´¶-¹»-¿×÷]")
 
 SEGMENT = "part int, seg int, n_ids bigint, vocabulary int, doc_id array<{id}>, length array<bigint>, block array<binary>, crc array<bigint>"
 
@@ -33,7 +42,8 @@ class WordEncoder:
     """Ids of whole texts from the ids of their words.
 
     The tokenizer must drop white space and never join what white space parts (the caller's
-    promise; ``tests/llm`` compares whole texts). Each distinct word is then encoded once.
+    promise; ``tests/llm`` compares whole texts). Each distinct word is then encoded once, plain
+    ones in parts, many parts as one text: the last id of a part ends in the word-end mark.
     """
 
     def __init__(self, path: str):
@@ -42,32 +52,69 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for w, i in names.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.start, self.size, self.flat, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), 0
+        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.met = np.zeros(0, np.int32)
+
+    def _parts(self, parts: list[str]) -> dict[str, list[int]]:
+        """Ids of parts that the tokenizer encodes apart from one another."""
+        out: dict[str, list[int]] = {}
+        groups = [parts[i:i + JOINED] for i in range(0, len(parts), JOINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = e.ids
+            last = np.flatnonzero(self.ends[ids]) + 1 if ids else np.zeros(0, int)
+            if len(last) != len(group) or last[-1] != len(ids):  # this tokenizer marks no word ends so: one by one
+                out.update((p, self.tokenizer.encode(p, add_special_tokens=False).ids) for p in group)
+            else:
+                out.update((p, ids[a:b]) for p, a, b in zip(group, [0, *last[:-1].tolist()], last.tolist()))
+        return out
 
     def _learn(self, words: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        texts = [w.decode() for w in words]
+        runs = [RUN.findall(t) if PLAIN.fullmatch(t) and not NOT_LETTERS.search(t) else None for t in texts]
+        known = self._parts(list({p for r in runs if r for p in r}))
+        rest = self.tokenizer.encode_batch_fast([t for t, r in zip(texts, runs) if r is None], add_special_tokens=False)
+        rest = iter(rest)
+        got = [next(rest).ids if r is None else known[r[0]] if len(r) == 1 else [i for p in r for i in known[p]] for r in runs]
         size = np.fromiter(map(len, got), np.int64, len(got))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for g in got for i in g), np.int32, int(size.sum()))])
-        for w in words:
-            self.place[w] = len(self.place)
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(got), np.int32, int(size.sum()))])
+        self.met = np.concatenate([self.met, np.zeros(len(words), np.int32)])
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
+
+    def _forget(self) -> None:
+        """Keep the words met in two slices or more, if they fill at most half of the cache."""
+        keep = np.flatnonzero(self.met > 1)
+        if len(keep) > CACHED_WORDS // 2:
+            return self.clear()
+        words = list(self.place)
+        self.place = {words[i]: k for k, i in enumerate(keep)}
+        size, upto = self.size[keep], np.cumsum(self.size[keep])
+        self.flat = self.flat[np.repeat(self.start[keep] - upto + size, size) + np.arange(size.sum())]
+        self.start, self.size, self.met = upto - size, size, self.met[keep]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id after each text, and the number of ids of each text."""
         w = split(texts, lower=False)
         codes, distinct = w.distinct()
         words = distinct.to_pylist()
-        if len(self.place) + len(words) > CACHED_WORDS:
-            self.clear()
-        new = [x for x in words if x not in self.place]
+        at = list(map(self.place.get, words))
+        new = [x for x, i in zip(words, at) if i is None]
+        if len(self.place) + len(new) > CACHED_WORDS:
+            self._forget()
+            new = [x for x in words if x not in self.place]
         if new:
             self._learn(new)
-        at = np.fromiter((self.place[x] for x in words), np.int64, len(words))
+            at = list(map(self.place.get, words))
+        at = np.array(at, np.int64)
+        self.met[at] += 1
         at = at[codes] if len(codes) else np.zeros(0, np.int64)
         size = self.size[at]
         upto = np.zeros(len(size) + 1, np.int64)
@@ -79,9 +126,15 @@ class WordEncoder:
         return out, n + 1
 
 
+@functools.cache
+def _encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return WordEncoder(path)
+
+
 def _segments(batches, path: str):
     part, seg = TaskContext.get().partitionId(), 0
-    encoder = WordEncoder(path)
+    encoder = _encoder(path)
     ids, lengths, docs, held = [], [], [], 0
 
     def close():
