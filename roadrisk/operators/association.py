@@ -240,15 +240,18 @@ def candidate_geometry(suppressed: DataFrame, candidates: DataFrame) -> DataFram
 
 # fixed values: middle fifth of the image, in pixels
 _MIDDLE = (256.0, 384.0)
-PROVISIONAL_MARK = "PROVISIONAL_ASSUMPTION; camera-position heuristic only; not ground truth"
+PROVISIONAL_MARK = "PROVISIONAL_AI_ASSUMPTION; camera-position heuristic only; not ground truth"
 
 
 def provisional_labels(labels: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Fill unlabelled rows from the box position, marked as no truth."""
+    """Fill unlabelled rows (trip_id, frame_id, track_id) from the box position, marked as no
+    truth: all eight reviewer fields, so that the rows pass the check of label files."""
     x = F.coalesce(G.centre("box")[0], F.lit(0.0))
     rel = F.when(x.between(*_MIDDLE), "on_path").otherwise("adjacent")
     j = labels.join(evidence.select(*KEYS, "box"), KEYS, "left").withColumn("path_relation", rel)
     owner = F.when(F.col("path_relation") == "on_path", "yes").otherwise("no")
+    name = F.concat(F.lit("ai-"), F.col("trip_id"), F.lit("-"), F.coalesce("track_id", "frame_id").cast("string"))
     return j.withColumns({
-        "event_owner": owner, "relative_motion": F.lit("closing"), "review_confidence": F.lit("low"),
+        "object_id_window": name, "event_owner": owner, "relative_motion": F.lit("closing"), "cpa_distance_m": F.lit("unknown"),
+        "occluded": F.lit("unknown"), "candidate_type": F.lit("unknown"), "review_confidence": F.lit("low"),
         "notes": F.lit(PROVISIONAL_MARK)}).drop("box")

@@ -37,10 +37,11 @@ def fp_taxonomy(evidence: DataFrame) -> DataFrame:
 
     evidence adds road_users (number of detections of a kept class), matched_iou, occupancy.
     """
+    # fixed values: names of the reasons
     reason = (
         F.when(~F.col("union_source").startswith("classical"), "not_classical_candidate")
-        .when(F.col("road_users") == 0, "no_road_user_detection")
-        .when(F.col("matched_iou") < 0.30, "no_iou_match")
+        .when(F.col("road_users") == 0, "no_yolo_road_user")
+        .when(F.col("matched_iou") < 0.30, "no_classical_yolo_iou_match")
         .when(F.col("occupancy").isNull(), "matched_occupancy_unavailable")
         .when(F.col("occupancy") < 0.50, "eligible_low_occupancy").otherwise("eligible_not_low_occupancy"))
     false = is_danger("predicted_ttc") & ~is_danger("truth_ttc")

@@ -67,3 +67,13 @@ def accepted_by_config(states: DataFrame, guard=CURRENT_GUARD) -> DataFrame:
     rows = states.filter(guard_predicate(guard)).withColumn("_c", F.explode(c))
     gone = suppressed(F.col("_c.s"), F.col("_c.m"), F.col("_c.d"))
     return rows.filter(~gone).withColumn("config_id", F.col("_c.config_id")).drop("_c")
+
+
+def fused_predictions(accepted: DataFrame, frames: DataFrame) -> DataFrame:
+    """(config_id, trip_id, frame_id, predicted_ttc) for every frame and setting: the least TTC of the
+    accepted candidates, infinite where there is none."""
+    ids = F.array(*[F.lit(i) for i in range(1 + len(semantic_configs()))])
+    least = accepted.groupBy("config_id", "trip_id", "frame_id").agg(F.min("candidate_ttc").alias("predicted_ttc"))
+    every = frames.select("trip_id", "frame_id", F.explode(ids).alias("config_id"))
+    return every.join(least, ["config_id", "trip_id", "frame_id"], "left").select(
+        "config_id", "trip_id", "frame_id", F.coalesce("predicted_ttc", F.lit(float("inf"))).alias("predicted_ttc"))

@@ -21,7 +21,9 @@ def robustness_delta(scores: DataFrame, by: str, clean: str, metrics) -> DataFra
 
 
 def select_benchmark(runs: DataFrame, slack=0.05) -> DataFrame:
-    """Among eligible runs within ``slack`` of the fastest p95: best F1, composite, p95, name."""
+    """Among eligible runs less than ``slack`` slower than the fastest p95: best F1, composite, p95,
+    and of equal ones the greatest name."""
     ok = runs.filter("eligible").drop("eligible")
-    near = ok.join(ok.agg(F.min("p95").alias("_best")), F.lit(True)).filter(F.col("p95") <= (1 + slack) * F.col("_best")).drop("_best")
-    return near.orderBy(F.desc(F.round("f1", 9)), F.desc(F.round("composite", 9)), "p95", "name").limit(1)
+    # one row of the least p95
+    near = ok.join(ok.agg(F.min("p95").alias("_best")), F.lit(True)).filter((F.col("p95") - F.col("_best")) / F.col("_best") < slack).drop("_best")
+    return near.orderBy(F.desc(F.round("f1", 9)), F.desc(F.round("composite", 9)), "p95", F.desc("name")).limit(1)

@@ -8,11 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F, types as T
 
-from roadrisk.constants import FRAME_PERIOD_S, INF, MIN_CLOSING_MPS
+from roadrisk.constants import INF, MIN_CLOSING_MPS
 from roadrisk.functions.ttc import is_finite
 from roadrisk.operators.lineage import spread
 from roadrisk.operators.quantiles import exact_quantiles
-from roadrisk.operators.sequence import drop_halo, previous, run_starts, seg_window, with_halo, with_position
+from roadrisk.operators.sequence import drop_halo, previous, running_max, seg_window, with_halo, with_position
 
 
 def median_of(a) -> Column:
@@ -217,7 +217,8 @@ def range_summary(df: DataFrame, depth: str, value: str) -> DataFrame:
 def window_rates(obs: DataFrame, keys, n=11, order=("frame_id",)) -> DataFrame:
     """Depth-rate figures of the last ``n`` observations of a track, at every one of them.
 
-    obs: keys, t_sec, depth_m, centre_x. Fewer than three observations give NULLs.
+    obs: keys, t_sec, depth_m, centre_x. Fewer than three observations, or a depth in the window
+    that is not finite and above zero, give NULLs.
     """
     keys = list(keys)
     f = recent(with_position(obs, keys, list(order)), keys, n, {"t": "t_sec", "v": "depth_m", "x": "centre_x"})
@@ -228,7 +229,8 @@ def window_rates(obs: DataFrame, keys, n=11, order=("frame_id",)) -> DataFrame:
     f = f.withColumns({"_mt": mean(lambda q: q["t"]), "_mv": mean(lambda q: q["v"])})
     cov = mean(lambda q: (q["t"] - F.col("_mt")) * (q["v"] - F.col("_mv")))
     var = mean(lambda q: (q["t"] - F.col("_mt")) * (q["t"] - F.col("_mt")))
-    ok = (m >= 3) & (r[m - 1]["t"] > r[0]["t"])
+    sound = F.forall(r, lambda q: (q["v"] > 0) & is_finite(q["v"]))
+    ok = (m >= 3) & (r[m - 1]["t"] > r[0]["t"]) & F.coalesce(sound, F.lit(False))
     f = f.withColumn("linear_rate_mps", F.when(ok, F.try_divide(cov, var)))
     res = F.transform(r, lambda q: q["v"] - F.col("_mv") - F.col("linear_rate_mps") * (q["t"] - F.col("_mt")))
     f = f.withColumn("_res", res)
@@ -270,7 +272,7 @@ def weighted_depth_ttc(obs: DataFrame, keys, n=11, min_obs=5, order=("frame_id",
                        "_mv": total(lambda q: q["w"] * q["v"]) / F.col("_sw")})
     rate = F.try_divide(total(lambda q: q["w"] * (q["t"] - F.col("_mt")) * (q["v"] - F.col("_mv"))),
                         total(lambda q: q["w"] * (q["t"] - F.col("_mt")) * (q["t"] - F.col("_mt"))))
-    ok = (m >= min_obs) & (r[m - 1]["t"] > r[0]["t"]) & F.forall(r, lambda q: q["v"] > 0)
+    ok = (m >= min_obs) & (r[m - 1]["t"] > r[0]["t"]) & F.coalesce(F.forall(r, lambda q: (q["v"] > 0) & is_finite(q["v"])), F.lit(False))
     f = f.withColumn("_rate", rate)
     ttc = F.when(F.col("_rate") < 0, r[m - 1]["v"] / -F.col("_rate")).otherwise(F.lit(INF))
     return f.withColumn("regression_ttc", F.when(ok, ttc)).drop("recent", "position", "_w", "_sw", "_mt", "_mv", "_rate")
@@ -306,12 +308,15 @@ def motion_consistency(obs: DataFrame, by="truth_group", keys=("trip_id", "track
 
 
 def distance_filter_sessions(obs: DataFrame, keys=("trip_id", "track_id"), max_gap_s=0.5, frame="frame_id") -> DataFrame:
-    """Number the sightings of a track: a filter starts afresh after a gap over ``max_gap_s``.
+    """Number the sightings of a track: a filter starts afresh after more than ``max_gap_s`` seconds.
 
-    Sightings are independent of each other, so they are the unit that tasks work on.
+    obs: keys, t_sec, ``frame``. Sightings are independent of each other, so they are the unit that
+    tasks work on.
     """
-    gap = int(round(max_gap_s / FRAME_PERIOD_S)) - 1
-    return run_starts(obs, list(keys), frame, gap, "session")
+    keys = list(keys)
+    d = previous(obs, keys, [frame], {"_t": "t_sec"}, frame)
+    fresh = F.when(F.col("_t").isNull() | ~((F.col("t_sec") - F.col("_t") > 0) & (F.col("t_sec") - F.col("_t") <= max_gap_s)), F.col(frame))
+    return running_max(d, keys, [frame], fresh, "session", frame).drop("_t")
 
 
 # fixed values of the depth filter: noise of the acceleration, limits of sigma, start variance
@@ -357,7 +362,7 @@ def kalman_distance(obs: DataFrame, keys=("trip_id", "track_id")) -> DataFrame:
     keys = list(keys)
     names = [*keys, "session", "frame_id", "ordinal", "t_sec", "depth_m", "sigma_m"]
     # one row per frame decides the sightings; duplicates follow their frame
-    frames = distance_filter_sessions(obs.select(*keys, "frame_id").distinct(), keys)
+    frames = distance_filter_sessions(obs.groupBy(*keys, "frame_id").agg(F.min("t_sec").alias("t_sec")), keys).drop("t_sec")
     s = obs.join(frames, [*keys, "frame_id"]).select(*names)
     s = spread(s, *keys, "session").sortWithinPartitions(*keys, "session", "frame_id", "ordinal")
 

@@ -82,13 +82,13 @@ def interleave(samples: DataFrame) -> DataFrame:
 
 
 def budget_sample(danger: DataFrame, other: DataFrame, budget: int, keys=("trip_id",)) -> DataFrame:
-    """All danger rows (S1) and strided other rows (S2) that fill up to about ``budget``."""
+    """All danger rows (S1), and strided other rows (S2) cut off where ``budget`` is reached."""
     keys = list(keys)
     n1 = danger.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n1"))
     p = with_group_size(with_position(other, keys, ["frame_id"]), keys, "_n2").join(n1, keys, "left")
-    left = F.greatest(F.lit(budget) - F.coalesce("_n1", F.lit(0)), F.lit(1))
-    stride = F.greatest(F.lit(1), F.floor(F.col("_n2") / left))
-    s2 = p.filter(F.col("position") % stride == 0).select(*other.columns, F.lit("S2").alias("stratum"))
+    left = F.greatest(F.lit(budget) - F.coalesce("_n1", F.lit(0)), F.lit(0))
+    stride = F.greatest(F.lit(1), F.floor(F.col("_n2") / F.greatest(left, F.lit(1))))
+    s2 = p.filter((F.col("position") % stride == 0) & (F.floor(F.col("position") / stride) < left)).select(*other.columns, F.lit("S2").alias("stratum"))
     return danger.withColumn("stratum", F.lit("S1")).unionByName(s2)
 
 

@@ -148,7 +148,7 @@ def planar_filter(obs: DataFrame, keys=("trip_id", "track_id")) -> DataFrame:
     s = G.box_depth_sigmas("forward_m")
     o = obs.select(*keys, "frame_id", "ordinal", "t_sec", F.col("forward_m").cast("double").alias("forward_m"), "lateral_m",
                    "speed_mps", "yaw", s["forward"].alias("_s0"), s["lateral"].alias("_s1")).filter("_s0 is not null")
-    frames = distance_filter_sessions(o.select(*keys, "frame_id").distinct(), keys)
+    frames = distance_filter_sessions(o.groupBy(*keys, "frame_id").agg(F.min("t_sec").alias("t_sec")), keys).drop("t_sec")
     o = spread(o.join(frames, [*keys, "frame_id"]), *keys, "session").sortWithinPartitions(*keys, "session", "frame_id", "ordinal")
     names = ["accepted", "mahalanobis_squared", "forward_m", "lateral_m", "forward_mps", "lateral_mps", "horizon_s",
              "lateral_mean_m", "lateral_variance_m2"]
@@ -229,7 +229,7 @@ def fail_closed(frames: DataFrame, degraded, ttc="ttc") -> DataFrame:
 
 def union_gates(df: DataFrame, low_ego_floor=None, low_ego_speed=2.0, filter_gate=False, path_gate=False,
                 turn_accel=0.0, turn_min_iou=0.0) -> DataFrame:
-    """Optional gates on classical danger, in order; each rewrites ttc and source.
+    """Optional gates on classical danger, in order; each rewrites ttc and source (fixed values).
 
     df: predicted_ttc, union_source, detector_ttc, speed_mps, lateral_accel, and for the gates
     used: raw_classical_ttc, filter_ttc (NULL: no accepted update), intersects, matched_iou.
@@ -250,8 +250,8 @@ def union_gates(df: DataFrame, low_ego_floor=None, low_ego_speed=2.0, filter_gat
     if filter_gate:
         own = F.coalesce(F.col("filter_ttc") < 2.0, F.lit(False))
         df = df.withColumn("_g", active(F.lit(True))).withColumn("_own", F.col("_g") & own)
-        df = put(df, F.col("_own"), F.col("filter_ttc"), "filter_confirmed")
-        df = put(df, F.col("_g") & ~F.col("_own"), det, "filter_fallback").drop("_g", "_own")
+        df = put(df, F.col("_own"), F.col("filter_ttc"), "v2_ekf_classical")
+        df = put(df, F.col("_g") & ~F.col("_own"), det, "v2_ekf_classical_fallback").drop("_g", "_own")
     if path_gate:
         df = put(df, active(~F.col("intersects")), det, "path_nonintersecting_classical_fallback")
     if turn_accel > 0 and turn_min_iou > 0:

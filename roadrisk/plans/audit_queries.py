@@ -35,7 +35,7 @@ def _(t):
     return D.veto_coverage(union_predictions(t))
 
 
-@query("fp_taxonomy", f"""SELECT m.trip_id, CASE WHEN union_source NOT LIKE 'classical%' THEN 'not_classical_candidate' WHEN coalesce(r.n, 0) = 0 THEN 'no_road_user_detection' WHEN matched_iou < 3e-1 THEN 'no_iou_match'
+@query("fp_taxonomy", f"""SELECT m.trip_id, CASE WHEN union_source NOT LIKE 'classical%' THEN 'not_classical_candidate' WHEN coalesce(r.n, 0) = 0 THEN 'no_yolo_road_user' WHEN matched_iou < 3e-1 THEN 'no_classical_yolo_iou_match'
   WHEN occupancy IS NULL THEN 'matched_occupancy_unavailable' WHEN occupancy < 5e-1 THEN 'eligible_low_occupancy' ELSE 'eligible_not_low_occupancy' END AS reason, count(*) AS frames
 FROM {MATCH} m LEFT JOIN (SELECT trip_id, frame_id, count(*) AS n FROM detections WHERE class_id IN (0, 1, 2, 3, 5, 7) GROUP BY trip_id, frame_id) r ON r.trip_id = m.trip_id AND r.frame_id = m.frame_id
 WHERE predicted_ttc < 2 AND NOT truth_ttc < 2 GROUP BY 1, 2""")
@@ -169,7 +169,8 @@ OTHERS = "(SELECT trip_id, frame_id, min_ttc FROM frames WHERE NOT min_ttc < 2)"
 
 @query("budget_sample", f"""SELECT trip_id, frame_id, 'S1' AS stratum FROM {DANGERS}
 UNION ALL SELECT q.trip_id, q.frame_id, 'S2' FROM {NUM.format(k='trip_id', s=OTHERS)} q LEFT JOIN (SELECT trip_id, count(*) AS n1 FROM {DANGERS} GROUP BY trip_id) d ON d.trip_id = q.trip_id
- WHERE i % greatest(1, CAST(floor(n / greatest(600 - coalesce(n1, 0), 1)) AS BIGINT)) = 0""")
+ WHERE i % greatest(1, CAST(floor(n / greatest(600 - coalesce(n1, 0), 1)) AS BIGINT)) = 0
+  AND i // greatest(1, CAST(floor(n / greatest(600 - coalesce(n1, 0), 1)) AS BIGINT)) < greatest(600 - coalesce(n1, 0), 0)""")
 def _(t):
     f = t.frames.select("trip_id", "frame_id", "min_ttc")
     danger = X.is_danger("min_ttc")

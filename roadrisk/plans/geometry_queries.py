@@ -280,7 +280,7 @@ def _(t):
 
 @query("provisional_labels", f"""SELECT l.trip_id, l.frame_id, l.track_id, CASE WHEN coalesce((c.x0 + c.x1) / 2, 0) BETWEEN 256 AND 384 THEN 'on_path' ELSE 'adjacent' END AS path_relation,
  CASE WHEN coalesce((c.x0 + c.x1) / 2, 0) BETWEEN 256 AND 384 THEN 'yes' ELSE 'no' END AS event_owner, 'closing' AS relative_motion, 'low' AS review_confidence,
- '{A.PROVISIONAL_MARK}' AS notes FROM track_labels l LEFT JOIN {Q.COMPONENT} c ON c.trip_id = l.trip_id AND c.frame_id = l.frame_id""")
+ 'ai-' || l.trip_id || '-' || CAST(coalesce(l.track_id, l.frame_id) AS VARCHAR) AS object_id_window, 'unknown' AS cpa_distance_m, 'unknown' AS occluded, 'unknown' AS candidate_type, '{A.PROVISIONAL_MARK}' AS notes FROM track_labels l LEFT JOIN {Q.COMPONENT} c ON c.trip_id = l.trip_id AND c.frame_id = l.frame_id""")
 def _(t):
     labels = t.track_labels.select("trip_id", "frame_id", "track_id")
     return A.provisional_labels(labels, evidence(t))

@@ -45,9 +45,9 @@ PAIRED = """(SELECT p.trip_id, p.frame_id, p.classical_ttc AS c, p.detector_ttc
 _inv = "(CASE WHEN isfinite({x}) THEN 1 / greatest(1e-1, {x}) ELSE 0 END)"
 
 
-@query("router_features", f"""SELECT trip_id, frame_id, CASE WHEN d < 2 THEN 1 ELSE 0 END AS detector_is_danger, coalesce(dc, 0) - coalesce(cc, 0) AS confidence_gain, least(greatest(coalesce(cres, 5) - (k % 11) / 10, -5), 5) / 5 AS residual_gain,
- (k % 7) / 7 - coalesce(cq, 0) AS quality_gain, (k % 5) / 5 - coalesce(cl, 0) AS lr_support_gain, (k % 10 - k % 12) / 11 AS history_gain, (k % 9) / 9 AS depth_confidence, least(greatest(coalesce(dn, 0) - coalesce(cn, 0), -5), 5) / 5 AS component_gain,
- least(5, coalesce(dr, 0)) / 5 AS risk_tracks, (k % 6) / 6 - (k % 4) / 4 AS ground_gain, least(40, speed_mps) / 40 AS own_speed, abs({_inv.format(x='d')} - {_inv.format(x='c')}) AS inverse_ttc_gap FROM {PAIRED}""", " ".join(V.ROUTER_FEATURES))
+@query("router_features", f"""SELECT trip_id, frame_id, CASE WHEN d < 2 THEN 1 ELSE 0 END AS detector_is_danger, coalesce(dc, 0) - coalesce(cc, 0) AS detector_minus_classical_confidence, least(greatest(coalesce(cres, 5) - (k % 11) / 10, -5), 5) / 5 AS classical_minus_detector_residual,
+ (k % 7) / 7 - coalesce(cq, 0) AS detector_minus_classical_quality, (k % 5) / 5 - coalesce(cl, 0) AS detector_minus_classical_lr_support, (k % 10 - k % 12) / 11 AS detector_minus_classical_history, (k % 9) / 9 AS detector_depth_confidence, least(greatest(coalesce(dn, 0) - coalesce(cn, 0), -5), 5) / 5 AS detector_minus_classical_proposal_count,
+ least(5, coalesce(dr, 0)) / 5 AS detector_risk_track_count, (k % 6) / 6 - (k % 4) / 4 AS detector_minus_classical_ground_confidence, least(40, speed_mps) / 40 AS ego_speed_normalized, abs({_inv.format(x='d')} - {_inv.format(x='c')}) AS inverse_ttc_disagreement FROM {PAIRED}""", " ".join(V.ROUTER_FEATURES))
 def _(t):
     return paired(t).select(T, FR, *V.ROUTER_FEATURES)
 
@@ -102,7 +102,7 @@ def _(t):
 @query("capacity_report")
 def _(t):
     rows, names = tree_rows(t)
-    return V.capacity_report(cut(rows.drop(T, FR)), names, in_depth=3)
+    return V.capacity_report(cut(rows.drop(T, FR)), names)
 
 
 @query("track_components")
@@ -153,15 +153,16 @@ def _(t):
     v = F.col("forward_mps")
     filt = planar(t).select(T, FR, "track_id", F.when(F.col("accepted") & (v < -0.3), F.col("forward_m") / -v).alias("filter_ttc"))
     j = e.withColumn("track_id", F.col("match.track_id")).join(path, [T, FR, "track_id"], "left").join(filt, [T, FR, "track_id"], "left")
-    j = j.withColumn("raw_classical_ttc", F.col("truth_ttc"))
+    # the classical TTC before any gate
+    raw = t.predictions.select(T, FR, F.col("classical_ttc").alias("raw_classical_ttc"))
+    j = j.join(raw, [T, FR], "left")
     g = R.union_gates(j, low_ego_floor=2.1, filter_gate=True, path_gate=True, turn_accel=0.6, turn_min_iou=0.1)
     return g.select(T, FR, "predicted_ttc", "union_source")
 
 
-@query("track_confidence", f"""SELECT trip_id, track_id, frame_id, 25e-2 * least(1, n / 7) + 3e-1 * q + 2e-1 * exp(-residual / greatest(5e-1, depth_m / 10)) + 15e-2 * 8e-1 + 1e-1 * CASE WHEN -slope > 3e-1 THEN 1 ELSE 5e-1 END AS track_confidence
-FROM (SELECT o.*, ic.n, ic.slope, rs.residual, avg(o.confidence) OVER (PARTITION BY o.trip_id, o.track_id ORDER BY o.rn ROWS 10 PRECEDING) AS q FROM o JOIN ic ON ic.trip_id = o.trip_id AND ic.track_id = o.track_id AND ic.rn = o.rn JOIN rs ON rs.trip_id = o.trip_id AND rs.track_id = o.track_id AND rs.rn = o.rn) WHERE n >= 3""".replace(
+@query("track_confidence", f"""SELECT trip_id, track_id, frame_id, 25e-2 * least(1, n / 7) + 3e-1 * q + 2e-1 * CASE WHEN n >= 3 THEN exp(-residual / greatest(5e-1, depth_m / 10)) ELSE 0 END + 15e-2 * 8e-1 + 1e-1 * CASE WHEN n >= 3 AND -slope > 3e-1 THEN 1 ELSE 5e-1 END AS track_confidence
+FROM (SELECT o.*, count(*) OVER (PARTITION BY o.trip_id, o.track_id ORDER BY o.rn ROWS 10 PRECEDING) AS n, ic.slope, rs.residual, avg(o.confidence) OVER (PARTITION BY o.trip_id, o.track_id ORDER BY o.rn ROWS 10 PRECEDING) AS q FROM o LEFT JOIN ic ON ic.trip_id = o.trip_id AND ic.track_id = o.track_id AND ic.rn = o.rn LEFT JOIN rs ON rs.trip_id = o.trip_id AND rs.track_id = o.track_id AND rs.rn = o.rn)""".replace(
     "SELECT trip_id, track_id, frame_id, 25e-2", f"WITH {Q.recent_rows(Q.OBS, 11, 'trip_id, track_id', 'a.t_sec AS t, a.depth_m AS v')}, {Q.slopes('trip_id, track_id')}\nSELECT_FINAL trip_id, track_id, frame_id, 25e-2", 1), "track_confidence")
 def _(t):
     o = observations(t).select(T, "track_id", FR, "t_sec", "depth_m", F.col("confidence").alias("quality"))
-    c = M.track_confidence(o, ["trip_id", "track_id"], 0.8)
-    return c.filter("observations >= 3").select(T, "track_id", FR, "track_confidence")
+    return M.track_confidence(o, ["trip_id", "track_id"], 0.8).select(T, "track_id", FR, "track_confidence")

@@ -14,7 +14,6 @@ from roadrisk.plans.registry import query
 
 # keeps values off the halfway points at which the engines round differently
 NUDGE = 1 + 1e-10
-FAR = 1e4  # a slope of almost zero gives a TTC that is all rounding noise
 TK = "trip_id, track_id"
 KEYS = ["trip_id", "track_id"]
 OJ = "o.trip_id = {a}.trip_id AND o.track_id = {a}.track_id AND o.rn = {a}.rn"
@@ -114,38 +113,42 @@ RATES = f"""{Q.recent_rows(Q.OBS, 11, TK, 'a.t_sec AS t, a.depth_m AS v, a.centr
   WINDOW w AS (PARTITION BY p.trip_id, p.track_id, p.rn ORDER BY p.ra)),
  e2 AS (SELECT *, median(res) OVER (PARTITION BY trip_id, track_id, rn) AS md FROM e),
  rt AS (SELECT e2.trip_id, e2.track_id, e2.rn, max(slope) AS linear_rate_mps, max(CASE WHEN ra = rn THEN (v - pv) / (t - pt) END) AS raw_rate_mps, median(abs(res - md)) AS residual_mad_m, max(CASE WHEN ra = rn THEN abs(x - px) END) AS tail_step_px,
-  max(abs(x - px)) AS max_step_px, max(CASE WHEN ra = rn AND slope < 0 AND v / -slope < 1e4 THEN v / -slope END) AS linear_ttc FROM e2 WHERE n >= 3 GROUP BY e2.trip_id, e2.track_id, e2.rn)"""
+  max(abs(x - px)) AS max_step_px, max(CASE WHEN ra = rn AND slope < 0 THEN v / -slope END) AS linear_ttc FROM e2 WHERE n >= 3 GROUP BY e2.trip_id, e2.track_id, e2.rn)"""
 _rates = ("raw_rate_mps", "linear_rate_mps", "residual_mad_m", "tail_step_px", "max_step_px", "linear_ttc")
 
 
 def rates(t):
-    r = M.window_rates(observations(t).select(*KEYS, "frame_id", "t_sec", "depth_m", "centre_x", "truth_ttc"), KEYS)
-    return r.withColumn("linear_ttc", F.when(F.col("linear_ttc") < FAR, F.col("linear_ttc")))
+    return M.window_rates(observations(t).select(*KEYS, "frame_id", "t_sec", "depth_m", "centre_x", "truth_ttc"), KEYS)
 
 
 @query("depth_rate_windows", f"""WITH {RATES}
-SELECT_FINAL o.trip_id, o.track_id, o.frame_id, {', '.join(f"{r} * (1 + 1e-10) AS {r}" for r in _rates)} FROM o LEFT JOIN rt ON {OJ.format(a='rt')}""", " ".join(_rates))
+SELECT_FINAL o.trip_id, o.track_id, o.frame_id, {', '.join(f"{r} * (1 + 1e-10) AS {r}" for r in _rates[:-1])}, 1 / linear_ttc AS inverse_linear_ttc FROM o LEFT JOIN rt ON {OJ.format(a='rt')}""",
+       " ".join(_rates[:-1]) + " inverse_linear_ttc")
 def _(t):
-    return rates(t).select(*KEYS, "frame_id", *[(F.col(r) * NUDGE).alias(r) for r in _rates])
+    # a slope of almost zero makes a TTC that is all rounding noise, its inverse is exact
+    return rates(t).select(*KEYS, "frame_id", *[(F.col(r) * NUDGE).alias(r) for r in _rates[:-1]], (1.0 / F.col("linear_ttc")).alias("inverse_linear_ttc"))
 
 
 @query("depth_rate_metrics", f"""WITH {RATES},
  u AS (SELECT CASE WHEN truth_ttc < 2 THEN 'true_danger' ELSE 'false_alert' END AS truth_group, {', '.join(_rates)} FROM o JOIN rt ON {OJ.format(a='rt')})
-SELECT_FINAL truth_group, metric, quantile_cont(value, 5e-1) AS p50, quantile_cont(value, 9e-1) AS p90, quantile_cont(value, 95e-2) AS p95, count(*) AS samples FROM (
- {' UNION ALL '.join(f"SELECT truth_group, '{r}' AS metric, {r} AS value FROM u" for r in _rates)}) WHERE value IS NOT NULL GROUP BY truth_group, metric""", "p50 p90 p95")
+SELECT_FINAL truth_group, metric, CASE WHEN metric = 'linear_ttc' THEN 1 / p50 ELSE p50 END AS p50, CASE WHEN metric = 'linear_ttc' THEN 1 / p90 ELSE p90 END AS p90, CASE WHEN metric = 'linear_ttc' THEN 1 / p95 ELSE p95 END AS p95, samples
+ FROM (SELECT truth_group, metric, quantile_cont(value, 5e-1) AS p50, quantile_cont(value, 9e-1) AS p90, quantile_cont(value, 95e-2) AS p95, count(*) AS samples FROM (
+ {' UNION ALL '.join(f"SELECT truth_group, '{r}' AS metric, {r} AS value FROM u" for r in _rates)}) WHERE value IS NOT NULL GROUP BY truth_group, metric)""", "p50 p90 p95")
 def _(t):
     g = F.when(X.is_danger("truth_ttc"), "true_danger").otherwise("false_alert")
-    return M.depth_rate_metrics(rates(t).withColumn("truth_group", g).select("truth_group", *_rates))
+    q = M.depth_rate_metrics(rates(t).withColumn("truth_group", g).select("truth_group", *_rates))
+    # quantiles of the TTC are compared by their inverse
+    return q.withColumns({p: F.when(F.col("metric") == "linear_ttc", 1.0 / F.col(p)).otherwise(F.col(p)) for p in ("p50", "p90", "p95")})
 
 
 @query("weighted_depth_ttc", f"""WITH {Q.recent_rows(Q.OBS, 11, TK, 'a.t_sec AS t, a.depth_m AS v, 1 / (a.sigma_m * a.sigma_m) AS w')},
  g AS (SELECT trip_id, track_id, rn, sum(w * t) / sum(w) AS mt, sum(w * v) / sum(w) AS mv, count(*) AS n FROM p GROUP BY trip_id, track_id, rn),
  k AS (SELECT p.trip_id, p.track_id, p.rn, max(n) AS n, sum(w * (t - mt) * (v - mv)) / nullif(sum(w * (t - mt) * (t - mt)), 0) AS rate FROM p JOIN g ON g.trip_id = p.trip_id AND g.track_id = p.track_id AND g.rn = p.rn GROUP BY p.trip_id, p.track_id, p.rn)
-SELECT_FINAL o.trip_id, o.track_id, o.frame_id, CASE WHEN n >= 5 AND rate < 0 AND depth_m / -rate < 1e4 THEN depth_m / -rate END * (1 + 1e-10) AS regression_ttc, n >= 5 AS replaced FROM o JOIN k ON {OJ.format(a='k')}""", "regression_ttc")
+SELECT_FINAL o.trip_id, o.track_id, o.frame_id, CASE WHEN n >= 5 AND rate < 0 THEN -rate / depth_m END AS inverse_regression_ttc, n >= 5 AS replaced FROM o JOIN k ON {OJ.format(a='k')}""", "inverse_regression_ttc")
 def _(t):
     o = observations(t).select(*KEYS, "frame_id", "t_sec", "depth_m", "sigma_m")
     return M.weighted_depth_ttc(o, KEYS).select(
-        *KEYS, "frame_id", F.when(F.col("regression_ttc") < FAR, F.col("regression_ttc") * NUDGE).alias("regression_ttc"), F.col("regression_ttc").isNotNull().alias("replaced"))
+        *KEYS, "frame_id", F.when(X.is_finite("regression_ttc"), 1.0 / F.col("regression_ttc")).alias("inverse_regression_ttc"), F.col("regression_ttc").isNotNull().alias("replaced"))
 
 
 # on-path matches of classical danger frames, with the closing motion of the matched track

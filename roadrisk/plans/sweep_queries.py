@@ -127,10 +127,9 @@ SEM_SCORES = f"{SEM}, {SEM_CFG}, {SEM_HIT}, sc AS ({Q.scores(sweep_sums('sl', 's
 
 
 @query("semantic_fusion", f"""WITH {SEM}, {SEM_CFG}, {SEM_HIT}
-SELECT_FINAL config_id, f.trip_id, f.frame_id, p AS predicted_ttc FROM sl JOIN frames f ON f.trip_id = sl.trip_id AND f.frame_id = sl.frame_id""", "predicted_ttc")
+SELECT_FINAL c.config_id, f.trip_id, f.frame_id, p AS predicted_ttc FROM scfg c CROSS JOIN frames f LEFT JOIN sl ON sl.config_id = c.config_id AND f.trip_id = sl.trip_id AND f.frame_id = sl.frame_id""", "predicted_ttc")
 def _(t):
-    acc = M.accepted_by_config(semantic(t))
-    return acc.groupBy("config_id", "trip_id", "frame_id").agg(F.min("candidate_ttc").alias("predicted_ttc"))
+    return M.fused_predictions(M.accepted_by_config(semantic(t)), t.frames)
 
 
 def semantic_scores(t):

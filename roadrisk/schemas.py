@@ -33,7 +33,7 @@ DETECTIONS_CSV = struct({
     "x0": D, "y0": D, "x1": D, "y1": D,
 })
 CANDIDATES_CSV = struct({
-    "frame_id": L, "track_id": L, "timestamp": D, "ground_truth_ttc": S, "ground_confidence": D,
+    "frame_id": L, "timestamp": D, "track_id": L, "ground_truth_ttc": S, "ground_confidence": D,
     "depth_m": D, "closing_speed_mps": D, "candidate_ttc": S, "motion_residual_m": D, "confidence": D,
     "selected_center_x_norm": D, "selected_bottom_y_norm": D, "selected_width_norm": D,
     "selected_height_norm": D,

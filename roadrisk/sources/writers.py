@@ -2,17 +2,19 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from roadrisk.functions.ttc import ttc_text
+from roadrisk.operators.sequence import with_position
 
 
 def prediction_columns(df: DataFrame) -> DataFrame:
-    return df.select("trip_id", "frame_id", F.col("t_sec").alias("timestamp"), ttc_text("predicted_ttc").alias("predicted_ttc"))
+    seconds = F.when(F.col("t_sec").isNotNull(), F.format_string("%.6f", F.col("t_sec")))
+    return df.select("trip_id", "frame_id", seconds.alias("timestamp"), ttc_text("predicted_ttc").alias("predicted_ttc"))
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
-    """Three columns below trip folders: frame_id, timestamp, predicted_ttc (6 decimals or inf)."""
+    """Three columns below trip folders: frame_id, timestamp (6 decimals), predicted_ttc (6 decimals or inf)."""
     rows = prediction_columns(df)
     # a trip may span several files; ranges keep them in frame order and of even size
     rows.repartitionByRange("trip_id", "frame_id").sortWithinPartitions("trip_id", "frame_id").write.mode(
@@ -26,18 +28,48 @@ def normalize_predictions(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(clean).select(*keep)
 
 
-def sorted_json(*columns: str) -> Column:
-    return F.to_json(F.struct(*sorted(columns)))
-
-
-def write_documents(df: DataFrame, path: str) -> None:
-    """JSON lines with sorted keys, below trip folders."""
-    df.select("trip_id", sorted_json(*df.columns).alias("value")).repartition("trip_id", F.floor(F.col("frame_id") / 4096) if "frame_id" in df.columns else F.lit(0)).write.mode(
-        "overwrite").partitionBy("trip_id").text(path)
-
-
-def write_events(events: DataFrame, path: str) -> None:
-    write_documents(events, path)
+def _sorted_keys(c: Column, kind: T.DataType) -> Column:
+    """The value with the fields of all structs inside in name order."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(c.isNotNull(), F.struct(*[_sorted_keys(c[f.name], f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _sorted_keys(x, kind.elementType))
+    return c
+
+
+def document_text(df: DataFrame) -> Column:
+    """The row as JSON with sorted keys; NULL fields are written as null."""
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    return F.to_json(F.struct(*[_sorted_keys(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields]), {"ignoreNullFields": "false"})
+
+
+def write_documents(df: DataFrame, path: str, order="frame_id", span=4096) -> None:
+    """JSON lines with sorted keys below trip folders, in order of ``order`` within each file
+    (``span`` frames or events)."""
+    rows = df.select("trip_id", F.col(order).alias("_order"), document_text(df).alias("value"))
+    rows = rows.repartition("trip_id", F.floor(F.col("_order") / span)).sortWithinPartitions("trip_id", "_order")
+    rows.drop("_order").write.mode("overwrite").partitionBy("trip_id").text(path)
+
+
+def event_documents(events: DataFrame, frames: DataFrame, run_id: str) -> DataFrame:
+    """risk_event.v1 documents. events: trip_id, start_frame, end_frame, min_ttc_sec, severity,
+    event_quality, confidence_level; frames: trip_id, frame_id, t_sec. Events are numbered in
+    each trip by their start; object and track are not known at this stage."""
+    t = frames.select("trip_id", "frame_id", "t_sec")
+    start = t.select("trip_id", F.col("frame_id").alias("start_frame"), F.col("t_sec").alias("start_time"))
+    end = t.select("trip_id", F.col("frame_id").alias("end_frame"), F.col("t_sec").alias("end_time"))
+    n = with_position(events, ["trip_id"], ["start_frame"], "start_frame")
+    d = n.join(start, ["trip_id", "start_frame"], "left").join(end, ["trip_id", "end_frame"], "left")
+    return d.select(
+        F.lit("risk_event.v1").alias("schema_version"), F.lit(run_id).alias("run_id"),
+        F.concat(F.lit(f"{run_id}-E"), (F.col("position") + 1).cast("string")).alias("event_id"), "trip_id", "start_frame", "end_frame",
+        "start_time", "end_time", F.greatest(F.lit(0.0), "min_ttc_sec").alias("min_ttc_sec"), F.lit("unknown").alias("object_type"),
+        F.lit(0).cast("bigint").alias("track_id"), "severity", "event_quality", "confidence_level", F.lit(None).cast("string").alias("clip_path"))
+
+
+def write_events(documents: DataFrame, path: str) -> None:
+    write_documents(documents, path, "start_frame")
 
 
 def detection_evidence_json(dets: DataFrame, keys=("trip_id", "frame_id")) -> DataFrame:

@@ -275,7 +275,7 @@ def test_readers_and_writers(spark, tmp_path):
     d = spark.createDataFrame([("T1", i, i * 0.05, INF if i % 2 else 1.25) for i in range(4)], "trip_id string, frame_id long, t_sec double, predicted_ttc double")
     writers.write_predictions(d, str(tmp_path / "p"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "p" / "trip_id=T1").glob("*.csv")))
-    assert "frame_id,timestamp,predicted_ttc" in text and "1,0.05,inf" in text and "2,0.1,1.250000" in text
+    assert "frame_id,timestamp,predicted_ttc" in text and "1,0.050000,inf" in text and "2,0.100000,1.250000" in text
     (tmp_path / "T9.csv").write_text("frame_id,timestamp,predicted_ttc\n0,0.0,inf\n1,0.05,1.5\n2,0.1,bad\n")
     r = readers.read_predictions(spark, str(tmp_path / "T9.csv"), "strict").orderBy("frame_id").collect()
     assert [x.predicted_ttc for x in r] == [INF, 1.5, None] and r[2].ttc_error == "not numeric" and r[0].trip_id == "T9"

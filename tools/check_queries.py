@@ -30,7 +30,7 @@ def canon(v):
     return f"{type(v).__name__[:3]}:{v}"
 
 
-def session(cores="8"):
+def session(cores=os.environ.get("CORES", "8")):
     return (
         SparkSession.builder.master(f"local[{cores}]").appName("check")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
