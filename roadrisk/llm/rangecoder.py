@@ -4,7 +4,7 @@ Three predictions are mixed for every id: the id last seen after the two ids bef
 the id last seen after the one before it (order 1), and the frequencies of the block so far
 (order 0). How far order 2 and order 1 are trusted is learned for each confidence level, and
 the mixed distribution drives a carry-less range coder of 64 bits. Order 0 counts buckets of
-ids (the low ten bits); inside a bucket the id last seen there has a learned share and the others
+ids (the low nine bits); inside a bucket the id last seen there has a learned share and the others
 divide the rest evenly.
 
 Blocks start from the same fresh state, so all blocks of a segment are coded side by side: every
@@ -18,13 +18,13 @@ import zlib
 import numpy as np
 
 BLOCK_IDS = 2048
-BUCKET_BITS, BUCKETS = 10, 1024
+BUCKET_BITS, BUCKETS = 9, 512
 SHARE_BITS, SHARES = 12, 4096
-COUNT_BITS, COUNTS = 13, 8192
-SLOTS_1, SLOTS_2 = 512, 1024
+COUNT_BITS, COUNTS = 12, 4096
+SLOTS_1, SLOTS_2 = 256, 512
 LOW, HIGH, HIGH_MEMBER, RATE = 32, 3968, 3400, 5
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 48)
-TOTAL_BITS = 2 * SHARE_BITS + COUNT_BITS  #: shares of one id add up to 2**37, below the least range of 2**48
+TOTAL_BITS = 2 * SHARE_BITS + COUNT_BITS  #: shares of one id add up to 2**36, below the least range of 2**48
 WORD = np.uint64(16)
 REBUILD = frozenset([1 << k for k in range(3, 10)] + list(range(512, BLOCK_IDS, 512)))
 MOST_IDS = BUCKETS * 512  #: largest vocabulary

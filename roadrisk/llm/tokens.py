@@ -8,9 +8,7 @@ alone; the place of a document among all ids follows from the lengths of the seg
 from __future__ import annotations
 
 import functools
-import itertools
 import os
-import re
 import zlib
 
 import numpy as np
@@ -21,29 +19,25 @@ from pyspark.sql import functions as F
 
 from roadrisk.llm.rangecoder import decode, encode
 from roadrisk.llm.tables import shuffle_partitions
-from roadrisk.llm.words import slices, split
+from roadrisk.llm.words import parts, slices
 
 END_ID = 2
 SEGMENT_IDS = 1 << 23
 SLICE_BYTES = 1 << 22
 LEAST_BYTES, MOST_BYTES = 1 << 22, 3 << 23  #: text of a task
-CACHED_WORDS = 500_000  #: words whose ids a Python worker remembers; beyond it forgets those met once
-JOINED = 500            #: parts of words that are encoded as one text
-#: words of Latin-1 letters and ASCII signs but the apostrophe: their runs of one kind are encoded
-#: apart by the tokenizer, so each run can be encoded once
-PLAIN = re.compile("(?!.*<[|])[A-Za-zª-ÿ!-&(-/:-@\\[-`{-~]+")
-RUN = re.compile("[A-Za-zª-ÿ]+|[!-&(-/:-@\\[-`{-~]+")
-NOT_LETTERS = re.compile("[«-´¶-¹»-¿×÷]")
+CACHED_PARTS = 500_000  #: parts whose ids a Python worker remembers; beyond it forgets those met once
+JOINED = 500            #: parts that are encoded as one text
 
 SEGMENT = "part int, seg int, n_ids bigint, vocabulary int, doc_id array<{id}>, length array<bigint>, block array<binary>, crc array<bigint>"
 
 
 class WordEncoder:
-    """Ids of whole texts from the ids of their words.
+    """Ids of whole texts from the ids of their parts.
 
-    The tokenizer must drop white space and never join what white space parts (the caller's
-    promise; ``tests/llm`` compares whole texts). Each distinct word is then encoded once, plain
-    ones in parts, many parts as one text: the last id of a part ends in the word-end mark.
+    The tokenizer must drop white space, lower-case letters, never join what white space parts,
+    and encode runs of letters and runs of signs apart (the caller's promise; ``tests/llm``
+    compares whole texts). Each distinct part is then encoded once, many plain ones as one text: the
+    last id of each ends in the word-end mark.
     """
 
     def __init__(self, path: str):
@@ -51,9 +45,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         names = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.vocabulary = max(names.values()) + 1
+        self.ends = np.zeros(self.vocabulary, bool)
         self.ends[[i for w, i in names.items() if w.endswith("</w>")]] = True
         self.clear()
 
@@ -62,37 +56,40 @@ class WordEncoder:
         self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.met = np.zeros(0, np.int32)
 
-    def _parts(self, parts: list[str]) -> dict[str, list[int]]:
-        """Ids of parts that the tokenizer encodes apart from one another."""
-        out: dict[str, list[int]] = {}
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain parts end to end, and how many belong to each."""
         groups = [parts[i:i + JOINED] for i in range(0, len(parts), JOINED)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = e.ids
-            last = np.flatnonzero(self.ends[ids]) + 1 if ids else np.zeros(0, int)
-            if len(last) != len(group) or last[-1] != len(ids):  # this tokenizer marks no word ends so: one by one
-                out.update((p, self.tokenizer.encode(p, add_special_tokens=False).ids) for p in group)
-            else:
-                out.update((p, ids[a:b]) for p, a, b in zip(group, [0, *last[:-1].tolist()], last.tolist()))
-        return out
-
-    def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        runs = [RUN.findall(t) if PLAIN.fullmatch(t) and not NOT_LETTERS.search(t) else None for t in texts]
-        known = self._parts(list({p for r in runs if r for p in r}))
-        rest = self.tokenizer.encode_batch_fast([t for t, r in zip(texts, runs) if r is None], add_special_tokens=False)
-        rest = iter(rest)
-        got = [next(rest).ids if r is None else known[r[0]] if len(r) == 1 else [i for p in r for i in known[p]] for r in runs]
-        size = np.fromiter(map(len, got), np.int64, len(got))
+        ids, size = [], []
+        for group, got in zip(groups, self._encoded([b" ".join(g).decode() for g in groups])):
+            got = np.array(got, np.int32)
+            last = np.flatnonzero(self.ends[got]) + 1
+            if len(last) != len(group) or (len(got) and last[-1] != len(got)):  # no word-end marks: one by one
+                one = self._encoded([p.decode() for p in group])
+                got, last = np.array([i for x in one for i in x], np.int32), np.cumsum([len(x) for x in one])
+            ids.append(got)
+            size.append(np.diff(last, prepend=0))
+        none = np.zeros(0, np.int64)
+        return np.concatenate([*ids, none]).astype(np.int32), np.concatenate([*size, none]).astype(np.int64)
+
+    def _learn(self, words: list[bytes], plain: np.ndarray) -> None:
+        first = [w for w, p in zip(words, plain) if p]
+        other = [w for w, p in zip(words, plain) if not p]
+        ids, size = self._plain(first)
+        rest = self._encoded([w.decode() for w in other])
+        size = np.concatenate([size, np.array([len(x) for x in rest], np.int64)])
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(got), np.int32, int(size.sum()))])
+        self.flat = np.concatenate([self.flat, ids, np.array([i for x in rest for i in x], np.int32)])
         self.met = np.concatenate([self.met, np.zeros(len(words), np.int32)])
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
+        self.place.update(zip(first + other, range(len(self.place), len(self.place) + len(words))))
 
     def _forget(self) -> None:
-        """Keep the words met in two slices or more, if they fill at most half of the cache."""
+        """Keep the parts met in two slices or more, if they fill at most half of the cache."""
         keep = np.flatnonzero(self.met > 1)
-        if len(keep) > CACHED_WORDS // 2:
+        if len(keep) > CACHED_PARTS // 2:
             return self.clear()
         words = list(self.place)
         self.place = {words[i]: k for k, i in enumerate(keep)}
@@ -102,16 +99,15 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id after each text, and the number of ids of each text."""
-        w = split(texts, lower=False)
-        codes, distinct = w.distinct()
+        codes, distinct, plain, first = parts(texts)
         words = distinct.to_pylist()
         at = list(map(self.place.get, words))
-        new = [x for x, i in zip(words, at) if i is None]
-        if len(self.place) + len(new) > CACHED_WORDS:
-            self._forget()
-            new = [x for x in words if x not in self.place]
+        new = [k for k, i in enumerate(at) if i is None]
         if new:
-            self._learn(new)
+            if len(self.place) + len(new) > CACHED_PARTS:
+                self._forget()
+                new = [k for k, x in enumerate(words) if x not in self.place]
+            self._learn([words[k] for k in new], plain[new])
             at = list(map(self.place.get, words))
         at = np.array(at, np.int64)
         self.met[at] += 1
@@ -119,10 +115,11 @@ class WordEncoder:
         size = self.size[at]
         upto = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=upto[1:])
-        ids = self.flat[np.repeat(self.start[at] - upto[:-1], size) + np.arange(upto[-1])]
-        n = upto[w.first[1:]] - upto[w.first[:-1]]
-        out = np.full(len(ids) + len(n), END_ID, np.int32)
-        out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+        n = upto[first[1:]] - upto[first[:-1]]
+        doc = np.repeat(np.arange(len(n)), np.diff(first))  # text of each part
+        out = np.full(int(upto[-1]) + len(n), END_ID, np.int32)
+        steps = np.arange(upto[-1])
+        out[steps + np.repeat(doc, size)] = self.flat[np.repeat(self.start[at] - upto[:-1], size) + steps]
         return out, n + 1
 
 

@@ -108,3 +108,54 @@ def split(texts: pa.Array, lower: bool = True) -> Words:
     starts = np.zeros(len(size), np.int64)
     np.cumsum((size + spaced)[:-1], out=starts[1:])
     return Words(data, starts, starts + size, np.searchsorted(start, offs))
+
+
+# ---- parts -------------------------------------------------------------------------------------
+# Words of Latin-1 letters (UTF-8: ASCII, or C3 and one byte but the two signs) and ASCII signs other
+# than the apostrophe consist of runs of letters and runs of signs; other words are one part.
+_LETTER, _SIGN, _OTHER = 0, 1, 2
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = _LETTER
+_KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<"]] = _SIGN
+
+
+def parts(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(codes, distinct parts, whether each distinct part is plain, parts before each text). Plain
+    parts are runs of one kind, with ASCII letters in lower case; the others are whole words as
+    they stand, among them all words with a digit, an apostrophe or ``<``."""
+    w = split(texts, lower=False)
+    data, starts, ends = w.data, w.starts, w.ends
+    if not len(starts):
+        return np.zeros(0, np.int64), pa.array([], pa.large_binary()), np.zeros(0, bool), np.zeros(len(w.first), np.int64)
+    kind = _KIND[data]
+    lead = data == 0xC3
+    # a byte of 80..BF is a letter only after C3, and C3 97 and C3 B7 are signs
+    tail = (data & 0xC0) == 0x80
+    odd = kind == _OTHER
+    odd[1:] |= tail[1:] & ~lead[:-1]
+    odd[1:] |= lead[:-1] & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    space = data == 0x20
+    odd[space] = False
+    bad = np.maximum.reduceat(odd, starts)
+    # cut between letters and signs inside good words
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = kind[1:] != kind[:-1]
+    inside = np.repeat(~bad, np.diff(np.append(starts, len(data))))
+    cut[:-1] &= inside
+    cut[starts] = True
+    cut[:-1] &= ~space
+    at = np.flatnonzero(cut[:-1])
+    stop = np.append(at[1:], len(data))
+    stop -= space[stop - 1]
+    low = np.where(inside, _LOWER[data], data)
+    keep = ~space
+    size = stop - at
+    offs = np.zeros(len(at) + 1, np.int64)
+    np.cumsum(size, out=offs[1:])
+    a = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offs), pa.py_buffer(low[keep])])
+    d = a.dictionary_encode()
+    codes = d.indices.to_numpy(zero_copy_only=False)
+    word = np.searchsorted(starts, at, "right") - 1
+    plain = np.zeros(len(d.dictionary), bool)
+    plain[codes] = ~bad[word]  # a string is plain wherever it stands, or nowhere
+    return codes, d.dictionary, plain, np.searchsorted(word, w.first)

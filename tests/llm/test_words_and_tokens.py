@@ -54,7 +54,7 @@ def test_repeats_cost_little():
 
 def test_ids_equal_whole_texts(spark):
     texts = [r["text"] for r in table(spark, SMALL, "documents").select("text").collect()]
-    texts += [r[1] for r in ODD_ROWS] + ["it's we'll don't", "a b​c", "12 345 ab12", "ΟΔΟΣ Σ", "<|startoftext|>x <|endoftext|>"]
+    texts += [r[1] for r in ODD_ROWS] + ["it's we'll don't", "a b​c", "12 345 ab12", "ΟΔΟΣ Σ", "<|startoftext|>x <|endoftext|>", "<|ENDOFTEXT|>", "É×Ü÷é", "Ãµª ¼½x º", "a,b.C!!d ÀB's d'S 9é", "\u0178 ÿ ž İI ß ẞ", "a\u0301 é\u0301", "…x—y"]
     whole = Tokenizer.from_file(WORD_BPE)
     flat, n = tokens.WordEncoder(WORD_BPE).encode(pa.array(texts))
     cuts = np.cumsum(n)
@@ -94,7 +94,7 @@ def test_segments_keep_order(spark, monkeypatch):
 
 
 def test_cache_forgets(monkeypatch, spark):
-    monkeypatch.setattr(tokens, "CACHED_WORDS", 900)
+    monkeypatch.setattr(tokens, "CACHED_PARTS", 900)
     encoder, whole = tokens.WordEncoder(WORD_BPE), Tokenizer.from_file(WORD_BPE)
     texts = [r["text"] for r in table(spark, SMALL, "documents").select("text").collect()]
     for k in range(0, len(texts), 10):
