@@ -1,16 +1,12 @@
 """Semantic support of tracks over time, and the guard that uses it."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadrisk.constants import CURRENT_GUARD, SEMANTIC_AXES
 from roadrisk.functions.geometry import guard_predicate
-from roadrisk.operators.lineage import cut
-from roadrisk.operators.sequence import (
-    drop_halo, running_max, seg_window, with_halo, with_position,
-)
-from pyspark.sql import Window
+from roadrisk.operators.sequence import drop_halo, running_max, seg_window, with_position, with_position_halo
 
 KEEP = 0.6  # fixed value: weight of the past score
 _LOOK_BACK = 96  # 0.6 ** 96 is far below the precision of a double beside 1
@@ -22,14 +18,13 @@ def semantic_state(associations: DataFrame) -> DataFrame:
 
     Input: trip_id, track_id, frame_id, ordinal, matched, det_confidence; rows of a track are
     taken in (frame_id, ordinal) order. The recursion is a sum with weights 0.6 ** age, so
-    it is a running sum within segments that overlap by ``_LOOK_BACK`` rows. The associations
-    are costly and read several times, hence the cuts.
+    it is a running sum within segments that overlap by ``_LOOK_BACK`` rows. The input is read
+    several times; a caller with a costly one should write it first.
     """
     keys = ["trip_id", "track_id"]
-    p = with_position(cut(associations), keys, ["frame_id", "ordinal"])
+    p = with_position(associations, keys, ["frame_id", "ordinal"])
     p = running_max(p, keys, ["position"], F.when(F.col("matched"), F.col("position")), "_hit", "position")
-    p = cut(p)
-    h = with_halo(p, keys, ["position"], _LOOK_BACK, "position", _ROWS)
+    h = with_position_halo(p, keys, _LOOK_BACK, "position", _ROWS)
     age = F.col("position") - F.col("_seg") * _ROWS
     value = F.when(F.col("matched"), F.col("det_confidence")).otherwise(0.0) * F.pow(F.lit(1.0 / KEEP), age)
     so_far = F.sum(value).over(seg_window(keys, ["position"]).rowsBetween(Window.unboundedPreceding, 0))

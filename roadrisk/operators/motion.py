@@ -12,7 +12,7 @@ from roadrisk.constants import INF, MIN_CLOSING_MPS
 from roadrisk.functions.ttc import is_finite
 from roadrisk.operators.lineage import spread
 from roadrisk.operators.quantiles import exact_quantiles
-from roadrisk.operators.sequence import drop_halo, previous, running_max, seg_window, with_halo, with_position
+from roadrisk.operators.sequence import drop_halo, previous, running_max, seg_window, with_position, with_position_halo
 
 
 def median_of(a) -> Column:
@@ -56,10 +56,10 @@ def theil_sen(points) -> Column:
                       F.transform(points, lambda q: q["v"].cast("double")))
 
 
-def recent(df: DataFrame, keys, n: int, cols: dict[str, str], order=("position",), frame="position", name="recent"):
-    """Add the array of the last ``n`` rows (itself included) as struct of ``cols``."""
-    h = with_halo(df, keys, list(order), n - 1, frame)
-    w = seg_window(keys, list(order)).rowsBetween(-(n - 1), 0)
+def recent(df: DataFrame, keys, n: int, cols: dict[str, str], name="recent"):
+    """Add the array of the last ``n`` rows by ``position`` (itself included) as struct of ``cols``."""
+    h = with_position_halo(df, keys, n - 1)
+    w = seg_window(keys, ["position"]).rowsBetween(-(n - 1), 0)
     return drop_halo(h.withColumn(name, F.collect_list(F.struct(*[F.col(c).alias(a) for a, c in cols.items()])).over(w)))
 
 

@@ -7,6 +7,7 @@ and passes a boundary table of one row per segment between neighbouring segments
 * ``with_position``  row numbers: local number + rows in earlier segments;
 * ``with_halo``      each segment receives the last n rows before it, so that any window
                      reaching at most n rows back is exact;
+* ``with_position_halo`` the same for gapless positions, without a boundary table;
 * ``run_starts``     islands of true rows: local start, else the last start carried over.
 
 The boundary table is SEGMENT_ROWS times smaller than the data; it is the only thing ever
@@ -72,6 +73,18 @@ def with_halo(df, keys, order, n, frame="frame_id", rows=SEGMENT_ROWS) -> DataFr
     return s.withColumn("_halo", F.lit(False)).unionByName(halo)
 
 
+def with_position_halo(df, keys, n, pos="position", rows=SEGMENT_ROWS) -> DataFrame:
+    """``with_halo`` for positions without gaps (as ``with_position`` numbers them): the last n
+    rows of a segment are also handed to the next one, so the rows are read and moved once."""
+    if n > rows:
+        raise ValueError(f"a halo of {n} rows needs segments of at least as many")
+    at = F.floor(F.col(pos) / F.lit(rows))
+    own = F.struct(at.alias("seg"), F.lit(False).alias("halo"))
+    last = F.when(F.col(pos) % rows >= rows - n, F.struct((at + 1).alias("seg"), F.lit(True).alias("halo")))
+    both = df.withColumn("_part", F.explode(F.array_compact(F.array(own, last))))
+    return both.select(*df.columns, F.col("_part.seg").alias(SEG), F.col("_part.halo").alias("_halo"))
+
+
 def drop_halo(df: DataFrame) -> DataFrame:
     return df.filter(~F.col("_halo")).drop("_halo", SEG)
 

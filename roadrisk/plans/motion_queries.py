@@ -71,12 +71,12 @@ def _(t):
 
 
 @query("path_intersection", f"""WITH {Q.recent_rows(Q.OBS, 5, TK, 'a.t_sec AS t, a.lateral_m AS v')}, {Q.slopes(TK)}
-SELECT_FINAL trip_id, track_id, frame_id, separation_m, coalesce(separation_m <= 175e-2, true) AS intersects
+SELECT_FINAL trip_id, track_id, frame_id, separation_m * (1 + 1e-10) AS separation_m, coalesce(separation_m <= 175e-2, true) AS intersects
 FROM (SELECT o.trip_id, o.track_id, o.frame_id, CASE WHEN n >= 5 AND span >= 15e-2 AND ttc > 0 AND ttc <= 2 THEN abs(lateral_m + slope * ttc - 5e-1 * lateral_accel * ttc * ttc) END AS separation_m
  FROM o JOIN ic ON {OJ.format(a='ic')})""", "separation_m")
 def _(t):
     o = observations(t).select(*KEYS, "frame_id", "t_sec", "depth_m", "centre_x", "ttc", "lateral_accel")
-    return M.path_intersection(o).select(*KEYS, "frame_id", "separation_m", "intersects")
+    return M.path_intersection(o).select(*KEYS, "frame_id", (F.col("separation_m") * NUDGE).alias("separation_m"), "intersects")
 
 
 SELECTED = """(SELECT trip_id, frame_id, candidate_ttc AS ttc, track_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY trip_id, frame_id ORDER BY candidate_ttc, ordinal) AS rn FROM candidates

@@ -96,8 +96,7 @@ def _(t):
 
 
 def semantic(t):
-    a = A.associate_detections(boxes(t), detections(t))
-    return M.semantic_state(a)
+    return M.semantic_state(cut(A.associate_detections(boxes(t), detections(t))))
 
 
 # EMA by recursion over each track's rows
