@@ -6,7 +6,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadrisk.constants import DEFAULT_PRESET, FRAME_PERIOD_S
+from roadrisk.constants import DEFAULT_PRESET, SEVERE_TTC
 from roadrisk.functions.ttc import ttc_band
 from roadrisk.operators.motion import filter_step, motion_of
 from roadrisk.operators.risk_states import REASONS, SYMBOLS, automaton, preset_of, symbol
@@ -28,17 +28,43 @@ def risk_states_stream(stream: DataFrame, preset=DEFAULT_PRESET, delay="2 second
     return ordered_state(s, ["trip_id"], ["sym", "ttc"], 0, step, "ttc double, raw_band string, state string, reason string", delay)
 
 
-def risk_events_stream(states: DataFrame, merge_gap=4, delay="2 seconds") -> DataFrame:
-    """Events of a stream of states: sessions of HIGH_RISK frames joined over ``merge_gap`` frames.
+def risk_events_stream(states: DataFrame, merge_gap=4, delay="2 seconds", idle_ms=60_000) -> DataFrame:
+    """Events of a stream of states (trip_id, frame_id, event_time, ttc, state), with the columns of the
+    batch operator. An event is given out when more than ``merge_gap`` frames have followed it, or
+    when its trip has been silent for ``idle_ms``; the gap frames inside it count for its least TTC."""
+    def least(*values):
+        known = [v for v in values if v is not None and math.isfinite(v)]
+        return min(known) if known else None
 
-    A frame period plus the gap, and half a period of slack, separate two events.
-    """
-    gap_ms = int(((merge_gap + 1) + 0.5) * FRAME_PERIOD_S * 1000)
-    hot = states.withWatermark("event_time", delay).filter("state = 'HIGH_RISK'")
-    e = hot.groupBy("trip_id", F.session_window("event_time", f"{gap_ms} milliseconds")).agg(
-        F.min("frame_id").alias("start_frame"), F.max("frame_id").alias("end_frame"), F.min("ttc").alias("min_ttc_sec"))
-    return e.select("trip_id", "start_frame", "end_frame", "min_ttc_sec",
-                    F.when(F.col("min_ttc_sec") < 1.5, "CRITICAL").otherwise("DANGER").alias("severity"))
+    def told(s):
+        no, start, end, low = s["no"], s["run"][:2], s["run"][2:4], s["run"][4]
+        n, low = end[0] - start[0] + 1, 3.0 if low is None else low
+        return (no, start[1], end[1], start[0], end[0], max(0.0, low), "CRITICAL" if low < SEVERE_TTC else "DANGER",
+                min(1.0, n / 7.0), "HIGH" if n >= 7 else "MEDIUM" if n >= 3 else "LOW")
+
+    def step(s, row):
+        at, frame, ttc, out = s["at"], row["frame_id"], row["ttc"], None
+        ttc = None if ttc is None else float(ttc)
+        s = {**s, "at": at + 1}
+        if row["state"] == "HIGH_RISK":
+            if s["run"]:
+                s["run"] = [*s["run"][:2], at, frame, least(s["run"][4], s["gap"], ttc)]
+            else:
+                s.update(run=[at, frame, at, frame, least(ttc)], no=s["no"] + 1)
+            s["gap"] = None
+        elif s["run"]:
+            if at - s["run"][2] > merge_gap:
+                out = told(s)
+                s.update(run=None, gap=None)
+            else:
+                s["gap"] = least(s["gap"], ttc)
+        return s, out
+
+    e = ordered_state(
+        states, ["trip_id"], ["ttc", "state"], {"at": 0, "no": 0, "run": None, "gap": None}, step,
+        "event_no bigint, start_frame bigint, end_frame bigint, start_pos bigint, end_pos bigint, min_ttc_sec double, severity string, "
+        "event_quality double, confidence_level string", delay, finish=lambda s: told(s) if s["run"] else None, idle_ms=idle_ms)
+    return e.drop("frame_id")
 
 
 def kalman_stream(stream: DataFrame, delay="2 seconds") -> DataFrame:

@@ -14,8 +14,10 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def ordered_state(stream: DataFrame, keys, cols, start, step, output: str, delay: str, order="frame_id",
-                  time="event_time") -> DataFrame:
-    """Apply ``step(state, row) -> (state, tuple)`` to each key's rows in ``order``.
+                  time="event_time", finish=None, idle_ms: int | None = None) -> DataFrame:
+    """Apply ``step(state, row) -> (state, tuple or None)`` to each key's rows in ``order``; a tuple is
+    a row of output. With ``idle_ms``, a key without rows for so long (in event time) has ended: its
+    state is removed, after ``finish(state)`` has given a last tuple or None.
 
     stream: keys, ``order``, ``time`` (timestamp) and ``cols``. ``start`` and every state must be
     JSON values. ``output`` names the tuple's fields with types; keys, order and time are put
@@ -27,7 +29,7 @@ def ordered_state(stream: DataFrame, keys, cols, start, step, output: str, delay
     schema = f"{head}, {order} bigint, {time} timestamp, {output}"
 
     def run(key, batches, store):
-        state, waiting, last = (json.loads(x) for x in store.get) if store.exists else (start, [], None)
+        state, waiting, last = (json.loads(x) for x in store.get) if store.exists else (start, [], [None, 0])
         if not store.hasTimedOut:
             for pdf in batches:
                 for r in pdf[[order, time, *cols]].itertuples(index=False):
@@ -38,14 +40,25 @@ def ordered_state(stream: DataFrame, keys, cols, start, step, output: str, delay
         waiting = [w for w in waiting if w[1] > mark]
         out = []
         for w in due:
-            if last is not None and w[0] <= last:
+            if last[0] is not None and w[0] <= last[0]:
                 continue  # a repeat, or behind a frame already decided
-            last = w[0]
-            state, row = step(state, dict(zip(cols, w[2:])))
-            out.append((*key, w[0], pd.Timestamp(w[1], unit="us"), *row))
-        store.update((json.dumps(state), json.dumps(waiting), json.dumps(last)))
-        if waiting:
-            store.setTimeoutTimestamp(max(min(w[1] for w in waiting) // 1000, store.getCurrentWatermarkMs() + 1))
+            last = [w[0], w[1]]
+            state, row = step(state, {order: w[0], **dict(zip(cols, w[2:]))})
+            if row is not None:
+                out.append((*key, w[0], pd.Timestamp(w[1], unit="us"), *row))
+        ended = idle_ms is not None and not waiting and last[0] is not None and mark >= last[1] + 1000 * idle_ms
+        if ended:
+            row = finish(state) if finish else None
+            if row is not None:
+                out.append((*key, last[0], pd.Timestamp(last[1], unit="us"), *row))
+            store.remove()
+        else:
+            store.update((json.dumps(state), json.dumps(waiting), json.dumps(last)))
+            soon = store.getCurrentWatermarkMs() + 1
+            if waiting:
+                store.setTimeoutTimestamp(max(min(w[1] for w in waiting) // 1000, soon))
+            elif idle_ms is not None and last[0] is not None:
+                store.setTimeoutTimestamp(max(last[1] // 1000 + idle_ms, soon))
         yield pd.DataFrame(out, columns=[*keys, order, time, *names])
 
     s = stream.select(*keys, order, time, *cols).withWatermark(time, delay)
