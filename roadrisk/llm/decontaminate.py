@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from roadrisk.llm.words import slices, split
 
-Q = 10
-EDIT_SHARE = 0.08
+Q = 8
+EDIT_SHARE = 0.10
 ITEM_BYTES = 1 << 21   #: items are searched in blocks of about so many bytes
 SLICE_BYTES = 1 << 21
 ALIGNED = 256          #: candidates aligned side by side
@@ -37,7 +37,7 @@ def normalised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """32-bit hash of the ten bytes from each position on; shorter by nine than ``data``."""
+    """32-bit hash of the eight bytes from each position on; shorter by seven than ``data``."""
     if len(data) < Q:
         return np.zeros(0, np.uint32)
     p = np.uint32(0x01000193)
@@ -46,8 +46,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
         two = b[:-1] * p + b[1:]
         p = p * p
         four = two[:-2] * p + two[2:]
-        eight = four[:-4] * (p * p) + four[4:]
-        h = eight[:-2] * p + two[8:]
+        h = four[:-4] * (p * p) + four[4:]
         h ^= h >> np.uint32(15)
         return h * np.uint32(0x85EBCA77)
 
