@@ -2,7 +2,7 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here equal values
 are counted first (combined before the shuffle), the counts are ranked by a prefix sum in
-two steps (within a value bucket, then over the few buckets), and only the rows at the wanted
+two steps (within a value bucket, then over the buckets), and only the rows at the wanted
 ranks are kept. Interpolation is linear between neighbouring ranks.
 """
 from __future__ import annotations
@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 
 from roadrisk.functions.ttc import _c
 
+#: fine enough that values of one magnitude spread over thousands of buckets, and few enough that
+#: the buckets of a key (some ten thousand) can be summed up by one window
+STEPS = 4096
+
 
 def value_bucket(v):
-    """A non-decreasing whole number of the value: 32 steps per doubling."""
+    """A non-decreasing whole number of the value: STEPS per doubling of 1 + |v|."""
     v = _c(v)
-    return (F.signum(v) * F.floor(F.log2(1.0 + F.abs(v)) * 32)).cast("int")
+    return (F.signum(v) * F.floor(F.log2(1.0 + F.abs(v)) * STEPS)).cast("int")
 
 
 def exact_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float], extra=()) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from roadrisk.operators import events as E
 from roadrisk.operators import sequence as S
-from roadrisk.operators.quantiles import exact_quantiles
+from roadrisk.operators.quantiles import exact_quantiles, value_bucket
 
 
 def frames(spark, n=60, seed=3):
@@ -83,3 +83,15 @@ def test_episodes_and_ranges(spark):
     assert E.count_episodes(df, F.col("v") < 2.0).first().episodes == 1
     ids = spark.createDataFrame([("t", i) for i in (1, 2, 3, 7, 9, 10)], "trip_id string, frame_id long")
     assert E.collapse_ranges(ids).first().ranges == "1-3;7;9-10"
+
+
+def test_quantiles_of_values_of_one_magnitude(spark):
+    import numpy as np
+
+
+    d = spark.range(200_000).select(F.lit("k").alias("k"), (50.0 + (F.xxhash64("id") % 1_000_003) / 1e5).alias("v"))
+    got = exact_quantiles(d, ["k"], "v", {"p50": 0.5, "p95": 0.95}).first()
+    v = np.array([r["v"] for r in d.select("v").collect()])
+    assert abs(got["p50"] - np.quantile(v, 0.5)) < 1e-9 and abs(got["p95"] - np.quantile(v, 0.95)) < 1e-9
+    most = d.select(value_bucket("v").alias("b")).groupBy("b").count().agg(F.max("count")).first()[0]
+    assert most < 2000
