@@ -155,7 +155,9 @@ def parts(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray
     a = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offs), pa.py_buffer(low[keep])])
     d = a.dictionary_encode()
     codes = d.indices.to_numpy(zero_copy_only=False)
-    word = np.searchsorted(starts, at, "right") - 1
+    each = np.add.reduceat(cut[:-1], starts, dtype=np.int64)  # parts of each word
     plain = np.zeros(len(d.dictionary), bool)
-    plain[codes] = ~bad[word]  # a string is plain wherever it stands, or nowhere
-    return codes, d.dictionary, plain, np.searchsorted(word, w.first)
+    plain[codes] = np.repeat(~bad, each)  # a string is plain wherever it stands, or nowhere
+    upto = np.zeros(len(each) + 1, np.int64)
+    np.cumsum(each, out=upto[1:])
+    return codes, d.dictionary, plain, upto[w.first]
