@@ -23,9 +23,9 @@ from roadrisk.llm.words import parts, slices
 
 END_ID = 2
 SEGMENT_IDS = 1 << 23
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 1 << 21
 LEAST_BYTES, MOST_BYTES = 1 << 22, 3 << 23  #: text of a task
-CACHED_PARTS = 500_000  #: parts whose ids a Python worker remembers; beyond it forgets those met once
+CACHED_PARTS = 300_000  #: parts whose ids a Python worker remembers; beyond it forgets those met once
 JOINED = 500            #: parts that are encoded as one text
 
 SEGMENT = "part int, seg int, n_ids bigint, vocabulary int, doc_id array<{id}>, length array<bigint>, block array<binary>, crc array<bigint>"
