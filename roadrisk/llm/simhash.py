@@ -13,6 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -278,75 +279,218 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHING
     return prints.join(label, "fp").select("doc_id", "fp", "component_id", "class_rows")
 
 
-PRINTS = 8           #: independent fingerprints for finding texts of a given similarity
-FIELD_BITS = 16      #: raise it with log2 of the number of documents
-OWN_DISTANCE = 20    #: bits that one fingerprint of a similar text may differ by (3.6 sigma at 0.8)
+SKETCH_BITS = 22     #: counters of the shingle frequencies, log2; raise it with log2 of the corpus
+SKETCH_PIECES = 64
+ALL_PAIRS = 32       #: prefix groups of at most this many sets are paired completely at once
+PIVOTS = 4           #: sets of a larger group that its members are compared with first
+PAIR_BLOCK = 512
 
 
-def _prints(batches, size: int, prints: int):
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text in ascending order, and the number before each text.
+    A shingle is hashed from the hashes of its words."""
+    w = split(texts)
+    n = w.counts
+    codes, distinct = w.distinct()
+    word = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in distinct.to_pylist()), np.uint64, len(distinct))
+    word = word[codes] if len(codes) else np.zeros(0, np.uint64)
+    shingles = np.where(n >= size, n - size + 1, np.minimum(n, 1))
+    doc = np.repeat(np.arange(len(n)), shingles)
+    before = np.cumsum(shingles) - shingles
+    at = w.first[:-1][doc] + np.arange(len(doc)) - before[doc]
+    end = w.first[1:][doc]
+    h = np.zeros(len(doc), np.uint64)
+    for k in range(size):
+        inside = at + k < end
+        h[inside] = _mixed(h[inside] ^ word[at[inside] + k]) + np.uint64(k + 1)
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    h, doc = h[new], doc[new]
+    return h, np.searchsorted(doc, np.arange(len(n) + 1))
+
+
+def _frequencies(docs: DataFrame, size: int) -> np.ndarray:
+    """Logarithm (quarter octaves) of the number of texts with a shingle, by the leading bits of
+    its hash. Any order of the shingles gives exact prefixes; this one puts rare ones first."""
+    piece = (1 << SKETCH_BITS) // SKETCH_PIECES
+
+    def count(batches):
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                h, _ = _shingle_sets(part.column("text"), size)
+                at, c = np.unique(h >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+                total[at.astype(np.int64)] += c.astype(np.uint32)
+        if total.any():
+            for k in range(SKETCH_PIECES):
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array(
+                    [zstandard.ZstdCompressor(level=1).compress(total[k * piece:(k + 1) * piece].tobytes())])], ["piece", "counts"])
+
+    def add(key, table):
+        total = np.zeros(piece, np.int64)
+        for x in table.column("counts"):
+            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), np.uint32)
+        level = np.round(4 * np.log2(1 + total)).astype(np.uint8)
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([level.tobytes()])})
+
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    counted = docs.select("text").mapInArrow(count, "piece int, counts binary")
+    for r in counted.groupBy("piece").applyInArrow(add, "piece int, levels binary").collect():
+        out[r["piece"] * piece:(r["piece"] + 1) * piece] = np.frombuffer(r["levels"], np.uint8)
+    return out
+
+
+def _least_overlap(n, similarity: float):
+    """Least number of common shingles of two sets with ``n`` shingles in all."""
+    return np.ceil(similarity / (1 + similarity) * n - 1e-9)
+
+
+def _prefixes(batches, size: int, similarity: float, levels: np.ndarray):
+    """(doc_id, text_hash, cls, n, prefix): the hash of the set, its size, and the rarest shingles,
+    of which two sets of the similarity have one in common."""
     for batch in batches:
         for part in slices(batch, "text", SLICE_BYTES):
-            hashes, bounds = _shingle_hashes(part.column("text"), size)
-            sets = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-            flat = np.concatenate(sets) if sets else hashes
-            upto = np.zeros(len(sets) + 1, np.int64)
-            np.cumsum([len(x) for x in sets], out=upto[1:])
-            out = []
-            for k in range(prints):
-                h = flat + np.uint64((0x9E3779B97F4A7C15 * k) & 0xFFFFFFFFFFFFFFFF)
-                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                out.append(pa.array(shingle_votes(h ^ (h >> np.uint64(31)), upto).view(np.int64)))
-            yield pa.record_batch([part.column("doc_id"), part.column("_text"), *out], ["doc_id", "text_hash", *[f"p{k}" for k in range(prints)]])
-
-
-def similar_rows(docs: DataFrame, size: int = 5, similarity: float = 0.8, prints: int = PRINTS) -> DataFrame:
+            h, upto = _shingle_sets(part.column("text"), size)
+            n = np.diff(upto)
+            cls = [xxhash.xxh64_intdigest(h[a:b].tobytes(), SEED) for a, b in zip(upto[:-1], upto[1:])]
+            doc = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, levels[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], doc))
+            take = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+            first = h[order][np.arange(len(h)) - upto[:-1][doc] < take[doc]]
+            cuts = np.zeros(len(n) + 1, np.int32)
+            np.cumsum(take, out=cuts[1:])
+            yield pa.record_batch([
+                part.column("doc_id"), part.column("_text"), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(n.astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(cuts), pa.array(first.view(np.int64)))], ["doc_id", "text_hash", "cls", "n", "prefix"])
+
+
+def _possible(i, j, n, pos, similarity: float) -> np.ndarray:
+    """Whether sizes and places of the common shingle allow the similarity."""
+    least = _least_overlap(n[i] + n[j], similarity)
+    most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
+    return most >= least
+
+
+def _prefix_pairs(batches, similarity: float):
+    """Sets (token, cls, n, pos) sorted by token and cls -> candidate pairs (a, b); a group of over
+    ALL_PAIRS sets gives the pairs with its pivots, and its rows (b NULL) for the second round."""
+    for t in _whole_nodes(batches, lambda rows: _unsigned(rows, "token")):
+        token, cls, n, pos = (np.asarray(t.column(c)) for c in ("token", "cls", "n", "pos"))
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
+        token, cls, n, pos = token[new], cls[new], n[new].astype(np.int64), pos[new].astype(np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        count = np.diff(np.append(cuts, len(token)))
+        count, first = np.repeat(count, count), np.repeat(cuts, count)
+        place = np.arange(len(token)) - first
+        i, j = [], []
+        for lag in range(1, min(ALL_PAIRS, int(count.max(initial=1)))):
+            x = np.flatnonzero((place >= lag) & (count <= ALL_PAIRS))
+            i.append(x - lag)
+            j.append(x)
+        large = np.flatnonzero(count > ALL_PAIRS)
+        for k in range(PIVOTS):
+            x = large[place[large] > k]
+            i.append(first[x] + k)
+            j.append(x)
+        i, j = np.concatenate(i), np.concatenate(j)
+        good = _possible(i, j, n, pos, similarity)
+        pairs = np.unique(np.stack([cls[i[good]], cls[j[good]]], 1), axis=0)
+        none = pa.nulls(len(pairs), pa.int64())
+        if len(pairs):
+            yield pa.record_batch([none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none], ["token", "a", "b", "n", "pos"])
+        if len(large):
+            yield pa.record_batch([pa.array(token[large]), pa.array(cls[large]), pa.nulls(len(large), pa.int64()), pa.array(n[large]), pa.array(pos[large])],
+                                  ["token", "a", "b", "n", "pos"])
+
+
+def _cross_pairs(batches, similarity: float):
+    """Rows (token, a, n, pos, root) sorted by token -> candidate pairs of sets not joined yet."""
+    for t in _whole_nodes(batches, lambda rows: _unsigned(rows, "token")):
+        token, cls, n, pos, root = (np.asarray(t.column(c)) for c in ("token", "a", "n", "pos", "root"))
+        cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        for s, e in zip(cuts, np.append(cuts[1:], len(token))):
+            for x in range(s, e, PAIR_BLOCK):
+                for y in range(s, x + 1, PAIR_BLOCK):
+                    i, j = np.meshgrid(np.arange(y, min(y + PAIR_BLOCK, e)), np.arange(x, min(x + PAIR_BLOCK, e)), indexing="ij")
+                    keep = (i < j) & (root[i] != root[j])
+                    i, j = i[keep], j[keep]
+                    good = _possible(i, j, n, pos, similarity)
+                    i, j = i[good], j[good]
+                    if len(i):
+                        yield pa.record_batch([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], ["a", "b"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of set hashes whose sets have the similarity: exact Jaccard of the sets."""
+    need = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    texts = rows.join(need, "cls").groupBy("cls").agg(F.min("text_hash").alias("_text")).select("_text").distinct()
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                h, upto = _shingle_sets(part.column("text"), size)
+                cls = np.array([xxhash.xxh64_intdigest(h[a:b].tobytes(), SEED) for a, b in zip(upto[:-1], upto[1:])], np.uint64)
+                yield pa.record_batch([pa.array(cls.view(np.int64)), pa.ListArray.from_arrays(
+                    pa.array(upto.astype(np.int32)), pa.array(h.view(np.int64)))], ["cls", "shingles"])
+
+    sets = docs.select("text", F.xxhash64("text").alias("_text")).join(texts, "_text").select("text").mapInArrow(
+        run, "cls bigint, shingles array<bigint>").dropDuplicates(["cls"])
+    sets = saved(sets, "sets")
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.withColumn("_common", common).where(
+        F.col("_common") >= F.lit(similarity) * (F.size("x") + F.size("y") - F.col("_common")) - F.lit(1e-9)).select("a", "b")
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Edges (u, v) between hashes of shingle sets, each of at least ``similarity``, that join
+    exactly the sets reachable over such pairs."""
+    n = shuffle_partitions(docs.sparkSession)
+    entries = rows.select("cls", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "cls", "n", "pos")
+    found = saved(
+        entries.repartition(n, "token").sortWithinPartitions("token", "cls").mapInArrow(
+            lambda it: _prefix_pairs(it, similarity), "token bigint, a bigint, b bigint, n bigint, pos bigint"), "pairs")
+    pairs = saved(found.where("b IS NOT NULL").select("a", "b").distinct(), "pairs")
+    edges = saved(_verified(pairs, docs, rows, size, similarity).withColumnsRenamed({"a": "u", "b": "v"}), "links")
+    large = found.where("b IS NULL").drop("b")
+    if large.isEmpty():
+        return edges
+    # large groups: what the pivots have joined is one root; pairs between roots are still open
+    large = large.join(components(edges).withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    large = saved(large, "large")
+    mixed = large.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    crossed = large.join(mixed, "token").repartition(n, "token").sortWithinPartitions("token").mapInArrow(
+        lambda it: _cross_pairs(it, similarity), "a bigint, b bigint")
+    rest = saved(crossed.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = _verified(rest, docs, rows, size, similarity).withColumnsRenamed({"a": "u", "b": "v"})
+    return saved(edges.unionByName(more), "links")
+
+
+def similar_rows(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> (doc_id, text_hash, component, keeper): one row per row;
-    texts whose sets of word shingles have about ``similarity`` or more in common are linked.
-
-    Several fingerprints are taken of each set. Texts that agree on one bit field of one of them
-    meet under an upper node; there all fingerprints together estimate the similarity (the share
-    of differing bits is the angle between the sets). ``keeper`` marks the first row of each
-    component by (doc_id, hash of the text), NULL ids last. Texts without words form one
-    component. At similarity 0.8 a link is found with probability 0.9, at 0.85 with 0.97, and copies
-    always.
+    texts whose sets of word shingles have ``similarity`` (Jaccard) or more in common are linked.
+
+    Sets of that similarity share one of their rarest shingles (prefix filter), so every such pair
+    meets; candidates are verified by the exact similarity of the sets. In a large group the
+    members are compared with a few pivots first, and only pairs not yet in one component after
+    that. ``keeper`` marks the first row of each component by (doc_id, hash of the text), NULL ids
+    last. Texts without words form one component.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = [f"p{k}" for k in range(prints)]
-    rows = saved(
-        docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).mapInArrow(
-            lambda it: _prints(it, size, prints), f"doc_id {kind}, text_hash bigint, " + ", ".join(f"{n} bigint" for n in names)),
-        "prints").withColumn("cls", F.xxhash64(*names))
-    classes = saved(rows.groupBy("cls").agg(*[F.first(n).alias(n) for n in names]), "classes")
-    cosine = 2 * similarity / (1 + similarity)
-    limit = int(np.ceil(np.arccos(cosine) / np.pi * BITS * prints))
-    fields = BITS // FIELD_BITS
-    turned = classes.select("cls", *names, F.explode(F.array(*[
-        F.struct(F.lit(k * fields + f).alias("field"), rotated(F.col(n), f * FIELD_BITS).alias("code"))
-        for k, n in enumerate(names) for f in range(fields)])).alias("x")).select("cls", *names, "x.field", gray_rank(F.col("x.code")).alias("gray"))
-
-    def run(batches):
-        key = _node_key(FIELD_BITS)
-        for t in _whole_nodes(batches, key):
-            cls = _unsigned(t, "cls")
-            every = np.stack([_unsigned(t, n) for n in names], 1)
-            own = every[np.arange(len(cls)), np.asarray(t.column("field")) // fields]
-
-            def near(i, j):
-                out = np.zeros(len(i), bool)
-                for a in range(0, len(i), 1 << 18):
-                    x, y = i[a:a + (1 << 18)], j[a:a + (1 << 18)]
-                    out[a:a + (1 << 18)] = np.bitwise_count(every[x] ^ every[y]).sum(1, dtype=np.int64) <= limit
-                return out
-
-            yield _star(_joined(key(t), own, OWN_DISTANCE, near), cls)
-
-    node = F.shiftrightunsigned("gray", BITS - FIELD_BITS)
-    edges = (
-        turned.repartition(shuffle_partitions(docs.sparkSession), "field", node)
-        .sortWithinPartitions("field", node, "gray").mapInArrow(run, "u bigint, v bigint")
-    )
-    found = components(edges)
+    shared = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, size))
+    rows = saved(docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).mapInArrow(
+        lambda it: _prefixes(it, size, similarity, shared.value), f"doc_id {kind}, text_hash bigint, cls bigint, n int, prefix array<bigint>"), "prefixes")
+    found = components(similar_links(docs, rows, size, similarity))
     keyed = rows.select("doc_id", "text_hash", "cls")
     named = keyed.join(found, keyed["cls"] == found["node"], "left").select(
         "doc_id", "text_hash", F.coalesce("root", "cls").alias("component"))

@@ -145,3 +145,46 @@ def test_without_copies_keeps_one_row(spark, odd, no_docs):
     twice = odd.where("doc_id = 7")
     assert [r["doc_id"] for r in simhash.without_copies(twice).collect()] == [7]
     assert simhash.without_copies(no_docs).count() == 0
+
+
+def test_similar_rows_equal_brute_force(spark):
+    """Pairs at 0.75 to 0.9, short texts, and a large family, against exact Jaccard."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for n in (5, 6, 8, 9, 12, 24, 60, 150, 300):
+        for _ in range(12):
+            w = [f"w{x}" for x in rng.integers(0, 3000, n)]
+            texts.append(w)
+            for share in (0.01, 0.02, 0.03):  # a changed word changes five shingles
+                near = list(w)
+                for at in rng.choice(n, max(1, int(n * share)), replace=False):
+                    near[at] = f"x{rng.integers(0, 3000)}"
+                texts.append(near)
+            texts += [w + ["end"], w[: int(n * 0.9)], w[1:]]
+    hot = [f"h{x}" for x in range(60)]
+    for k in range(120):  # one family, of which each pair of members has 0.7 to 0.9 in common
+        near = list(hot)
+        near[int(rng.integers(0, 60))] = f"y{k}"
+        texts.append(near)
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    label = list(range(len(texts)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    got: dict[int, list[int]] = {}
+    for r in simhash.similar_rows(docs).collect():
+        got.setdefault(r["component"], []).append(r["doc_id"])
+    want: dict[int, list[int]] = {}
+    for i in range(len(texts)):
+        want.setdefault(root(i), []).append(i)
+    assert sorted(sorted(x) for x in got.values()) == sorted(want.values())
