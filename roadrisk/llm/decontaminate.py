@@ -24,7 +24,8 @@ Q = 8
 EDIT_SHARE = 0.10
 ITEM_BYTES = 1 << 21   #: items are searched in blocks of about so many bytes
 SLICE_BYTES = 1 << 21
-ALIGNED = 256          #: candidates aligned side by side
+ALIGNED = 256          #: candidates aligned side by side, fewer of long items
+CELLS = 1 << 22        #: bytes of items and text that are padded at once
 TABLE_BITS = 20
 PAD = 256
 
@@ -58,7 +59,8 @@ class Index:
     edits: np.ndarray
     bound: np.ndarray    # least number of shared q-grams
     band: np.ndarray     # half the width of a band
-    text: np.ndarray     # items x longest, padded
+    text: np.ndarray     # bytes of all items, one after the other
+    start: np.ndarray    # where each item begins
     grams: np.ndarray    # distinct hashes, sorted
     first: np.ndarray    # postings of each hash
     item: np.ndarray
@@ -74,22 +76,22 @@ def index_of(items: list[tuple[int, str | None]], edit_share: float = EDIT_SHARE
     keep = np.flatnonzero(size >= Q)
     length = size[keep]
     edits = np.minimum((edit_share * length).astype(int), length // Q - 1)
-    text = np.full((len(keep), int(length.max(initial=0))), PAD, np.uint16)
-    grams, item, offset = [], [], []
+    text, grams, item, offset = [], [], [], []
     for i, k in enumerate(keep):
         own = data[at[k]:at[k] + length[i]]
-        text[i, : len(own)] = own
+        text.append(own)
         g = gram_hashes(own)
         grams.append(g)
         item.append(np.full(len(g), i))
         offset.append(np.arange(len(g)))
     grams, item, offset = (np.concatenate(x) if x else np.zeros(0, d) for x, d in ((grams, np.uint32), (item, int), (offset, int)))
+    text = np.concatenate(text) if text else np.zeros(0, np.uint8)
     order = np.argsort(grams, kind="stable")
     distinct, first = np.unique(grams[order], return_index=True)
     table = np.zeros(1 << TABLE_BITS, bool)
     table[distinct >> np.uint32(32 - TABLE_BITS)] = True
     return Index(np.array([items[k][0] for k in keep], object), length, edits, length + 1 - Q * (edits + 1),
-                 1 << np.ceil(np.log2(edits + 1)).astype(int), text, distinct, np.append(first, len(grams)),
+                 1 << np.ceil(np.log2(edits + 1)).astype(int), text, np.cumsum(length) - length, distinct, np.append(first, len(grams)),
                  item[order], offset[order], table)
 
 
@@ -124,26 +126,34 @@ def _candidates(x: Index, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
 def _align(x: Index, data, at, row, item, low) -> tuple[np.ndarray, np.ndarray]:
     """Least edits of each item inside its band, and where in the text that match ends."""
     edits, end = np.zeros(len(row), int), np.zeros(len(row), int)
-    for a in range(0, len(row), ALIGNED):
-        r, it = row[a:a + ALIGNED], item[a:a + ALIGNED]
+    order = np.argsort(x.length[item], kind="stable")  # like lengths side by side
+    cost = (2 * x.length + 4 * x.band + 2 * x.edits)[item[order]]
+    a = 0
+    while a < len(row):
+        most = np.maximum.accumulate(cost[a:a + ALIGNED]) * np.arange(1, len(cost[a:a + ALIGNED]) + 1)
+        part = order[a:a + max(1, int((most <= CELLS).sum()))]
+        a += len(part)
+        r, it = row[part], item[part]
         slack = int(x.edits[it].max())
         width = int(2 * x.band[it].max()) + 2 * slack + 1
         longest = int(x.length[it].max())
-        start = low[a:a + ALIGNED] - slack
+        start = low[part] - slack
         cols = start[:, None] + np.arange(longest + width)
         place = at[r][:, None] + cols
         inside = (cols >= 0) & (place < at[r + 1][:, None])
         y = np.where(inside, data[np.clip(place, 0, len(data) - 1)], PAD + 1)
+        at_item = np.minimum(x.start[it][:, None] + np.arange(longest), len(x.text) - 1)
+        own = np.where(np.arange(longest) < x.length[it][:, None], x.text[at_item], PAD)
         step = np.arange(width, dtype=np.int32)
         d = np.zeros((len(r), width), np.int32)
         for i in range(longest):
-            up = d + (y[:, i:i + width] != x.text[it, i][:, None])
+            up = d + (y[:, i:i + width] != own[:, i, None])
             up[:, :-1] = np.minimum(up[:, :-1], d[:, 1:] + 1)
             d_new = np.minimum.accumulate(up - step, axis=1) + step
             done = np.flatnonzero(x.length[it] == i + 1)
             if len(done):
                 best = d_new[done].argmin(1)
-                edits[a + done], end[a + done] = d_new[done, best], start[done] + i + 1 + best
+                edits[part[done]], end[part[done]] = d_new[done, best], start[done] + i + 1 + best
             d = d_new
     return edits, end
 
@@ -192,7 +202,7 @@ def search(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE
     kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     found = None
     for items in item_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index_of(items, edit_share))  # ITEM_BYTES of text at most
+        shared = docs.sparkSession.sparkContext.broadcast(index_of(items, edit_share))  # ITEM_BYTES and one item at most, unpadded
 
         def run(batches, shared=shared):
             x = shared.value

@@ -148,3 +148,14 @@ def test_schedule_is_even(spark):
 def test_normalised():
     data, at = decontaminate.normalised(pa.array(["A  b\n", None, "Ü x"]))
     assert [bytes(data[a:b]).strip() for a, b in zip(at[:-1], at[1:])] == [b"a b", b"", "ü x".encode()]
+
+
+def test_index_is_not_padded_to_the_longest_item():
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    items = [(i, "".join(rng.choice(letters, n))) for i, n in enumerate([300] * 200 + [6000])]
+    x = decontaminate.index_of(items)
+    assert x.text.nbytes <= 2 * sum(len(t) for _, t in items)
+    texts = ["before " + items[i][1][:100] + "#" + items[i][1][101:] + " after" for i in (3, 200, 150)]
+    row, item, edits, _ = decontaminate.matches(x, pa.array(texts))
+    assert list(zip(row, x.ids[item], edits)) == [(0, 3, 1), (1, 200, 1), (2, 150, 1)]
