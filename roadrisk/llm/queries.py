@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadrisk.llm import chat, compression, decontaminate, language, mixing, pitman_yor, revisit, rules, simhash, tokens
+from roadrisk.llm import chat, compression, decontaminate, language, mixing, pitman_yor, resample, revisit, rules, simhash, tokens
 from roadrisk.llm.tables import new_folder, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,8 @@ def op6_pitman_yor(spark, sf_dir):
     found = pitman_yor.score(table(spark, sf_dir, "documents"), ~held_out)
     return found.select(
         "doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op13_resample")
+def op13_resample(spark, sf_dir):
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
