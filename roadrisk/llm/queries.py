@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadrisk.llm import chat, compression, decontaminate, language, mixing, pitman_yor, resample, revisit, rules, simhash, tokens
+from roadrisk.llm import chat, compression, decontaminate, language, mixing, pitman_yor, resample, revisit, rules, simhash, tokens, whitening
 from roadrisk.llm.tables import new_folder, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,11 @@ def op6_pitman_yor(spark, sf_dir):
 @query("op13_resample")
 def op13_resample(spark, sf_dir):
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark, sf_dir):
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", F.col("whitening").alias("_w")).select(
+        "vec_id", "_w", F.posexplode(F.arrays_zip("_w.whitened", "_w.explained")).alias("_k", "_v")).select(
+        "vec_id", (F.col("_k") + 1).alias("component"), "_w.n", "_w.deviation", "_v.whitened", "_v.explained", "_w.identity_error")
