@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadrisk.llm import chat, compression, decontaminate, language, mixing, pitman_yor, resample, revisit, rules, simhash, tokens, whitening
+from roadrisk.llm import chat, compression, decontaminate, language, mixing, pitman_yor, resample, revisit, rules, simhash, tokens, toxicity, whitening
 from roadrisk.llm.tables import new_folder, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,13 @@ def op12_whitening(spark, sf_dir):
     return found.select("vec_id", F.col("whitening").alias("_w")).select(
         "vec_id", "_w", F.posexplode(F.arrays_zip("_w.whitened", "_w.explained")).alias("_k", "_v")).select(
         "vec_id", (F.col("_k") + 1).alias("component"), "_w.n", "_w.deviation", "_v.whitened", "_v.explained", "_w.identity_error")
+
+
+@query("op11_toxicity")
+def op11_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
+    scored = toxicity.with_toxicity(docs.select("doc_id", "text"), model, "score")
+    return scored.select(
+        "doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
