@@ -8,11 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F, types as T
 
-from roadrisk.constants import INF, MIN_CLOSING_MPS
+from roadrisk.constants import INF, MIN_CLOSING_MPS, SEGMENT_ROWS
 from roadrisk.functions.ttc import is_finite
-from roadrisk.operators.lineage import spread
+from roadrisk.operators.lineage import cut
 from roadrisk.operators.quantiles import exact_quantiles
-from roadrisk.operators.sequence import drop_halo, previous, running_max, seg_window, with_position, with_position_halo
+from roadrisk.operators.scan import affine, linear_filter, padded, ragged, scan
+from roadrisk.operators.sequence import SEG, drop_halo, previous, running_max, seg_window, with_halo, with_position, with_position_halo
 
 
 def median_of(a) -> Column:
@@ -352,35 +353,117 @@ def motion_of(state, t, missed=0):
     return -v, (x / -v if x > 0 and -v > MIN_CLOSING_MPS else math.inf), residual
 
 
-def kalman_distance(obs: DataFrame, keys=("trip_id", "track_id")) -> DataFrame:
+def _distance_elements(dt, z, r, fresh):
+    """Elements of ``linear_filter`` for one row of many tracks."""
+    q = _ACCEL * _ACCEL
+    q00, q01, q11 = 0.25 * q * dt ** 4, 0.5 * q * dt ** 3, q * dt * dt
+    s = q00 + r
+    k0, k1 = q00 / s, q01 / s
+    out = np.column_stack([
+        1 - k0, (1 - k0) * dt, -k1, 1 - k1 * dt, k0 * z, k1 * z, q00 - k0 * q00, q01 - k0 * q01, q11 - k1 * q01,
+        z / s, dt * z / s, 1 / s, dt / s, dt * dt / s])
+    start = np.zeros((len(z), 14))
+    start[:, 4], start[:, 6], start[:, 8] = z, r, _SPEED_VAR
+    return np.where(fresh[:, None], start, out)
+
+
+def _summed_up(rule):
+    @F.pandas_udf("array<double>")
+    def element(dt: pd.Series, z: pd.Series, r: pd.Series, age: pd.Series) -> pd.Series:
+        size = dt.map(len).to_numpy()
+        dts, zs, rs, ages = padded(dt), padded(z), padded(r, 1.0), padded(age)
+        acc = np.tile(np.array(rule.identity), (len(dt), 1))
+        for i in range(dts.shape[1]):
+            live = i < size
+            acc[live] = rule.combine(acc[live], _distance_elements(dts[live, i], zs[live, i], rs[live, i], ages[live, i] == 1))
+        return pd.Series(list(acc))
+
+    return element
+
+
+_WALK = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("x", "v", "pxx", "gap", "decay")])
+
+
+@F.pandas_udf(_WALK)
+def _filtered(dt: pd.Series, z: pd.Series, r: pd.Series, age: pd.Series, entry: pd.Series) -> pd.DataFrame:
+    """Estimates at every row, |innovation|, and the segment's mean innovation as an affine map."""
+    size = dt.map(len).to_numpy()
+    dts, zs, rs, ages = padded(dt), padded(z), padded(r, 1.0), padded(age)
+    first = np.stack([np.asarray(e, float) for e in entry]) if len(entry) else np.zeros((0, 14))
+    x, v, pxx, pxv, pvv = first[:, 4], first[:, 5], first[:, 6], first[:, 7], first[:, 8]
+    out = {n: np.zeros_like(zs) for n in ("x", "v", "pxx", "gap")}
+    a, b = np.ones(len(dt)), np.zeros(len(dt))
+    q = _ACCEL * _ACCEL
+    for i in range(zs.shape[1]):
+        t, m, s, n = dts[:, i], zs[:, i], rs[:, i], ages[:, i]
+        fresh, live = n == 1, i < size
+        x1 = x + t * v
+        p00 = pxx + t * (2.0 * pxv + t * pvv) + 0.25 * q * t ** 4
+        p01 = pxv + t * pvv + 0.5 * q * t ** 3
+        p11 = pvv + q * t * t
+        e, c = m - x1, p00 + s
+        kx, kv = p00 / c, p01 / c
+        x, v = np.where(fresh, m, x1 + kx * e), np.where(fresh, 0.0, v + kv * e)
+        pxx, pxv, pvv = np.where(fresh, s, p00 - kx * p00), np.where(fresh, 0.0, p01 - kx * p01), np.where(fresh, _SPEED_VAR, p11 - kv * p01)
+        gap = np.where(fresh, 0.0, np.abs(e))
+        keep, add = _innovation_step(n, gap)
+        a, b = np.where(live, keep * a, a), np.where(live, keep * b + add, b)
+        for name, value in (("x", x), ("v", v), ("pxx", pxx), ("gap", gap)):
+            out[name][:, i] = value
+    done = {n: ragged(w, size) for n, w in out.items()}
+    return pd.DataFrame({**done, "decay": list(np.column_stack([a, b]))})
+
+
+def _innovation_step(age, gap):
+    """Mean innovation: 0 on a first sighting, the gap itself on the second, then a decaying mean."""
+    return np.where(age > 2, 0.75, 0.0), np.where(age > 2, 0.25 * gap, np.where(age == 2, gap, 0.0))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _mean_innovation(gap: pd.Series, age: pd.Series, entry: pd.Series) -> pd.Series:
+    size = gap.map(len).to_numpy()
+    gaps, ages = padded(gap), padded(age)
+    now, out = np.array([e[1] for e in entry], float), np.zeros_like(gaps)
+    for i in range(gaps.shape[1]):
+        keep, add = _innovation_step(ages[:, i], gaps[:, i])
+        out[:, i] = now = keep * now + add
+    return pd.Series(ragged(out, size))
+
+
+def kalman_distance(obs: DataFrame, keys=("trip_id", "track_id"), max_gap_s=0.5, rows=SEGMENT_ROWS) -> DataFrame:
     """Constant-velocity filter over each track: distance, closing speed, TTC, residual.
 
-    obs: keys, frame_id, ordinal, t_sec, depth_m, sigma_m. Rows stream through each task in
-    order and only the filter state is held, however long a track is; sightings split by gaps
-    are spread over tasks.
+    obs: keys, frame_id, ordinal, t_sec, depth_m, sigma_m. The filter starts afresh where the time
+    does not rise by at most ``max_gap_s``. One track of any length is spread over tasks: its segments
+    are summed up and combined (``scan.linear_filter``), then filtered at once from their entries;
+    the mean innovation, which needs all estimates, follows as a second, affine recursion.
     """
     keys = list(keys)
-    names = [*keys, "session", "frame_id", "ordinal", "t_sec", "depth_m", "sigma_m"]
-    # one row per frame decides the sightings; duplicates follow their frame
-    frames = distance_filter_sessions(obs.groupBy(*keys, "frame_id").agg(F.min("t_sec").alias("t_sec")), keys).drop("t_sec")
-    s = obs.join(frames, [*keys, "frame_id"]).select(*names)
-    s = spread(s, *keys, "session").sortWithinPartitions(*keys, "session", "frame_id", "ordinal")
-
-    def run(batches):
-        at, state = None, None
-        for pdf in batches:
-            out = []
-            ids = list(zip(*[pdf[k] for k in (*keys, "session")]))
-            for key, t, z, sigma in zip(ids, pdf["t_sec"], pdf["depth_m"], pdf["sigma_m"]):
-                if key != at:
-                    at, state = key, None
-                state = filter_step(state, t, z, sigma)
-                out.append((state[1], *motion_of(state, t)))
-            cols = pd.DataFrame(out, columns=["distance_m", "closing_mps", "ttc", "residual_m"])
-            yield pd.concat([pdf[[*keys, "frame_id", "ordinal"]].reset_index(drop=True), cols], axis=1)
-
-    types = ", ".join(f"{k} {obs.schema[k].dataType.simpleString()}" for k in (*keys, "frame_id", "ordinal"))
-    return s.mapInPandas(run, f"{types}, distance_m double, closing_mps double, ttc double, residual_m double")
+    order = ["frame_id", "ordinal"]
+    h = with_halo(obs.select(*keys, *order, "t_sec", "depth_m", "sigma_m"), keys, order, 2, rows=rows)
+    w = seg_window(keys, order)
+    step = F.col("t_sec") - F.lag("t_sec").over(w)
+    h = h.withColumn("dt", F.when((step > 0) & (step <= max_gap_s), step))
+    # first, second, or later observation of a sighting
+    age = F.when(F.col("dt").isNull(), 1).when(F.lag("dt").over(w).isNull(), 2).otherwise(3)
+    sigma = F.least(F.greatest(F.col("sigma_m"), F.lit(_SIGMA[0])), F.lit(_SIGMA[1]))
+    row = F.struct(*order, F.coalesce("dt", F.lit(0.0)).cast("double").alias("dt"), F.col("depth_m").cast("double").alias("z"),
+                   (sigma * sigma).cast("double").alias("r"), F.col("age").cast("double").alias("age"))
+    s = h.withColumn("age", age).filter(~F.col("_halo")).groupBy(*keys, SEG).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    s = cut(s)
+    given = [F.col(f"_rows.{c}") for c in ("dt", "z", "r", "age")]
+    rule = linear_filter()
+    entry = scan(s.select(*keys, SEG, _summed_up(rule)(*given).alias("element")), keys, SEG, rule)
+    s = cut(s.join(entry, [*keys, SEG]).withColumn("_f", _filtered(*given, F.col("entry"))).drop("entry"))
+    means = scan(s.select(*keys, SEG, F.col("_f.decay").alias("element")), keys, SEG, affine())
+    s = s.join(means, [*keys, SEG]).withColumn("_ema", _mean_innovation(F.col("_f.gap"), F.col("_rows.age"), F.col("entry")))
+    zipped = F.arrays_zip(F.col("_rows").alias("r"), F.col("_f.x").alias("x"), F.col("_f.v").alias("v"), F.col("_f.pxx").alias("p"), F.col("_ema").alias("e"))
+    flat = s.select(*keys, F.explode(zipped).alias("z"))
+    known, x, closing = F.col("z.r.age") >= 3, F.col("z.x"), -F.col("z.v")
+    return flat.select(
+        *keys, *[F.col(f"z.r.{c}").alias(c) for c in order], x.alias("distance_m"), F.when(known, closing).otherwise(0.0).alias("closing_mps"),
+        F.when(known & (x > 0) & (closing > MIN_CLOSING_MPS), x / closing).otherwise(F.lit(INF)).alias("ttc"),
+        F.when(known, F.col("z.e") + 0.10 * F.sqrt(F.greatest(F.col("z.p"), F.lit(0.0)))).otherwise(F.lit(INF)).alias("residual_m"))
 
 
 def track_confidence(obs: DataFrame, keys, ground_confidence, n=11) -> DataFrame:
