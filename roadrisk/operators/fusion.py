@@ -1,36 +1,65 @@
 """Semantic support of tracks over time, and the guard that uses it."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadrisk.constants import CURRENT_GUARD, SEMANTIC_AXES
 from roadrisk.functions.geometry import guard_predicate
-from roadrisk.operators.sequence import drop_halo, running_max, seg_window, with_position, with_position_halo
+from roadrisk.operators.scan import Monoid, scan
+from roadrisk.operators.sequence import SEG, seg_window, segmented
 
 KEEP = 0.6  # fixed value: weight of the past score
-_LOOK_BACK = 96  # 0.6 ** 96 is far below the precision of a double beside 1
 _ROWS = 512  # keeps 0.6 ** -rows within the range of a double
 
 
-def semantic_state(associations: DataFrame) -> DataFrame:
+def _support() -> Monoid:
+    """Score and misses over a stretch: (weight of the score before, score gained, whether there was
+    a match, rows since the last match or since the start)."""
+
+    def combine(p, q):
+        return np.column_stack([p[:, 0] * q[:, 0], q[:, 0] * p[:, 1] + q[:, 1], np.maximum(p[:, 2], q[:, 2]),
+                                np.where(q[:, 2] > 0, q[:, 3], p[:, 3] + q[:, 3])])
+
+    return Monoid((1.0, 0.0, 0.0, 0.0), combine)
+
+
+def semantic_state(associations: DataFrame, rows: int = _ROWS) -> DataFrame:
     """Score (0.4 * confidence + 0.6 * previous score) and consecutive misses per track.
 
     Input: trip_id, track_id, frame_id, ordinal, matched, det_confidence; rows of a track are
-    taken in (frame_id, ordinal) order. The recursion is a sum with weights 0.6 ** age, so
-    it is a running sum within segments that overlap by ``_LOOK_BACK`` rows. The input is read
-    several times; a caller with a costly one should write it first.
+    taken in (frame_id, ordinal) order, in segments by frame. Within a segment the recursion is a
+    running sum with weights 0.6 ** age; what a segment starts from comes from a scan over one row
+    per segment, so the result is that of the recursion from the track's first row on. A segment
+    holds at most ``rows`` frames; should it hold more than 512 rows (several a frame), every 512 make
+    a stretch of their own, because 0.6 ** -age must stay within the range of a double.
     """
-    keys = ["trip_id", "track_id"]
-    p = with_position(associations, keys, ["frame_id", "ordinal"])
-    p = running_max(p, keys, ["position"], F.when(F.col("matched"), F.col("position")), "_hit", "position")
-    h = with_position_halo(p, keys, _LOOK_BACK, "position", _ROWS)
-    age = F.col("position") - F.col("_seg") * _ROWS
-    value = F.when(F.col("matched"), F.col("det_confidence")).otherwise(0.0) * F.pow(F.lit(1.0 / KEEP), age)
-    so_far = F.sum(value).over(seg_window(keys, ["position"]).rowsBetween(Window.unboundedPreceding, 0))
-    h = h.withColumn("score", 0.4 * so_far * F.pow(F.lit(KEEP), age))
-    misses = F.col("position") - F.coalesce(F.col("_hit"), F.lit(-1))
-    return drop_halo(h.withColumn("misses", misses)).drop("_hit", "position")
+    keys, order = ["trip_id", "track_id"], ["frame_id", "ordinal"]
+    s = segmented(associations, "frame_id", rows)
+    at = F.row_number().over(seg_window(keys, order))
+    # a stretch: rows of one segment in runs of ``_ROWS``
+    part = F.floor((at - 1) / F.lit(_ROWS))
+    s = s.withColumns({"_at": F.pmod(at - 1, F.lit(_ROWS)) + 1, "_part": part})
+    w = Window.partitionBy(*keys, SEG, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    value = F.when(F.col("matched"), F.col("det_confidence")).otherwise(0.0) * F.pow(F.lit(1.0 / KEEP), F.col("_at"))
+    s = s.withColumns({
+        "_score": 0.4 * F.sum(value).over(w) * F.pow(F.lit(KEEP), F.col("_at")),
+        "_hit": F.max(F.when(F.col("matched"), F.col("_at"))).over(w)})
+    last = F.max(F.struct("_at", "_score", "_hit"))
+    ends = s.groupBy(*keys, SEG, "_part").agg(last.alias("_l"))
+    element = F.array(F.pow(F.lit(KEEP), F.col("_l._at")), F.col("_l._score"), F.col("_l._hit").isNotNull().cast("double"),
+                      (F.col("_l._at") - F.coalesce("_l._hit", F.lit(0))).cast("double"))
+    # segments and stretches in one order: a segment has fewer than 2^20 stretches
+    place = F.col(SEG) * F.lit(1 << 20) + F.col("_part")
+    many = ends.select(*keys, SEG, "_part", place.alias("_place"), element.alias("element"))
+    dense = many.withColumn("_no", F.row_number().over(Window.partitionBy(*keys).orderBy("_place")).cast("long"))
+    entry = scan(dense.select(*keys, "_no", "element"), keys, "_no", _support())
+    entries = dense.join(entry, [*keys, "_no"]).select(*keys, SEG, "_part", "entry")
+    j = s.join(entries, [*keys, SEG, "_part"])
+    score = F.col("_score") + F.pow(F.lit(KEEP), F.col("_at")) * F.col("entry")[1]
+    misses = F.col("_at") - F.coalesce("_hit", F.lit(0)) + F.when(F.col("_hit").isNull(), F.col("entry")[3]).otherwise(0.0)
+    return j.withColumns({"score": score, "misses": misses.cast("long")}).drop(SEG, "_at", "_part", "_score", "_hit", "entry")
 
 
 def suppressed(score_threshold, misses, fallback_depth_m) -> Column:

@@ -3,8 +3,8 @@
 A frame is one of five symbols (four severity bands, or unreliable) and the debounce counters
 are bounded, so each preset is a small finite automaton. Trips of any length are cut into
 segments: every segment first reports, for each possible entry state, the state it leaves
-behind; composing those maps along the trip gives the true entry states; then all segments
-are walked at once. The Structured Streaming operator uses the same automaton.
+behind; those maps are composed in a tree (``scan``), which gives the true entry states; then all
+segments are walked at once. The Structured Streaming operator uses the same automaton.
 """
 from __future__ import annotations
 
@@ -12,12 +12,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadrisk.constants import DEFAULT_PRESET, RISK_PRESETS
 from roadrisk.functions.ttc import ttc_band
 from roadrisk.operators.lineage import spread
+from roadrisk.operators.scan import mapping, scan
 from roadrisk.operators.sequence import SEG, segmented
 
 SYMBOLS = ("SAFE", "WARNING", "DANGER", "CRITICAL", "UNKNOWN")
@@ -85,36 +86,22 @@ def symbol(ttc="ttc", reliable="reliable"):
 
 def _segment_maps(presets):
     tables = {n: automaton(preset_of(n))[1] for n in presets}
+    states = max(t.shape[1] for t in tables.values())
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<double>")
     def left_by(symbols: pd.Series, preset: pd.Series) -> pd.Series:
         out = []
         for syms, p in zip(symbols, preset):
             nxt = tables[p]
+            to = np.arange(states + 1, dtype=float)
             state = np.arange(nxt.shape[1])
             for s in syms:
                 state = nxt[s][state]
-            out.append(state)
+            to[:len(state)], to[-1] = state, len(syms)
+            out.append(to)
         return pd.Series(out)
 
-    return left_by
-
-
-def _entries():
-    @F.pandas_udf("struct<entry: array<int>, earlier: array<bigint>>")
-    def compose(maps: pd.Series, lengths: pd.Series) -> pd.DataFrame:
-        entry, earlier = [], []
-        for ms, ns in zip(maps, lengths):
-            s, path = 0, []
-            for m in ms:
-                path.append(s)
-                s = int(m[s])
-            entry.append(path)
-            n = np.asarray(ns, dtype=np.int64)
-            earlier.append(np.cumsum(n) - n)
-        return pd.DataFrame({"entry": entry, "earlier": earlier})
-
-    return compose
+    return left_by, mapping(states)
 
 
 def _walk(presets):
@@ -162,18 +149,14 @@ def risk_states(frames: DataFrame, presets=(DEFAULT_PRESET,), ttc="ttc", reliabl
     row = F.struct("frame_id", "_sym", "ttc")
     # one array per segment: at most SEGMENT_ROWS frames, whatever the trip's length
     segs = spread(f, *keys, SEG).groupBy(*keys, SEG).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    segs = segs.withColumn("_len", F.size("_rows"))
     segs = segs.withColumn("preset", F.explode(F.array(*[F.lit(p) for p in presets])))
     syms = F.col("_rows._sym")
-    maps = segs.select(*keys, SEG, "preset", "_len", _segment_maps(presets)(syms, F.col("preset")).alias("_map"))
-
-    # maps of earlier segments, composed: entry state of each segment (one row per segment)
-    trips = maps.groupBy(*keys, "preset").agg(F.array_sort(F.collect_list(F.struct(SEG, "_len", "_map"))).alias("_s"))
-    trips = trips.withColumn("_e", _entries()("_s._map", "_s._len"))
-    zipped = F.arrays_zip(F.col(f"_s.{SEG}").alias("s"), F.col("_e.entry").alias("e"), F.col("_e.earlier").alias("n"))
-    entries = trips.select(*keys, "preset", F.explode(zipped).alias("z")).select(
-        *keys, "preset", F.col("z.s").alias(SEG), F.col("z.e").alias("_entry"), F.col("z.n").alias("_earlier"))
-    done = segs.drop("_len").join(entries, [*keys, SEG, "preset"]).withColumn(
+    # each segment as a map of states and a count; combined along the trip they give its entry state
+    left_by, rule = _segment_maps(presets)
+    maps = segs.select(*keys, SEG, "preset", left_by(syms, F.col("preset")).alias("element"))
+    entries = scan(maps, [*keys, "preset"], SEG, rule).select(
+        *keys, "preset", SEG, F.col("entry")[0].cast("int").alias("_entry"), F.element_at("entry", -1).cast("long").alias("_earlier"))
+    done = segs.join(entries, [*keys, SEG, "preset"]).withColumn(
         "_w", _walk(presets)(syms, F.col("_entry"), F.col("preset")))
     words, reasons = _names(presets)
     zipped = F.arrays_zip(F.col("_rows").alias("r"), F.col("_w.states").alias("s"), F.col("_w.reasons").alias("y"))

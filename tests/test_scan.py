@@ -74,3 +74,34 @@ def test_one_long_track_is_spread(spark):
     got = M.kalman_distance(df, ["track_id"])
     assert got.rdd.getNumPartitions() >= 4
     assert got.agg(F.count(F.lit(1)), F.max("frame_id")).first()[:] == (n, n - 1)
+
+
+@pytest.mark.parametrize("size", [1, 4, 5000])
+def test_semantic_state_is_the_recursion(spark, size):
+    from roadrisk.operators.fusion import semantic_state
+
+    rnd = random.Random(size)
+    rows = [("t", k, f, o, rnd.random() < 0.1, rnd.random()) for k in (1, 2) for f in range(0, 1500 if size > 4 else 300, 2) for o in range(2)]
+    df = spark.createDataFrame(rows, "trip_id string, track_id long, frame_id long, ordinal long, matched boolean, det_confidence double")
+    got = {(r.track_id, r.frame_id, r.ordinal): r for r in semantic_state(df.repartition(3), size).collect()}
+    assert len(got) == len(rows)
+    for k in (1, 2):
+        score, misses = 0.0, 0
+        for _, _, f, o, hit, c in (r for r in rows if r[1] == k):
+            score, misses = 0.4 * (c if hit else 0.0) + 0.6 * score, 0 if hit else misses + 1
+            assert got[k, f, o].score == pytest.approx(score, abs=1e-12) and got[k, f, o].misses == misses
+
+
+def test_states_over_many_segments(spark):
+    from roadrisk.constants import RISK_PRESETS
+    from roadrisk.operators import risk_states as R
+
+    rnd = random.Random(1)
+    ttcs = [rnd.choice([1.0, 1.7, 1.7, 2.5, math.inf]) for _ in range(500)]
+    df = spark.createDataFrame([("t", i, v) for i, v in enumerate(ttcs)], "trip_id string, frame_id long, ttc double")
+    got = {(r.preset, r.frame_id): (r.state, r.position) for r in R.risk_states(df, list(RISK_PRESETS), rows=3).collect()}
+    for name, preset in RISK_PRESETS.items():
+        state = R.START
+        for i, v in enumerate(ttcs):
+            state, _ = R.step(state, "SAFE" if v >= 3 else "WARNING" if v >= 2 else "DANGER" if v >= 1.5 else "CRITICAL", preset)
+            assert got[name, i] == (state[0], i)
