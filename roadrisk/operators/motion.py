@@ -5,15 +5,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F, types as T
 
 from roadrisk.constants import INF, MIN_CLOSING_MPS, SEGMENT_ROWS
 from roadrisk.functions.ttc import is_finite
-from roadrisk.operators.lineage import cut
+from roadrisk.operators.lineage import cut, spread
 from roadrisk.operators.quantiles import exact_quantiles
 from roadrisk.operators.scan import affine, linear_filter, padded, ragged, scan
-from roadrisk.operators.sequence import SEG, drop_halo, previous, running_max, seg_window, with_halo, with_position, with_position_halo
+from roadrisk.operators.sequence import SEG, drop_halo, previous, running_max, seg_window, segmented, with_position, with_position_halo
 
 
 def median_of(a) -> Column:
@@ -367,12 +367,24 @@ def _distance_elements(dt, z, r, fresh):
     return np.where(fresh[:, None], start, out)
 
 
-def _summed_up(rule):
+def _steps(times: pd.Series, before: pd.Series, max_gap_s: float):
+    """Time since the row before, 0 where a sighting starts, and whether a row is the first, second
+    or a later one of its sighting; ``before`` holds the last two times before the segment."""
+    t, ahead = padded(times), padded(before.map(lambda b: [np.nan if v is None else v for v in b]), np.nan)
+    dt = np.diff(np.column_stack([ahead, t]))
+    with np.errstate(invalid="ignore"):
+        goes_on = (dt > 0) & (dt <= max_gap_s)
+    return np.where(goes_on, dt, 0.0)[:, 1:], np.where(goes_on[:, 1:], np.where(goes_on[:, :-1], 3.0, 2.0), 1.0)
+
+
+def _summed_up(rule, max_gap_s):
     @F.pandas_udf("array<double>")
-    def element(dt: pd.Series, z: pd.Series, r: pd.Series, age: pd.Series) -> pd.Series:
-        size = dt.map(len).to_numpy()
-        dts, zs, rs, ages = padded(dt), padded(z), padded(r, 1.0), padded(age)
-        acc = np.tile(np.array(rule.identity), (len(dt), 1))
+    def element(t: pd.Series, z: pd.Series, r: pd.Series, before: pd.Series) -> pd.Series:
+        size = t.map(len).to_numpy()
+        if not len(size):
+            return pd.Series([], dtype=object)
+        (dts, ages), zs, rs = _steps(t, before, max_gap_s), padded(z), padded(r, 1.0)
+        acc = np.tile(np.array(rule.identity), (len(t), 1))
         for i in range(dts.shape[1]):
             live = i < size
             acc[live] = rule.combine(acc[live], _distance_elements(dts[live, i], zs[live, i], rs[live, i], ages[live, i] == 1))
@@ -381,37 +393,41 @@ def _summed_up(rule):
     return element
 
 
-_WALK = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("x", "v", "pxx", "gap", "decay")])
-
-
-@F.pandas_udf(_WALK)
-def _filtered(dt: pd.Series, z: pd.Series, r: pd.Series, age: pd.Series, entry: pd.Series) -> pd.DataFrame:
-    """Estimates at every row, |innovation|, and the segment's mean innovation as an affine map."""
-    size = dt.map(len).to_numpy()
-    dts, zs, rs, ages = padded(dt), padded(z), padded(r, 1.0), padded(age)
-    first = np.stack([np.asarray(e, float) for e in entry]) if len(entry) else np.zeros((0, 14))
-    x, v, pxx, pxv, pvv = first[:, 4], first[:, 5], first[:, 6], first[:, 7], first[:, 8]
-    out = {n: np.zeros_like(zs) for n in ("x", "v", "pxx", "gap")}
-    a, b = np.ones(len(dt)), np.zeros(len(dt))
-    q = _ACCEL * _ACCEL
-    for i in range(zs.shape[1]):
-        t, m, s, n = dts[:, i], zs[:, i], rs[:, i], ages[:, i]
-        fresh, live = n == 1, i < size
-        x1 = x + t * v
-        p00 = pxx + t * (2.0 * pxv + t * pvv) + 0.25 * q * t ** 4
-        p01 = pxv + t * pvv + 0.5 * q * t ** 3
-        p11 = pvv + q * t * t
-        e, c = m - x1, p00 + s
-        kx, kv = p00 / c, p01 / c
-        x, v = np.where(fresh, m, x1 + kx * e), np.where(fresh, 0.0, v + kv * e)
-        pxx, pxv, pvv = np.where(fresh, s, p00 - kx * p00), np.where(fresh, 0.0, p01 - kx * p01), np.where(fresh, _SPEED_VAR, p11 - kv * p01)
-        gap = np.where(fresh, 0.0, np.abs(e))
-        keep, add = _innovation_step(n, gap)
-        a, b = np.where(live, keep * a, a), np.where(live, keep * b + add, b)
-        for name, value in (("x", x), ("v", v), ("pxx", pxx), ("gap", gap)):
-            out[name][:, i] = value
-    done = {n: ragged(w, size) for n, w in out.items()}
-    return pd.DataFrame({**done, "decay": list(np.column_stack([a, b]))})
+_WALK = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("x", "v", "pxx", "gap", "age", "decay")])
+
+
+def _filtered(max_gap_s):
+    @F.pandas_udf(_WALK)
+    def walk(t: pd.Series, z: pd.Series, r: pd.Series, before: pd.Series, entry: pd.Series) -> pd.DataFrame:
+        """Estimates at every row, |innovation|, and the segment's mean innovation as an affine map."""
+        size = t.map(len).to_numpy()
+        if not len(size):
+            return pd.DataFrame({f.name: [] for f in _WALK.fields})
+        (dts, ages), zs, rs = _steps(t, before, max_gap_s), padded(z), padded(r, 1.0)
+        x, v, pxx, pxv, pvv = np.stack([np.asarray(e, float) for e in entry]).T[4:9]
+        out = {n: np.zeros_like(zs) for n in ("x", "v", "pxx", "gap")}
+        a, b = np.ones(len(t)), np.zeros(len(t))
+        q = _ACCEL * _ACCEL
+        for i in range(zs.shape[1]):
+            d, m, s, n = dts[:, i], zs[:, i], rs[:, i], ages[:, i]
+            fresh, live = n == 1, i < size
+            x1 = x + d * v
+            p00 = pxx + d * (2.0 * pxv + d * pvv) + 0.25 * q * d ** 4
+            p01 = pxv + d * pvv + 0.5 * q * d ** 3
+            p11 = pvv + q * d * d
+            e, c = m - x1, p00 + s
+            kx, kv = p00 / c, p01 / c
+            x, v = np.where(fresh, m, x1 + kx * e), np.where(fresh, 0.0, v + kv * e)
+            pxx, pxv, pvv = np.where(fresh, s, p00 - kx * p00), np.where(fresh, 0.0, p01 - kx * p01), np.where(fresh, _SPEED_VAR, p11 - kv * p01)
+            gap = np.where(fresh, 0.0, np.abs(e))
+            keep, add = _innovation_step(n, gap)
+            a, b = np.where(live, keep * a, a), np.where(live, keep * b + add, b)
+            for name, value in (("x", x), ("v", v), ("pxx", pxx), ("gap", gap)):
+                out[name][:, i] = value
+        done = {n: ragged(w, size) for n, w in {**out, "age": ages}.items()}
+        return pd.DataFrame({**done, "decay": list(np.column_stack([a, b]))})
+
+    return walk
 
 
 def _innovation_step(age, gap):
@@ -440,26 +456,25 @@ def kalman_distance(obs: DataFrame, keys=("trip_id", "track_id"), max_gap_s=0.5,
     """
     keys = list(keys)
     order = ["frame_id", "ordinal"]
-    h = with_halo(obs.select(*keys, *order, "t_sec", "depth_m", "sigma_m"), keys, order, 2, rows=rows)
-    w = seg_window(keys, order)
-    step = F.col("t_sec") - F.lag("t_sec").over(w)
-    h = h.withColumn("dt", F.when((step > 0) & (step <= max_gap_s), step))
-    # first, second, or later observation of a sighting
-    age = F.when(F.col("dt").isNull(), 1).when(F.lag("dt").over(w).isNull(), 2).otherwise(3)
+    s = segmented(obs.select(*keys, *order, "t_sec", "depth_m", "sigma_m"), rows=rows)
     sigma = F.least(F.greatest(F.col("sigma_m"), F.lit(_SIGMA[0])), F.lit(_SIGMA[1]))
-    row = F.struct(*order, F.coalesce("dt", F.lit(0.0)).cast("double").alias("dt"), F.col("depth_m").cast("double").alias("z"),
-                   (sigma * sigma).cast("double").alias("r"), F.col("age").cast("double").alias("age"))
-    s = h.withColumn("age", age).filter(~F.col("_halo")).groupBy(*keys, SEG).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    s = cut(s)
-    given = [F.col(f"_rows.{c}") for c in ("dt", "z", "r", "age")]
+    row = F.struct(*order, F.col("t_sec").cast("double").alias("t"), F.col("depth_m").cast("double").alias("z"), (sigma * sigma).cast("double").alias("r"))
+    s = cut(s.groupBy(*keys, SEG).agg(F.array_sort(F.collect_list(row)).alias("_rows")))
+    # the last two times before each segment, from one row per segment
+    before = Window.partitionBy(*keys).orderBy(SEG)
+    last, other = F.element_at("_rows.t", -1), F.when(F.size("_rows") > 1, F.element_at("_rows.t", -2))
+    ends = s.select(*keys, SEG, last.alias("_t1"), other.alias("_t2")).withColumn("_t2", F.coalesce("_t2", F.lag("_t1").over(before)))
+    ends = ends.select(*keys, SEG, F.lag("_t1").over(before).alias("_t1"), F.lag("_t2").over(before).alias("_t2"))
+    s = spread(s.join(ends, [*keys, SEG]), *keys, SEG)
+    given = [F.col("_rows.t"), F.col("_rows.z"), F.col("_rows.r"), F.array("_t2", "_t1")]
     rule = linear_filter()
-    entry = scan(s.select(*keys, SEG, _summed_up(rule)(*given).alias("element")), keys, SEG, rule)
-    s = cut(s.join(entry, [*keys, SEG]).withColumn("_f", _filtered(*given, F.col("entry"))).drop("entry"))
+    entry = scan(s.select(*keys, SEG, _summed_up(rule, max_gap_s)(*given).alias("element")), keys, SEG, rule)
+    s = cut(s.join(entry, [*keys, SEG]).withColumn("_f", _filtered(max_gap_s)(*given, F.col("entry"))).drop("entry"))
     means = scan(s.select(*keys, SEG, F.col("_f.decay").alias("element")), keys, SEG, affine())
-    s = s.join(means, [*keys, SEG]).withColumn("_ema", _mean_innovation(F.col("_f.gap"), F.col("_rows.age"), F.col("entry")))
-    zipped = F.arrays_zip(F.col("_rows").alias("r"), F.col("_f.x").alias("x"), F.col("_f.v").alias("v"), F.col("_f.pxx").alias("p"), F.col("_ema").alias("e"))
+    s = s.join(means, [*keys, SEG]).withColumn("_ema", _mean_innovation(F.col("_f.gap"), F.col("_f.age"), F.col("entry")))
+    zipped = F.arrays_zip(F.col("_rows").alias("r"), F.col("_f.age").alias("a"), F.col("_f.x").alias("x"), F.col("_f.v").alias("v"), F.col("_f.pxx").alias("p"), F.col("_ema").alias("e"))
     flat = s.select(*keys, F.explode(zipped).alias("z"))
-    known, x, closing = F.col("z.r.age") >= 3, F.col("z.x"), -F.col("z.v")
+    known, x, closing = F.col("z.a") > 2, F.col("z.x"), -F.col("z.v")
     return flat.select(
         *keys, *[F.col(f"z.r.{c}").alias(c) for c in order], x.alias("distance_m"), F.when(known, closing).otherwise(0.0).alias("closing_mps"),
         F.when(known & (x > 0) & (closing > MIN_CLOSING_MPS), x / closing).otherwise(F.lit(INF)).alias("ttc"),
