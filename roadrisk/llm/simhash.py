@@ -284,6 +284,8 @@ SKETCH_PIECES = 64
 ALL_PAIRS = 32       #: prefix groups of at most this many sets are paired completely at once
 PIVOTS = 4           #: sets of a larger group that its members are compared with first
 PAIR_BLOCK = 512
+BITMAP_BITS = 512    #: of the bitmap that bounds the common shingles of two sets
+GROUP_ROWS = 2048    #: sets of a large group in a block; pairs of blocks are compared apart
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -353,9 +355,17 @@ def _least_overlap(n, similarity: float):
     return np.ceil(similarity / (1 + similarity) * n - 1e-9)
 
 
+def _parities(h: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """A bitmap of each set: a bit is the parity of the shingles that fall on it. Two bitmaps differ in
+    no more bits than the sets differ in shingles, so they bound the common shingles from above."""
+    bit = (h & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
+    odd = np.bincount(doc * BITMAP_BITS + bit, minlength=docs * BITMAP_BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(docs, BITMAP_BITS), axis=1, bitorder="little").view(np.uint64)
+
+
 def _prefixes(batches, size: int, similarity: float, levels: np.ndarray):
-    """(doc_id, text_hash, cls, n, prefix): the hash of the set, its size, and the rarest shingles,
-    of which two sets of the similarity have one in common."""
+    """(doc_id, text_hash, cls, n, bits, prefix): the hash of the set, its size and bitmap, and the
+    rarest shingles, of which two sets of the similarity have one in common."""
     for batch in batches:
         for part in slices(batch, "text", SLICE_BYTES):
             h, upto = _shingle_sets(part.column("text"), size)
@@ -367,9 +377,11 @@ def _prefixes(batches, size: int, similarity: float, levels: np.ndarray):
             first = h[order][np.arange(len(h)) - upto[:-1][doc] < take[doc]]
             cuts = np.zeros(len(n) + 1, np.int32)
             np.cumsum(take, out=cuts[1:])
+            bits = _parities(h, doc, len(n))
             yield pa.record_batch([
                 part.column("doc_id"), part.column("_text"), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(n.astype(np.int32)),
-                pa.ListArray.from_arrays(pa.array(cuts), pa.array(first.view(np.int64)))], ["doc_id", "text_hash", "cls", "n", "prefix"])
+                pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits.ravel().view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(cuts), pa.array(first.view(np.int64)))], ["doc_id", "text_hash", "cls", "n", "bits", "prefix"])
 
 
 def _possible(i, j, n, pos, similarity: float) -> np.ndarray:
@@ -379,6 +391,15 @@ def _possible(i, j, n, pos, similarity: float) -> np.ndarray:
     return most >= least
 
 
+def _near_bitmaps(i, j, n, bits, similarity: float) -> np.ndarray:
+    """Whether sizes and bitmaps of the sets allow the similarity."""
+    apart = np.zeros(len(i), np.int64)
+    for k in range(bits.shape[1]):
+        apart += np.bitwise_count(bits[i, k] ^ bits[j, k])
+    both = n[i] + n[j]
+    return (both - apart) // 2 >= _least_overlap(both, similarity)
+
+
 def _prefix_pairs(batches, similarity: float):
     """Sets (token, cls, n, pos) sorted by token and cls -> candidate pairs (a, b); a group of over
     ALL_PAIRS sets gives the pairs with its pivots, and its rows (b NULL) for the second round."""
@@ -413,22 +434,58 @@ def _prefix_pairs(batches, similarity: float):
 
 
 def _cross_pairs(batches, similarity: float):
-    """Rows (token, a, n, pos, root) sorted by token -> candidate pairs of sets not joined yet."""
-    for t in _whole_nodes(batches, lambda rows: _unsigned(rows, "token")):
-        token, cls, n, pos, root = (np.asarray(t.column(c)) for c in ("token", "a", "n", "pos", "root"))
-        cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        for s, e in zip(cuts, np.append(cuts[1:], len(token))):
-            for x in range(s, e, PAIR_BLOCK):
-                for y in range(s, x + 1, PAIR_BLOCK):
-                    i, j = np.meshgrid(np.arange(y, min(y + PAIR_BLOCK, e)), np.arange(x, min(x + PAIR_BLOCK, e)), indexing="ij")
-                    keep = (i < j) & (root[i] != root[j])
+    """Rows (token, at, a, n, pos, bits, root, block) sorted by token and ``at``, a pair of blocks of the
+    group -> pairs (a, b) of sets that are not joined yet and whose bitmaps allow the similarity."""
+    def groups(rows):
+        return np.stack([_unsigned(rows, "token"), np.asarray(rows.column("at")).astype(np.uint64)], 1)
+
+    for t in _whole_groups(batches, groups):
+        cls, n, pos, root, block = (np.asarray(t.column(c)) for c in ("a", "n", "pos", "root", "block"))
+        bits = t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(cls), -1)
+        key = groups(t)
+        cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+        for s, e in zip(cuts, np.append(cuts[1:], len(cls))):
+            order = s + np.argsort(block[s:e], kind="stable")
+            one = order[block[order] == block[order[0]]]
+            other = order[len(one):]
+            same = not len(other)  # a block against itself
+            for x in range(0, len(one), PAIR_BLOCK):
+                right = one[x:] if same else other
+                for y in range(0, len(right), PAIR_BLOCK):
+                    i, j = np.meshgrid(one[x:x + PAIR_BLOCK], right[y:y + PAIR_BLOCK], indexing="ij")
+                    keep = root[i] != root[j]
+                    if same:
+                        keep &= i < j
                     i, j = i[keep], j[keep]
                     good = _possible(i, j, n, pos, similarity)
                     i, j = i[good], j[good]
+                    good = _near_bitmaps(i, j, n, bits, similarity)
+                    i, j = i[good], j[good]
                     if len(i):
                         yield pa.record_batch([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], ["a", "b"])
 
 
+def _whole_groups(batches, keys):
+    """Tables that hold whole groups of equal ``keys`` (rows of a matrix), from sorted batches."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = keys(batch)
+        cut = np.flatnonzero((k != k[-1]).any(1))
+        if len(cut):  # all but the last group of the batch are whole
+            held.append(batch.slice(0, cut[-1] + 1))
+            yield pa.Table.from_batches(held)
+            held = [batch.slice(cut[-1] + 1)]
+        elif held and (keys(held[-1].slice(held[-1].num_rows - 1))[0] != k[-1]).any():
+            yield pa.Table.from_batches(held)
+            held = [batch]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of set hashes whose sets have the similarity: exact Jaccard of the sets."""
     need = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
@@ -452,26 +509,44 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, size: int, sim
         F.col("_common") >= F.lit(similarity) * (F.size("x") + F.size("y") - F.col("_common")) - F.lit(1e-9)).select("a", "b")
 
 
+def _allowed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow the similarity."""
+    for c in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("cls").alias(c), F.col("n").alias(f"_n{c}"), F.col("bits").alias(f"_{c}")), c)
+    apart = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = F.col("_na") + F.col("_nb")
+    least = F.ceil(F.lit(similarity / (1 + similarity)) * both - F.lit(1e-9))
+    return pairs.where(F.floor((both - apart) / 2) >= least).select("a", "b")
+
+
 def similar_links(docs: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
     """Edges (u, v) between hashes of shingle sets, each of at least ``similarity``, that join
     exactly the sets reachable over such pairs."""
     n = shuffle_partitions(docs.sparkSession)
-    entries = rows.select("cls", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "cls", "n", "pos")
+    sets = saved(rows.dropDuplicates(["cls"]).select("cls", "n", "bits", "prefix"), "sets")
+    entries = sets.select("cls", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "cls", "n", "pos")
     found = saved(
         entries.repartition(n, "token").sortWithinPartitions("token", "cls").mapInArrow(
             lambda it: _prefix_pairs(it, similarity), "token bigint, a bigint, b bigint, n bigint, pos bigint"), "pairs")
-    pairs = saved(found.where("b IS NOT NULL").select("a", "b").distinct(), "pairs")
-    edges = saved(_verified(pairs, docs, rows, size, similarity).withColumnsRenamed({"a": "u", "b": "v"}), "links")
+    pairs = _allowed(found.where("b IS NOT NULL").select("a", "b").distinct(), sets, similarity)
+    edges = saved(_verified(saved(pairs, "pairs"), docs, rows, size, similarity).withColumnsRenamed({"a": "u", "b": "v"}), "links")
     large = found.where("b IS NULL").drop("b")
     if large.isEmpty():
         return edges
     # large groups: what the pivots have joined is one root; pairs between roots are still open
     large = large.join(components(edges).withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     large = saved(large, "large")
-    mixed = large.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    crossed = large.join(mixed, "token").repartition(n, "token").sortWithinPartitions("token").mapInArrow(
+    mixed = large.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("_size"))
+    mixed = mixed.where("lo <> hi").select("token", F.ceil(F.col("_size") / GROUP_ROWS).cast("int").alias("_k"))
+    # a group goes out in blocks, each pair of blocks to a task of its own
+    open_rows = large.join(mixed, "token").join(sets.select(F.col("cls").alias("a"), "bits"), "a")
+    open_rows = open_rows.withColumn("block", F.pmod(F.xxhash64("a"), F.col("_k")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_o")
+    dealt = open_rows.select("*", other).withColumn(
+        "at", F.least("block", "_o") * F.col("_k") + F.greatest("block", "_o")).select("token", "at", "a", "n", "pos", "bits", "root", "block")
+    crossed = dealt.repartition(n, "token", "at").sortWithinPartitions("token", "at").mapInArrow(
         lambda it: _cross_pairs(it, similarity), "a bigint, b bigint")
-    rest = saved(crossed.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    rest = saved(crossed.distinct(), "pairs")
     more = _verified(rest, docs, rows, size, similarity).withColumnsRenamed({"a": "u", "b": "v"})
     return saved(edges.unionByName(more), "links")
 
@@ -481,15 +556,16 @@ def similar_rows(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Dat
     texts whose sets of word shingles have ``similarity`` (Jaccard) or more in common are linked.
 
     Sets of that similarity share one of their rarest shingles (prefix filter), so every such pair
-    meets; candidates are verified by the exact similarity of the sets. In a large group the
-    members are compared with a few pivots first, and only pairs not yet in one component after
-    that. ``keeper`` marks the first row of each component by (doc_id, hash of the text), NULL ids
+    meets; candidates whose bitmaps allow the similarity are verified by the exact similarity of the
+    sets. In a large group the members are compared with a few pivots first, and only pairs not yet
+    in one component after that, block by block in tasks of their own; of those only what the
+    bitmaps allow leaves the task. ``keeper`` marks the first row of each component by (doc_id, hash of the text), NULL ids
     last. Texts without words form one component.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, size))
     rows = saved(docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).mapInArrow(
-        lambda it: _prefixes(it, size, similarity, shared.value), f"doc_id {kind}, text_hash bigint, cls bigint, n int, prefix array<bigint>"), "prefixes")
+        lambda it: _prefixes(it, size, similarity, shared.value), f"doc_id {kind}, text_hash bigint, cls bigint, n int, bits array<bigint>, prefix array<bigint>"), "prefixes")
     found = components(similar_links(docs, rows, size, similarity))
     keyed = rows.select("doc_id", "text_hash", "cls")
     named = keyed.join(found, keyed["cls"] == found["node"], "left").select(

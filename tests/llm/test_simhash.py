@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -147,8 +148,27 @@ def test_without_copies_keeps_one_row(spark, odd, no_docs):
     assert simhash.without_copies(no_docs).count() == 0
 
 
-def test_similar_rows_equal_brute_force(spark):
-    """Pairs at 0.75 to 0.9, short texts, and a large family, against exact Jaccard."""
+def test_bitmaps_never_refuse_a_similar_pair():
+    rng = np.random.default_rng(9)
+    for n in (1, 3, 20, 400, 3000):
+        for share in (0.0, 0.05, 0.1, 0.2):
+            one = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            other = one.copy()
+            other[:int(share * len(one))] = rng.integers(0, 1 << 63, int(share * len(one)), dtype=np.uint64)
+            other = np.unique(other)
+            h, doc = np.concatenate([one, other]), np.repeat([0, 1], [len(one), len(other)])
+            bits = simhash._parities(h, doc, 2)
+            apart = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
+            assert bits.shape == (2, simhash.BITMAP_BITS // 64) and apart <= len(np.setxor1d(one, other))
+            both = len(np.intersect1d(one, other))
+            if both >= 0.8 * (len(one) + len(other) - both):
+                assert simhash._near_bitmaps(np.array([0]), np.array([1]), np.array([len(one), len(other)]), bits, 0.8)[0]
+
+
+@pytest.mark.parametrize("rows", [2048, 16])
+def test_similar_rows_equal_brute_force(spark, monkeypatch, rows):
+    """Pairs at 0.75 to 0.9, short texts, and a large family, whole and in blocks, against exact Jaccard."""
+    monkeypatch.setattr(simhash, "GROUP_ROWS", rows)
     rng = np.random.default_rng(5)
     texts = []
     for n in (5, 6, 8, 9, 12, 24, 60, 150, 300):
