@@ -215,6 +215,25 @@ def range_summary(df: DataFrame, depth: str, value: str) -> DataFrame:
                            {"p50": 0.50, "p90": 0.90, "p95": 0.95}, [F.sum("_n").alias("tracks")])
 
 
+def _exact_slope(points, known: str) -> dict[str, Column]:
+    """``_num`` and ``_den`` of the least-squares slope of the array ``points`` (t, v): whole numbers but
+    for the unit ``_unit`` of the slope.
+
+    Times are taken to a microsecond (to a millisecond if the window spans 100 s, to a second from
+    10^5 s on), values to a ten-thousandth, so that sums and products of up to 11 points below 10^4
+    fit 64 bits: the sign of the slope does not hang on rounding. NULL where ``known`` is not true.
+    """
+    span = F.element_at(points, -1)["t"] - points[0]["t"]
+    scale = F.when(span < 100, 1e6).when(span < 1e5, 1e3).otherwise(1.0)
+    whole = F.transform(points, lambda q: F.struct(
+        (F.round(q["t"] * scale) - F.round(points[0]["t"] * scale)).cast("long").alias("t"), F.round(q["v"] * 1e4).cast("long").alias("v")))
+    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("n", "t", "v", "tv", "tt")])
+    sums = F.aggregate(F.when(F.col(known), whole), zero, lambda a, q: F.struct(
+        (a["n"] + 1).alias("n"), (a["t"] + q["t"]).alias("t"), (a["v"] + q["v"]).alias("v"),
+        (a["tv"] + q["t"] * q["v"]).alias("tv"), (a["tt"] + q["t"] * q["t"]).alias("tt")))
+    return {"_sums": sums, "_unit": scale / 1e4}
+
+
 def window_rates(obs: DataFrame, keys, n=11, order=("frame_id",)) -> DataFrame:
     """Depth-rate figures of the last ``n`` observations of a track, at every one of them.
 
@@ -227,12 +246,13 @@ def window_rates(obs: DataFrame, keys, n=11, order=("frame_id",)) -> DataFrame:
 
     def mean(fn):
         return F.aggregate(r, F.lit(0.0), lambda a, q: a + fn(q)) / m
-    f = f.withColumns({"_mt": mean(lambda q: q["t"]), "_mv": mean(lambda q: q["v"])})
-    cov = mean(lambda q: (q["t"] - F.col("_mt")) * (q["v"] - F.col("_mv")))
-    var = mean(lambda q: (q["t"] - F.col("_mt")) * (q["t"] - F.col("_mt")))
     sound = F.forall(r, lambda q: (q["v"] > 0) & is_finite(q["v"]))
     ok = (m >= 3) & (r[m - 1]["t"] > r[0]["t"]) & F.coalesce(sound, F.lit(False))
-    f = f.withColumn("linear_rate_mps", F.when(ok, F.try_divide(cov, var)))
+    f = f.withColumns({"_mt": mean(lambda q: q["t"]), "_mv": mean(lambda q: q["v"]), "_ok": ok})
+    f = f.withColumns(_exact_slope(r, "_ok"))
+    ok, k = F.col("_ok"), F.col("_sums")
+    f = f.withColumns({"_num": k["n"] * k["tv"] - k["t"] * k["v"], "_den": k["n"] * k["tt"] - k["t"] * k["t"]})
+    f = f.withColumn("linear_rate_mps", F.when(ok, F.try_divide(F.col("_num").cast("double"), F.col("_den").cast("double")) * F.col("_unit")))
     res = F.transform(r, lambda q: q["v"] - F.col("_mv") - F.col("linear_rate_mps") * (q["t"] - F.col("_mt")))
     f = f.withColumn("_res", res)
     f = f.withColumn("_med", median_of(F.col("_res")))
@@ -243,8 +263,8 @@ def window_rates(obs: DataFrame, keys, n=11, order=("frame_id",)) -> DataFrame:
         "raw_rate_mps": F.when(ok, F.try_divide(last["v"] - prior["v"], last["t"] - prior["t"])),
         "residual_mad_m": F.when(ok, median_of(F.transform("_res", lambda q: F.abs(q - F.col("_med"))))),
         "tail_step_px": F.when(ok, F.abs(last["x"] - prior["x"])), "max_step_px": F.when(ok, F.array_max(steps)),
-        "linear_ttc": F.when(ok & (F.col("linear_rate_mps") < 0), last["v"] / -F.col("linear_rate_mps")),
-    }).drop("recent", "position", "_mt", "_mv", "_res", "_med")
+        "linear_ttc": F.when(ok & (F.col("_num") < 0), last["v"] / -F.col("linear_rate_mps")),
+    }).drop("recent", "position", "_mt", "_mv", "_res", "_med", "_num", "_den", "_ok", "_sums", "_unit")
 
 
 def depth_rate_metrics(rates: DataFrame, by="truth_group") -> DataFrame:

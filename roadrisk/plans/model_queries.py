@@ -160,9 +160,9 @@ def _(t):
     return g.select(T, FR, "predicted_ttc", "union_source")
 
 
-@query("track_confidence", f"""SELECT trip_id, track_id, frame_id, 25e-2 * least(1, n / 7) + 3e-1 * q + 2e-1 * CASE WHEN n >= 3 THEN exp(-residual / greatest(5e-1, depth_m / 10)) ELSE 0 END + 15e-2 * 8e-1 + 1e-1 * CASE WHEN n >= 3 AND -slope > 3e-1 THEN 1 ELSE 5e-1 END AS track_confidence
-FROM (SELECT o.*, count(*) OVER (PARTITION BY o.trip_id, o.track_id ORDER BY o.rn ROWS 10 PRECEDING) AS n, ic.slope, rs.residual, avg(o.confidence) OVER (PARTITION BY o.trip_id, o.track_id ORDER BY o.rn ROWS 10 PRECEDING) AS q FROM o LEFT JOIN ic ON ic.trip_id = o.trip_id AND ic.track_id = o.track_id AND ic.rn = o.rn LEFT JOIN rs ON rs.trip_id = o.trip_id AND rs.track_id = o.track_id AND rs.rn = o.rn)""".replace(
-    "SELECT trip_id, track_id, frame_id, 25e-2", f"WITH {Q.recent_rows(Q.OBS, 11, 'trip_id, track_id', 'a.t_sec AS t, a.depth_m AS v')}, {Q.slopes('trip_id, track_id')}\nSELECT_FINAL trip_id, track_id, frame_id, 25e-2", 1), "track_confidence")
+@query("track_confidence", f"""WITH {Q.recent_rows(Q.OBS, 11, 'trip_id, track_id', "'t': t_sec, 'v': depth_m, 'q': confidence")}, {Q.slopes()}
+SELECT_FINAL trip_id, track_id, frame_id, 25e-2 * least(1, n / 7) + 3e-1 * {Q.total('q.q')} / n + 2e-1 * CASE WHEN n >= 3 THEN exp(-residual / greatest(5e-1, depth_m / 10)) ELSE 0 END + 15e-2 * 8e-1 + 1e-1 * CASE WHEN n >= 3 AND -slope > 3e-1 THEN 1 ELSE 5e-1 END AS track_confidence
+FROM rs""", "track_confidence")
 def _(t):
     o = observations(t).select(T, "track_id", FR, "t_sec", "depth_m", F.col("confidence").alias("quality"))
     return M.track_confidence(o, ["trip_id", "track_id"], 0.8).select(T, "track_id", FR, "track_confidence")

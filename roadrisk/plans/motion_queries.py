@@ -19,9 +19,8 @@ KEYS = ["trip_id", "track_id"]
 OJ = "o.trip_id = {a}.trip_id AND o.track_id = {a}.track_id AND o.rn = {a}.rn"
 
 
-@query("theil_sen", f"""WITH {Q.recent_rows(Q.OBS, 11, TK, 'a.t_sec AS t, a.depth_m AS v')}, {Q.slopes(TK)}
-SELECT_FINAL o.trip_id, o.track_id, o.frame_id, ic.n AS observations, ic.slope, ic.intercept, rs.residual
-FROM o JOIN ic ON {OJ.format(a='ic')} JOIN rs ON {OJ.format(a='rs')}""", "slope intercept residual")
+@query("theil_sen", f"""WITH {Q.recent_rows(Q.OBS, 11, TK, "'t': t_sec, 'v': depth_m")}, {Q.slopes()}
+SELECT_FINAL trip_id, track_id, frame_id, n AS observations, slope, intercept, residual FROM rs""", "slope intercept residual")
 def _(t):
     return M.theil_sen_windows(observations(t).select(*KEYS, "frame_id", "t_sec", "depth_m"), KEYS).select(
         *KEYS, "frame_id", "observations", "slope", "intercept", "residual")
@@ -35,9 +34,9 @@ def depths(t):
     return t.frames.select("trip_id", "frame_id", "t_sec").join(d, ["trip_id", "frame_id"], "left")
 
 
-@query("causal_ttc_robust", f"""WITH {Q.recent_rows(DEPTHS, 11, 'trip_id', 'a.t_sec AS t, a.depth_m AS v')}, {Q.slopes('trip_id')}
-SELECT_FINAL f.trip_id, f.frame_id, CASE WHEN n >= 2 AND span >= 1e-3 AND -slope > 3e-1 AND -slope <= 20 THEN o.depth_m / -slope END AS predicted_ttc
-FROM frames f LEFT JOIN o ON o.trip_id = f.trip_id AND o.frame_id = f.frame_id LEFT JOIN ic ON ic.trip_id = o.trip_id AND ic.rn = o.rn""", "predicted_ttc")
+@query("causal_ttc_robust", f"""WITH {Q.recent_rows(DEPTHS, 11, 'trip_id', "'t': t_sec, 'v': depth_m")}, {Q.slopes()}
+SELECT_FINAL f.trip_id, f.frame_id, CASE WHEN n >= 2 AND span >= 1e-3 AND -slope > 3e-1 AND -slope <= 20 THEN ic.depth_m / -slope END AS predicted_ttc
+FROM frames f LEFT JOIN ic ON ic.trip_id = f.trip_id AND ic.frame_id = f.frame_id""", "predicted_ttc")
 def _(t):
     return M.causal_ttc(depths(t), "depth_m", 11, "theil_sen", 20.0).select("trip_id", "frame_id", "predicted_ttc")
 
@@ -50,17 +49,18 @@ def _(t):
     return out.select("trip_id", "frame_id", (F.col("predicted_ttc") * NUDGE).alias("predicted_ttc"))
 
 
-@query("causal_ttc_scene", f"""WITH {Q.recent_rows(DEPTHS, 11, 'trip_id', 'a.t_sec AS t, a.depth_m AS v')}, {Q.slopes('trip_id')}
-SELECT_FINAL f.trip_id, f.frame_id, CASE WHEN n >= 3 AND -slope > 3e-1 AND -slope <= 40 THEN o.depth_m / -slope END AS predicted_ttc
-FROM frames f LEFT JOIN o ON o.trip_id = f.trip_id AND o.frame_id = f.frame_id LEFT JOIN ic ON ic.trip_id = o.trip_id AND ic.rn = o.rn""", "predicted_ttc")
+@query("causal_ttc_scene", f"""WITH {Q.recent_rows(DEPTHS, 11, 'trip_id', "'t': t_sec, 'v': depth_m")}, {Q.slopes()}
+SELECT_FINAL f.trip_id, f.frame_id, CASE WHEN n >= 3 AND -slope > 3e-1 AND -slope <= 40 THEN ic.depth_m / -slope END AS predicted_ttc
+FROM frames f LEFT JOIN ic ON ic.trip_id = f.trip_id AND ic.frame_id = f.frame_id""", "predicted_ttc")
 def _(t):
     return M.causal_ttc(depths(t), "depth_m", 11, "theil_sen", 40.0, 3).select("trip_id", "frame_id", "predicted_ttc")
 
 
-LOOM = f"""o AS (SELECT *, row_number() OVER (PARTITION BY trip_id, track_id ORDER BY frame_id) AS rn, t_sec - lag(t_sec) OVER (PARTITION BY trip_id, track_id ORDER BY frame_id) AS step FROM {Q.OBS} WHERE area > 0),
+LOOM = f"""o AS (SELECT *, row_number() OVER (PARTITION BY trip_id, track_id ORDER BY frame_id) AS rn, t_sec - lag(t_sec) OVER (PARTITION BY trip_id, track_id ORDER BY frame_id) AS step,
+  list({{'t': t_sec, 'a': area}}) OVER (PARTITION BY trip_id, track_id ORDER BY frame_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS win FROM {Q.OBS} WHERE area > 0),
  s AS (SELECT *, max(CASE WHEN step IS NULL OR step > 11e-2 THEN rn END) OVER (PARTITION BY trip_id, track_id ORDER BY rn) AS born FROM o),
- lm AS (SELECT i.trip_id, i.track_id, i.frame_id, i.rn, i.truth_ttc, i.ttc, i.rn - greatest(i.born, i.rn - 4) + 1 AS samples, (ln(i.area) - ln(a.area)) / nullif(i.t_sec - a.t_sec, 0) AS rate
-  FROM s i JOIN s a ON a.trip_id = i.trip_id AND a.track_id = i.track_id AND a.rn = greatest(i.born, i.rn - 4))"""
+ sm AS (SELECT *, rn - greatest(born, rn - 4) + 1 AS samples FROM s),
+ lm AS (SELECT trip_id, track_id, frame_id, rn, truth_ttc, ttc, samples, (ln(area) - ln(win[len(win) - samples + 1].a)) / nullif(t_sec - win[len(win) - samples + 1].t, 0) AS rate FROM sm)"""
 
 
 @query("looming_tau", f"""WITH {LOOM}
@@ -70,10 +70,10 @@ def _(t):
     return M.looming_tau(o).select(*KEYS, "frame_id", F.col("samples").cast("bigint").alias("samples"), "looming_ttc")
 
 
-@query("path_intersection", f"""WITH {Q.recent_rows(Q.OBS, 5, TK, 'a.t_sec AS t, a.lateral_m AS v')}, {Q.slopes(TK)}
+@query("path_intersection", f"""WITH {Q.recent_rows(Q.OBS, 5, TK, "'t': t_sec, 'v': lateral_m")}, {Q.slopes()}
 SELECT_FINAL trip_id, track_id, frame_id, separation_m * (1 + 1e-10) AS separation_m, coalesce(separation_m <= 175e-2, true) AS intersects
-FROM (SELECT o.trip_id, o.track_id, o.frame_id, CASE WHEN n >= 5 AND span >= 15e-2 AND ttc > 0 AND ttc <= 2 THEN abs(lateral_m + slope * ttc - 5e-1 * lateral_accel * ttc * ttc) END AS separation_m
- FROM o JOIN ic ON {OJ.format(a='ic')})""", "separation_m")
+FROM (SELECT trip_id, track_id, frame_id, CASE WHEN n >= 5 AND span >= 15e-2 AND ttc > 0 AND ttc <= 2 THEN abs(lateral_m + slope * ttc - 5e-1 * lateral_accel * ttc * ttc) END AS separation_m
+ FROM ic)""", "separation_m")
 def _(t):
     o = observations(t).select(*KEYS, "frame_id", "t_sec", "depth_m", "centre_x", "ttc", "lateral_accel")
     return M.path_intersection(o).select(*KEYS, "frame_id", (F.col("separation_m") * NUDGE).alias("separation_m"), "intersects")
@@ -107,13 +107,16 @@ def _(t):
     return M.range_summary(observations(t).select("depth_m", "sigma_m"), "depth_m", "sigma_m")
 
 
-RATES = f"""{Q.recent_rows(Q.OBS, 11, TK, 'a.t_sec AS t, a.depth_m AS v, a.centre_x AS x')},
- g AS (SELECT trip_id, track_id, rn, regr_slope(v, t) AS slope, avg(t) AS mt, avg(v) AS mv, count(*) AS n, max(t) AS t1, min(t) AS t0 FROM p GROUP BY trip_id, track_id, rn),
- e AS (SELECT p.trip_id, p.track_id, p.rn, p.ra, p.t, p.v, p.x, g.slope, g.n, v - mv - slope * (t - mt) AS res, lag(x) OVER w AS px, lag(v) OVER w AS pv, lag(t) OVER w AS pt FROM p JOIN g ON g.trip_id = p.trip_id AND g.track_id = p.track_id AND g.rn = p.rn
-  WINDOW w AS (PARTITION BY p.trip_id, p.track_id, p.rn ORDER BY p.ra)),
- e2 AS (SELECT *, median(res) OVER (PARTITION BY trip_id, track_id, rn) AS md FROM e),
- rt AS (SELECT e2.trip_id, e2.track_id, e2.rn, max(slope) AS linear_rate_mps, max(CASE WHEN ra = rn THEN (v - pv) / (t - pt) END) AS raw_rate_mps, median(abs(res - md)) AS residual_mad_m, max(CASE WHEN ra = rn THEN abs(x - px) END) AS tail_step_px,
-  max(abs(x - px)) AS max_step_px, max(CASE WHEN ra = rn AND slope < 0 THEN v / -slope END) AS linear_ttc FROM e2 WHERE n >= 3 GROUP BY e2.trip_id, e2.track_id, e2.rn)"""
+# moments of whole numbers are exact, and so is the sign of a slope
+_S = "(CASE WHEN t_sec - win[1].t < 100 THEN 1e6 WHEN t_sec - win[1].t < 1e5 THEN 1e3 ELSE 1e0 END)"
+_T, _V = f"CAST(round(q.t * {_S}) - round(win[1].t * {_S}) AS HUGEINT)", "CAST(round(q.v * 1e4) AS HUGEINT)"
+RATES = f"""{Q.recent_rows(Q.OBS, 11, TK, "'t': t_sec, 'v': depth_m, 'x': centre_x")},
+ g0 AS (SELECT *, len(win) AS n, {Q.total(_T)} AS st, {Q.total(_V)} AS sv, {Q.total(f'{_T} * {_V}')} AS stv, {Q.total(f'{_T} * {_T}')} AS stt FROM o),
+ g AS (SELECT *, CAST(n * stv - st * sv AS DOUBLE) / nullif(CAST(n * stt - st * st AS DOUBLE), 0) * ({_S} / 1e4) AS slope, n * stv - st * sv < 0 AS closes, {Q.total('q.t')} / n AS mt, {Q.total('q.v')} / n AS mv FROM g0),
+ e AS (SELECT *, {Q.each('q.v - mv - slope * (q.t - mt)')} AS res, list_transform(generate_series(2, n), lambda i: abs(win[i].x - win[i - 1].x)) AS hops FROM g),
+ e2 AS (SELECT *, {Q.mid('res')} AS md FROM e),
+ rt AS (SELECT trip_id, track_id, rn, frame_id, truth_ttc, slope AS linear_rate_mps, (win[n].v - win[n - 1].v) / (win[n].t - win[n - 1].t) AS raw_rate_mps, {Q.mid('list_transform(res, lambda q: abs(q - md))')} AS residual_mad_m,
+  hops[n - 1] AS tail_step_px, list_max(hops) AS max_step_px, CASE WHEN closes THEN depth_m / -slope END AS linear_ttc FROM e2 WHERE n >= 3)"""
 _rates = ("raw_rate_mps", "linear_rate_mps", "residual_mad_m", "tail_step_px", "max_step_px", "linear_ttc")
 
 
@@ -122,7 +125,7 @@ def rates(t):
 
 
 @query("depth_rate_windows", f"""WITH {RATES}
-SELECT_FINAL o.trip_id, o.track_id, o.frame_id, {', '.join(f"{r} * (1 + 1e-10) AS {r}" for r in _rates[:-1])}, 1 / linear_ttc AS inverse_linear_ttc FROM o LEFT JOIN rt ON {OJ.format(a='rt')}""",
+SELECT_FINAL o.trip_id, o.track_id, o.frame_id, {', '.join(f"rt.{r} * (1 + 1e-10) AS {r}" for r in _rates[:-1])}, 1 / rt.linear_ttc AS inverse_linear_ttc FROM o LEFT JOIN rt ON {OJ.format(a='rt')}""",
        " ".join(_rates[:-1]) + " inverse_linear_ttc")
 def _(t):
     # a slope of almost zero makes a TTC that is all rounding noise, its inverse is exact
@@ -130,7 +133,7 @@ def _(t):
 
 
 @query("depth_rate_metrics", f"""WITH {RATES},
- u AS (SELECT CASE WHEN truth_ttc < 2 THEN 'true_danger' ELSE 'false_alert' END AS truth_group, {', '.join(_rates)} FROM o JOIN rt ON {OJ.format(a='rt')})
+ u AS (SELECT CASE WHEN truth_ttc < 2 THEN 'true_danger' ELSE 'false_alert' END AS truth_group, {', '.join(_rates)} FROM rt)
 SELECT_FINAL truth_group, metric, CASE WHEN metric = 'linear_ttc' THEN 1 / p50 ELSE p50 END AS p50, CASE WHEN metric = 'linear_ttc' THEN 1 / p90 ELSE p90 END AS p90, CASE WHEN metric = 'linear_ttc' THEN 1 / p95 ELSE p95 END AS p95, samples
  FROM (SELECT truth_group, metric, quantile_cont(value, 5e-1) AS p50, quantile_cont(value, 9e-1) AS p90, quantile_cont(value, 95e-2) AS p95, count(*) AS samples FROM (
  {' UNION ALL '.join(f"SELECT truth_group, '{r}' AS metric, {r} AS value FROM u" for r in _rates)}) WHERE value IS NOT NULL GROUP BY truth_group, metric)""", "p50 p90 p95")
@@ -141,10 +144,13 @@ def _(t):
     return q.withColumns({p: F.when(F.col("metric") == "linear_ttc", 1.0 / F.col(p)).otherwise(F.col(p)) for p in ("p50", "p90", "p95")})
 
 
-@query("weighted_depth_ttc", f"""WITH {Q.recent_rows(Q.OBS, 11, TK, 'a.t_sec AS t, a.depth_m AS v, 1 / (a.sigma_m * a.sigma_m) AS w')},
- g AS (SELECT trip_id, track_id, rn, sum(w * t) / sum(w) AS mt, sum(w * v) / sum(w) AS mv, count(*) AS n FROM p GROUP BY trip_id, track_id, rn),
- k AS (SELECT p.trip_id, p.track_id, p.rn, max(n) AS n, sum(w * (t - mt) * (v - mv)) / nullif(sum(w * (t - mt) * (t - mt)), 0) AS rate FROM p JOIN g ON g.trip_id = p.trip_id AND g.track_id = p.track_id AND g.rn = p.rn GROUP BY p.trip_id, p.track_id, p.rn)
-SELECT_FINAL o.trip_id, o.track_id, o.frame_id, CASE WHEN n >= 5 AND rate < 0 THEN -rate / depth_m END AS inverse_regression_ttc, n >= 5 AS replaced FROM o JOIN k ON {OJ.format(a='k')}""", "inverse_regression_ttc")
+_W = "1 / (q.s * q.s)"
+
+
+@query("weighted_depth_ttc", f"""WITH {Q.recent_rows(Q.OBS, 11, TK, "'t': t_sec, 'v': depth_m, 's': sigma_m")},
+ g AS (SELECT *, len(win) AS n, {Q.total(f'{_W} * q.t')} / {Q.total(_W)} AS mt, {Q.total(f'{_W} * q.v')} / {Q.total(_W)} AS mv FROM o),
+ k AS (SELECT *, {Q.total(f'{_W} * (q.t - mt) * (q.v - mv)')} / nullif({Q.total(f'{_W} * (q.t - mt) * (q.t - mt)')}, 0) AS rate FROM g)
+SELECT_FINAL trip_id, track_id, frame_id, CASE WHEN n >= 5 AND rate < 0 THEN -rate / depth_m END AS inverse_regression_ttc, n >= 5 AS replaced FROM k""", "inverse_regression_ttc")
 def _(t):
     o = observations(t).select(*KEYS, "frame_id", "t_sec", "depth_m", "sigma_m")
     return M.weighted_depth_ttc(o, KEYS).select(
@@ -152,9 +158,9 @@ def _(t):
 
 
 # on-path matches of classical danger frames, with the closing motion of the matched track
-@query("closing_reliability", f"""WITH {Q.recent_rows(Q.OBS, 5, TK, 'a.t_sec AS t, a.depth_m AS v')}, {Q.slopes(TK)},
+@query("closing_reliability", f"""WITH {Q.recent_rows(Q.OBS, 5, TK, "'t': t_sec, 'v': depth_m")}, {Q.slopes()},
  m AS (SELECT trip_id, frame_id, track_id, CASE WHEN truth_ttc < 2 THEN 'true_danger' ELSE 'false_danger' END AS truth_group FROM {BEST} WHERE iou >= 3e-1 AND {Q.DANGER} AND abs({B.offset('u', 'depth_m')}) <= 175e-2),
- c AS (SELECT m.truth_group, -slope AS closing, residual FROM m JOIN o ON o.trip_id = m.trip_id AND o.frame_id = m.frame_id AND o.track_id = m.track_id JOIN ic ON {OJ.format(a='ic')} JOIN rs ON {OJ.format(a='rs')} WHERE n >= 3 AND span >= 15e-2)
+ c AS (SELECT m.truth_group, -slope AS closing, residual FROM m JOIN rs ON rs.trip_id = m.trip_id AND rs.frame_id = m.frame_id AND rs.track_id = m.track_id WHERE n >= 3 AND span >= 15e-2)
 SELECT_FINAL truth_group, count(*) AS "rows", median(closing) AS median_closing_mps, median(residual) AS median_residual_m, count(*) FILTER (WHERE closing <= 0) AS nonpositive_rows FROM c GROUP BY truth_group""", "median_closing_mps median_residual_m")
 def _(t):
     from roadrisk.operators.quantiles import exact_quantiles
@@ -196,15 +202,7 @@ def _(t):
     return M.motion_consistency(o.select("truth_group", *KEYS, "frame_id", "depth_m", "area", "iou"))
 
 
-@query("kalman_distance", f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY trip_id, track_id ORDER BY frame_id) AS rn, least(greatest(sigma_m, 15e-2), 12) ** 2 AS r FROM {Q.OBS}),
- k AS (SELECT trip_id, track_id, rn, t_sec AS t, CAST(depth_m AS DOUBLE) AS x, 0e0 AS v, r AS pxx, 0e0 AS pxv, 16e0 AS pvv, 0e0 AS ema, 1 AS n FROM o WHERE rn = 1
-  UNION ALL
-  SELECT trip_id, track_id, rn, t, CASE WHEN fresh THEN z ELSE x + pxx / (pxx + r) * (z - x) END, CASE WHEN fresh THEN 0e0 ELSE v + pxv / (pxx + r) * (z - x) END,
-   CASE WHEN fresh THEN r ELSE pxx - pxx / (pxx + r) * pxx END, CASE WHEN fresh THEN 0e0 ELSE pxv - pxx / (pxx + r) * pxv END, CASE WHEN fresh THEN 16e0 ELSE pvv - pxv / (pxx + r) * pxv END,
-   CASE WHEN fresh THEN 0e0 WHEN n > 1 THEN 75e-2 * ema + 25e-2 * abs(z - x) ELSE abs(z - x) END, CASE WHEN fresh THEN 1 ELSE n + 1 END
-  FROM (SELECT o.trip_id, o.track_id, o.rn, o.t_sec AS t, CAST(o.depth_m AS DOUBLE) AS z, o.r, NOT (o.t_sec - k.t > 0 AND o.t_sec - k.t <= 5e-1) AS fresh, k.x + (o.t_sec - k.t) * k.v AS x, k.v,
-    k.pxx + (o.t_sec - k.t) * (2 * k.pxv + (o.t_sec - k.t) * k.pvv) + 625e-2 * (o.t_sec - k.t) ** 4 AS pxx, k.pxv + (o.t_sec - k.t) * k.pvv + 125e-1 * (o.t_sec - k.t) ** 3 AS pxv, k.pvv + 25 * (o.t_sec - k.t) ** 2 AS pvv, k.ema, k.n
-   FROM k JOIN o ON o.trip_id = k.trip_id AND o.track_id = k.track_id AND o.rn = k.rn + 1) q)
+@query("kalman_distance", f"""WITH {Q.kalman(Q.OBS)}
 SELECT_FINAL o.trip_id, o.track_id, o.frame_id, o.ordinal, x AS distance_m, CASE WHEN n >= 3 THEN -v ELSE 0 END AS closing_mps, CASE WHEN n >= 3 AND x > 0 AND -v > 3e-1 THEN x / -v END AS ttc,
  CASE WHEN n >= 3 THEN ema + 1e-1 * sqrt(greatest(0, pxx)) END AS residual_m FROM k JOIN o ON {OJ.format(a='k')}""", "distance_m closing_mps ttc residual_m")
 def _(t):

@@ -78,19 +78,41 @@ OBS = f"""(SELECT b.trip_id, b.frame_id, b.track_id, b.ordinal, b.depth_m, (x0 +
 
 
 def recent_rows(src: str, n: int, keys: str, cols: str) -> str:
-    """CTEs o (numbered rows) and p (row rn with each of its last n rows a)."""
-    on = " AND ".join(f"a.{k.strip()} = i.{k.strip()}" for k in keys.split(","))
-    ik = ", ".join(f"i.{k.strip()}" for k in keys.split(","))
-    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY frame_id) AS rn FROM {src}),
- p AS (SELECT {ik}, i.rn, a.rn AS ra, {cols} FROM o i JOIN (SELECT unnest(generate_series(0, {n - 1})) AS k) ON true JOIN o a ON {on} AND a.rn = i.rn - k)"""
-
-
-def slopes(keys: str) -> str:
-    """CTEs sl (median slope), ic (median intercept), rs (median residual), count n, span."""
-    on = " AND ".join(f"y.{k.strip()} = x.{k.strip()}" for k in keys.split(","))
-    xk = ", ".join(f"x.{k.strip()}" for k in keys.split(","))
-    j = lambda a, b: " AND ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in keys.split(","))
-    pk = ", ".join(f"p.{k.strip()}" for k in keys.split(","))
-    return f"""sl AS (SELECT {xk}, x.rn, median((y.v - x.v) / (y.t - x.t)) AS slope FROM p x JOIN p y ON {on} AND y.rn = x.rn WHERE y.ra > x.ra AND y.t > x.t GROUP BY {xk}, x.rn),
- ic AS (SELECT {pk}, p.rn, any_value(slope) AS slope, median(p.v - slope * p.t) AS intercept, count(*) AS n, max(t) - min(t) AS span FROM p LEFT JOIN sl ON {j('sl', 'p')} AND sl.rn = p.rn GROUP BY {pk}, p.rn),
- rs AS (SELECT {pk}, p.rn, median(abs(p.v - (slope * p.t + intercept))) AS residual FROM p JOIN ic ON {j('ic', 'p')} AND ic.rn = p.rn GROUP BY {pk}, p.rn)"""
+    """CTE o: rows numbered by key (rn), each with the list ``win`` of its last n rows as structs ``cols``."""
+    over = f"OVER (PARTITION BY {keys} ORDER BY frame_id"
+    return f"""o AS (SELECT *, row_number() {over}) AS rn, list({{{cols}}}) {over} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS win FROM {src})"""
+
+
+def each(expr: str, rows: str = "win") -> str:
+    """List of ``expr`` over the structs q of ``rows``."""
+    return f"list_transform({rows}, lambda q: {expr})"
+
+
+def mid(rows: str) -> str:
+    return f"list_aggregate({rows}, 'median')"
+
+
+def total(expr: str, rows: str = "win") -> str:
+    return f"list_sum({each(expr, rows)})"
+
+
+def slopes() -> str:
+    """CTEs on o: sl (median slope of all pairs), ic (median intercept, count n, span), rs (median residual)."""
+    pairs = """flatten(list_transform(generate_series(1, len(win) - 1), lambda i: list_transform(generate_series(i + 1, len(win)), lambda j:
+  CASE WHEN win[j].t > win[i].t THEN (win[j].v - win[i].v) / (win[j].t - win[i].t) END)))"""
+    return f"""sl AS (SELECT *, {mid(pairs)} AS slope FROM o),
+ ic AS (SELECT *, {mid(each('q.v - slope * q.t'))} AS intercept, len(win) AS n, win[len(win)].t - win[1].t AS span FROM sl),
+ rs AS (SELECT *, {mid(each('abs(q.v - (slope * q.t + intercept))'))} AS residual FROM ic)"""
+
+
+def kalman(src: str) -> str:
+    """CTEs o (numbered rows of ``src``, which has t_sec, depth_m, sigma_m) and k (filter state after each row)."""
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY trip_id, track_id ORDER BY frame_id) AS rn, least(greatest(sigma_m, 15e-2), 12) ** 2 AS r FROM {src}),
+ k AS (SELECT trip_id, track_id, rn, t_sec AS t, CAST(depth_m AS DOUBLE) AS x, 0e0 AS v, r AS pxx, 0e0 AS pxv, 16e0 AS pvv, 0e0 AS ema, 1 AS n FROM o WHERE rn = 1
+  UNION ALL
+  SELECT trip_id, track_id, rn, t, CASE WHEN fresh THEN z ELSE x + pxx / (pxx + r) * (z - x) END, CASE WHEN fresh THEN 0e0 ELSE v + pxv / (pxx + r) * (z - x) END,
+   CASE WHEN fresh THEN r ELSE pxx - pxx / (pxx + r) * pxx END, CASE WHEN fresh THEN 0e0 ELSE pxv - pxx / (pxx + r) * pxv END, CASE WHEN fresh THEN 16e0 ELSE pvv - pxv / (pxx + r) * pxv END,
+   CASE WHEN fresh THEN 0e0 WHEN n > 1 THEN 75e-2 * ema + 25e-2 * abs(z - x) ELSE abs(z - x) END, CASE WHEN fresh THEN 1 ELSE n + 1 END
+  FROM (SELECT o.trip_id, o.track_id, o.rn, o.t_sec AS t, CAST(o.depth_m AS DOUBLE) AS z, o.r, NOT (o.t_sec - k.t > 0 AND o.t_sec - k.t <= 5e-1) AS fresh, k.x + (o.t_sec - k.t) * k.v AS x, k.v,
+    k.pxx + (o.t_sec - k.t) * (2 * k.pxv + (o.t_sec - k.t) * k.pvv) + 625e-2 * (o.t_sec - k.t) ** 4 AS pxx, k.pxv + (o.t_sec - k.t) * k.pvv + 125e-1 * (o.t_sec - k.t) ** 3 AS pxv, k.pvv + 25 * (o.t_sec - k.t) ** 2 AS pvv, k.ema, k.n
+   FROM k JOIN o ON o.trip_id = k.trip_id AND o.track_id = k.track_id AND o.rn = k.rn + 1) q)"""
