@@ -241,6 +241,16 @@ def box_depth_sigmas(depth) -> Column:
     return F.when(ok, F.struct(forward.alias("forward"), lateral.alias("lateral")))
 
 
+def depth_sigma(depth_mad_m, lr_support, depth_confidence, object_mad_m=None) -> Column:
+    """Noise of a component's depth: its spread, more where few pixels agree between both images and
+    where the depth is doubtful. A finite ``object_mad_m`` stands in for the component's spread."""
+    mad = _c(depth_mad_m)
+    if object_mad_m is not None:
+        mad = F.when(is_finite(object_mad_m), _c(object_mad_m)).otherwise(mad)
+    spread = F.greatest(F.lit(0.15), mad) * (1.35 - 0.55 * _c(lr_support))
+    return F.least(F.greatest(spread / F.sqrt(F.greatest(F.lit(0.15), _c(depth_confidence))), F.lit(0.15)), F.lit(12.0))
+
+
 def association_cost(prev_box, prev_x, prev_y, prev_depth, b, x, y, depth,
                      width=IMAGE_WIDTH, height=IMAGE_HEIGHT) -> Column:
     """Cost of continuing a track with a component; NULL outside the gates."""

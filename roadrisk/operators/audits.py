@@ -128,8 +128,8 @@ def class_counts(detections: DataFrame) -> DataFrame:
 
 
 # fixed values: value of each feature in a frame without candidates
-_EMPTY = {"min_ttc": 99.0, "min_depth": 99.0, "min_residual": 20.0, "urgent_ttc": 99.0, "urgent_depth": 99.0,
-          "urgent_residual": 20.0, "urgent_offset": 1.0}
+_EMPTY = {"min_ttc": 99.0, "min_depth": 99.0, "min_residual": 20.0, "min_mad_ratio": 10.0, "urgent_ttc": 99.0, "urgent_depth": 99.0,
+          "urgent_residual": 20.0, "urgent_offset": 1.0, "urgent_mad_ratio": 10.0}
 
 
 def _clamped(c, lo, hi, default):
@@ -138,24 +138,33 @@ def _clamped(c, lo, hi, default):
 
 
 def frame_features(candidates: DataFrame, frames: DataFrame) -> DataFrame:
-    """Causal features of a frame: counts, extremes over candidates, and the most urgent one.
+    """The 31 causal features of a frame: counts, extremes over candidates, and the most urgent one.
 
-    Only candidate columns enter, no identifiers and no truth. Frames without candidates get
-    fixed values.
+    candidates: KEYS, ordinal, candidate_ttc, depth_m, closing_mps, residual_m, confidence, center_x,
+    bottom_y, width, height, and of the track hits, history, quality, mad_ratio, lr_support and
+    corridor; where one of those six is not there, or NULL, it counts as 0 (mad_ratio: 10). Only
+    candidate columns enter, no identifiers and no truth. Frames without candidates get fixed values.
     """
+    def kept(c):
+        return F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in candidates.columns else F.lit(0.0).alias(c)
+
+    ratio = _clamped("mad_ratio", 0.0, 10.0, 10.0) if "mad_ratio" in candidates.columns else F.lit(10.0)
     c = candidates.select(
         *KEYS, "ordinal",
         F.when(is_finite("candidate_ttc"), F.col("candidate_ttc")).otherwise(99.0).alias("ttc"),
         _clamped("depth_m", 0.0, 99.0, 99.0).alias("depth"), _clamped("closing_mps", -200.0, 200.0, 0.0).alias("closing"),
         _clamped("residual_m", 0.0, 20.0, 20.0).alias("residual"), "confidence",
-        F.abs(F.col("center_x") - 0.5).alias("offset"), F.col("bottom_y").alias("bottom"), "width", "height")
-    high = ["closing", "confidence", "bottom", "width", "height"]
-    low = ["ttc", "depth", "residual"]
-    urgent = ["ttc", "depth", "closing", "residual", "confidence", "offset", "bottom", "width", "height"]
+        F.abs(F.col("center_x") - 0.5).alias("offset"), F.col("bottom_y").alias("bottom"), "width", "height",
+        *map(kept, ("hits", "history", "quality", "lr_support", "corridor")), ratio.alias("mad_ratio"))
+    # fixed order of the features
+    extremes = [(F.min, x, f"min_{x}") for x in ("ttc", "depth")] + [(F.max, "closing", "max_closing"), (F.min, "residual", "min_residual")] + [
+        (F.max, x, f"max_{x}") for x in ("confidence", "bottom", "width", "height", "hits", "history", "quality")] + [
+        (F.min, "mad_ratio", "min_mad_ratio"), (F.max, "lr_support", "max_lr_support"), (F.max, "corridor", "max_corridor")]
+    urgent = ["ttc", "depth", "closing", "residual", "confidence", "offset", "bottom", "width", "height",
+              "hits", "history", "quality", "mad_ratio", "lr_support", "corridor"]
     a = c.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("ttc") < 99.0).alias("finite_candidates"),
-        *[F.min(x).alias(f"min_{x}") for x in low], *[F.max(x).alias(f"max_{x}") for x in high],
-        F.min(F.struct("ttc", "ordinal", *urgent[1:])).alias("_u"))
+        *[fn(x).alias(name) for fn, x, name in extremes], F.min(F.struct("ttc", "ordinal", *urgent[1:])).alias("_u"))
     a = a.select("*", *[F.col(f"_u.{x}").alias(f"urgent_{x}") for x in urgent]).drop("_u")
     j = frames.join(a, KEYS, "left")
     cols = [x for x in a.columns if x not in KEYS]

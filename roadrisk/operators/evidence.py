@@ -1,34 +1,7 @@
-"""Fields that explain the selected track of a frame."""
+"""Columns of several sources side by side, and what a reviewer may see of them."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from roadrisk.constants import IMAGE_HEIGHT, IMAGE_WIDTH
-from roadrisk.operators.sequence import with_position
-
-HISTORY = 11  # fixed value: observations a track remembers
-
-
-def track_diagnostics(obs: DataFrame, keys=("trip_id", "track_id")) -> DataFrame:
-    """Normalised geometry and history of a track at each observation (one row per frame)."""
-    b, hits = F.col("box"), F.col("position") + 1
-    return with_position(obs, list(keys), ["frame_id"]).select(
-        *keys, "frame_id", ((b["x0"] + b["x1"]) / 2 / IMAGE_WIDTH).alias("center_x_norm"),
-        (b["y1"] / IMAGE_HEIGHT).alias("bottom_y_norm"), ((b["x1"] - b["x0"]) / IMAGE_WIDTH).alias("width_norm"),
-        ((b["y1"] - b["y0"]) / IMAGE_HEIGHT).alias("height_norm"), hits.alias("hits"),
-        F.least(F.lit(HISTORY), hits).alias("history"))
-
-
-def selected_evidence(frames: DataFrame, selected: DataFrame, obs: DataFrame) -> DataFrame:
-    """Every frame with its selected track's measurement; NULLs where none was selected."""
-    h = with_position(obs, ["trip_id", "track_id"], ["frame_id"]).select(
-        "trip_id", "frame_id", "track_id", F.col("depth_m").alias("selected_depth_m"),
-        F.col("confidence").alias("selected_confidence"),
-        F.least(F.lit(HISTORY), F.col("position") + 1).alias("selected_history_length"))
-    s = selected.join(h, ["trip_id", "frame_id", "track_id"], "left").withColumnRenamed("track_id", "selected_track_id")
-    return frames.join(s, ["trip_id", "frame_id"], "left")
-
 
 def prefix_columns(df: DataFrame, prefix: str, keys=("trip_id", "frame_id")) -> DataFrame:
     return df.withColumnsRenamed({c: f"{prefix}_{c}" for c in df.columns if c not in keys})

@@ -8,6 +8,7 @@ from roadrisk.constants import CRITICAL_ZONE_TTC, DANGER_TTC, INF, SEVERE_TTC
 from roadrisk.functions.ttc import (
     clipped_ttc, danger_outcome, finite, inverse_ttc, is_danger, is_finite,
 )
+from roadrisk.operators.fusion import suppressed
 from roadrisk.operators.quantiles import exact_quantiles
 from roadrisk.operators.sequence import run_starts
 
@@ -141,14 +142,22 @@ def frame_min_ttc(accepted: DataFrame, frames: DataFrame, ttc="candidate_ttc", n
 
 
 def select_min_ttc(tracks: DataFrame, min_confidence=0.55, min_closing=0.3, max_closing=40.0,
-                   max_depth=INF, max_residual=INF) -> DataFrame:
-    """Per frame the accepted track with the least TTC; the first in order wins a tie."""
+                   max_depth=INF, max_residual=INF, min_depth_confidence=None, semantic=None) -> DataFrame:
+    """Per frame the accepted track with the least TTC; the first in order wins a tie.
+
+    With ``min_depth_confidence`` the column depth_confidence is looked at, too; ``semantic`` (score
+    threshold, misses, fallback depth) leaves out tracks (columns score, misses) without semantic support.
+    """
     ok = (
         (F.col("confidence") >= min_confidence)
         & F.col("closing_mps").between(min_closing, max_closing)
         & (F.col("depth_m") <= max_depth) & (F.col("residual_m") <= max_residual)
         & is_finite("candidate_ttc")
     )
+    if min_depth_confidence is not None:
+        ok = ok & (F.col("depth_confidence") >= min_depth_confidence)
+    if semantic is not None:
+        ok = ok & ~suppressed(*semantic)
     best = F.min(F.struct("candidate_ttc", "ordinal", "track_id", "confidence", "closing_mps"))
     return (
         tracks.filter(ok).groupBy("trip_id", "frame_id").agg(best.alias("b"))

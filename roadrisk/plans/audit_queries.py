@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 from roadrisk.functions import ttc as X
 from roadrisk.operators import association as A
 from roadrisk.operators import audits as D
+from roadrisk.operators import memory as K
 from roadrisk.operators import sampling as P
 from roadrisk.plans import boxsql as B
 from roadrisk.plans import sqltext as Q
 from roadrisk.plans.geometry_queries import BEST, GATE, RANKED, ranked
-from roadrisk.plans.inputs import detections, evidence, truth, union_predictions, updates
+from roadrisk.plans.inputs import detections, evidence, featured, truth, union_predictions, updates
 from roadrisk.plans.registry import query
 
 # the match of a frame; its occupancy stands in as 1 - (lateral offset / 4 m)^2, NULL without geometry
@@ -92,20 +93,9 @@ def _(t):
     return D.class_counts(t.detections)
 
 
-_low = {"ttc": 99, "depth": 99, "residual": 20}
-_urg = {"ttc": 99, "depth": 99, "closing": 0, "residual": 20, "confidence": 0, "offset": 1, "bottom": 0, "width": 0, "height": 0}
-_high = ("closing", "confidence", "bottom", "width", "height")
-
-
-@query("frame_features", f"""WITH c AS (SELECT trip_id, frame_id, ordinal, CASE WHEN isfinite(candidate_ttc) THEN candidate_ttc ELSE 99 END AS ttc, least(greatest(depth_m, 0), 99) AS depth, least(greatest(closing_mps, -200), 200) AS closing,
-  least(greatest(residual_m, 0), 20) AS residual, confidence, abs(center_x - 5e-1) AS "offset", bottom_y AS bottom, width, height FROM candidates),
- a AS (SELECT trip_id, frame_id, count(*) AS n, count(*) FILTER (WHERE ttc < 99) AS nf, {', '.join(f'min({x}) AS min_{x}' for x in _low)}, {', '.join(f'max({x}) AS max_{x}' for x in _high)},
-  {', '.join(f'arg_min("{x}", (ttc, ordinal)) AS urgent_{x}' for x in _urg)} FROM c GROUP BY trip_id, frame_id)
-SELECT_FINAL f.trip_id, f.frame_id, coalesce(n, 0) AS candidates, coalesce(nf, 0) AS finite_candidates, {', '.join(f'coalesce(min_{x}, {d}) AS min_{x}' for x, d in _low.items())}, {', '.join(f'coalesce(max_{x}, 0) AS max_{x}' for x in _high)},
- {', '.join(f'coalesce(urgent_{x}, {d}) AS urgent_{x}' for x, d in _urg.items())} FROM (SELECT trip_id, frame_id FROM frames) f LEFT JOIN a ON a.trip_id = f.trip_id AND a.frame_id = f.frame_id""",
-       " ".join([f"min_{x}" for x in _low] + [f"max_{x}" for x in _high] + [f"urgent_{x}" for x in _urg]))
+@query("frame_features", f"SELECT * EXCLUDE (truth_ttc) FROM {Q.FEATURES}", " ".join(Q.FEATURE_NAMES[2:]))
 def _(t):
-    return D.frame_features(t.candidates, t.frames.select("trip_id", "frame_id"))
+    return D.frame_features(featured(t), t.frames.select("trip_id", "frame_id"))
 
 
 @query("pick_cases", f"""SELECT trip_id, outcome, frame_id, predicted_ttc, truth_ttc FROM (SELECT *, row_number() OVER (PARTITION BY trip_id, outcome ORDER BY lead, k, frame_id) AS rn FROM (
@@ -230,21 +220,16 @@ def _(t):
 
 @query("latest_observation", "SELECT trip_id, track_id, arg_max(frame_id, (frame_id, ordinal)) AS frame_id, arg_max(depth_m, (frame_id, ordinal)) AS depth_m, arg_max(confidence, (frame_id, ordinal)) AS confidence FROM candidates GROUP BY trip_id, track_id", "depth_m confidence")
 def _(t):
-    last = F.max(F.struct("frame_id", "ordinal", "depth_m", "confidence"))
-    return t.candidates.groupBy("trip_id", "track_id").agg(last.alias("o")).select(
-        "trip_id", "track_id", "o.frame_id", "o.depth_m", "o.confidence")
+    return K.latest_observation(t.candidates, ["depth_m", "confidence"])
 
 
 @query("risk_tracks", """SELECT trip_id, frame_id, ordinal, track_id FROM candidates WHERE hits >= 3 AND bottom_y >= 5e-1 AND height >= 5e-2 AND bottom_y >= 36e-2
  AND abs(center_x - 5e-1) <= (16e-2 + least(greatest((bottom_y - 36e-2) / 64e-2, 0e0), 1e0) * (55e-2 - 16e-2)) / 2""".replace(
     "FROM candidates WHERE", "FROM (SELECT *, row_number() OVER (PARTITION BY trip_id, track_id ORDER BY frame_id, ordinal) AS hits FROM candidates) WHERE"))
 def _(t):
-    from roadrisk.functions.geometry import corridor_member
     from roadrisk.operators.sequence import with_position
-    c = with_position(t.candidates, ["trip_id", "track_id"], ["frame_id", "ordinal"])
-    inside = corridor_member("center_x", "bottom_y", F.lit(0.16), F.lit(0.55))
-    return c.filter((F.col("position") >= 2) & (F.col("bottom_y") >= 0.5) & (F.col("height") >= 0.05) & inside).select(
-        "trip_id", "frame_id", "ordinal", "track_id")
+    c = with_position(t.candidates, ["trip_id", "track_id"], ["frame_id", "ordinal"]).withColumn("confirmed", F.col("position") >= 2)
+    return K.risk_tracks(c, 0.5, 0.05).select("trip_id", "frame_id", "ordinal", "track_id")
 
 
 @query("frame_sets", """SELECT 'both' AS side, trip_id, frame_id FROM (SELECT trip_id, frame_id FROM predictions WHERE classical_ttc < 2 INTERSECT SELECT trip_id, frame_id FROM predictions WHERE detector_ttc < 2)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from roadrisk.functions import geometry as G
 from roadrisk.functions.ttc import conservative_union
+from roadrisk.plans.sqltext import EVIDENCE_OF, FEATURE_OF
 
 TRIP, FRAME = "trip_id", "frame_id"
 
@@ -73,3 +74,13 @@ def observations(t) -> DataFrame:
     f = t.frames.select(TRIP, FRAME, "t_sec", "speed_mps", "lateral_accel", F.col("min_ttc").alias("truth_ttc"))
     return boxes(t).groupBy(TRIP, FRAME, "track_id").agg(one.alias("o")).select(
         TRIP, FRAME, "track_id", "o.*").join(f, [TRIP, FRAME])
+
+
+def measured(t) -> DataFrame:
+    """``observations`` with the evidence that a track's memory looks at."""
+    return observations(t).withColumns({n: F.expr(e) for n, e in EVIDENCE_OF.items()})
+
+
+def featured(t) -> DataFrame:
+    """Candidates with the columns of their tracks that features look at."""
+    return t.candidates.withColumns({n: F.expr(e) for n, e in FEATURE_OF.items()})

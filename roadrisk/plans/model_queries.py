@@ -12,7 +12,7 @@ from roadrisk.operators import scoring as S
 from roadrisk.operators import tracking as R
 from roadrisk.operators.lineage import cut
 from roadrisk.plans import sqltext as Q
-from roadrisk.plans.inputs import boxes, components, evidence, observations, union_predictions, updates
+from roadrisk.plans.inputs import boxes, components, evidence, featured, observations, union_predictions, updates
 from roadrisk.plans.registry import query
 
 T, FR = "trip_id", "frame_id"
@@ -76,15 +76,13 @@ def _(t):
 
 
 def tree_rows(t):
-    f = D.frame_features(t.candidates, t.frames.select(T, FR, X.is_danger("min_ttc").cast("int").alias("label")))
+    f = D.frame_features(featured(t), t.frames.select(T, FR, X.is_danger("min_ttc").cast("int").alias("label")))
     names = [c for c in f.columns if c not in (T, FR, "label")]
     return P.blocked_folds(f), names
 
 
-TREE_F = ("candidates", "finite_candidates", "min_depth", "max_closing", "urgent_residual")
-TREE_SQL = """(SELECT f.trip_id, CASE WHEN f.min_ttc < 2 THEN 1 ELSE 0 END AS label, coalesce(n, 0) AS candidates, coalesce(nf, 0) AS finite_candidates, coalesce(md, 99) AS min_depth, coalesce(mc, 0) AS max_closing, coalesce(ur, 20) AS urgent_residual FROM frames f LEFT JOIN
- (SELECT trip_id, frame_id, count(*) AS n, count(*) FILTER (WHERE isfinite(candidate_ttc) AND candidate_ttc < 99) AS nf, min(depth_m) AS md, max(closing_mps) AS mc, arg_min(residual_m, (CASE WHEN isfinite(candidate_ttc) THEN candidate_ttc ELSE 99 END, ordinal)) AS ur FROM candidates GROUP BY trip_id, frame_id) c
- ON c.trip_id = f.trip_id AND c.frame_id = f.frame_id)"""
+TREE_F = Q.FEATURE_NAMES
+TREE_SQL = f"(SELECT *, CASE WHEN truth_ttc < 2 THEN 1 ELSE 0 END AS label FROM {Q.FEATURES})"
 
 
 @query("tree_split", f"""WITH l AS ({' UNION ALL '.join(f"SELECT trip_id AS node, label, {i} AS feature, CAST({c} AS DOUBLE) AS value FROM {TREE_SQL}" for i, c in enumerate(TREE_F))}),

@@ -204,6 +204,6 @@ def _(t):
 
 @query("kalman_distance", f"""WITH {Q.kalman(Q.OBS)}
 SELECT_FINAL o.trip_id, o.track_id, o.frame_id, o.ordinal, x AS distance_m, CASE WHEN n >= 3 THEN -v ELSE 0 END AS closing_mps, CASE WHEN n >= 3 AND x > 0 AND -v > 3e-1 THEN x / -v END AS ttc,
- CASE WHEN n >= 3 THEN ema + 1e-1 * sqrt(greatest(0, pxx)) END AS residual_m FROM k JOIN o ON {OJ.format(a='k')}""", "distance_m closing_mps ttc residual_m")
+ CASE WHEN n >= 3 THEN ema + 1e-1 * sqrt(greatest(0, pxx)) END AS residual_m FROM k JOIN ko o ON {OJ.format(a='k')}""", "distance_m closing_mps ttc residual_m")
 def _(t):
     return M.kalman_distance(observations(t).select(*KEYS, "frame_id", "ordinal", "t_sec", "depth_m", "sigma_m"))

@@ -1,15 +1,17 @@
 """Queries over data quality, contracts, text forms and gates."""
 from pyspark.sql import functions as F
 
+from roadrisk.functions import geometry as G
 from roadrisk.functions import ttc as X
 from roadrisk.operators import association as A
 from roadrisk.operators import audits as D
+from roadrisk.operators import memory as K
 from roadrisk.operators import quality as C
 from roadrisk.operators import scoring as S
 from roadrisk.operators import sampling as P
 from roadrisk.plans import event_queries as EQ
 from roadrisk.plans import sqltext as Q
-from roadrisk.plans.inputs import detections, observations, union_predictions, variant_predictions
+from roadrisk.plans.inputs import detections, measured, observations, union_predictions, variant_predictions
 from roadrisk.plans.registry import query
 from roadrisk.sources import writers as W
 
@@ -116,9 +118,10 @@ def _(t):
     return W.detection_evidence_json(detections(t).withColumn("class_name", F.coalesce(A.class_name(), F.lit("other"))))
 
 
-@query("track_measurements_json", f"""SELECT trip_id, frame_id, '[' || string_agg('{{"track_id":' || track_id || ',"timestamp":' || round(t_sec, 6) || ',"depth_m":' || round(depth_m, 6) || ',"center_x":' || round(centre_x, 3) || '}}', ',' ORDER BY track_id) || ']' AS track_measurements_json FROM {Q.OBS} GROUP BY trip_id, frame_id""")
+@query("track_measurements_json", f"""SELECT trip_id, frame_id, '[' || string_agg('{{"track_id":' || track_id || ',"timestamp":' || round(t_sec, 6) || ',"depth_m":' || round(depth_m, 6) || ',"center_x":' || round(centre_x, 3) || ',"depth_sigma_m":' || round(depth_sigma_m, 6) || '}}', ',' ORDER BY track_id) || ']' AS track_measurements_json FROM {Q.MEASURED} GROUP BY trip_id, frame_id""")
 def _(t):
-    return W.track_measurements_json(observations(t).select(T, FR, "track_id", "ordinal", "t_sec", "depth_m", "centre_x"))
+    m = measured(t).withColumn("depth_sigma_m", G.depth_sigma("depth_mad_m", "lr_support", "depth_confidence"))
+    return W.track_measurements_json(m.select(T, FR, "track_id", "ordinal", "t_sec", "depth_m", "centre_x", "depth_sigma_m"))
 
 
 @query("explode_frames", """SELECT trip_id, frame_id, target_no, track_id, depth_m FROM (SELECT *, row_number() OVER (PARTITION BY trip_id, frame_id ORDER BY ordinal) - 1 AS target_no FROM candidates)""", "depth_m")
@@ -293,19 +296,61 @@ def _(t):
     return C.metric_regression(s.filter("variant = 'union'"), s.filter("variant = 'classical'"), [T], ["f1", "composite", "recall"], 0.05)
 
 
-@query("track_diagnostics", f"""SELECT trip_id, track_id, frame_id, centre_x / 640 AS center_x_norm, y1 / 360 AS bottom_y_norm, (x1 - x0) / 640 AS width_norm, (y1 - y0) / 360 AS height_norm, row_number() OVER w AS hits, least(11, row_number() OVER w) AS history FROM {Q.OBS} WINDOW w AS (PARTITION BY trip_id, track_id ORDER BY frame_id)""", "center_x_norm bottom_y_norm width_norm height_norm")
+DIAG = "centre_x / 640 AS center_x_norm, y1 / 360 AS bottom_y_norm, (x1 - x0) / 640 AS width_norm, (y1 - y0) / 360 AS height_norm"
+DIAG_DOUBLES = "center_x_norm bottom_y_norm width_norm height_norm residual_m quality depth_mad_m depth_mad_ratio lr_support corridor_overlap"
+KNOWN = "CASE WHEN n >= 3 THEN residual END"
+
+
+@query("track_diagnostics", f"""WITH {Q.remembered()}
+SELECT_FINAL trip_id, track_id, frame_id, {DIAG}, rn AS hits, n AS history, {KNOWN} AS residual_m, quality, depth_mad_m, depth_mad_m / depth_m AS depth_mad_ratio, lr_support, corridor_overlap FROM rs""", DIAG_DOUBLES)
+def _(t):
+    return K.track_diagnostics(K.remembered(measured(t)))
+
+
+CHOSEN = """s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trip_id, frame_id ORDER BY candidate_ttc, ordinal) AS pick FROM candidates WHERE confidence >= 55e-2 AND closing_mps BETWEEN 3e-1 AND 40 AND isfinite(candidate_ttc)) WHERE pick = 1)"""
+OF_FRAME = """FROM (SELECT trip_id, frame_id FROM frames) f LEFT JOIN (SELECT rs.* FROM rs JOIN s ON s.trip_id = rs.trip_id AND s.frame_id = rs.frame_id AND s.track_id = rs.track_id) c ON c.trip_id = f.trip_id AND c.frame_id = f.frame_id"""
+
+
+@query("selected_diagnostics", f"""WITH {Q.remembered()}, {CHOSEN}
+SELECT_FINAL f.trip_id, f.frame_id, track_id AS selected_track_id, {', '.join(f'{x} AS selected_{n}' for n, x in (
+    ('center_x_norm', 'centre_x / 640'), ('bottom_y_norm', 'y1 / 360'), ('width_norm', '(x1 - x0) / 640'), ('height_norm', '(y1 - y0) / 360'), ('hits', 'coalesce(rn, 0)'), ('history', 'coalesce(n, 0)'), ('residual_m', KNOWN),
+    ('quality', 'quality'), ('depth_mad_m', 'depth_mad_m'), ('depth_mad_ratio', 'depth_mad_m / depth_m'), ('lr_support', 'lr_support'), ('corridor_overlap', 'corridor_overlap')))} {OF_FRAME}""",
+       " ".join(f"selected_{c}" for c in DIAG_DOUBLES.split()))
+def _(t):
+    return K.selected_diagnostics(t.frames.select(T, FR), S.select_min_ttc(t.candidates).select(T, FR, "track_id"), K.remembered(measured(t)))
+
+
+@query("selected_evidence", f"""WITH {Q.remembered()}, {CHOSEN}
+SELECT_FINAL f.trip_id, f.frame_id, track_id AS selected_track_id, depth_m AS selected_depth_m, {KNOWN} AS selected_motion_residual_m, quality AS selected_observation_quality, depth_confidence AS selected_depth_confidence,
+ lr_support AS selected_lr_support, coalesce(n, 0) AS selected_history_length, '[' || CAST(x0 AS INTEGER) || ',' || CAST(y0 AS INTEGER) || ',' || CAST(x1 AS INTEGER) || ',' || CAST(y1 AS INTEGER) || ']' AS selected_bbox_xyxy,
+ coalesce('[' || array_to_string({Q.each("'{\"timestamp\":' || round(q.t, 6) || ',\"depth_m\":' || round(q.v, 6) || ',\"center_x\":' || round(q.x, 3) || ',\"depth_sigma_m\":' || round(q.s, 6) || '}'")}, ',') || ']', '[]') AS selected_observations_json {OF_FRAME}""",
+       "selected_depth_m selected_motion_residual_m selected_observation_quality selected_depth_confidence selected_lr_support")
 def _(t):
-    from roadrisk.operators.evidence import track_diagnostics
-    return track_diagnostics(observations(t))
+    return K.selected_evidence(t.frames.select(T, FR), S.select_min_ttc(t.candidates).select(T, FR, "track_id"), K.remembered(measured(t)))
+
+
+FC = "CASE WHEN kn >= 3 THEN -kv ELSE 0 END"
+FR_M = "CASE WHEN kn >= 3 THEN ema + 1e-1 * sqrt(greatest(0, pxx)) + 2e-1 * missed END"
+GONE = "greatest(0, now - t_sec)"
 
 
-@query("selected_evidence", f"""WITH s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trip_id, frame_id ORDER BY candidate_ttc, ordinal) AS rn FROM candidates WHERE confidence >= 55e-2 AND closing_mps BETWEEN 3e-1 AND 40 AND isfinite(candidate_ttc)) WHERE rn = 1)
-SELECT_FINAL f.trip_id, f.frame_id, s.track_id AS selected_track_id, o.depth_m AS selected_depth_m, o.confidence AS selected_confidence, o.h AS selected_history_length FROM (SELECT trip_id, frame_id FROM frames) f LEFT JOIN s ON s.trip_id = f.trip_id AND s.frame_id = f.frame_id
-LEFT JOIN (SELECT *, least(11, row_number() OVER (PARTITION BY trip_id, track_id ORDER BY frame_id)) AS h FROM {Q.OBS}) o ON o.trip_id = s.trip_id AND o.frame_id = s.frame_id AND o.track_id = s.track_id""", "selected_depth_m selected_confidence")
+@query("track_memory", f"""WITH {Q.remembered()}, {Q.kalman(Q.MEASURED)},
+ z AS (SELECT rs.*, k.x AS kx, k.v AS kv, k.pxx, k.ema, k.n AS kn, {Q.total('q.q')} / rs.n AS mq, {Q.total('q.c')} / rs.n AS mc FROM rs JOIN k ON k.trip_id = rs.trip_id AND k.track_id = rs.track_id AND k.rn = rs.rn),
+ al AS (SELECT z.*, m AS missed, frame_id + m AS at_frame FROM z, (SELECT unnest(generate_series(0, 3)) AS m) g),
+ nw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trip_id, track_id, at_frame ORDER BY missed) AS pick FROM al) WHERE pick = 1),
+ mm AS (SELECT nw.*, f.t_sec AS now, row_number() OVER (PARTITION BY nw.trip_id, nw.track_id ORDER BY at_frame) AS i FROM nw JOIN frames f ON f.trip_id = nw.trip_id AND f.frame_id = nw.at_frame),
+ ss AS (SELECT *, list(CASE WHEN matched AND missed = 0 THEN det_confidence ELSE 0e0 END) OVER (PARTITION BY trip_id, track_id ORDER BY i ROWS BETWEEN 95 PRECEDING AND CURRENT ROW) AS seen,
+  i - coalesce(max(CASE WHEN matched AND missed = 0 THEN i END) OVER (PARTITION BY trip_id, track_id ORDER BY i), 0) AS misses, kx + CASE WHEN kn >= 3 THEN {GONE} * kv ELSE 0 END AS distance FROM mm)
+SELECT_FINAL trip_id, track_id, at_frame AS frame_id, missed, rn AS hits, n AS history, depth_m, depth_sigma_m, CASE WHEN n >= 3 THEN -slope ELSE 0 END AS closing_mps, distance AS filter_distance_m, {FC} AS filter_closing_mps,
+ CASE WHEN kn >= 3 AND distance > 0 AND -kv > 3e-1 THEN distance / -kv END AS filter_ttc, {FR_M} AS filter_residual_m, rn >= 3 AS confirmed,
+ 25e-2 * least(1, n / 7) + 3e-1 * mq + 2e-1 * CASE WHEN n >= 3 THEN exp(-residual / greatest(5e-1, depth_m / 10)) ELSE 0 END + 15e-2 + CASE WHEN n >= 3 AND -slope > 3e-1 THEN 1e-1 ELSE 5e-2 END AS confidence,
+ (8e-1 * (25e-2 * least(1, n / 7) + 3e-1 * mq + 2e-1 * coalesce(exp(-({FR_M}) / greatest(5e-1, depth_m / 10)), 0) + 15e-2 + CASE WHEN {FC} > 3e-1 THEN 1e-1 ELSE 5e-2 END) + 2e-1 * mc) * 82e-2 ** missed AS filter_confidence,
+ 4e-1 * list_sum(list_transform(generate_series(1, len(seen)), lambda j: seen[j] * 6e-1 ** (len(seen) - j))) AS score, misses
+FROM ss WHERE missed <= 2""", "depth_m depth_sigma_m closing_mps filter_distance_m filter_closing_mps filter_ttc filter_residual_m confidence filter_confidence score")
 def _(t):
-    from roadrisk.operators.evidence import selected_evidence
-    sel = S.select_min_ttc(t.candidates).select(T, FR, "track_id")
-    return selected_evidence(t.frames.select(T, FR), sel, observations(t))
+    m = K.track_memory(measured(t), t.frames.select(T, FR, "t_sec"), with_semantics=True)
+    return m.select(T, "track_id", FR, "missed", "hits", F.col("history").cast("bigint").alias("history"), "depth_m", "depth_sigma_m", "closing_mps", "filter_distance_m",
+                    "filter_closing_mps", "filter_ttc", "filter_residual_m", "confirmed", "confidence", "filter_confidence", "score", "misses")
 
 
 @query("prefix_columns", "SELECT trip_id, frame_id, classical_ttc AS base_classical_ttc, detector_ttc AS base_detector_ttc FROM predictions", "base_classical_ttc base_detector_ttc")

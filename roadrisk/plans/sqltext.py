@@ -106,13 +106,42 @@ def slopes() -> str:
 
 
 def kalman(src: str) -> str:
-    """CTEs o (numbered rows of ``src``, which has t_sec, depth_m, sigma_m) and k (filter state after each row)."""
-    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY trip_id, track_id ORDER BY frame_id) AS rn, least(greatest(sigma_m, 15e-2), 12) ** 2 AS r FROM {src}),
- k AS (SELECT trip_id, track_id, rn, t_sec AS t, CAST(depth_m AS DOUBLE) AS x, 0e0 AS v, r AS pxx, 0e0 AS pxv, 16e0 AS pvv, 0e0 AS ema, 1 AS n FROM o WHERE rn = 1
+    """CTEs ko (numbered rows of ``src``, which has t_sec, depth_m, sigma_m) and k (filter state after each row)."""
+    return f"""ko AS (SELECT *, row_number() OVER (PARTITION BY trip_id, track_id ORDER BY frame_id) AS rn, least(greatest(sigma_m, 15e-2), 12) ** 2 AS r FROM {src}),
+ k AS (SELECT trip_id, track_id, rn, t_sec AS t, CAST(depth_m AS DOUBLE) AS x, 0e0 AS v, r AS pxx, 0e0 AS pxv, 16e0 AS pvv, 0e0 AS ema, 1 AS n FROM ko WHERE rn = 1
   UNION ALL
   SELECT trip_id, track_id, rn, t, CASE WHEN fresh THEN z ELSE x + pxx / (pxx + r) * (z - x) END, CASE WHEN fresh THEN 0e0 ELSE v + pxv / (pxx + r) * (z - x) END,
    CASE WHEN fresh THEN r ELSE pxx - pxx / (pxx + r) * pxx END, CASE WHEN fresh THEN 0e0 ELSE pxv - pxx / (pxx + r) * pxv END, CASE WHEN fresh THEN 16e0 ELSE pvv - pxv / (pxx + r) * pxv END,
    CASE WHEN fresh THEN 0e0 WHEN n > 1 THEN 75e-2 * ema + 25e-2 * abs(z - x) ELSE abs(z - x) END, CASE WHEN fresh THEN 1 ELSE n + 1 END
   FROM (SELECT o.trip_id, o.track_id, o.rn, o.t_sec AS t, CAST(o.depth_m AS DOUBLE) AS z, o.r, NOT (o.t_sec - k.t > 0 AND o.t_sec - k.t <= 5e-1) AS fresh, k.x + (o.t_sec - k.t) * k.v AS x, k.v,
     k.pxx + (o.t_sec - k.t) * (2 * k.pxv + (o.t_sec - k.t) * k.pvv) + 625e-2 * (o.t_sec - k.t) ** 4 AS pxx, k.pxv + (o.t_sec - k.t) * k.pvv + 125e-1 * (o.t_sec - k.t) ** 3 AS pxv, k.pvv + 25 * (o.t_sec - k.t) ** 2 AS pvv, k.ema, k.n
-   FROM k JOIN o ON o.trip_id = k.trip_id AND o.track_id = k.track_id AND o.rn = k.rn + 1) q)"""
+   FROM k JOIN ko o ON o.trip_id = k.trip_id AND o.track_id = k.track_id AND o.rn = k.rn + 1) q)"""
+
+
+# measurements with the evidence of a track; the texts stand in both engines
+EVIDENCE_OF = {
+    "quality": "confidence", "depth_mad_m": "sigma_m / 4", "lr_support": "(frame_id % 5) / 5e0", "corridor_overlap": "(track_id % 4) / 4e0",
+    "depth_confidence": "((frame_id + track_id) % 6) / 5e0", "matched": "(frame_id * 7 + track_id) % 3 = 0", "det_confidence": "confidence"}
+_SIGMA = "least(greatest(greatest(15e-2, depth_mad_m) * (135e-2 - 55e-2 * lr_support) / sqrt(greatest(15e-2, depth_confidence)), 15e-2), 12e0)"
+MEASURED = f"""(SELECT * EXCLUDE (sigma_m), {_SIGMA} AS depth_sigma_m, {_SIGMA} AS sigma_m FROM (SELECT *, {', '.join(f'{e} AS {n}' for n, e in EVIDENCE_OF.items())} FROM {OBS}))"""
+
+
+def remembered(src: str = MEASURED) -> str:
+    """CTEs rs (robust motion with history) on ``src``, as slopes() gives them over eleven rows."""
+    return recent_rows(src, 11, "trip_id, track_id", "'t': t_sec, 'v': depth_m, 'x': centre_x, 's': depth_sigma_m, 'q': quality, 'c': depth_confidence") + ", " + slopes()
+
+
+FEATURE_OF = {
+    "hits": "(frame_id + ordinal) % 9", "history": "least(11, (frame_id + ordinal) % 13)", "quality": "confidence / 2", "mad_ratio": "residual_m / depth_m",
+    "lr_support": "(track_id % 5) / 5e0", "corridor": "(frame_id % 4) / 4e0"}
+_EXT = [("min", "ttc", 99), ("min", "depth", 99), ("max", "closing", 0), ("min", "residual", 20), *[("max", x, 0) for x in ("confidence", "bottom", "width", "height", "hits", "history", "quality")],
+        ("min", "mad_ratio", 10), ("max", "lr_support", 0), ("max", "corridor", 0)]
+_URG = {"ttc": 99, "depth": 99, "closing": 0, "residual": 20, "confidence": 0, "offset": 1, "bottom": 0, "width": 0, "height": 0,
+        "hits": 0, "history": 0, "quality": 0, "mad_ratio": 10, "lr_support": 0, "corridor": 0}
+FEATURE_NAMES = ["candidates", "finite_candidates", *[f"{f}_{x}" for f, x, _ in _EXT], *[f"urgent_{x}" for x in _URG]]
+FEATURES = f"""(SELECT f.trip_id, f.frame_id, f.min_ttc AS truth_ttc, coalesce(n, 0) AS candidates, coalesce(nf, 0) AS finite_candidates, {', '.join(f'coalesce(a.{f}_{x}, {d}) AS {f}_{x}' for f, x, d in _EXT)},
+ {', '.join(f'coalesce(a.urgent_{x}, {d}) AS urgent_{x}' for x, d in _URG.items())} FROM frames f LEFT JOIN
+ (SELECT trip_id, frame_id, count(*) AS n, count(*) FILTER (WHERE ttc < 99) AS nf, {', '.join(f'{f}({x}) AS {f}_{x}' for f, x, _ in _EXT)}, {', '.join(f'arg_min("{x}", (ttc, ordinal)) AS urgent_{x}' for x in _URG)}
+  FROM (SELECT trip_id, frame_id, ordinal, CASE WHEN isfinite(candidate_ttc) THEN candidate_ttc ELSE 99 END AS ttc, least(greatest(depth_m, 0), 99) AS depth, least(greatest(closing_mps, -200), 200) AS closing,
+   least(greatest(residual_m, 0), 20) AS residual, confidence, abs(center_x - 5e-1) AS "offset", bottom_y AS bottom, width, height, {', '.join(f'{e} AS {n}' for n, e in FEATURE_OF.items() if n != 'mad_ratio')}, least(greatest({FEATURE_OF['mad_ratio']}, 0), 10) AS mad_ratio FROM candidates)
+  GROUP BY trip_id, frame_id) a ON a.trip_id = f.trip_id AND a.frame_id = f.frame_id)"""

@@ -83,8 +83,10 @@ def detection_evidence_json(dets: DataFrame, keys=("trip_id", "frame_id")) -> Da
 
 
 def track_measurements_json(obs: DataFrame, keys=("trip_id", "frame_id")) -> DataFrame:
-    """JSON array of the latest measurement of each track of a frame, in track order."""
+    """JSON array of the latest measurement of each track of a frame, in track order; with its depth
+    noise where ``obs`` has a column depth_sigma_m."""
+    sigma = [F.round("depth_sigma_m", 6).alias("depth_sigma_m")] if "depth_sigma_m" in obs.columns else []
     one = obs.groupBy(*keys, "track_id").agg(F.max(F.struct(
         "ordinal", F.struct(F.col("track_id"), F.round("t_sec", 6).alias("timestamp"), F.round("depth_m", 6).alias("depth_m"),
-                            F.round("centre_x", 3).alias("center_x")).alias("m"))).alias("b"))
+                            F.round("centre_x", 3).alias("center_x"), *sigma).alias("m"))).alias("b"))
     return one.groupBy(*keys).agg(F.to_json(F.array_sort(F.collect_list("b.m"))).alias("track_measurements_json"))
