@@ -434,17 +434,27 @@ def _prefix_pairs(batches, similarity: float):
 
 
 def _cross_pairs(batches, similarity: float):
-    """Rows (token, at, a, n, pos, bits, root, block) sorted by token and ``at``, a pair of blocks of the
-    group -> pairs (a, b) of sets that are not joined yet and whose bitmaps allow the similarity."""
+    """Rows (token, at, a, n, pos, bits, prefix, root, block) sorted by token and ``at``, a pair of blocks of
+    the group -> pairs (a, b) of sets that are not joined yet and whose bitmaps allow the similarity. Two
+    sets of which ``prefix`` has a rarer shingle in common have met in its group and are left out."""
     def groups(rows):
         return np.stack([_unsigned(rows, "token"), np.asarray(rows.column("at")).astype(np.uint64)], 1)
 
     for t in _whole_groups(batches, groups):
         cls, n, pos, root, block = (np.asarray(t.column(c)) for c in ("a", "n", "pos", "root", "block"))
         bits = t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(cls), -1)
+        prefix = t.column("prefix").combine_chunks()
         key = groups(t)
         cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
         for s, e in zip(cuts, np.append(cuts[1:], len(cls))):
+            rarer: dict[int, frozenset] = {}
+
+            def met(i, j):
+                for x in (i, j):
+                    if x not in rarer:
+                        rarer[x] = frozenset(prefix[x].values[:pos[x]].to_pylist())
+                return not rarer[i].isdisjoint(rarer[j])
+
             order = s + np.argsort(block[s:e], kind="stable")
             one = order[block[order] == block[order[0]]]
             other = order[len(one):]
@@ -461,6 +471,8 @@ def _cross_pairs(batches, similarity: float):
                     i, j = i[good], j[good]
                     good = _near_bitmaps(i, j, n, bits, similarity)
                     i, j = i[good], j[good]
+                    good = np.array([not met(x, y) for x, y in zip(i.tolist(), j.tolist())], bool)
+                    i, j = i[good], j[good]
                     if len(i):
                         yield pa.record_batch([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], ["a", "b"])
 
@@ -539,11 +551,11 @@ def similar_links(docs: DataFrame, rows: DataFrame, size: int, similarity: float
     mixed = large.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("_size"))
     mixed = mixed.where("lo <> hi").select("token", F.ceil(F.col("_size") / GROUP_ROWS).cast("int").alias("_k"))
     # a group goes out in blocks, each pair of blocks to a task of its own
-    open_rows = large.join(mixed, "token").join(sets.select(F.col("cls").alias("a"), "bits"), "a")
+    open_rows = large.join(mixed, "token").join(sets.select(F.col("cls").alias("a"), "bits", "prefix"), "a")
     open_rows = open_rows.withColumn("block", F.pmod(F.xxhash64("a"), F.col("_k")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_o")
     dealt = open_rows.select("*", other).withColumn(
-        "at", F.least("block", "_o") * F.col("_k") + F.greatest("block", "_o")).select("token", "at", "a", "n", "pos", "bits", "root", "block")
+        "at", F.least("block", "_o") * F.col("_k") + F.greatest("block", "_o")).select("token", "at", "a", "n", "pos", "bits", "prefix", "root", "block")
     crossed = dealt.repartition(n, "token", "at").sortWithinPartitions("token", "at").mapInArrow(
         lambda it: _cross_pairs(it, similarity), "a bigint, b bigint")
     rest = saved(crossed.distinct(), "pairs")
