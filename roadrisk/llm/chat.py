@@ -76,8 +76,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_mask) -> (conv_id, turns: array of (role, text), loss: array of
     texts), all from the formatted string."""
     d = formatted.withColumn("_p", F.expr(r"slice(split(formatted, ' </turn>\n'), 1, greatest(size(split(formatted, ' </turn>\n')) - 1, 0))"))
-    head = r"(?s)^### ((?:\\.|[^\\:])*): .*$"
-    role = F.transform("_p", lambda p: F.regexp_replace(p, head, "$1"))
+    # the first ": " that no backslash protects ends the role; escapes keep their length
+    role = F.transform("_p", lambda p: F.substring(
+        p, F.lit(len(OPEN) + 1), F.instr(F.regexp_replace(p, r"(?s)\\.", "xx"), COLON) - F.lit(len(OPEN) + 1)))
     d = d.withColumn("_r", role)
     turns = F.transform("_p", lambda p, i: F.struct(
         unescaped(F.get("_r", i)).alias("role"),

@@ -121,7 +121,9 @@ def op5_chat(spark, sf_dir):
 @query("op2_revisit", r"""
 WITH p AS (
   SELECT page_id, 1700000000 + page_id * 10 AS ts, '"' || md5(coalesce(html, '')) || '"' AS tag, length(coalesce(html, '')) AS n,
-    regexp_replace(lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://)?([^/?#@]*@)?([^/?#:]*)', 3)), '^www\.', '')
+    regexp_replace(lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://)?([^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 3)), '^www\.', '')
+    || CASE WHEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://)?([^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*):([0-9]+)', 4) IN ('', '80', '443') THEN ''
+         ELSE ':' || regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://)?([^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*):([0-9]+)', 4) END
     || regexp_replace(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://)?[^/?#]*([^?#]*)', 2), '/+$', '') AS base,
     list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'),
       lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|gclid|fbclid)(=.*)?$'))) AS q

@@ -18,13 +18,16 @@ KEPT_HEADERS = (
     "proxy-authentication-info", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
 TRACKING = r"^(utm_[^=]*|ref|gclid|fbclid)(=.*)?$"
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*://)?"
+HOST = r"([^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"  #: user, then a name or an address in brackets
 
 
 def canonical_url(url: str | Column) -> Column:
-    """Host in lower case without user, www. and port, path without closing slash, and the sorted
-    query without tracking parameters; no scheme and no fragment. NULL for NULL."""
+    """Host in lower case without user and www., its port but for 80 and 443, path without closing
+    slash, and the sorted query without tracking parameters; no scheme and no fragment. NULL for NULL."""
     u = F.col(url) if isinstance(url, str) else url
-    host = F.regexp_replace(F.lower(F.regexp_extract(u, SCHEME + r"([^/?#@]*@)?([^/?#:]*)", 3)), r"^www\.", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(u, SCHEME + HOST, 3)), r"^www\.", "")
+    port = F.regexp_extract(u, SCHEME + HOST + ":([0-9]+)", 4)
+    host = F.concat(host, F.when(port.isin("", "80", "443"), "").otherwise(F.concat(F.lit(":"), port)))
     path = F.regexp_replace(F.regexp_extract(u, SCHEME + r"[^/?#]*([^?#]*)", 2), "/+$", "")
     query = F.array_sort(F.filter(F.split(F.regexp_extract(u, r"\?([^#]*)", 1), "&"), lambda x: (x != "") & ~x.rlike(TRACKING)))
     return F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
@@ -43,7 +46,8 @@ def resolve(records: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
     ``no_validator`` if no validator stands in both; ``mismatch`` if the ETags differ (weakly
     compared) or, without a pair of ETags, the Last-Modified dates do. ``response_id`` names the
     candidate whatever the status; ``headers`` are merged only when resolved, else those of the
-    revisit. Other kinds of records are left out.
+    revisit. Other kinds of records are left out. Repeated revisits stay rows of their own; of responses
+    equal in ts and record_id any one is taken. Further columns are not read.
     """
     r = records.where(F.col("kind").isin("response", "revisit")).select(
         "record_id", "kind", canonical_url("url").alias("canonical_url"), "ts",

@@ -51,6 +51,13 @@ def test_round_trip_of_awkward_texts(spark):
     assert chat.render(chat.fold_events(chat.as_events(d.limit(0)))).count() == 0
 
 
+@pytest.mark.parametrize("role", ["r" * 200_000, ": " * 3000 + "\\", "\U0001f600\\" * 20_000, "\\\U0001f600: x", ":", " :"])
+def test_long_and_odd_roles(spark, role):
+    d = spark.createDataFrame([(1, 0, role, "text: one"), (1, 1, "assistant", ": two")], "conv_id bigint, turn bigint, role string, text string")
+    back = chat.read_back(chat.render(chat.fold_events(chat.as_events(d)))).first()
+    assert [(t["role"], t["text"]) for t in back["turns"]] == [(role, "text: one"), ("assistant", ": two")]
+
+
 def test_chat_query_hashes(spark):
     r = QUERIES["op5_chat"](spark, SMALL).where("conv_id = -7").first()
     t = "\\### Assistant: </turn> ok"
@@ -63,6 +70,8 @@ def test_canonical_urls(spark):
     pairs = [
         ("https://WWW.Example.com:443/a/b/?utm_source=x&b=2&a=1#top", "example.com/a/b?a=1&b=2"), ("http://example.com", "example.com"),
         ("example.com/a?ref=y", "example.com/a"), ("http://u:p@example.com/A/", "example.com/A"), ("", ""), (None, None),
+        ("http://h:8081/x", "h:8081/x"), ("http://h/x", "h/x"), ("https://h:8443/x", "h:8443/x"), ("http://h:80/x", "h/x"), ("https://u:1@h:443", "h"),
+        ("http://[::1]:8080/a/", "[::1]:8080/a"), ("http://[::1]/a", "[::1]/a"), ("h:/x", "h/x"),
     ]
     got = spark.createDataFrame([(a,) for a, _ in pairs], "u string").select("u", revisit.canonical_url("u").alias("c")).collect()
     assert {r["u"]: r["c"] for r in got} == dict(pairs)
@@ -106,3 +115,12 @@ def test_resolution_equals_brute_force(spark):
     assert got == brute(rows)
     assert {s for _, s, _ in got.values()} == {"resolved", "mismatch", "no_response", "no_validator"}
     assert revisit.resolve(d.limit(0)).count() == 0
+
+
+def test_repeated_records_and_further_columns(spark):
+    rows = [(1, "response", "http://h/x", 5, {"etag": "1", "age": "old"}), (1, "response", "http://h/x", 5, {"etag": "1", "age": "old"}),
+            (2, "revisit", "http://h:80/x", 9, {"etag": "1"}), (2, "revisit", "http://h/x", 9, {"etag": "1"}), (3, "revisit", "http://h:8081/x", 9, {"etag": "1"})]
+    d = spark.createDataFrame(rows, "record_id bigint, kind string, url string, ts bigint, headers map<string,string>").selectExpr(
+        "*", "'c' AS canonical_url", "1 AS status", "2 AS response_id", "3 AS _span")
+    got = sorted((r["record_id"], r["response_id"], r["status"]) for r in revisit.resolve(d).collect())
+    assert got == [(2, 1, "resolved"), (2, 1, "resolved"), (3, None, "no_response")]
