@@ -50,6 +50,37 @@ def _costs(tracks, comps):
     return np.where(((iou < 0.02) & (shift > 0.12)) | (far > 0.65), np.inf, cost)
 
 
+def frame_tracks(tracks, made, comps, skipped, max_missed):
+    """One frame: (live tracks, tracks made so far, components in order, frames without components
+    before) -> (live tracks, tracks made, [(component, track number, hits)]). Cheapest pairs first, ties
+    by track and component; new tracks for the rest."""
+    for t in tracks:
+        t["missed"] += skipped
+    tracks = [t for t in tracks if t["missed"] <= max_missed]
+    owner = [None] * len(comps)
+    if tracks:
+        cost = _costs(tracks, comps)
+        used = set()
+        i, j = np.nonzero(np.isfinite(cost))
+        number = np.array([t["id"] for t in tracks])
+        for k in np.lexsort((j, number[i], cost[i, j])):
+            if i[k] not in used and owner[j[k]] is None:
+                used.add(i[k])
+                owner[j[k]] = tracks[i[k]]
+    for t in tracks:
+        t["missed"] += 1
+    found = []
+    for n, comp in enumerate(comps):
+        if owner[n] is None:
+            made += 1
+            owner[n] = {"id": made, "hits": 0}
+            tracks.append(owner[n])
+        owner[n].update(box=(comp["x0"], comp["y0"], comp["x1"], comp["y1"]), cx=comp["cx"], cy=comp["cy"],
+                        depth=comp["depth_m"], hits=owner[n]["hits"] + 1, missed=0)
+        found.append((comp, owner[n]["id"], owner[n]["hits"]))
+    return [t for t in tracks if t["missed"] <= max_missed], made, found
+
+
 def track_components(components: DataFrame, max_missed=3) -> DataFrame:
     """Give each component a track: cheapest pairs first, new tracks for the rest.
 
@@ -67,33 +98,11 @@ def track_components(components: DataFrame, max_missed=3) -> DataFrame:
         at, last, tracks, made, out = None, None, [], 0, []
         for key, frame, comps in _by_frame(batches, ["trip_id", "stretch"]):
             if key != at:
-                at, tracks, made = key, [], 0
-            else:  # frames without components are misses
-                for t in tracks:
-                    t["missed"] += frame - last - 1
-                tracks = [t for t in tracks if t["missed"] <= max_missed]
+                at, last, tracks, made = key, frame - 1, [], 0
+            # frames without components are misses
+            tracks, made, found = frame_tracks(tracks, made, comps, frame - last - 1, max_missed)
             last = frame
-            owner = [None] * len(comps)
-            if tracks:
-                cost = _costs(tracks, comps)
-                used = set()
-                i, j = np.nonzero(np.isfinite(cost))
-                number = np.array([t["id"] for t in tracks])
-                for k in np.lexsort((j, number[i], cost[i, j])):
-                    if i[k] not in used and owner[j[k]] is None:
-                        used.add(i[k])
-                        owner[j[k]] = tracks[i[k]]
-            for t in tracks:
-                t["missed"] += 1
-            for n, comp in enumerate(comps):
-                if owner[n] is None:
-                    made += 1
-                    owner[n] = {"id": made, "hits": 0}
-                    tracks.append(owner[n])
-                owner[n].update(box=(comp["x0"], comp["y0"], comp["x1"], comp["y1"]), cx=comp["cx"], cy=comp["cy"],
-                                depth=comp["depth_m"], hits=owner[n]["hits"] + 1, missed=0)
-                out.append((key[0], key[1], frame, comp["ordinal"], owner[n]["id"], owner[n]["hits"]))
-            tracks = [t for t in tracks if t["missed"] <= max_missed]
+            out += [(key[0], key[1], frame, c["ordinal"], k, hits) for c, k, hits in found]
             if len(out) >= 4096:
                 yield pd.DataFrame(out, columns=["trip_id", "stretch", "frame_id", "ordinal", "local_id", "hits"])
                 out = []
@@ -139,6 +148,17 @@ def planar_step(state, t, z, speed, yaw, sigmas, gate=_GATE):
     return (t, x, p), d2 <= gate, d2
 
 
+PLANAR_FIELDS = ("accepted", "mahalanobis_squared", "forward_m", "lateral_m", "forward_mps", "lateral_mps", "horizon_s", "lateral_mean_m", "lateral_variance_m2")
+
+
+def planar_row(x, p, accepted, d2):
+    """PLANAR_FIELDS of a state: itself, and its lateral distribution at min(2 s, arrival)."""
+    arrive = float(x[0] / -x[2]) if x[2] < -0.3 else INF
+    row = np.array([0.0, 1.0, 0.0, min(2.0, arrive)])
+    ahead = row[3] >= 0
+    return (bool(accepted), float(d2), *map(float, x), arrive, float(row @ x) if ahead else None, float(row @ p @ row) if ahead else None)
+
+
 def planar_filter(obs: DataFrame, keys=("trip_id", "track_id")) -> DataFrame:
     """Filtered planar state per observation, with the lateral distribution at min(2 s, arrival).
 
@@ -150,8 +170,7 @@ def planar_filter(obs: DataFrame, keys=("trip_id", "track_id")) -> DataFrame:
                    "speed_mps", "yaw", s["forward"].alias("_s0"), s["lateral"].alias("_s1")).filter("_s0 is not null")
     frames = distance_filter_sessions(o.groupBy(*keys, "frame_id").agg(F.min("t_sec").alias("t_sec")), keys).drop("t_sec")
     o = spread(o.join(frames, [*keys, "frame_id"]), *keys, "session").sortWithinPartitions(*keys, "session", "frame_id", "ordinal")
-    names = ["accepted", "mahalanobis_squared", "forward_m", "lateral_m", "forward_mps", "lateral_mps", "horizon_s",
-             "lateral_mean_m", "lateral_variance_m2"]
+    names = list(PLANAR_FIELDS)
 
     def run(batches):
         at, state = None, None
@@ -163,11 +182,7 @@ def planar_filter(obs: DataFrame, keys=("trip_id", "track_id")) -> DataFrame:
                     at, state = now, None
                 yaw = None if r["yaw"] is None or math.isnan(r["yaw"]) else r["yaw"]
                 state, ok, d2 = planar_step(state, r["t_sec"], (r["forward_m"], r["lateral_m"]), r["speed_mps"], yaw, (r["_s0"], r["_s1"]))
-                x, p = state[1], state[2]
-                arrive = x[0] / -x[2] if x[2] < -0.3 else INF
-                row = np.array([0.0, 1.0, 0.0, min(2.0, arrive)])
-                horizon_ok = row[3] >= 0
-                out.append((ok, d2, *x, arrive, float(row @ x) if horizon_ok else None, float(row @ p @ row) if horizon_ok else None))
+                out.append(planar_row(state[1], state[2], ok, d2))
             cols = pd.DataFrame(out, columns=names)
             yield pd.concat([pdf[[*keys, "frame_id", "ordinal"]].reset_index(drop=True), cols], axis=1)
 

@@ -53,6 +53,9 @@ def test_one_event(spark):
 
 def test_stream_equals_batch(spark, tmp_path):
     from roadrisk.streaming.risk_stream import risk_events_stream, risk_states_stream
+    from roadrisk.streaming.state import ROCKSDB
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
     rnd = random.Random(8)
     rows = [(t, i, rnd.choice([1.0, 1.7, 2.5, INF]), rnd.random() > 0.05) for t in ("a", "b") for i in range(80)]
