@@ -73,3 +73,9 @@ DEFAULT_PRESET = "recommended"
 
 # --- our own choice: rows of a trip that one task handles at a time ---------
 SEGMENT_ROWS = 1024
+
+# fixed values: header of an annotation file, in its order
+ANNOTATION_HEADER = (
+    "frame_id", "track_id", "overlay_box_index", "depth_m", "candidate_ttc", "ground_truth_ttc", "ground_confidence", "closing_speed_mps", "motion_residual_m",
+    "yolo_matched_class", "yolo_matched_confidence", "iou", "semantic_score", "misses", "selected_center_x_norm", "selected_bottom_y_norm",
+    "selected_width_norm", "selected_height_norm", "is_gt_danger_frame", "label", "annotator_notes")

@@ -41,14 +41,15 @@ def error_episodes(df: DataFrame) -> DataFrame:
     """False-alarm and missed-danger episodes with the frame that shows each best.
 
     Neighbouring error frames at most two apart belong together. Input: trip_id, frame_id,
-    predicted_ttc, truth_ttc, union_source.
+    predicted_ttc, truth_ttc, union_source; with selected_track_id also the track selected then.
     """
+    extra = [c for c in ("selected_track_id",) if c in df.columns]
     p, t = is_danger("predicted_ttc"), is_danger("truth_ttc")
     err = df.withColumn("error_type", F.when(p & ~t, "FP").when(~p & t, "FN")).filter("error_type is not null")
     err = run_starts(err, ["trip_id", "error_type"], "frame_id", 1, "start_frame")
     keys = ["trip_id", "error_type", "start_frame"]
     lead = F.when(F.col("error_type") == "FP", F.col("predicted_ttc")).otherwise(F.col("truth_ttc"))
-    shown = F.min(F.struct(lead.alias("v"), F.col("frame_id").alias("f"), "predicted_ttc", "truth_ttc"))
+    shown = F.min(F.struct(lead.alias("v"), F.col("frame_id").alias("f"), "predicted_ttc", "truth_ttc", *extra))
     sources = err.groupBy(*keys, "union_source").agg(
         F.count(F.lit(1)).alias("n"), F.min("frame_id").alias("first"), F.max("frame_id").alias("last"),
         shown.alias("s"))
@@ -58,7 +59,7 @@ def error_episodes(df: DataFrame) -> DataFrame:
         F.min(F.struct(-F.col("n"), "first", "union_source"))["union_source"].alias("dominant_source"),
     ).select(*keys, "end_frame", "error_frames", "duration_s", F.col("s.f").alias("representative_frame"),
              F.col("s.predicted_ttc").alias("predicted_ttc"), F.col("s.truth_ttc").alias("truth_ttc"),
-             "dominant_source")
+             "dominant_source", *[F.col(f"s.{c}").alias(c) for c in extra])
 
 
 def lost_danger_episodes(df: DataFrame, kept="a_ttc", lost="b_ttc", truth="truth_ttc") -> DataFrame:

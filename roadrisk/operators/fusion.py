@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roadrisk.constants import CURRENT_GUARD, SEMANTIC_AXES
 from roadrisk.functions.geometry import guard_predicate
 from roadrisk.operators.scan import Monoid, scan
-from roadrisk.operators.sequence import SEG, seg_window, segmented
+from roadrisk.operators.sequence import SEG, seg_window, segmented, with_position
 
 KEEP = 0.6  # fixed value: weight of the past score
 _ROWS = 512  # keeps 0.6 ** -rows within the range of a double
@@ -79,25 +79,36 @@ def semantic_configs() -> list[tuple[str, float, int, float]]:
     ]
 
 
-def accepted_by_config(states: DataFrame, guard=CURRENT_GUARD) -> DataFrame:
-    """Guard-accepted candidates, once per semantic setting that keeps them.
+def config_minima(states: DataFrame, guard=CURRENT_GUARD) -> DataFrame:
+    """(trip_id, frame_id, minima): per frame the least TTC of guard-accepted candidates under the guard
+    alone (first) and under each semantic setting; NULL where a setting keeps none.
 
-    Config 0 is the guard alone; settings follow from 1. Only accepted rows are multiplied.
+    One pass over the candidates with partial minima; no candidate is multiplied by the settings.
     """
-    c = F.array(*[
-        F.struct(F.lit(i).alias("config_id"), F.lit(s).alias("s"), F.lit(m).alias("m"), F.lit(d).alias("d"))
-        for i, (_, s, m, d) in enumerate([("guard", -1.0, 0, 0.0), *semantic_configs()])
-    ])
-    rows = states.filter(guard_predicate(guard)).withColumn("_c", F.explode(c))
-    gone = suppressed(F.col("_c.s"), F.col("_c.m"), F.col("_c.d"))
-    return rows.filter(~gone).withColumn("config_id", F.col("_c.config_id")).drop("_c")
+    ttc = F.col("candidate_ttc")
+    least = [F.min(ttc)] + [F.min(F.when(~suppressed(s, m, d), ttc)) for _, s, m, d in semantic_configs()]
+    kept = states.filter(guard_predicate(guard)).groupBy("trip_id", "frame_id").agg(*[c.alias(f"_{i}") for i, c in enumerate(least)])
+    return kept.select("trip_id", "frame_id", F.array(*[f"_{i}" for i in range(len(least))]).alias("minima"))
 
 
-def fused_predictions(accepted: DataFrame, frames: DataFrame) -> DataFrame:
+def by_config(minima: DataFrame) -> DataFrame:
+    """(config_id, trip_id, frame_id, predicted_ttc) of the settings that keep a candidate of a frame."""
+    return minima.select("trip_id", "frame_id", F.posexplode("minima").alias("config_id", "predicted_ttc")).filter("predicted_ttc IS NOT NULL")
+
+
+def fused_predictions(minima: DataFrame, frames: DataFrame) -> DataFrame:
     """(config_id, trip_id, frame_id, predicted_ttc) for every frame and setting: the least TTC of the
     accepted candidates, infinite where there is none."""
-    ids = F.array(*[F.lit(i) for i in range(1 + len(semantic_configs()))])
-    least = accepted.groupBy("config_id", "trip_id", "frame_id").agg(F.min("candidate_ttc").alias("predicted_ttc"))
-    every = frames.select("trip_id", "frame_id", F.explode(ids).alias("config_id"))
-    return every.join(least, ["config_id", "trip_id", "frame_id"], "left").select(
-        "config_id", "trip_id", "frame_id", F.coalesce("predicted_ttc", F.lit(float("inf"))).alias("predicted_ttc"))
+    none = F.array_repeat(F.lit(float("inf")), 1 + len(semantic_configs()))
+    every = frames.select("trip_id", "frame_id").join(minima, ["trip_id", "frame_id"], "left")
+    filled = F.coalesce(F.transform("minima", lambda x: F.coalesce(x, F.lit(float("inf")))), none)
+    return every.select("trip_id", "frame_id", F.posexplode(filled).alias("config_id", "predicted_ttc"))
+
+
+def candidate_diagnostics(states: DataFrame, score_threshold, misses, fallback_depth_m, guard=CURRENT_GUARD) -> DataFrame:
+    """Why each candidate counts or not under one setting: its number in the trip (by frame, then
+    order), match, score, misses, whether semantics suppress it, and whether guard and semantics accept it."""
+    gone = suppressed(score_threshold, misses, fallback_depth_m)
+    n = with_position(states, ["trip_id"], ["frame_id", "ordinal"], name="candidate_idx")
+    return n.select("trip_id", "frame_id", "ordinal", "track_id", "candidate_idx", "depth_m", "matched", "score", "misses",
+                    gone.alias("suppressed"), (guard_predicate(guard) & ~gone).alias("accepted"))

@@ -63,6 +63,11 @@ def validate_submission(preds: DataFrame, expected_rows: int) -> DataFrame:
     return s.withColumn("valid", (F.col("rows") == expected_rows) & (F.col("bad_ids") + F.col("bad_times") + F.col("bad_ttc") == 0))
 
 
+TREE_FAN = 64        #: nodes of a hash tree under one parent
+TREE_LEVELS = 3      #: levels over the segments: trips of up to TREE_FAN ** (TREE_LEVELS + 1) segments have a bounded root
+NAME_DIGITS = 4      #: levels of the tree over units, by leading hex digits of the hash of their names
+
+
 def segment_hashes(df: DataFrame, text: Column, order="frame_id", unit="trip_id") -> DataFrame:
     """One hash per segment: at most SEGMENT_ROWS rows are ever joined into one text."""
     s = segmented(df.withColumn("_text", text), order)
@@ -70,38 +75,78 @@ def segment_hashes(df: DataFrame, text: Column, order="frame_id", unit="trip_id"
     return s.groupBy(unit, "_seg").agg(F.sha2(F.array_join(F.transform(rows, lambda r: r["t"]), "\n"), 256).alias("h"))
 
 
-def _hash_of(unit_rows, order):
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("h"))))
+def _joined(order, h="h"):
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(h).alias("h"))))
     return F.sha2(F.array_join(F.transform(rows, lambda r: r["h"]), "\n"), 256)
 
 
+def hash_tree(df: DataFrame, text: Column, order="frame_id", unit="trip_id") -> list[DataFrame]:
+    """The hash tree of each unit, level by level from its segments: (unit, node, h).
+
+    A node is the hash of its at most TREE_FAN children in order; the last table has one node (0) per
+    unit. No row ever holds the hashes of all segments of a unit.
+    """
+    levels = [segment_hashes(df, text, order, unit).withColumnRenamed("_seg", "node")]
+    for k in range(TREE_LEVELS):
+        levels.append(levels[-1].groupBy(unit, F.floor(F.col("node") / TREE_FAN).alias("up")).agg(_joined("node").alias("h")).withColumnRenamed("up", "node"))
+    levels.append(levels[-1].groupBy(unit).agg(_joined("node").alias("h")).select(unit, F.lit(0).cast("bigint").alias("node"), "h"))
+    return levels
+
+
+def root_of_units(units: DataFrame, unit="trip_id", h="h") -> DataFrame:
+    """One hash over all units, by a tree over the leading digits of the hashes of their names."""
+    d = units.select(F.sha2(unit, 256).alias("at"), unit, h)
+    d = d.groupBy(F.substring("at", 1, NAME_DIGITS).alias("at")).agg(_joined(unit, h).alias("h"))
+    for k in range(NAME_DIGITS - 1, -1, -1):
+        d = d.groupBy(F.substring("at", 1, k).alias("up")).agg(_joined("at").alias("h")).withColumnRenamed("up", "at")
+    return d.select("h")
+
+
+def differing_segments(a: DataFrame, b: DataFrame, text: Column, order="frame_id", unit="trip_id") -> DataFrame:
+    """Segments whose rows differ between two runs, or that one run lacks: (unit, segment, in_a, in_b).
+
+    The trees are compared from the roots down; only children of nodes that differ are looked at.
+    """
+    ta, tb = hash_tree(a, text, order, unit), hash_tree(b, text, order, unit)
+    open_ = None
+    for k, (x, y) in enumerate(zip(reversed(ta), reversed(tb))):
+        if open_ is not None:
+            parents = open_.select(F.col(unit).alias("_u"), F.col("node").alias("_p"))
+            up = F.lit(0) if k == 1 else F.floor(F.col("node") / TREE_FAN)
+            x, y = (d.join(parents, (F.col(unit) == F.col("_u")) & (up == F.col("_p")), "left_semi") for d in (x, y))
+        j = x.withColumnRenamed("h", "_a").join(y.withColumnRenamed("h", "_b"), [unit, "node"], "full")
+        open_ = j.filter(~F.col("_a").eqNullSafe(F.col("_b")))
+    return open_.select(unit, F.col("node").alias("segment"), F.col("_a").isNotNull().alias("in_a"), F.col("_b").isNotNull().alias("in_b"))
+
+
 def dataset_fingerprint(frames: DataFrame, text: Column, expected: int | None = None) -> DataFrame:
-    """Hash per trip and for all trips (ALL), from hashes of segments, then of trips; flags
-    duplicates, disorder (t_sec not rising with frame_id) and unexpected counts."""
-    per = segment_hashes(frames, text).groupBy("trip_id").agg(_hash_of("trip_id", "_seg").alias("h"))
+    """Hash per trip and for all trips (ALL), the roots of hash trees; flags duplicates, disorder
+    (t_sec not rising with frame_id) and unexpected counts."""
+    per = hash_tree(frames, text)[-1].drop("node")
     f = previous(frames.select("trip_id", "frame_id", "t_sec"), ["trip_id"], ["frame_id"], {"_t": "t_sec", "_f": "frame_id"})
     flags = f.groupBy("trip_id").agg(
         F.count(F.lit(1)).alias("frames"), F.count_if(F.col("_f") == F.col("frame_id")).alias("duplicates"),
         F.count_if(F.col("t_sec") <= F.col("_t")).alias("disorder"))
     out = per.join(flags, "trip_id")
-    total = out.agg(_hash_of(None, "trip_id").alias("h"), F.sum("frames").alias("frames"), F.sum("duplicates").alias("duplicates"),
-                    F.sum("disorder").alias("disorder")).select(F.lit("ALL").alias("trip_id"), "h", "frames", "duplicates", "disorder")
+    total = out.agg(F.sum("frames").alias("frames"), F.sum("duplicates").alias("duplicates"), F.sum("disorder").alias("disorder")).join(
+        root_of_units(per)).select(F.lit("ALL").alias("trip_id"), "h", "frames", "duplicates", "disorder")  # one row beside one row
     out = out.unionByName(total)
     wrong = F.lit(False) if expected is None else (F.col("trip_id") != "ALL") & (F.col("frames") != expected)
     return out.withColumnRenamed("h", "fingerprint").withColumn("wrong_count", wrong)
 
 
 def submission_manifest(preds: DataFrame, line: Column) -> DataFrame:
-    """Rows, danger frames and content hash per trip."""
-    h = segment_hashes(preds, line).groupBy("trip_id").agg(_hash_of("trip_id", "_seg").alias("content_hash"))
+    """Rows, danger frames and content hash (root of the hash tree) per trip."""
+    h = hash_tree(preds, line)[-1].select("trip_id", F.col("h").alias("content_hash"))
     return preds.groupBy("trip_id").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(is_danger("predicted_ttc")).alias("danger_frames")).join(h, "trip_id")
 
 
-def trip_inventory(frames: DataFrame, classes: DataFrame | None = None) -> DataFrame:
-    """One row per trip: size, continuity, time steps, duration, severity counts, class counts.
+def trip_inventory(frames: DataFrame, classes: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+    """One row per trip: size, continuity, time steps, duration, severity counts, class counts, events.
 
-    frames: trip_id, frame_id, t_sec, min_ttc. classes: trip_id, class_name per target.
+    frames: trip_id, frame_id, t_sec, min_ttc. classes: trip_id, class_name per target. events: trip_id,
+    event_no, type (NULL: unknown) per entry of the trip's event log, listed in its order.
     """
     p = previous(frames.select("trip_id", "frame_id", "t_sec", "min_ttc"), ["trip_id"], ["frame_id"], {"_t": "t_sec"})
     p = p.withColumn("step", F.col("t_sec") - F.col("_t"))
@@ -124,6 +169,10 @@ def trip_inventory(frames: DataFrame, classes: DataFrame | None = None) -> DataF
         n = classes.groupBy("trip_id", "class_name").agg(F.count(F.lit(1)).alias("n"))
         parts = F.array_sort(F.collect_list(F.concat_ws(":", "class_name", "n")))
         out = out.join(n.groupBy("trip_id").agg(F.array_join(parts, ";").alias("target_classes")), "trip_id", "left")
+    if events is not None:  # an event log is one array of a trip document
+        e = F.array_sort(F.collect_list(F.struct("event_no", F.coalesce("type", F.lit("unknown")).alias("type"))))
+        log = events.groupBy("trip_id").agg(F.count(F.lit(1)).alias("n_events"), F.array_join(F.transform(e, lambda x: x["type"]), ";").alias("event_types"))
+        out = out.join(log, "trip_id", "left").na.fill(0, ["n_events"]).na.fill("", ["event_types"])
     return out
 
 
@@ -131,7 +180,8 @@ def audit_anomalies(inv: DataFrame, expected_trips: DataFrame | None = None) ->
     """ERROR and WARN rows from an inventory.
 
     Optional columns widen the checks: modality counts ``*_count``, description_s, split,
-    all_zero_images, fx, baseline_m (expected 320.0 and 0.3).
+    all_zero_images, invalid_images, image_size (expected 640x360; NULL or empty: not known), fx,
+    baseline_m (expected 320.0 and 0.3).
     """
     def row(sev, cat, cond, detail):
         return F.when(F.coalesce(cond, F.lit(False)), F.struct(
@@ -149,6 +199,10 @@ def audit_anomalies(inv: DataFrame, expected_trips: DataFrame | None = None) ->
         rows.append(row("ERROR", "redaction", (F.col("split") == "scored") & (F.col("finite_truth") > 0), F.col("finite_truth")))
     if "all_zero_images" in has:
         rows.append(row("WARN", "depth_all_zero", F.col("all_zero_images") > 0, F.col("all_zero_images")))
+    if "invalid_images" in has:
+        rows.append(row("ERROR", "image_decode", F.col("invalid_images") > 0, F.col("invalid_images")))
+    if "image_size" in has:
+        rows.append(row("ERROR", "image_size", (F.col("image_size") != "") & (F.col("image_size") != f"{IMAGE_WIDTH}x{IMAGE_HEIGHT}"), F.col("image_size")))
     for c, want in (("fx", 320.0), ("baseline_m", 0.3)):
         if c in has:
             rows.append(row("ERROR", "calibration", F.col(c).isNull() | (F.abs(F.col(c) - want) > abs(want) * 1e-6), F.col(c)))

@@ -139,3 +139,8 @@ def blocked_folds(df: DataFrame, n=4, keys=("trip_id",), order=("frame_id",)) ->
     fold = F.when(i < long_rows, F.floor(i / (size + 1))).otherwise(
         extra + F.floor((i - long_rows) / F.greatest(size, F.lit(1))))
     return p.withColumn("fold", (fold + 1).cast("bigint")).drop("_n", "position")
+
+
+def screening_frames(df: DataFrame, truth="truth_ttc", near_s=3.0, every=15) -> DataFrame:
+    """Frames worth a look: those with a true TTC below ``near_s``, and a regular grid of the others."""
+    return df.filter(F.coalesce(F.col(truth) < near_s, F.lit(False)) | (F.col("frame_id") % every == 0))

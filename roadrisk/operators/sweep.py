@@ -206,9 +206,8 @@ def add_to_base(frames: DataFrame, deltas: DataFrame, configs: int, truth="truth
     return scores_from_sums(j)
 
 
-def semantic_sweep(accepted: DataFrame, frames: DataFrame, configs: int, truth="truth_ttc") -> DataFrame:
-    """Scores per (config_id, trip_id) of accepted candidates that carry a config_id."""
-    least = accepted.groupBy("config_id", "trip_id", "frame_id").agg(F.min("candidate_ttc").alias("predicted_ttc"))
+def semantic_sweep(least: DataFrame, frames: DataFrame, configs: int, truth="truth_ttc") -> DataFrame:
+    """Scores per (config_id, trip_id) of the least TTCs (config_id, trip_id, frame_id, predicted_ttc)."""
     return add_to_base(frames, sweep_deltas(least, frames, truth), configs, truth)
 
 

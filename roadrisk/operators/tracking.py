@@ -18,6 +18,7 @@ from roadrisk.functions import geometry as G
 from roadrisk.operators.association import KEYS
 from roadrisk.operators.lineage import spread
 from roadrisk.operators.motion import distance_filter_sessions
+from roadrisk.operators.scoring import select_min_ttc
 from roadrisk.operators.sequence import run_starts, running_total
 
 
@@ -242,6 +243,24 @@ def fail_closed(frames: DataFrame, degraded, ttc="ttc") -> DataFrame:
     return f.withColumns({"degraded": degraded, ttc: F.when(degraded, F.lit(INF)).otherwise(F.col(ttc))})
 
 
+def classical_choice(tracks: DataFrame, frames: DataFrame, low_ego_speed=0.0, low_ego_closing=0.3, normal_closing=0.3) -> DataFrame:
+    """The track chosen per frame when slow own motion asks for faster closing: ttc, track_id,
+    confidence, closing_mps, and raw_ttc, which the usual least closing speed would give.
+
+    tracks as for ``select_min_ttc``; frames: trip_id, frame_id, speed_mps. At up to ``low_ego_speed``
+    (0: never) a track must close at ``low_ego_closing``. Frames without a choice have infinite TTCs.
+    Limits of confidence, speed, depth and residual are fixed values.
+    """
+    f = frames.select(*KEYS, "speed_mps")
+    slow = (F.lit(low_ego_speed) > 0) & (F.col("speed_mps") <= low_ego_speed)
+    t = tracks.join(f, KEYS).withColumn("_least", F.when(slow, F.lit(low_ego_closing)).otherwise(F.lit(normal_closing)))
+    limits = dict(min_confidence=0.75, max_closing=20.0, max_depth=20.0, max_residual=0.8)
+    chosen = select_min_ttc(t, min_closing=F.col("_least"), **limits)
+    raw = select_min_ttc(t, min_closing=normal_closing, **limits).select(*KEYS, F.col("ttc").alias("raw_ttc"))
+    j = f.join(chosen, KEYS, "left").join(raw, KEYS, "left")
+    return j.withColumns({c: F.coalesce(c, F.lit(INF)) for c in ("ttc", "raw_ttc")}).withColumn("low_ego", F.coalesce(slow, F.lit(False))).drop("speed_mps")
+
+
 def union_gates(df: DataFrame, low_ego_floor=None, low_ego_speed=2.0, filter_gate=False, path_gate=False,
                 turn_accel=0.0, turn_min_iou=0.0) -> DataFrame:
     """Optional gates on classical danger, in order; each rewrites ttc and source (fixed values).

@@ -247,5 +247,4 @@ def _(t):
 
 @query("screening_filter", "SELECT trip_id, frame_id, min_ttc AS truth_ttc FROM frames WHERE min_ttc < 3 OR frame_id % 15 = 0", "truth_ttc")
 def _(t):
-    # the operator itself: near frames and a regular grid of the others
-    return truth(t).filter((F.col("truth_ttc") < 3.0) | (F.col("frame_id") % 15 == 0))
+    return P.screening_frames(truth(t))

@@ -54,11 +54,12 @@ SELECT_FINAL i.trip_id, i.error_type, min(frame_id) AS start_frame, max(frame_id
  arg_min(frame_id, (CASE WHEN i.error_type = 'FP' THEN predicted_ttc ELSE truth_ttc END, frame_id)) AS representative_frame,
  arg_min(predicted_ttc, (CASE WHEN i.error_type = 'FP' THEN predicted_ttc ELSE truth_ttc END, frame_id)) AS predicted_ttc,
  arg_min(truth_ttc, (CASE WHEN i.error_type = 'FP' THEN predicted_ttc ELSE truth_ttc END, frame_id)) AS truth_ttc,
+ arg_min(frame_id % 7 + 1, (CASE WHEN i.error_type = 'FP' THEN predicted_ttc ELSE truth_ttc END, frame_id)) AS selected_track_id,
  min(src.union_source) AS dominant_source
 FROM i JOIN src ON i.trip_id = src.trip_id AND i.error_type = src.error_type AND i.island = src.island AND src.rn = 1
 GROUP BY i.trip_id, i.error_type, i.island""", "duration_s predicted_ttc truth_ttc")
 def _(t):
-    return E.error_episodes(union_predictions(t))
+    return E.error_episodes(union_predictions(t).withColumn("selected_track_id", F.col("frame_id") % 7 + 1))
 
 
 @query("lost_danger_episodes", runs_sql(

@@ -143,6 +143,19 @@ def _(t):
     return R.fail_closed(f, F.col("k") % 101 == 0).select(T, FR, "degraded", "ttc", "reset_group")
 
 
+_LIMITS = "confidence >= 75e-2 AND closing_mps <= 20 AND depth_m <= 20 AND residual_m <= 8e-1 AND isfinite(candidate_ttc)"
+_LEAST = "CASE WHEN speed_mps <= 6 THEN 45e-1 ELSE 3e-1 END"
+
+
+@query("classical_choice", f"""WITH c AS (SELECT c.*, f.speed_mps FROM candidates c JOIN frames f ON f.trip_id = c.trip_id AND f.frame_id = c.frame_id WHERE {_LIMITS}),
+ a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trip_id, frame_id ORDER BY candidate_ttc, ordinal) AS rn FROM c WHERE closing_mps >= {_LEAST}) WHERE rn = 1),
+ r AS (SELECT trip_id, frame_id, min(candidate_ttc) AS raw_ttc FROM c WHERE closing_mps >= 3e-1 GROUP BY trip_id, frame_id)
+SELECT_FINAL f.trip_id, f.frame_id, a.candidate_ttc AS ttc, a.track_id, a.confidence, a.closing_mps, r.raw_ttc, f.speed_mps <= 6 AS low_ego FROM frames f LEFT JOIN a ON a.trip_id = f.trip_id AND a.frame_id = f.frame_id
+LEFT JOIN r ON r.trip_id = f.trip_id AND r.frame_id = f.frame_id""", "ttc confidence closing_mps raw_ttc")
+def _(t):
+    return R.classical_choice(t.candidates, t.frames, 6.0, 4.5)
+
+
 @query("union_gates")
 def _(t):
     e = A.best_iou_match(evidence(t), updates(t), 0.30)

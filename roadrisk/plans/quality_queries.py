@@ -13,6 +13,7 @@ from roadrisk.plans import event_queries as EQ
 from roadrisk.plans import sqltext as Q
 from roadrisk.plans.inputs import detections, measured, observations, union_predictions, variant_predictions
 from roadrisk.plans.registry import query
+from roadrisk.sources import readers as SR
 from roadrisk.sources import writers as W
 
 T, FR = "trip_id", "frame_id"
@@ -80,20 +81,42 @@ def _(t):
 LINE = "concat_ws(',', frame_id, printf('%.3f', t_sec), CASE WHEN isfinite(predicted_ttc) THEN printf('%.6f', predicted_ttc) ELSE 'inf' END)"
 
 
-def seg_sql(src, line):
-    return f"""seg AS (SELECT trip_id, frame_id // 1024 AS s, sha256(string_agg({line}, chr(10) ORDER BY frame_id)) AS h FROM {src} GROUP BY trip_id, frame_id // 1024),
- th AS (SELECT trip_id, sha256(string_agg(h, chr(10) ORDER BY s)) AS h FROM seg GROUP BY trip_id)"""
+def seg_sql(src, line, p=""):
+    def up(name, below, node, at):
+        return f"{p}{name} AS (SELECT trip_id, {node} AS s, sha256(string_agg(h, chr(10) ORDER BY s)) AS h FROM {p}{below} GROUP BY {at})"
 
+    levels = [up(f"l{k + 1}", "seg" if k == 0 else f"l{k}", "s // 64", "trip_id, s // 64") for k in range(3)] + [up("th", "l3", "0", "trip_id")]
+    return f"""{p}seg AS (SELECT trip_id, frame_id // 1024 AS s, sha256(string_agg({line}, chr(10) ORDER BY frame_id)) AS h FROM {src} GROUP BY trip_id, frame_id // 1024),
+ {', '.join(levels)}"""
 
-@query("dataset_fingerprint", f"""WITH {seg_sql("(SELECT *, min_ttc AS predicted_ttc FROM frames)", LINE)},
+
+ROOT = """d4 AS (SELECT substr(sha256(trip_id), 1, 4) AS g, sha256(string_agg(h, chr(10) ORDER BY trip_id)) AS h FROM th GROUP BY 1),
+ """ + ", ".join(f"d{k} AS (SELECT substr(g, 1, {k}) AS g, sha256(string_agg(h, chr(10) ORDER BY g)) AS h FROM d{k + 1} GROUP BY 1)" for k in (3, 2, 1, 0))
+
+
+@query("dataset_fingerprint", f"""WITH {seg_sql("(SELECT *, min_ttc AS predicted_ttc FROM frames)", LINE)}, {ROOT},
  c AS (SELECT trip_id, count(*) AS frames, count(*) FILTER (WHERE f = frame_id) AS duplicates, count(*) FILTER (WHERE t_sec <= t) AS disorder FROM (SELECT *, lag(frame_id) OVER w AS f, lag(t_sec) OVER w AS t FROM frames WINDOW w AS (PARTITION BY trip_id ORDER BY frame_id)) GROUP BY trip_id)
 SELECT_FINAL c.trip_id, h AS fingerprint, frames, duplicates, disorder, frames <> 1800 AS wrong_count FROM c JOIN th ON th.trip_id = c.trip_id
-UNION ALL SELECT 'ALL', (SELECT sha256(string_agg(h, chr(10) ORDER BY trip_id)) FROM th), CAST(sum(frames) AS BIGINT), CAST(sum(duplicates) AS BIGINT), CAST(sum(disorder) AS BIGINT), false FROM c""")
+UNION ALL SELECT 'ALL', (SELECT h FROM d0), CAST(sum(frames) AS BIGINT), CAST(sum(duplicates) AS BIGINT), CAST(sum(disorder) AS BIGINT), false FROM c""")
 def _(t):
     text = F.concat_ws(",", FR, F.format_string("%.3f", "t_sec"), X.ttc_text("min_ttc"))
     return C.dataset_fingerprint(t.frames, text, 1800)
 
 
+# two runs: the second has other TTCs in some frames and lacks the frames from 900 on in some trips
+RUN_A = "(SELECT trip_id, frame_id, t_sec, min_ttc AS predicted_ttc FROM frames)"
+RUN_B = """(SELECT trip_id, frame_id, t_sec, CASE WHEN k % 1999 = 5 THEN 125e-2 ELSE min_ttc END AS predicted_ttc FROM frames WHERE NOT (trip_id IN ('T1', 'T4') AND frame_id >= 900))"""
+
+
+@query("differing_segments", f"""WITH {seg_sql(RUN_A, LINE, 'a')}, {seg_sql(RUN_B, LINE, 'b')}
+SELECT_FINAL coalesce(a.trip_id, b.trip_id) AS trip_id, coalesce(a.s, b.s) AS segment, a.h IS NOT NULL AS in_a, b.h IS NOT NULL AS in_b FROM aseg a FULL JOIN bseg b ON a.trip_id = b.trip_id AND a.s = b.s WHERE a.h IS DISTINCT FROM b.h""")
+def _(t):
+    line = F.concat_ws(",", FR, F.format_string("%.3f", "t_sec"), X.ttc_text("predicted_ttc"))
+    a = t.frames.withColumnRenamed("min_ttc", "predicted_ttc")
+    b = a.withColumn("predicted_ttc", F.when(F.col("k") % 1999 == 5, 1.25).otherwise(F.col("predicted_ttc"))).filter("NOT (trip_id IN ('T1', 'T4') AND frame_id >= 900)")
+    return C.differing_segments(a, b, line)
+
+
 @query("submission_manifest", f"""WITH {seg_sql(Q.UNION, LINE)}
 SELECT_FINAL u.trip_id, count(*) AS "rows", count(*) FILTER (WHERE predicted_ttc < 2) AS danger_frames, any_value(h) AS content_hash FROM {Q.UNION} u JOIN th ON th.trip_id = u.trip_id GROUP BY u.trip_id""")
 def _(t):
@@ -126,12 +149,11 @@ def _(t):
 
 @query("explode_frames", """SELECT trip_id, frame_id, target_no, track_id, depth_m FROM (SELECT *, row_number() OVER (PARTITION BY trip_id, frame_id ORDER BY ordinal) - 1 AS target_no FROM candidates)""", "depth_m")
 def _(t):
-    # documents hold one segment of a trip each, frames with nested targets
+    # documents hold one segment of a trip each, frames with nested targets in order
     c = t.candidates.groupBy(T, FR).agg(F.array_sort(F.collect_list(F.struct("ordinal", "track_id", "depth_m"))).alias("targets"))
-    docs = c.groupBy(T, F.floor(F.col(FR) / 64).alias("part")).agg(F.collect_list(F.struct(FR, "targets")).alias("frames"))
-    f = docs.select(T, F.explode("frames").alias("f"))
-    return f.select(T, F.col("f.frame_id").alias(FR), F.posexplode("f.targets").alias("target_no", "t")).select(
-        T, FR, "target_no", "t.track_id", "t.depth_m")
+    frame = F.struct(FR, F.transform("targets", lambda x: F.struct(x["track_id"].alias("track_id"), x["depth_m"].alias("depth_m"))).alias("targets"))
+    docs = c.groupBy(T, F.floor(F.col(FR) / 64).alias("part")).agg(F.collect_list(frame).alias("frames"))
+    return SR.explode_targets(docs)
 
 
 INV = """SELECT f.trip_id, n_frames, first_id, last_id, contiguous, monotonic, step_median, step_min, step_max, duration_s, finite_truth, below_3s, below_2s, below_1_5s, danger_episodes, target_classes FROM (
@@ -152,19 +174,21 @@ def _(t):
     return inventory(t)
 
 
-@query("audit_anomalies", f"""WITH i AS (SELECT *, CASE WHEN trip_id = 'T1' THEN n_frames - 3 ELSE n_frames END AS left_count, CASE WHEN trip_id >= 'T4' THEN 'scored' ELSE 'practice' END AS split, 300e0 AS fx, CAST(30 AS BIGINT) AS description_s FROM ({INV}))
+@query("audit_anomalies", f"""WITH i AS (SELECT *, CASE WHEN trip_id = 'T1' THEN n_frames - 3 ELSE n_frames END AS left_count, CASE WHEN trip_id >= 'T4' THEN 'scored' ELSE 'practice' END AS split, 300e0 AS fx, CAST(30 AS BIGINT) AS description_s, CASE trip_id WHEN 'T2' THEN '320x180' WHEN 'T3' THEN '' ELSE '640x360' END AS image_size FROM ({INV}))
 SELECT_FINAL trip_id, 'ERROR' AS severity, 'timeline' AS category, 'ids or times not contiguous and rising' AS detail FROM i WHERE NOT (contiguous AND monotonic)
 UNION ALL SELECT trip_id, 'WARN', 'timestamp_step', printf('%.3f-%.3f', step_min, step_max) FROM i WHERE abs(step_min - 5e-2) > 1e-6 OR abs(step_max - 5e-2) > 1e-6
 UNION ALL SELECT trip_id, 'ERROR', 'modality_count', 'left_count=' || left_count FROM i WHERE left_count <> n_frames
 UNION ALL SELECT trip_id, 'WARN', 'metadata_description', CAST(description_s AS VARCHAR) FROM i WHERE abs(description_s - duration_s) > 1
 UNION ALL SELECT trip_id, 'ERROR', 'redaction', CAST(finite_truth AS VARCHAR) FROM i WHERE split = 'scored' AND finite_truth > 0
+UNION ALL SELECT trip_id, 'ERROR', 'image_size', image_size FROM i WHERE trip_id = 'T2'
 UNION ALL SELECT trip_id, 'ERROR', 'calibration', '300.0' FROM i
 UNION ALL SELECT DISTINCT trip_id, 'ERROR', 'missing_trip', '' FROM stream_frames""")
 def _(t):
     desc = X.description_seconds(F.lit("about 30s of road"))
     i = inventory(t).withColumns({
         "left_count": F.when(F.col(T) == "T1", F.col("n_frames") - 3).otherwise(F.col("n_frames")),
-        "split": F.when(F.col(T) >= "T4", "scored").otherwise("practice"), "fx": F.lit(300.0), "description_s": desc})
+        "split": F.when(F.col(T) >= "T4", "scored").otherwise("practice"), "fx": F.lit(300.0), "description_s": desc,
+        "image_size": F.when(F.col(T) == "T2", "320x180").when(F.col(T) == "T3", "").otherwise("640x360")})
     return C.audit_anomalies(i, t.stream_frames)
 
 

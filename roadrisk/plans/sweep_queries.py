@@ -128,11 +128,22 @@ SEM_SCORES = f"{SEM}, {SEM_CFG}, {SEM_HIT}, sc AS ({Q.scores(sweep_sums('sl', 's
 @query("semantic_fusion", f"""WITH {SEM}, {SEM_CFG}, {SEM_HIT}
 SELECT_FINAL c.config_id, f.trip_id, f.frame_id, p AS predicted_ttc FROM scfg c CROSS JOIN frames f LEFT JOIN sl ON sl.config_id = c.config_id AND f.trip_id = sl.trip_id AND f.frame_id = sl.frame_id""", "predicted_ttc")
 def _(t):
-    return M.fused_predictions(M.accepted_by_config(semantic(t)), t.frames)
+    return M.fused_predictions(M.config_minima(semantic(t)), t.frames)
+
+
+GUARD_SQL = f"""{CORRIDOR.format(top='1e-1', bottom='5e-1')} AND bottom_y >= 5e-1 AND height >= 5e-2 AND confidence >= 75e-2 AND closing_mps <= 20 AND depth_m <= 20
+  AND residual_m <= 8e-1 AND isfinite(candidate_ttc)"""
+
+
+@query("candidate_diagnostics", f"""WITH {SEM}
+SELECT_FINAL trip_id, frame_id, ordinal, track_id, row_number() OVER (PARTITION BY trip_id ORDER BY frame_id, ordinal) - 1 AS candidate_idx, depth_m, matched, score, misses, suppressed, {GUARD_SQL} AND NOT suppressed AS accepted
+FROM (SELECT *, depth_m > 5 AND score < 25e-2 AND misses >= 3 AS suppressed FROM st)""", "depth_m score")
+def _(t):
+    return M.candidate_diagnostics(semantic(t), 0.25, 3, 5.0)
 
 
 def semantic_scores(t):
-    return V.semantic_sweep(M.accepted_by_config(semantic(t)), truth(t), 1 + len(M.semantic_configs()))
+    return V.semantic_sweep(M.by_config(M.config_minima(semantic(t))), truth(t), 1 + len(M.semantic_configs()))
 
 
 @query("semantic_sweep", f"WITH {SEM_SCORES}\nSELECT_FINAL * FROM sc", Q.SCORE_DOUBLES)

@@ -43,6 +43,28 @@ TRACK_JSON = T.ArrayType(struct({
     "track_id": L, "bbox_xyxy": T.ArrayType(D), "depth_m": D, "depth_confidence": D,
     "accepted": B, "mahalanobis_squared": D, "corridor_occupancy_probability": D,
 }))
+MEASUREMENT_JSON = T.ArrayType(struct({"track_id": L, "timestamp": D, "depth_m": D, "center_x": D, "depth_sigma_m": D}))
+OBSERVATION_JSON = T.ArrayType(struct({"timestamp": D, "depth_m": D, "center_x": D, "depth_sigma_m": D}))
+# fixed values: columns of the evidence of one frame; TTC and JSON columns are text in the file
+_SELECTED = {
+    "selected_track_id": L, "selected_depth_m": D, "selected_motion_residual_m": D, "selected_observation_quality": D, "selected_depth_confidence": D,
+    "selected_lr_support": D, "selected_history_length": L, "selected_bbox_xyxy": S, "selected_observations_json": S}
+EVIDENCE_CSV = struct({
+    "frame_id": L, "timestamp": D, "input_degraded": B, "predicted_ttc": S, "classical_predicted_ttc": S, "classical_selection_confidence": D,
+    "classical_selected_closing_speed_mps": D, "experimental_classical_minimum_closing_speed_mps": D, "experimental_low_ego_gate_active": B,
+    "union_predicted_ttc": S, "union_source": S, "union_selection_confidence": D, "union_selected_closing_speed_mps": D, "raw_detections_json": S,
+    "ground_confidence": D, "detection_count": L, "depth_valid_component_count": L, "risk_track_count": L, "selection_confidence": D,
+    "selected_closing_speed_mps": D, "ego_speed_mps": D, "lateral_accel_mps2": D, "longitudinal_accel_mps2": D, "turn_association_gate_active": B,
+    "classical_selected_yolo_iou": D, "classical_track_measurements_json": S, "detector_track_measurements_json": S, "v2_shadow_updates_json": S,
+    "v2_event_to_ttc": S, "v2_event_match_iou": D, "v2_event_occupancy": D, "v2_event_low_occupancy_suppressed": B, "path_intersection_possible": B,
+    "path_lateral_separation_m": D, "uncapped_predicted_ttc": S, "uncapped_selection_confidence": D, "uncapped_selected_closing_speed_mps": D,
+    "uncapped_selected_track_id": L, **{f"{p}{k}": t for p in ("", "classical_", "union_") for k, t in _SELECTED.items()},
+})
+EVIDENCE_TTC = ("predicted_ttc", "classical_predicted_ttc", "union_predicted_ttc", "uncapped_predicted_ttc", "v2_event_to_ttc")
+EVIDENCE_JSON = {
+    "raw_detections_json": BOX_JSON, "v2_shadow_updates_json": TRACK_JSON, "classical_track_measurements_json": MEASUREMENT_JSON,
+    "detector_track_measurements_json": MEASUREMENT_JSON, **{f"{p}selected_observations_json": OBSERVATION_JSON for p in ("", "classical_", "union_")},
+    **{f"{p}selected_bbox_xyxy": T.ArrayType(L) for p in ("", "classical_", "union_")}}
 OBJECT = struct({
     "track_id": L, "object_type": S, "bbox_xyxy": T.ArrayType(D), "detection_confidence": D, "distance_m": D,
     "closing_speed_mps": D, "ttc_sec": D, "in_collision_corridor": B, "ttc_quality": D,

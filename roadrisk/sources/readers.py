@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadrisk import schemas
+from roadrisk.constants import ANNOTATION_HEADER
 from roadrisk.functions.geometry import box
 from roadrisk.functions.ttc import parse_ttc
 
@@ -50,6 +51,13 @@ def check_headers(spark: SparkSession, path: str, needed=PREDICTION_HEADER, allo
     return h.select("trip_id", "header", F.array_compact(F.array(*checks)).alias("errors"))
 
 
+def check_annotation_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(trip_id, header, errors) per annotation CSV: the header must be ANNOTATION_HEADER, in its order."""
+    d = check_headers(spark, path, ANNOTATION_HEADER, ANNOTATION_HEADER)
+    same = F.col("header") == ",".join(ANNOTATION_HEADER)
+    return d.withColumn("errors", F.when(same, F.col("errors")).when(F.size("errors") == 0, F.array(F.lit("order"))).otherwise(F.col("errors")))
+
+
 def _stem():
     """File name without folders and endings such as .csv or .json.gz."""
     return F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[A-Za-z]+)+$", 1)
@@ -106,12 +114,12 @@ def read_detections(spark: SparkSession, path: str, frame_offset: int = 0) -> Da
 
 
 def read_evidence(spark: SparkSession, path: str) -> DataFrame:
-    """Evidence CSVs: JSON columns become arrays, TTC columns numbers, the rest stays text."""
-    d = spark.read.option("header", True).option("escape", '"').csv(path)
-    kinds = {"raw_detections_json": schemas.BOX_JSON, "v2_shadow_updates_json": schemas.TRACK_JSON}
-    out = {c: F.from_json(c, t) for c, t in kinds.items() if c in d.columns}
-    out |= {c: parse_ttc(c, "lenient")["value"] for c in d.columns if c.endswith("predicted_ttc")}
-    return d.withColumns(out | {"frame_id": F.col("frame_id").cast("bigint"), "trip_id": _stem()})
+    """Evidence CSVs by column name with a fixed schema, NULL where a file has no such column: JSON
+    columns become arrays (NULL if not valid), TTC columns numbers (infinite where empty)."""
+    d = _csv(spark, path, schemas.EVIDENCE_CSV).drop("row_no")
+    out = {c: F.from_json(c, t) for c, t in schemas.EVIDENCE_JSON.items()}
+    out |= {c: parse_ttc(c, "lenient")["value"] for c in schemas.EVIDENCE_TTC}
+    return d.withColumns(out).withColumnRenamed("timestamp", "t_sec")
 
 
 def read_perception(spark: SparkSession, path: str) -> DataFrame:

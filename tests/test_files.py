@@ -76,3 +76,64 @@ def test_modality_prefix_is_literal(spark, tmp_path):
     for n in ("a.b12.png", "aXb13.png", "a.bno.png"):
         (tmp_path / n).write_bytes(b"x")
     assert [r["frame_id"] for r in R.list_modality_files(spark, str(tmp_path), ".png", "a.b").collect()] == [12]
+
+
+def test_evidence_has_a_fixed_schema(spark, tmp_path):
+    from roadrisk import schemas
+
+    (tmp_path / "T5.csv").write_text(
+        'union_predicted_ttc,frame_id,timestamp,raw_detections_json,selected_observations_json,union_selected_bbox_xyxy,note\n'
+        'inf,3,0.15,"[{""bbox_xyxy"":[1,2,3,4],""class_id"":2,""class_name"":""car"",""confidence"":0.5}]","[{""timestamp"":0.1,""depth_m"":9.5,""center_x"":4,""depth_sigma_m"":0.3}]","[1,2,3,4]",x\n'
+        '1.25,4,0.2,not json,[],,y\n')
+    d = R.read_evidence(spark, str(tmp_path))
+    assert set(d.columns) == {f.name for f in schemas.EVIDENCE_CSV.fields} - {"timestamp"} | {"t_sec", "trip_id"}
+    a, b = d.orderBy("frame_id").collect()
+    assert (a.trip_id, a.frame_id, a.t_sec, a.union_predicted_ttc, a.predicted_ttc) == ("T5", 3, 0.15, float("inf"), float("inf"))
+    assert a.raw_detections_json[0].class_name == "car" and a.selected_observations_json[0].depth_m == 9.5 and a.union_selected_bbox_xyxy == [1, 2, 3, 4]
+    assert (b.union_predicted_ttc, b.raw_detections_json, b.selected_observations_json, b.risk_track_count) == (1.25, None, [], None)
+
+
+def test_perception_lines(spark, tmp_path):
+    (tmp_path / "p.jsonl").write_text(
+        '{"schema_version":"v","trip_id":"T","frame_id":1,"status":"valid","objects":[{"track_id":7,"bbox_xyxy":[1,2,30,40]}],"min_ttc_sec":1.5}\n'
+        '{"trip_id":"T","frame_id":2,"status":"unknown","objects":[],"degraded_reasons":["frame_drop"]}\n')
+    a, b = R.read_perception(spark, str(tmp_path)).orderBy("frame_id").collect()
+    assert (a.box.x0, a.box.y1, a.min_ttc_sec, a.objects[0].track_id) == (1.0, 40.0, 1.5, 7)
+    assert b.box is None and b.degraded_reasons == ["frame_drop"] and b.min_ttc_sec is None
+
+
+def test_annotation_headers(spark, tmp_path):
+    from roadrisk.constants import ANNOTATION_HEADER
+
+    names = list(ANNOTATION_HEADER)
+    for stem, header in (("good", names), ("short", names[:-1]), ("turned", [names[1], names[0], *names[2:]]), ("more", [*names, "own"])):
+        (tmp_path / f"{stem}.csv").write_text(",".join(header) + "\n1\n")
+    got = {r.trip_id: list(r.errors) for r in R.check_annotation_headers(spark, str(tmp_path)).collect()}
+    assert got == {"good": [], "short": ["missing:annotator_notes"], "turned": ["order"], "more": ["extra:own"]}
+
+
+def test_inventory_lists_events(spark):
+    from roadrisk.operators.quality import audit_anomalies, trip_inventory
+
+    frames = spark.range(40).select(F.when(F.col("id") < 20, "a").otherwise("b").alias("trip_id"), (F.col("id") % 20).alias("frame_id"),
+                                    ((F.col("id") % 20) * 0.05).alias("t_sec"), F.lit(5.0).alias("min_ttc"))
+    events = spark.createDataFrame([("a", 1, "brake"), ("a", 0, "cut_in"), ("a", 2, None)], "trip_id string, event_no int, type string")
+    inv = trip_inventory(frames, events=events)
+    assert {r.trip_id: (r.n_events, r.event_types) for r in inv.collect()} == {"a": (3, "cut_in;brake;unknown"), "b": (0, "")}
+    bad = inv.withColumns({"image_size": F.when(F.col("trip_id") == "a", "640x480").otherwise("640x360"), "invalid_images": F.when(F.col("trip_id") == "b", 2).otherwise(0)})
+    assert {(r.trip_id, r.category, r.detail) for r in audit_anomalies(bad).collect()} == {("a", "image_size", "640x480"), ("b", "image_decode", "2")}
+
+
+def test_hash_tree_names_the_segments_that_differ(spark):
+    from roadrisk.operators import quality as C
+
+    a = spark.range(300_000).select(F.concat(F.lit("t"), F.col("id") % 3).alias("trip_id"), F.floor(F.col("id") / 3).alias("frame_id"), F.lit(1).alias("v"))
+    line = F.concat_ws(",", "frame_id", "v")
+    b = a.withColumn("v", F.when((F.col("trip_id") == "t1") & F.col("frame_id").isin(5, 70_000), 2).otherwise(F.col("v"))).filter("trip_id <> 't2' OR frame_id < 99000")
+    got = sorted((r.trip_id, r.segment, r.in_a, r.in_b) for r in C.differing_segments(a, b, line).collect())
+    # frames from 99,000 on lie in the segments from 96 on; the 97th is whole in neither
+    assert got == [("t1", 0, True, True), ("t1", 68, True, True), ("t2", 96, True, True), ("t2", 97, True, False)]
+    assert C.differing_segments(a, a.repartition(7), line).count() == 0
+    assert [t.count() for t in C.hash_tree(a, line)] == [3 * 98, 6, 3, 3, 3]
+    root = C.root_of_units(C.hash_tree(a, line)[-1]).first().h
+    assert root == C.root_of_units(C.hash_tree(a.repartition(5), line)[-1]).first().h != C.root_of_units(C.hash_tree(b, line)[-1]).first().h
