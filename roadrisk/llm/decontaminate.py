@@ -26,6 +26,8 @@ ITEM_BYTES = 1 << 21   #: items are searched in blocks of about so many bytes
 SLICE_BYTES = 1 << 21
 ALIGNED = 256          #: candidates aligned side by side, fewer of long items
 CELLS = 1 << 22        #: bytes of items and text that are padded at once
+PAIRS = 1 << 20        #: pairs of text and item q-grams that are listed at once
+LONG_RUN = 16          #: equal q-grams in a row from which a run is counted as a whole
 TABLE_BITS = 20
 PAD = 256
 
@@ -66,16 +68,20 @@ class Index:
     item: np.ndarray
     offset: np.ndarray
     table: np.ndarray
+    runs: np.ndarray     # where runs of neighbouring postings of one hash and item begin, and the end
+    first_run: np.ndarray  # runs of each hash
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # items of fewer than q bytes by length: packed bytes, items
 
 
 def index_of(items: list[tuple[int, str | None]], edit_share: float = EDIT_SHARE) -> Index:
-    """Index of one block of (item_id, text). Items of fewer than q bytes match nothing."""
+    """Index of one block of (item_id, text). Items of fewer than q bytes match exactly, as whole words;
+    those without a word match nothing."""
     data, at = normalised(pa.array([t for _, t in items], pa.string()))
     size = np.diff(at)
     size = size - (data[np.maximum(at[1:] - 1, 0)] == 32) * (size > 0) if len(data) else size  # no space at the end
-    keep = np.flatnonzero(size >= Q)
+    keep = np.flatnonzero(size > 0)
     length = size[keep]
-    edits = np.minimum((edit_share * length).astype(int), length // Q - 1)
+    edits = np.maximum(np.minimum((edit_share * length).astype(int), length // Q - 1), 0)
     text, grams, item, offset = [], [], [], []
     for i, k in enumerate(keep):
         own = data[at[k]:at[k] + length[i]]
@@ -88,11 +94,91 @@ def index_of(items: list[tuple[int, str | None]], edit_share: float = EDIT_SHARE
     text = np.concatenate(text) if text else np.zeros(0, np.uint8)
     order = np.argsort(grams, kind="stable")
     distinct, first = np.unique(grams[order], return_index=True)
+    item, offset = item[order], offset[order]
+    begins = np.ones(len(item), bool)
+    begins[1:] = (grams[order][1:] != grams[order][:-1]) | (item[1:] != item[:-1]) | (offset[1:] != offset[:-1] + 1)
+    runs = np.flatnonzero(begins)
+    first = np.append(first, len(grams))
+    short = {}
+    for n in np.unique(length[length < Q]):
+        own = np.flatnonzero(length == n)
+        packed = _packed(data, at[keep[own]], n)
+        order = np.argsort(packed, kind="stable")
+        short[int(n)] = packed[order], own[order]
     table = np.zeros(1 << TABLE_BITS, bool)
     table[distinct >> np.uint32(32 - TABLE_BITS)] = True
     return Index(np.array([items[k][0] for k in keep], object), length, edits, length + 1 - Q * (edits + 1),
-                 1 << np.ceil(np.log2(edits + 1)).astype(int), text, np.cumsum(length) - length, distinct, np.append(first, len(grams)),
-                 item[order], offset[order], table)
+                 1 << np.ceil(np.log2(edits + 1)).astype(int), text, np.cumsum(length) - length, distinct, first,
+                 item, offset, table, np.append(runs, len(item)), np.searchsorted(runs, first), short)
+
+
+def _packed(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` bytes from each place on as one number."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(int(n)):
+        out = out << np.uint64(8) | data[at + k].astype(np.uint64)
+    return out
+
+
+def _short_matches(x: Index, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, end) of the items of fewer than q bytes that stand between spaces or ends of the text."""
+    rows, items, ends = [], [], []
+    if x.short and len(data):
+        begins = np.ones(len(data), bool)
+        begins[1:] = data[:-1] == 32
+        begins[at[:-1][at[:-1] < len(data)]] = True
+        start = np.flatnonzero(begins & (data != 32))
+        row = np.searchsorted(at, start, "right") - 1
+        stop = at[row + 1]
+        for n, (packed, own) in x.short.items():
+            good = start + n <= stop
+            s, r = start[good], row[good]
+            closed = (s + n == at[r + 1]) | (data[np.minimum(s + n, len(data) - 1)] == 32)
+            s, r = s[closed], r[closed]
+            v = _packed(data, s, n)
+            a, b = np.searchsorted(packed, v, "left"), np.searchsorted(packed, v, "right")
+            m = b - a
+            rows.append(np.repeat(r, m))
+            ends.append(np.repeat(s - at[r] + n, m))
+            items.append(own[np.repeat(a, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)])
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(v) if v else none for v in (rows, items, ends))
+
+
+class _Counts:
+    """Numbers by key, summed up whenever the list grows long."""
+
+    def __init__(self):
+        self.keys, self.counts, self.size = [], [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.size += len(keys)
+        if self.size > 4 * PAIRS:
+            k, c = self.total()
+            self.keys, self.counts = [k], [c]
+            self.size = 0  # what is left are distinct bands, which the text bounds
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.keys:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, at = np.unique(np.concatenate(self.keys), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate(self.counts), len(keys)).astype(np.int64)
+
+
+def _bounded(n: np.ndarray):
+    """Ranges of places whose ``n`` add up to PAIRS at most, or single ones."""
+    upto, a = np.cumsum(n), 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, "right")))
+        yield a, b
+        a = b
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... (n of them) of each place, one after the other."""
+    return np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _candidates(x: Index, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,20 +193,51 @@ def _candidates(x: Index, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     row = np.searchsorted(at, pos, "right") - 1
     real = (x.grams[g] == h) & (pos + Q <= at[row + 1])  # a q-gram lies inside one text
     pos, g, row = pos[real], g[real], row[real]
+    pos, span = pos - at[row], int(x.length.max())
+    shift = span + 2 * int(x.band.max())  # makes diagonals positive
+    bands = (int(pos.max(initial=0)) + shift + span) // int(x.band.min()) + 2
+    counts = _Counts()
+
+    def put(row, item, k, n):
+        key = (row * len(x.ids) + item) * bands + k
+        counts.add(np.concatenate([key, key - 1]), np.concatenate([n, n]))  # bands overlap by half
+
+    # runs of one q-gram (rules, dots) meet runs of postings: the pairs on each band follow from their lengths
+    new = np.ones(len(pos), bool)
+    new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1)
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(pos)))
+    long_ = np.flatnonzero(size >= LONG_RUN)
+    n = x.first_run[g[begin[long_]] + 1] - x.first_run[g[begin[long_]]]
+    for a, b in _bounded(n):
+        to = _spread(x.first_run[g[begin[long_[a:b]]]], n[a:b])
+        at_, la = np.repeat(begin[long_[a:b]], n[a:b]), np.repeat(size[long_[a:b]], n[a:b])
+        item, c, lb = x.item[x.runs[to]], x.offset[x.runs[to]], x.runs[to + 1] - x.runs[to]
+        low = pos[at_] - (c + lb - 1) + shift
+        w = x.band[item]
+        m = (low + la + lb - 2) // w - low // w + 1
+        for d, e in _bounded(m):
+            k = _spread(low[d:e] // w[d:e], m[d:e])
+            lo, wide, one, other, it, r = (np.repeat(v[d:e], m[d:e]) for v in (low, w, la, lb, item, row[at_]))
+
+            def upto(t, one=one, other=other):  # pairs (i, j) of the runs with i + j < t
+                f = lambda v: np.where(v > 0, v * (v + 1) // 2, 0)
+                return f(t) - f(t - one) - f(t - other) + f(t - one - other)
+
+            put(r, it, k, upto((k + 1) * wide - lo) - upto(np.maximum(k * wide - lo, 0)))
+    rest = np.flatnonzero(np.repeat(size < LONG_RUN, size))
+    pos, g, row = pos[rest], g[rest], row[rest]
     n = x.first[g + 1] - x.first[g]
-    to = np.repeat(x.first[g], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    item = x.item[to]
-    span = int(x.length.max())
-    diagonal = np.repeat(pos - at[row], n) - x.offset[to] + span + 2 * x.band[item]  # never negative
-    row = np.repeat(row, n)
-    k = diagonal // x.band[item]
-    bands = int(k.max(initial=0)) + 2
-    one = (row * len(x.ids) + item) * bands + k
-    key, count = np.unique(np.concatenate([one, one - 1]), return_counts=True)
+    for a, b in _bounded(n):
+        to = _spread(x.first[g[a:b]], n[a:b])
+        item = x.item[to]
+        diagonal = np.repeat(pos[a:b], n[a:b]) - x.offset[to] + shift
+        put(np.repeat(row[a:b], n[a:b]), item, diagonal // x.band[item], np.ones(len(to), np.int64))
+    key, count = counts.total()
     item = key // bands % len(x.ids)
     full = count >= x.bound[item]
     key, item = key[full], item[full]
-    return key // bands // len(x.ids), item, (key % bands) * x.band[item] - span - 2 * x.band[item]
+    return key // bands // len(x.ids), item, (key % bands) * x.band[item] - shift
 
 
 def _align(x: Index, data, at, row, item, low) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +281,9 @@ def matches(x: Index, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarr
     row, item, low = _candidates(x, data, at)
     edits, end = _align(x, data, at, row, item, low) if len(row) else (row, row)
     good = edits <= x.edits[item]
-    row, item, edits, end = row[good], item[good], edits[good], end[good]
+    more = _short_matches(x, data, at)
+    row, item, end = (np.concatenate([v[good], m]) for v, m in zip((row, item, end), more))
+    edits = np.concatenate([edits[good], np.zeros(len(more[0]), int)])
     order = np.lexsort((end, item, row))
     row, item, edits, end = row[order], item[order], edits[order], end[order]
     if not len(row):
@@ -195,9 +314,10 @@ def search(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE
     """``docs`` (doc_id, text), ``benchmark`` (item_id, text) -> (doc_id, item_id, edits, end_byte,
     item_bytes), one row per region of a document within the edit budget of an item.
 
-    ``end_byte`` counts in the comparable form of the text. NULL and empty texts, and items of
-    fewer than q bytes, match nothing; repeated rows and items give repeated rows. The whole
-    table is searched once for each block of items.
+    ``end_byte`` counts in the comparable form of the text. NULL and empty texts and items without a
+    word match nothing; items of fewer than q bytes match exactly and as whole words. Repeated rows and
+    items, also with one or a NULL id, give repeated rows; further columns are not read. The whole table
+    is searched once for each block of items.
     """
     kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     found = None

@@ -159,3 +159,74 @@ def test_index_is_not_padded_to_the_longest_item():
     texts = ["before " + items[i][1][:100] + "#" + items[i][1][101:] + " after" for i in (3, 200, 150)]
     row, item, edits, _ = decontaminate.matches(x, pa.array(texts))
     assert list(zip(row, x.ids[item], edits)) == [(0, 3, 1), (1, 200, 1), (2, 150, 1)]
+
+
+def plain_candidates(x, data, at):
+    """All pairs of equal q-grams, listed one by one and counted in overlapping bands."""
+    h = decontaminate.gram_hashes(data)
+    counts = {}
+    for r, (a, b) in enumerate(zip(at[:-1], at[1:])):
+        for p in range(a, b - decontaminate.Q + 1):
+            g = np.searchsorted(x.grams, h[p])
+            if g < len(x.grams) and x.grams[g] == h[p]:
+                for to in range(x.first[g], x.first[g + 1]):
+                    i = int(x.item[to])
+                    k = (p - a - int(x.offset[to])) // int(x.band[i])
+                    for low in (k, k - 1):
+                        counts[r, i, low * int(x.band[i])] = counts.get((r, i, low * int(x.band[i])), 0) + 1
+    return {key for key, n in counts.items() if n >= x.bound[key[1]]}
+
+
+def test_runs_are_counted_as_their_pairs(monkeypatch):
+    rng = random.Random(3)
+    sign = lambda: rng.choice("-=.ab") * rng.choice([1, 3, 9, 20, 60])
+    items = [(k, "".join(sign() for _ in range(6))) for k in range(6)] + [(7, "-" * 200), (8, "ab" * 40), (9, "x" + "-" * 30 + "y")]
+    texts = ["".join(sign() for _ in range(20)) for _ in range(12)] + ["-" * 500, "ab" * 150, "", "x" + "-" * 31 + "y", "-" * 19]
+    x = decontaminate.index_of(items)
+    data, at = decontaminate.normalised(pa.array(texts))
+    want = plain_candidates(x, data, at)
+    for pairs, run in ((1 << 20, 16), (50, 16), (1 << 20, 9), (7, 1000)):
+        monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+        monkeypatch.setattr(decontaminate, "LONG_RUN", run)
+        row, item, low = decontaminate._candidates(x, data, at)
+        # shifts may move the borders of bands; a band here and one there of which each holds the other's pairs
+        found = {(r, i, (v // int(x.band[i])) * int(x.band[i])) for r, i, v in zip(row.tolist(), item.tolist(), low.tolist())}
+        assert {(r, i) for r, i, _ in found} == {(r, i) for r, i, _ in want}
+        r2, i2, e2, _ = decontaminate.matches(x, pa.array(texts))
+        best = {}
+        for r, i, e in zip(r2.tolist(), i2.tolist(), e2.tolist()):
+            best[r, i] = min(e, best.get((r, i), 99))
+        for r, t in enumerate(texts):
+            for i, (_, own) in enumerate(items):
+                e = least_edits(normal(own), normal(t))
+                assert (best.get((r, i)) == e) if e <= x.edits[i] else ((r, i) not in best)
+
+
+def test_pages_of_one_sign_stay_small():
+    import tracemalloc
+
+    x = decontaminate.index_of([(1, "-" * 200), (2, "=-" * 60)])
+    tracemalloc.start()
+    row, item, edits, _ = decontaminate.matches(x, pa.array(["-" * 2_000_000, "=-" * 20_000]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(zip(row.tolist(), item.tolist())) == {(0, 0), (1, 1)} and peak < 600e6
+
+
+def test_short_items_match_as_words(spark):
+    items = [(1, "abcdefg"), (2, "ab"), (None, "AB"), (4, " "), (5, "a b"), (6, "é")]
+    texts = [(1, "abcdefg"), (2, "xab ab\nabx"), (3, "A  B"), (None, "é"), (5, "aé"), (6, ""), (7, None), (7, "ab"), (7, "ab")]
+    d = spark.createDataFrame(texts, "doc_id bigint, text string").selectExpr("*", "'x' AS item_id", "1 AS edits")
+    b = spark.createDataFrame(items, "item_id bigint, text string").selectExpr("*", "2 AS doc_id")
+    got = sorted((str(r["doc_id"]), str(r["item_id"]), r["edits"], r["end_byte"], r["item_bytes"]) for r in decontaminate.search(d, b).collect())
+    assert got == sorted([("1", "1", 0, 7, 7), ("2", "2", 0, 6, 2), ("2", "None", 0, 6, 2), ("3", "5", 0, 3, 3), ("None", "6", 0, 2, 2),
+                          *[("7", "2", 0, 2, 2), ("7", "None", 0, 2, 2)] * 2])
+
+
+def test_odd_rows_and_items_together(spark, odd):
+    items = spark.createDataFrame([(1, "same words in this text"), (1, "same words in this text"), (None, "no id here at all"), (3, None), (4, ""), (5, "?!"), (None, None)],
+                                  "item_id bigint, text string")
+    got = sorted((str(r["doc_id"]), str(r["item_id"])) for r in decontaminate.search(odd, items).collect())
+    assert got == sorted([*[(i, "1") for i in ("6", "7", "7") for _ in (0, 1)], ("None", "None"), ("4", "5")])
+    counted = decontaminate.with_match_count(odd, items, "source").collect()
+    assert len(counted) == odd.count() and sum(r["source"] for r in counted) == len(got)
