@@ -1,7 +1,7 @@
 """Small models over frame features: a source router and a threshold tree.
 
-Rows never leave the executors. Each round of the router sends back one short vector of sums
-per fold; each level of the tree sends back one split per node.
+Rows never leave the executors. Models of the router are rows of a table, one per fold; each level
+of the tree sends back one split per node.
 """
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadrisk.functions.ttc import inverse_ttc, is_danger, is_finite
+from roadrisk.operators.lineage import cut
 from roadrisk.operators.quality import leakage_guard
 from roadrisk.operators.quantiles import value_bucket
 from roadrisk.operators.scoring import danger_confusion, ttc_score
@@ -54,92 +55,137 @@ def training_rows(df: DataFrame) -> DataFrame:
     return df.filter(c != d).select("fold", x.alias("x"), (d == is_danger("truth_ttc")).cast("int").alias("y"))
 
 
-def _vector_sums(rows: DataFrame, make, spark_cols) -> dict[int, np.ndarray]:
-    """Sum the vectors that ``make(batch)`` yields per fold; a short vector per fold returns."""
-    parts = rows.mapInPandas(make, "fold int, v array<double>")
-    sums = parts.select("fold", F.posexplode("v").alias("i", "v")).groupBy("fold", "i").agg(F.sum("v").alias("v"))
-    out = sums.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("r")).select("fold", "r.v").collect()
-    return {r["fold"]: np.array(r["v"]) for r in out}
+_X = len(ROUTER_FEATURES)
+MODEL = "fold int, mean array<double>, scale array<double>, class_weights array<double>, weights array<double>, open boolean"
+ROUNDS_AT_ONCE = 64   #: folds of which a task holds the sums at once
 
 
-def fit_routers(rows: DataFrame, folds: list[int], l2=2.0, iterations=40) -> dict[int, dict]:
-    """Class-balanced logistic regression per fold, trained on the rows of the other folds.
+def _sums_by_fold(parts: DataFrame) -> DataFrame:
+    """(fold, v) of any number of tasks -> one vector per fold: (fold, v), added up entry by entry."""
+    return parts.select("fold", F.posexplode("v").alias("i", "v")).groupBy("fold", "i").agg(F.sum("v").alias("v")).groupBy("fold").agg(
+        F.array_sort(F.collect_list(F.struct("i", "v"))).alias("r")).select("fold", F.col("r.v").alias("v"))
 
-    ``rows`` (from ``training_rows``; cut it first) are read once per round for all folds; the
-    number of folds is small. Newton steps on standardised features, intercept unpenalised.
-    """
-    k = len(ROUTER_FEATURES)
 
+def _fold_moments(rows: DataFrame, folds: DataFrame) -> DataFrame:
+    """Count, positives, sums and sums of squares of the rows of the other folds: all rows less the own ones."""
     def moments(batches):
         for pdf in batches:
-            x, y, f = np.stack(pdf["x"]) if len(pdf) else np.empty((0, k)), pdf["y"].to_numpy(), pdf["fold"].to_numpy()
-            out = []
-            for fold in folds:
-                m = f != fold
-                out.append((fold, np.concatenate([[m.sum(), y[m].sum()], x[m].sum(0), (x[m] ** 2).sum(0)])))
+            x, y = np.stack(pdf["x"]) if len(pdf) else np.empty((0, _X)), pdf["y"].to_numpy(float)
+            f = pdf["fold"].to_numpy()
+            out = [(int(k), np.concatenate([[m.sum(), y[m].sum()], x[m].sum(0), (x[m] ** 2).sum(0)])) for k in np.unique(f) for m in [f == k]]
             yield pd.DataFrame(out, columns=["fold", "v"])
 
-    models = {}
-    for fold, v in _vector_sums(rows, moments, None).items():
-        n, pos = v[0], v[1]
-        if not 0 < pos < n:
-            raise ValueError(f"fold {fold}: training needs both classes")
-        mean = v[2:2 + k] / n
-        sd = np.sqrt(np.maximum(v[2 + k:] / n - mean ** 2, 0.0))
-        models[fold] = {"mean": mean, "scale": np.where(sd < 1e-6, 1.0, sd), "w": np.zeros(k + 1), "open": True,
-                        "weight": (n / (2 * (n - pos)), n / (2 * pos))}
-    ridge = np.diag([0.0] + [l2] * k)
-    for _ in range(iterations):
-        active = {f: m for f, m in models.items() if m["open"]}
-        if not active:
-            break
+    own = _sums_by_fold(rows.mapInPandas(moments, "fold int, v array<double>"))
+    total = _sums_by_fold(own.select(F.lit(-1).alias("fold"), "v")).select(F.col("v").alias("all"))
+    # one row of totals beside each fold; a fold without rows has nothing to take off
+    j = folds.join(own, "fold", "left").join(total, F.lit(True))
+    return j.select("fold", F.when(F.col("v").isNull(), F.col("all")).otherwise(F.zip_with("all", "v", lambda a, o: a - o)).alias("v"))
 
-        def step(batches):
+
+def _start(batches):
+    for pdf in batches:
+        out = []
+        for fold, v in zip(pdf["fold"], pdf["v"]):
+            v = np.asarray(v, float)
+            n, pos = round(v[0]), round(v[1])
+            if not 0 < pos < n:
+                raise ValueError(f"fold {fold}: training needs both classes")
+            mean = v[2:2 + _X] / n
+            sd = np.sqrt(np.maximum(v[2 + _X:] / n - mean ** 2, 0.0))
+            out.append((int(fold), mean, np.where(sd < 1e-6, 1.0, sd), np.array([n / (2 * (n - pos)), n / (2 * pos)]), np.zeros(_X + 1), True))
+        yield pd.DataFrame(out, columns=["fold", "mean", "scale", "class_weights", "weights", "open"])
+
+
+def _newton(l2: float):
+    ridge = np.diag([0.0] + [l2] * _X)
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                v, w = np.asarray(r["v"], float), np.asarray(r["weights"], float)
+                h = v[_X + 1:].reshape(_X + 1, _X + 1) + ridge + 1e-8 * np.eye(_X + 1)
+                delta = np.linalg.solve(h, v[:_X + 1] + ridge @ w)
+                out.append((int(r["fold"]), r["mean"], r["scale"], r["class_weights"], w - delta, bool(np.abs(delta).max() >= 1e-8)))
+            yield pd.DataFrame(out, columns=["fold", "mean", "scale", "class_weights", "weights", "open"])
+
+    return solve
+
+
+def _steps(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """Gradient and curvature of each open fold over the rows of the others: (fold, v). Rows meet the
+    models in blocks of folds, so that a task holds ROUNDS_AT_ONCE models, however many there are."""
+    rest = [m.asDict() for m in models.filter("open").select("fold", "mean", "scale", "class_weights", "weights").orderBy("fold").collect()]
+    small = [rest[i:i + ROUNDS_AT_ONCE] for i in range(0, len(rest), ROUNDS_AT_ONCE)]
+    parts = None
+    for group in small:
+        shared = rows.sparkSession.sparkContext.broadcast(group)  # ROUNDS_AT_ONCE short vectors
+
+        def step(batches, shared=shared):
+            ms = [(m["fold"], np.array(m["mean"]), np.array(m["scale"]), m["class_weights"], np.array(m["weights"])) for m in shared.value]
             for pdf in batches:
-                x, y, f = np.stack(pdf["x"]), pdf["y"].to_numpy(), pdf["fold"].to_numpy()
+                x, y, f = np.stack(pdf["x"]) if len(pdf) else np.empty((0, _X)), pdf["y"].to_numpy(float), pdf["fold"].to_numpy()
                 out = []
-                for fold, m in active.items():
+                for fold, mean, scale, cw, w in ms:
                     use = f != fold
-                    z = np.column_stack([np.ones(use.sum()), (x[use] - m["mean"]) / m["scale"]])
-                    p = 1.0 / (1.0 + np.exp(-np.clip(z @ m["w"], -30, 30)))
-                    c = np.where(y[use] == 1, m["weight"][1], m["weight"][0])
+                    z = np.column_stack([np.ones(use.sum()), (x[use] - mean) / scale])
+                    p = 1.0 / (1.0 + np.exp(-np.clip(z @ w, -30, 30)))
+                    c = np.where(y[use] == 1, cw[1], cw[0])
                     h = z.T @ (z * (c * p * (1 - p))[:, None])
-                    out.append((fold, np.concatenate([z.T @ (c * (p - y[use])), h.ravel()])))
+                    out.append((int(fold), np.concatenate([z.T @ (c * (p - y[use])), h.ravel()])))
                 yield pd.DataFrame(out, columns=["fold", "v"])
 
-        for fold, v in _vector_sums(rows, step, None).items():
-            m = models[fold]
-            h = v[k + 1:].reshape(k + 1, k + 1) + ridge + 1e-8 * np.eye(k + 1)
-            delta = np.linalg.solve(h, v[:k + 1] + ridge @ m["w"])
-            m["w"] = m["w"] - delta
-            m["open"] = float(np.abs(delta).max()) >= 1e-8
+        one = rows.mapInPandas(step, "fold int, v array<double>")
+        parts = one if parts is None else parts.unionByName(one)
+    return _sums_by_fold(parts)
+
+
+def fit_routers(rows: DataFrame, folds: DataFrame, l2=2.0, iterations=40) -> DataFrame:
+    """Class-balanced logistic regression per fold, trained on the rows of the other folds.
+
+    ``rows`` (from ``training_rows``; cut it first), ``folds`` (fold: int, one row each) -> one model a
+    row: fold, mean, scale, class_weights, weights (intercept first, on standardised features), open
+    (not converged). Moments are those of all rows less the own ones. Newton steps are solved on
+    the executors, a row each; the driver passes the open models (40 numbers each) on to the tasks in
+    blocks. The intercept is not penalised. A fold whose training rows have one class only is an error.
+    """
+    models = cut(_fold_moments(rows, folds.select(F.col("fold").cast("int"))).mapInPandas(_start, MODEL))
+    for _ in range(iterations):
+        if models.filter("open").isEmpty():
+            break
+        j = models.filter("open").join(_steps(rows, models), "fold")
+        models = cut(j.mapInPandas(_newton(l2), MODEL).unionByName(models.filter("NOT open")))
     return models
 
 
-def route(df: DataFrame, models: dict[int, dict]) -> DataFrame:
+def linear_form(models: DataFrame) -> DataFrame:
+    """(fold, bias, slopes): the models with the standardisation folded into the weights."""
+    slopes = F.zip_with(F.slice("weights", 2, _X), "scale", lambda w, s: w / s)
+    d = models.select("fold", F.col("weights")[0].alias("_w0"), slopes.alias("slopes"), "mean")
+    shift = F.aggregate(F.zip_with("slopes", "mean", lambda a, m: a * m), F.lit(0.0), lambda s, v: s + v)
+    return d.select("fold", (F.col("_w0") - shift).alias("bias"), "slopes")
+
+
+def route(df: DataFrame, linear: DataFrame) -> DataFrame:
     """Where the sources disagree on danger, take the detector if the fold's model says so.
 
-    Adds detector_probability, chose_detector, routed_ttc.
+    linear: fold, bias, slopes (of ``linear_form``), joined by fold; frames of a fold without a model
+    keep the classical source. Adds detector_probability, chose_detector, routed_ttc.
     """
-    def lits(v):
-        return F.array(*[F.lit(float(a)) for a in v])
-    # standardisation folded into the weights
-    w = {f: m["w"][1:] / m["scale"] for f, m in models.items()}
-    b = {f: m["w"][0] - (w[f] * m["mean"]).sum() for f, m in models.items()}
-    ws = F.create_map(*[x for f in models for x in (F.lit(f), lits([b[f], *w[f]]))])[F.col("fold")]
-    dot = ws[0]
-    for i, name in enumerate(ROUTER_FEATURES, 1):
-        dot = dot + ws[i] * F.col(name)
+    j = df.join(linear.select("fold", F.col("bias").alias("_bias"), F.col("slopes").alias("_slopes")), "fold", "left")
+    dot = F.col("_bias")
+    for i, name in enumerate(ROUTER_FEATURES):
+        dot = dot + F.col("_slopes")[i] * F.col(name)
     p = 1.0 / (1.0 + F.exp(-F.least(F.greatest(dot, F.lit(-30.0)), F.lit(30.0))))
-    df = df.withColumn("detector_probability", p)
-    chose = (is_danger("c_ttc") != is_danger("d_ttc")) & (F.col("detector_probability") >= 0.5)
-    return df.withColumn("chose_detector", chose).withColumn(
+    j = j.withColumn("detector_probability", F.when(F.col("_bias").isNotNull(), p)).drop("_bias", "_slopes")
+    chose = (is_danger("c_ttc") != is_danger("d_ttc")) & F.coalesce(F.col("detector_probability") >= 0.5, F.lit(False))
+    return j.withColumn("chose_detector", chose).withColumn(
         "routed_ttc", F.when(F.col("chose_detector"), F.col("d_ttc")).otherwise(F.col("c_ttc")))
 
 
-def cv_router(df: DataFrame, models: dict[int, dict]) -> DataFrame:
+def cv_router(df: DataFrame, linear: DataFrame) -> DataFrame:
     """Held-out scores per trip of the router, both sources and their union."""
-    r = route(df, models)
+    r = route(df, linear)
     alone = is_danger("d_ttc") & ~is_danger("c_ttc")
     r = r.withColumn("union_ttc", F.when(alone, F.col("d_ttc")).otherwise(F.col("c_ttc")))
     v = F.array(*[F.struct(F.lit(n).alias("source"), F.col(c).alias("predicted_ttc")) for n, c in (

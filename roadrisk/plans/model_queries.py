@@ -16,7 +16,6 @@ from roadrisk.plans.inputs import boxes, components, evidence, featured, observa
 from roadrisk.plans.registry import query
 
 T, FR = "trip_id", "frame_id"
-FOLDS = list(range(6))
 
 
 def paired(t):
@@ -45,34 +44,62 @@ PAIRED = """(SELECT p.trip_id, p.frame_id, p.classical_ttc AS c, p.detector_ttc
 _inv = "(CASE WHEN isfinite({x}) THEN 1 / greatest(1e-1, {x}) ELSE 0 END)"
 
 
-@query("router_features", f"""SELECT trip_id, frame_id, CASE WHEN d < 2 THEN 1 ELSE 0 END AS detector_is_danger, coalesce(dc, 0) - coalesce(cc, 0) AS detector_minus_classical_confidence, least(greatest(coalesce(cres, 5) - (k % 11) / 10, -5), 5) / 5 AS classical_minus_detector_residual,
+FEATURE_SQL = f"""SELECT trip_id, frame_id, CASE WHEN d < 2 THEN 1 ELSE 0 END AS detector_is_danger, coalesce(dc, 0) - coalesce(cc, 0) AS detector_minus_classical_confidence, least(greatest(coalesce(cres, 5) - (k % 11) / 10, -5), 5) / 5 AS classical_minus_detector_residual,
  (k % 7) / 7 - coalesce(cq, 0) AS detector_minus_classical_quality, (k % 5) / 5 - coalesce(cl, 0) AS detector_minus_classical_lr_support, (k % 10 - k % 12) / 11 AS detector_minus_classical_history, (k % 9) / 9 AS detector_depth_confidence, least(greatest(coalesce(dn, 0) - coalesce(cn, 0), -5), 5) / 5 AS detector_minus_classical_proposal_count,
- least(5, coalesce(dr, 0)) / 5 AS detector_risk_track_count, (k % 6) / 6 - (k % 4) / 4 AS detector_minus_classical_ground_confidence, least(40, speed_mps) / 40 AS ego_speed_normalized, abs({_inv.format(x='d')} - {_inv.format(x='c')}) AS inverse_ttc_disagreement FROM {PAIRED}""", " ".join(V.ROUTER_FEATURES))
+ least(5, coalesce(dr, 0)) / 5 AS detector_risk_track_count, (k % 6) / 6 - (k % 4) / 4 AS detector_minus_classical_ground_confidence, least(40, speed_mps) / 40 AS ego_speed_normalized, abs({_inv.format(x='d')} - {_inv.format(x='c')}) AS inverse_ttc_disagreement FROM {PAIRED}"""
+
+
+@query("router_features", FEATURE_SQL, " ".join(V.ROUTER_FEATURES))
 def _(t):
     return paired(t).select(T, FR, *V.ROUTER_FEATURES)
 
 
 def routers(t, p):
-    return V.fit_routers(cut(V.training_rows(p)), FOLDS)
+    return V.fit_routers(cut(V.training_rows(p)), t.spark.range(6).select(F.col("id").cast("int").alias("fold")))
 
 
 @query("fit_router")
 def _(t):
-    m = routers(t, paired(t))
-    rows = [(f, n, float(w)) for f in FOLDS for n, w in zip(("intercept", *V.ROUTER_FEATURES), m[f]["w"])]
-    return t.spark.createDataFrame(rows, "fold int, feature string, weight double")
+    m = routers(t, paired(t)).select("fold", F.posexplode("weights").alias("_i", "weight"))
+    names = F.array(*[F.lit(n) for n in ("intercept", *V.ROUTER_FEATURES)])
+    return m.select("fold", names[F.col("_i")].alias("feature"), "weight")
 
 
 @query("route")
 def _(t):
     p = paired(t)
-    return V.route(p, routers(t, p)).select(T, FR, "detector_probability", "chose_detector", "routed_ttc")
+    return V.route(p, V.linear_form(routers(t, p))).select(T, FR, "detector_probability", "chose_detector", "routed_ttc")
 
 
 @query("cv_router")
 def _(t):
     p = paired(t)
-    return V.cv_router(p, routers(t, p))
+    return V.cv_router(p, V.linear_form(routers(t, p)))
+
+
+# fixed models: fold f has the bias (f - 2) / 2 and slopes that fall off with the feature's number; fold 5 has none
+SLOPES = [(5 - i) / 4 for i in range(len(V.ROUTER_FEATURES))]
+
+
+def fixed_models(t):
+    f = t.spark.range(5).select(F.col("id").cast("int").alias("fold"))
+    return f.select("fold", ((F.col("fold") - 2) / 2.0).alias("bias"), F.array(*[F.lit(v) for v in SLOPES]).alias("slopes"))
+
+
+ROUTED = f"""(SELECT x.*, c < 2 AS cd, d < 2 AS dd, truth_ttc, CASE WHEN fold < 5 THEN 1 / (1 + exp(-least(greatest((fold - 2) / 2 + {' + '.join(f'{v!r}e0 * {n}' if v >= 0 else f'({v!r}e0) * {n}' for v, n in zip(SLOPES, V.ROUTER_FEATURES))}, -30), 30))) END AS prob
+ FROM (SELECT r.*, p.classical_ttc AS c, p.detector_ttc AS d, p.min_ttc AS truth_ttc, CAST(substr(r.trip_id, 2, 1) AS INTEGER) AS fold FROM ({FEATURE_SQL}) r JOIN predictions p ON p.trip_id = r.trip_id AND p.frame_id = r.frame_id) x)"""
+CHOICE = f"(SELECT *, cd <> dd AND coalesce(prob >= 5e-1, false) AS chose, CASE WHEN cd <> dd AND coalesce(prob >= 5e-1, false) THEN d ELSE c END AS routed, CASE WHEN dd AND NOT cd THEN d ELSE c END AS united FROM {ROUTED})"
+
+
+@query("route_fixed", f"SELECT trip_id, frame_id, prob AS detector_probability, chose AS chose_detector, routed AS routed_ttc FROM {CHOICE}", "detector_probability routed_ttc")
+def _(t):
+    return V.route(paired(t), fixed_models(t)).select(T, FR, "detector_probability", "chose_detector", "routed_ttc")
+
+
+@query("cv_router_fixed", Q.score("(" + " UNION ALL ".join(f"SELECT trip_id, truth_ttc, '{n}' AS source, {c} AS predicted_ttc FROM {CHOICE}" for n, c in (
+    ("router", "routed"), ("classical", "c"), ("detector", "d"), ("union", "united"))) + ")", "source, trip_id"), Q.SCORE_DOUBLES)
+def _(t):
+    return V.cv_router(paired(t), fixed_models(t))
 
 
 def tree_rows(t):

@@ -189,7 +189,7 @@ def test_router_equals_plain_newton(spark):
     y = (x[:, 0] - 0.5 * x[:, 3] + rng.normal(size=200) > 0.3).astype(int)
     fold = rng.integers(0, 2, 200)
     rows = spark.createDataFrame([(int(f), [float(v) for v in r], int(l)) for f, r, l in zip(fold, x, y)], "fold int, x array<double>, y int")
-    got = models.fit_routers(rows, [0, 1])
+    got = {r.fold: r.weights for r in models.fit_routers(rows, spark.range(2).withColumnRenamed("id", "fold")).collect()}
     for f in (0, 1):
         a, b = x[fold != f], y[fold != f].astype(float)
         z = np.column_stack([np.ones(len(a)), (a - a.mean(0)) / a.std(0)])
@@ -198,14 +198,32 @@ def test_router_equals_plain_newton(spark):
         for _ in range(40):
             p = 1 / (1 + np.exp(-z @ w))
             w -= np.linalg.solve(z.T @ (z * (c * p * (1 - p))[:, None]) + ridge + 1e-8 * np.eye(k + 1), z.T @ (c * (p - b)) + ridge @ w)
-        assert np.allclose(got[f]["w"], w, atol=1e-6)
+        assert np.allclose(got[f], w, atol=1e-6)
+
+
+def test_router_of_a_thousand_folds(spark):
+    rng = np.random.default_rng(2)
+    k = len(models.ROUTER_FEATURES)
+    x = rng.normal(size=(60, k))
+    y = (x[:, 0] + rng.normal(size=60) > 0).astype(int)
+    rows = spark.createDataFrame([(i, [float(v) for v in r], int(l)) for i, (r, l) in enumerate(zip(x, y))], "fold int, x array<double>, y int")
+    m = models.fit_routers(rows, spark.range(1000).withColumnRenamed("id", "fold"), iterations=6)
+    got = {r.fold: r.weights for r in m.collect()}
+    assert len(got) == 1000
+    # folds without rows train on all of them, and so alike; a fold with a row trains without it
+    assert np.allclose(got[60], got[999], atol=1e-9) and not np.allclose(got[0], got[999], atol=1e-4)
+    d = models.router_features(spark.createDataFrame([(f, 1.0, 5.0) for f in (0, 999, 5000)], "fold int, c_ttc double, d_ttc double").selectExpr(
+        "*", *[f"CAST(0 AS DOUBLE) AS {s}_{c}" for s in "cd" for c in ("confidence", "residual", "quality", "lr_support", "history", "components", "ground")],
+        "CAST(0 AS DOUBLE) AS d_depth_confidence", "CAST(0 AS DOUBLE) AS d_risk_tracks", "CAST(0 AS DOUBLE) AS speed_mps"))
+    routed = {r.fold: r for r in models.route(d, models.linear_form(m)).collect()}
+    assert len(routed) == 3 and routed[5000].detector_probability is None and routed[5000].routed_ttc == 1.0
 
 
 def test_router_leaves_agreement_alone(spark):
     names = models.ROUTER_FEATURES
     rows = [(0, 1.0, 1.5), (0, 5.0, 1.0), (0, INF, INF)]
     d = spark.createDataFrame(rows, "fold int, c_ttc double, d_ttc double").withColumns({n: F.lit(1.0) for n in names})
-    m = {0: {"w": np.ones(len(names) + 1) * 5, "mean": np.zeros(len(names)), "scale": np.ones(len(names))}}
+    m = spark.createDataFrame([(0, 5.0, [5.0] * len(names))], "fold int, bias double, slopes array<double>")
     assert [r.routed_ttc for r in models.route(d, m).collect()] == [1.0, 1.0, INF]
 
 
