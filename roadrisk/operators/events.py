@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from roadrisk.constants import FRAME_PERIOD_S, RISK_PRESETS, SEVERE_TTC
 from roadrisk.functions.ttc import finite, is_danger
-from roadrisk.operators.intervals import overlap_join, points_in_runs
-from roadrisk.operators.lineage import cut
+from roadrisk.operators.intervals import BUCKET, points_in_runs
 from roadrisk.operators.scoring import score_sums, scores_from_sums
 from roadrisk.operators.sequence import previous, run_starts, with_position
 
@@ -109,27 +108,30 @@ def risk_events(states: DataFrame, merge_gap=None, keys=("trip_id", "preset")) -
 def event_overlap(truth_runs: DataFrame, pred_runs: DataFrame, keys=("trip_id",)) -> DataFrame:
     """Both kinds of runs with what overlaps them.
 
-    Inputs carry ``keys``, start_pos, end_pos. Output: kind (truth or predicted), span,
-    overlaps, and for truth the onset delay in frames and the extra fragments.
+    Inputs carry ``keys``, start_pos, end_pos; runs of one kind and key are disjoint. Output: kind
+    (truth or predicted), span, overlaps, and for truth the onset delay in frames and the extra
+    fragments. Each input is read once: runs meet in buckets of positions, which hold at most
+    BUCKET runs of a kind, and an overlap counts in the first bucket that both reach.
     """
     keys = list(keys)
-    # both are short and read three times
-    t = cut(truth_runs.select(*keys, F.col("start_pos").alias("t0"), F.col("end_pos").alias("t1")))
-    p = cut(pred_runs.select(*keys, F.col("start_pos").alias("p0"), F.col("end_pos").alias("p1")))
-    pairs = overlap_join(t, p, keys, ("t0", "t1"), ("p0", "p1"))
 
-    def side(spans, a, b, kind):
-        hit = pairs.groupBy(*keys, a, b).agg(
-            F.count(F.lit(1)).alias("overlaps"), F.min("p0").alias("_first"))
-        out = spans.join(hit, [*keys, a, b], "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(0)))
-        delay = F.when(F.col("overlaps") > 0, F.greatest(F.lit(0), F.col("_first") - F.col(a)))
-        truth = F.lit(kind == "truth")
-        return out.select(
-            *keys, F.lit(kind).alias("kind"), F.col(a).alias("start_pos"), F.col(b).alias("end_pos"), "overlaps",
-            F.when(truth, delay).alias("onset_delay"),
-            F.when(truth, F.greatest(F.lit(0), F.col("overlaps") - 1)).otherwise(F.lit(0)).alias("fragments"))
-
-    return side(t, "t0", "t1", "truth").unionByName(side(p, "p0", "p1", "predicted"))
+    def spans(df, kind):
+        r = F.struct(F.lit(kind).alias("kind"), F.col("start_pos").cast("long").alias("s"), F.col("end_pos").cast("long").alias("e"))
+        at = F.sequence(F.floor(F.col("start_pos") / BUCKET), F.floor(F.col("end_pos") / BUCKET))
+        return df.select(*keys, r.alias("r"), F.explode(at).alias("_bk"))
+
+    met = spans(truth_runs, "truth").unionByName(spans(pred_runs, "predicted")).groupBy(*keys, "_bk").agg(F.collect_list("r").alias("_all"))
+    x = F.col("x")
+    others = F.filter("_all", lambda y: (y["kind"] != x["kind"]) & (y["s"] <= x["e"]) & (x["s"] <= y["e"])
+                      & (F.floor(F.greatest(y["s"], x["s"]) / BUCKET) == F.col("_bk")))
+    each = met.select(*keys, "_bk", "_all", F.explode("_all").alias("x")).select(*keys, "x.*", others.alias("_o"))
+    out = each.groupBy(*keys, "kind", "s", "e").agg(
+        F.sum(F.size("_o")).alias("overlaps"), F.min(F.array_min(F.transform("_o", lambda y: y["s"]))).alias("_first"))
+    is_truth = F.col("kind") == "truth"
+    return out.select(
+        *keys, "kind", F.col("s").alias("start_pos"), F.col("e").alias("end_pos"), "overlaps",
+        F.when(is_truth & (F.col("overlaps") > 0), F.greatest(F.lit(0), F.col("_first") - F.col("s"))).alias("onset_delay"),
+        F.when(is_truth, F.greatest(F.lit(0), F.col("overlaps") - 1)).otherwise(F.lit(0)).alias("fragments"))
 
 
 def event_metrics(states: DataFrame, truth: DataFrame, keys=("trip_id", "preset"), events=None) -> DataFrame:
@@ -139,21 +141,21 @@ def event_metrics(states: DataFrame, truth: DataFrame, keys=("trip_id", "preset"
     unit = [k for k in keys if k != "preset"]
     true_runs = runs(truth, is_danger("truth_ttc"), 2, unit).select(
         *unit, F.col("run_start").alias("start_pos"), F.col("run_end").alias("end_pos"))
-    names = states.select(*keys).distinct()
-    per_key = names.join(true_runs, unit)
-    o = event_overlap(per_key, events, keys)
-    is_t, hit = F.col("kind") == "truth", F.col("overlaps") > 0
-    counts = o.groupBy(*keys).agg(
-        F.count_if(is_t).alias("truth_events"), F.count_if(~is_t).alias("predicted_events"),
-        F.count_if(is_t & hit).alias("event_tp"), F.count_if(~is_t & hit).alias("_pred_hit"),
-        F.sum("fragments").alias("fragmentation"), F.avg("onset_delay").alias("_delay"))
     high = F.col("state") == "HIGH_RISK"
     alert = states.join(truth.select(*unit, "frame_id", "truth_ttc"), [*unit, "frame_id"]).withColumn(
         "alert_ttc", F.when(high, F.lit(1.0)).otherwise(F.lit(float("inf"))))
-    s = scores_from_sums(alert.groupBy(*keys).agg(*score_sums("alert_ttc", "truth_ttc"))).select(
+    sums = alert.groupBy(*keys).agg(*score_sums("alert_ttc", "truth_ttc"))
+    s = scores_from_sums(sums).select(
         *keys, F.col("fp").alias("false_high_frames"), (F.col("tp") + F.col("fp")).alias("high_risk_frames"),
         F.col("f1").alias("alert_f1"), F.col("precision").alias("alert_precision"),
         F.col("recall").alias("alert_recall"))
+    # the keys are those of the sums, so the states are not read again for their names
+    o = event_overlap(sums.select(*keys).join(true_runs, unit), events, keys)
+    is_t, hit = F.col("kind") == "truth", F.col("overlaps") > 0
+    counts = o.groupBy(*keys).agg(
+        F.count_if(is_t).alias("truth_events"), F.count_if(~is_t).alias("predicted_events"),
+        F.count_if(is_t & hit).alias("event_tp"), F.count_if(~is_t & hit).alias("_pred_hit"),
+        F.sum("fragments").alias("fragmentation"), F.avg("onset_delay").alias("_delay"))
     out = s.join(counts, keys, "left").na.fill(
         0, ["truth_events", "predicted_events", "event_tp", "_pred_hit", "fragmentation"])
     tn, pn = F.col("truth_events"), F.col("predicted_events")

@@ -1,6 +1,5 @@
-"""Joins on interval overlap. Intervals are cut into fixed buckets and joined on
-(keys, bucket), so a long trip spreads over many tasks and no all-pairs join is made.
-A pair that shares several buckets is kept only in the first one they share."""
+"""Points and the runs that cover them. Runs are cut into fixed buckets and joined on (keys, bucket), so
+a long trip spreads over many tasks and no all-pairs join is made."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
@@ -17,16 +16,6 @@ def _spread(df: DataFrame, start: str, end: str) -> DataFrame:
     return df.withColumn("_bk", F.explode(F.sequence(_bucket(start), _bucket(end))))
 
 
-def overlap_join(a: DataFrame, b: DataFrame, keys, a_span, b_span) -> DataFrame:
-    """Pairs of rows whose inclusive spans overlap; other columns must not clash."""
-    (a0, a1), (b0, b1) = a_span, b_span
-    j = _spread(a, a0, a1).join(_spread(b, b0, b1), [*keys, "_bk"])
-    first = F.greatest(_bucket(a0), _bucket(b0))
-    return j.filter(
-        (F.col("_bk") == first) & (F.col(a0) <= F.col(b1)) & (F.col(b0) <= F.col(a1))
-    ).drop("_bk")
-
-
 def points_in_runs(points: DataFrame, runs: DataFrame, keys, point: str, span) -> DataFrame:
     """Points with the run that covers them. Runs of one key must be disjoint."""
     r0, r1 = span
