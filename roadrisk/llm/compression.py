@@ -23,6 +23,7 @@ from roadrisk.llm.tables import remainder
 SAMPLE_DOCS = 3000             #: labelled documents a model is fitted on, at most
 DICTIONARY_BYTES = 1 << 16
 TRAINING_BYTES = 6 << 20       #: text of one label a model is fitted on, at most
+LONGEST_TEXT = TRAINING_BYTES // 8  #: longer labelled texts do not take part in the fit; they are scored like any other
 LEVEL = 3
 THRESHOLD = 0.3
 
@@ -98,8 +99,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fit on a bounded sample of ``labels`` (doc_id, quality 0 or 1) joined to ``docs`` (doc_id,
     text): at most ``sample_docs`` documents and TRAINING_BYTES of each label, whole texts, chosen
-    by the hash of the id. Other labels, NULL ids and NULL texts are left out. With one label
-    only, or none, every text scores that label (or 0.5)."""
+    by the hash of the id. Other labels, NULL ids, NULL texts and texts of over LONGEST_TEXT bytes are
+    left out of the fit; repeated rows count as often as they stand. With one label only, or none, every text scores that label (or 0.5)."""
     marks = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "quality")
     sizes = {r["quality"]: r["n"] for r in marks.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
@@ -108,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
     place = (F.xxhash64("doc_id", F.lit(3)) / F.lit(2.0**64)) + 0.5  # uniform in 0..1
     share = F.when(F.col("quality") == 1, F.lit(min(1.0, each / sizes[1]))).otherwise(F.lit(min(1.0, each / sizes[0])))
     chosen = marks.where(place <= share).limit(2 * sample_docs)  # its size is bounded, so it may be broadcast
-    text = F.col("text").isNotNull() & (F.octet_length("text") <= TRAINING_BYTES // 8)
+    text = F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST_TEXT)
     rows = docs.select("doc_id", "text").where(text).join(F.broadcast(chosen), "doc_id")
     order = F.xxhash64("doc_id", F.lit(4))
     size = F.octet_length("text").cast("long")
