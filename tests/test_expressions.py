@@ -8,6 +8,7 @@ from roadrisk.constants import CURRENT_GUARD
 from roadrisk.functions import geometry as G
 from roadrisk.functions import ttc as X
 from roadrisk.functions.catalog import register_functions
+from roadrisk.operators.association import rank_candidates
 
 INF = float("inf")
 
@@ -74,6 +75,20 @@ def test_iou_floors_and_empty_boxes(spark):
     assert one(spark, G.bbox_iou(flat, flat)) == 0.0
 
 
+def test_equal_distances_keep_the_order_of_sql(spark):
+    # two centres at the same distance but for rounding: the root of squares puts the second one first
+    item = (284.0, 270.00000000000006, 356.0, 306.00000000000006)
+    boxes = [(3, 4.7, 361.0, 187.0, 469.0, 219.0), (4, 10.7, 375.0, 215.0, 495.0, 251.0)]
+    want = [math.sqrt(((x0 + x1) / 2 - 320.0) ** 2 + ((y0 + y1) / 2 - (item[1] + item[3]) / 2) ** 2) for _, _, x0, y0, x1, y1 in boxes]
+    assert want[1] < want[0]
+    d = spark.createDataFrame(boxes, "ordinal long, depth_m double, x0 double, y0 double, x1 double, y1 double")
+    c = d.select(F.lit("T").alias("trip_id"), F.lit(1).alias("frame_id"), "ordinal", F.col("ordinal").alias("track_id"), "depth_m", G.box("x0", "y0", "x1", "y1").alias("box"))
+    i = spark.range(1).select(F.lit("T").alias("trip_id"), F.lit(1).alias("frame_id"), G.box(*[F.lit(v) for v in item]).alias("box"), F.lit(10.0).alias("item_depth_m"))
+    r = {r.ordinal: r for r in rank_candidates(i, c).collect()}
+    assert [r[n].centre_distance_px for n in (3, 4)] == want
+    assert (r[3]["rank"], r[4]["rank"]) == (2, 1)
+
+
 def test_guard_names():
     assert len(CURRENT_GUARD) == 8
 
