@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadrisk.constants import CURRENT_GUARD, SEMANTIC_AXES
 from roadrisk.functions.geometry import guard_predicate
+from roadrisk.operators.lineage import cut
 from roadrisk.operators.scan import Monoid, scan
 from roadrisk.operators.sequence import SEG, seg_window, segmented, with_position
 
@@ -53,7 +54,8 @@ def semantic_state(associations: DataFrame, rows: int = _ROWS) -> DataFrame:
     # segments and stretches in one order: a segment has fewer than 2^20 stretches
     place = F.col(SEG) * F.lit(1 << 20) + F.col("_part")
     many = ends.select(*keys, SEG, "_part", place.alias("_place"), element.alias("element"))
-    dense = many.withColumn("_no", F.row_number().over(Window.partitionBy(*keys).orderBy("_place")).cast("long"))
+    # written once: one row per stretch, read by the scan and by the join, whatever the rows cost
+    dense = cut(many.withColumn("_no", F.row_number().over(Window.partitionBy(*keys).orderBy("_place")).cast("long")))
     entry = scan(dense.select(*keys, "_no", "element"), keys, "_no", _support())
     entries = dense.join(entry, [*keys, "_no"]).select(*keys, SEG, "_part", "entry")
     j = s.join(entries, [*keys, SEG, "_part"])

@@ -35,34 +35,57 @@ def confidence_of(closing, residual, history, quality, depth_m, ground_confidenc
             + 0.15 * F.lit(ground_confidence) + 0.10 * F.when(closing > MIN_CLOSING_MPS, 1.0).otherwise(0.5))
 
 
-def remembered(tracked: DataFrame, ground_confidence: float = 1.0) -> DataFrame:
-    """Each observation of a track with what the track knows then.
-
-    tracked: trip_id, track_id, frame_id, ordinal, t_sec, box, depth_m, quality, depth_mad_m, lr_support,
-    corridor_overlap, depth_confidence; one row per track and frame, other columns stay. Adds
-    depth_sigma_m, hits, ``observations`` (the last 11), history, mean_quality, mean_depth_confidence,
-    the robust motion (closing_mps, ttc, residual_m), the filtered one (filter_distance_m,
-    filter_closing_mps, filter_ttc, filter_residual_m), and confidence. Motion needs three observations.
-    """
+def _observed(tracked: DataFrame) -> DataFrame:
+    """Tracked rows with position, own noise and times as doubles."""
     x = (F.col("box")["x0"] + F.col("box")["x1"]) / 2.0
-    o = tracked.withColumns({
+    return tracked.withColumns({
         "center_x": x, "t_sec": F.col("t_sec").cast("double"), "depth_m": F.col("depth_m").cast("double"),
         "depth_sigma_m": G.depth_sigma("depth_mad_m", "lr_support", "depth_confidence")})
+
+
+def robust(tracked: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """``remembered`` without the filtered motion and the confidence, and with ``next_frame_id``, the
+    frame of the track's next observation.
+
+    With ``only`` (trip_id, track_id, frame_id, once each) the rows named there: all observations are looked back at,
+    but windows leave their task, and lines are fitted, for the named rows alone.
+    """
+    o = with_position(_observed(tracked), _TRACK, ["frame_id"])
+    if only is not None:
+        o = o.join(only.select(*_TRACK, "frame_id", F.lit(True).alias("_only")), [*_TRACK, "frame_id"], "left")
     fields = {"t": "t_sec", "v": "depth_m", "x": "center_x", "s": "depth_sigma_m", "q": "quality", "c": "depth_confidence"}
-    r = recent(with_position(o, _TRACK, ["frame_id"]), _TRACK, MEMORY, fields, "observations")
+    r = recent(o, _TRACK, MEMORY, fields, "observations", {"next_frame_id": "frame_id"})
+    if only is not None:
+        r = r.filter("_only").drop("_only")
     r = r.withColumns({"hits": F.col("position") + 1, "history": F.size("observations"), "_fit": theil_sen("observations")}).drop("position")
     known = (F.col("history") >= 3) & F.col("_fit.slope").isNotNull()
     closing = F.when(known, -F.col("_fit.slope")).otherwise(0.0)
-    r = r.withColumns({
+    return r.withColumns({
         "closing_mps": closing, "ttc": F.when(closing > MIN_CLOSING_MPS, F.col("depth_m") / closing).otherwise(F.lit(INF)),
         "residual_m": F.when(known, F.col("_fit.residual")).otherwise(F.lit(INF)),
         "mean_quality": _mean("observations", "q"), "mean_depth_confidence": _mean("observations", "c")}).drop("_fit")
+
+
+def _with_filter(tracked: DataFrame, ground_confidence: float) -> DataFrame:
+    o = _observed(tracked)
     k = kalman_distance(o.select(*_TRACK, "frame_id", "ordinal", "t_sec", "depth_m", F.col("depth_sigma_m").alias("sigma_m")), _TRACK)
     k = k.withColumnsRenamed({"distance_m": "filter_distance_m", "closing_mps": "filter_closing_mps", "ttc": "filter_ttc", "residual_m": "filter_residual_m"})
-    r = r.join(k, [*_TRACK, "frame_id", "ordinal"])
+    r = robust(tracked).join(k, [*_TRACK, "frame_id", "ordinal"])
     return r.withColumn("confidence", confidence_of("closing_mps", "residual_m", "history", "mean_quality", "depth_m", ground_confidence))
 
 
+def remembered(tracked: DataFrame, ground_confidence: float = 1.0) -> DataFrame:
+    """Each observation of a track with what the track knows then.
+
+    tracked: trip_id, track_id, frame_id, ordinal, t_sec, box, depth_m, quality, depth_mad_m, lr_support,
+    corridor_overlap, depth_confidence; one row per track and frame, other columns stay. Adds
+    depth_sigma_m, hits, ``observations`` (the last 11), history, mean_quality, mean_depth_confidence,
+    the robust motion (closing_mps, ttc, residual_m), the filtered one (filter_distance_m,
+    filter_closing_mps, filter_ttc, filter_residual_m), and confidence. Motion needs three observations.
+    """
+    return _with_filter(tracked, ground_confidence).drop("next_frame_id")
+
+
 def track_memory(tracked: DataFrame, frames: DataFrame, ground_confidence: float = 1.0, max_missed: int = 3,
                  include_predicted: bool = True, with_semantics: bool = False) -> DataFrame:
     """``remembered`` for every frame in which a track is alive: seen (missed 0), or, with
@@ -74,13 +97,14 @@ def track_memory(tracked: DataFrame, frames: DataFrame, ground_confidence: float
     det_confidence) the semantic score and misses run on through the frames until the track
     ends, ``max_missed`` frames after its last observation, an unseen frame being a miss.
     """
-    known = remembered(tracked, ground_confidence)
-    own = [c for c in known.columns if c not in (*_TRACK, "frame_id")]
-    alive = known.withColumn("missed", F.explode(F.sequence(F.lit(0), F.lit(max_missed))))
-    # of the observations that reach a frame the newest counts: the least number of missed frames
-    now = alive.groupBy(*_TRACK, (F.col("frame_id") + F.col("missed")).alias("frame_id")).agg(F.min(F.struct("missed", *own)).alias("_m"))
-    times = frames.select("trip_id", "frame_id", F.col("t_sec").cast("double").alias("_now"))
-    m = now.join(times, ["trip_id", "frame_id"]).select(*_TRACK, "frame_id", "_now", "_m.*")
+    known = _with_filter(tracked, ground_confidence)
+    # the frames that an observation can reach, listed at its own frame: known rows are moved before
+    # they are multiplied; an observation lasts until the next one of its track
+    reach = frames.select("trip_id", F.col("t_sec").cast("double").alias("_now"), "frame_id", F.explode(F.sequence(F.lit(0), F.lit(max_missed))).alias("missed"))
+    reach = reach.groupBy("trip_id", (F.col("frame_id") - F.col("missed")).alias("frame_id")).agg(F.collect_list(F.struct("missed", "_now")).alias("_reach"))
+    lasts = F.filter("_reach", lambda x: F.col("next_frame_id").isNull() | (F.col("frame_id") + x["missed"] < F.col("next_frame_id")))
+    m = known.join(reach, ["trip_id", "frame_id"]).withColumn("_m", F.explode(lasts)).drop("_reach", "next_frame_id")
+    m = m.withColumns({"missed": F.col("_m.missed"), "_now": F.col("_m._now"), "frame_id": F.col("frame_id") + F.col("_m.missed")}).drop("_m")
     passed = F.greatest(F.lit(0.0), F.col("_now") - F.col("t_sec"))
     filtered = is_finite("filter_residual_m")
     distance = F.col("filter_distance_m") - passed * F.when(filtered, F.col("filter_closing_mps")).otherwise(0.0)

@@ -126,3 +126,39 @@ def test_evidence_of_frames_without_a_track(spark):
     assert (d[13].selected_hits, d[13].selected_history, d[13].selected_center_x_norm) == (0, 0, None)
     last = e[rows[-1][1]]
     assert last.selected_observations_json.count("timestamp") == last.selected_history_length > 3
+
+
+def test_chosen_rows_look_back_at_all_observations(spark):
+    c = spark.createDataFrame(scene(4), SCHEMA).withColumn("track_id", F.col("ordinal"))
+    chosen = c.filter("frame_id % 7 = 3").select("trip_id", "track_id", "frame_id")
+    names = ["hits", "history", "observations", "closing_mps", "residual_m", "mean_quality"]
+    whole = {(r.track_id, r.frame_id): r for r in K.remembered(c).collect()}
+    some = K.robust(c, chosen).collect()
+    assert {(r.track_id, r.frame_id) for r in some} == {k for k in whole if k[1] % 7 == 3} and some
+    for r in some:
+        assert [r[n] for n in names] == [whole[r.track_id, r.frame_id][n] for n in names]
+
+
+def test_diagnostics_do_not_run_the_filter(spark):
+    c = spark.createDataFrame(scene(4), SCHEMA).withColumn("track_id", F.col("ordinal"))
+    frames = spark.range(60).select(F.lit("t").alias("trip_id"), F.col("id").alias("frame_id"))
+    chosen = c.filter("frame_id % 7 = 3").dropDuplicates(["trip_id", "frame_id"]).select("trip_id", "track_id", "frame_id")
+    for of in (K.selected_evidence, K.selected_diagnostics):
+        new, old = of(frames, chosen, K.robust(c, chosen)), of(frames, chosen, K.remembered(c))
+        assert sorted(map(str, new.collect())) == sorted(map(str, old.collect()))
+        assert "filter_distance_m" not in new._jdf.queryExecution().toString()
+
+
+def test_next_observation_across_segments(spark):
+    n = 2 * 1024 + 3
+    d = spark.range(n).select(F.lit("t").alias("trip_id"), F.lit(1).alias("track_id"), F.col("id").alias("position"), (F.col("id") * 2).alias("frame_id"))
+    got = {r.position: (r.next_frame, len(r.recent)) for r in M.recent(d, ["trip_id", "track_id"], 3, {"f": "frame_id"}, following={"next_frame": "frame_id"}).collect()}
+    assert got == {i: (2 * i + 2 if i < n - 1 else None, min(i + 1, 3)) for i in range(n)}
+
+
+def test_rows_are_multiplied_after_the_join_with_frames(spark):
+    c = spark.createDataFrame(scene(1), SCHEMA).withColumn("track_id", F.col("ordinal"))
+    frames = spark.range(60).select(F.lit("t").alias("trip_id"), F.col("id").alias("frame_id"), (F.col("id") * 0.05).alias("t_sec"))
+    m = K.track_memory(c, frames)
+    assert "min(struct(missed" not in m._jdf.queryExecution().optimizedPlan().toString()
+    assert m.groupBy("trip_id", "track_id", "frame_id").count().filter("count > 1").count() == 0
