@@ -328,7 +328,7 @@ KNOWN = "CASE WHEN n >= 3 THEN residual END"
 @query("track_diagnostics", f"""WITH {Q.remembered()}
 SELECT_FINAL trip_id, track_id, frame_id, {DIAG}, rn AS hits, n AS history, {KNOWN} AS residual_m, quality, depth_mad_m, depth_mad_m / depth_m AS depth_mad_ratio, lr_support, corridor_overlap FROM rs""", DIAG_DOUBLES)
 def _(t):
-    return K.track_diagnostics(K.remembered(measured(t)))
+    return K.track_diagnostics(K.robust(measured(t)))
 
 
 CHOSEN = """s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trip_id, frame_id ORDER BY candidate_ttc, ordinal) AS pick FROM candidates WHERE confidence >= 55e-2 AND closing_mps BETWEEN 3e-1 AND 40 AND isfinite(candidate_ttc)) WHERE pick = 1)"""
@@ -341,7 +341,8 @@ SELECT_FINAL f.trip_id, f.frame_id, track_id AS selected_track_id, {', '.join(f'
     ('quality', 'quality'), ('depth_mad_m', 'depth_mad_m'), ('depth_mad_ratio', 'depth_mad_m / depth_m'), ('lr_support', 'lr_support'), ('corridor_overlap', 'corridor_overlap')))} {OF_FRAME}""",
        " ".join(f"selected_{c}" for c in DIAG_DOUBLES.split()))
 def _(t):
-    return K.selected_diagnostics(t.frames.select(T, FR), S.select_min_ttc(t.candidates).select(T, FR, "track_id"), K.remembered(measured(t)))
+    chosen = S.select_min_ttc(t.candidates).select(T, FR, "track_id")
+    return K.selected_diagnostics(t.frames.select(T, FR), chosen, K.robust(measured(t), chosen))
 
 
 @query("selected_evidence", f"""WITH {Q.remembered()}, {CHOSEN}
@@ -350,7 +351,8 @@ SELECT_FINAL f.trip_id, f.frame_id, track_id AS selected_track_id, depth_m AS se
  coalesce('[' || array_to_string({Q.each("'{\"timestamp\":' || round(q.t, 6) || ',\"depth_m\":' || round(q.v, 6) || ',\"center_x\":' || round(q.x, 3) || ',\"depth_sigma_m\":' || round(q.s, 6) || '}'")}, ',') || ']', '[]') AS selected_observations_json {OF_FRAME}""",
        "selected_depth_m selected_motion_residual_m selected_observation_quality selected_depth_confidence selected_lr_support")
 def _(t):
-    return K.selected_evidence(t.frames.select(T, FR), S.select_min_ttc(t.candidates).select(T, FR, "track_id"), K.remembered(measured(t)))
+    chosen = S.select_min_ttc(t.candidates).select(T, FR, "track_id")
+    return K.selected_evidence(t.frames.select(T, FR), chosen, K.robust(measured(t), chosen))
 
 
 FC = "CASE WHEN kn >= 3 THEN -kv ELSE 0 END"
