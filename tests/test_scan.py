@@ -105,3 +105,17 @@ def test_states_over_many_segments(spark):
         for i, v in enumerate(ttcs):
             state, _ = R.step(state, "SAFE" if v >= 3 else "WARNING" if v >= 2 else "DANGER" if v >= 1.5 else "CRITICAL", preset)
             assert got[name, i] == (state[0], i)
+
+
+def test_a_batch_of_the_filter_is_bounded(spark):
+    """Python gets 10,000 rows at a time: a row of the filter may not hold more than a short segment."""
+    df = spark.range(4000).select(F.lit("t").alias("trip_id"), F.lit(1).alias("track_id"), F.col("id").alias("frame_id"), F.lit(1).alias("ordinal"),
+                                  (F.col("id") * 0.05).alias("t_sec"), F.lit(20.0).alias("depth_m"), F.lit(1.0).alias("sigma_m"))
+    seen, cut = [], M.cut
+    try:
+        M.cut = lambda d: seen.append(d) or cut(d)
+        assert M.kalman_distance(df).count() == 4000
+    finally:
+        M.cut = cut
+    sizes = [r.n for r in seen[0].select(F.size("_rows").alias("n")).collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 128
