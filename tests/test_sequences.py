@@ -1,6 +1,8 @@
 """Segment helpers with tiny segments against plain Python."""
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from roadrisk.operators import events as E
@@ -95,3 +97,21 @@ def test_quantiles_of_values_of_one_magnitude(spark):
     assert abs(got["p50"] - np.quantile(v, 0.5)) < 1e-9 and abs(got["p95"] - np.quantile(v, 0.95)) < 1e-9
     most = d.select(value_bucket("v").alias("b")).groupBy("b").count().agg(F.max("count")).first()[0]
     assert most < 2000
+
+
+def test_rates_are_computed_once_for_all_quantiles(spark):
+    from roadrisk.operators import motion
+
+    rows = [("t", 1, i, i * 0.05, 20.0 - 0.03 * i + (i * 7 % 5) * 0.2, 300.0 + (i * 13 % 11)) for i in range(40)]
+    o = spark.createDataFrame(rows, "trip_id string, track_id long, frame_id long, t_sec double, depth_m double, centre_x double")
+    rates = motion.window_rates(o, ["trip_id", "track_id"])
+    for r in rates.collect():
+        w = rows[max(0, r.frame_id - 10):r.frame_id + 1]
+        if len(w) < 3:
+            assert r.residual_mad_m is None
+            continue
+        t, v = np.array([x[3] for x in w]), np.array([x[4] for x in w])
+        left = v - v.mean() - r.linear_rate_mps * (t - t.mean())
+        assert r.residual_mad_m == pytest.approx(np.median(np.abs(left - np.median(left))), abs=1e-9)
+    q = motion.depth_rate_metrics(rates.withColumn("truth_group", F.lit("g")))
+    assert "collect_list" not in q._jdf.queryExecution().optimizedPlan().toString()
