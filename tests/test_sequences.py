@@ -115,3 +115,11 @@ def test_rates_are_computed_once_for_all_quantiles(spark):
         assert r.residual_mad_m == pytest.approx(np.median(np.abs(left - np.median(left))), abs=1e-9)
     q = motion.depth_rate_metrics(rates.withColumn("truth_group", F.lit("g")))
     assert "collect_list" not in q._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_queries_load_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries()"], cwd=Path(__file__).parents[1], check=True)
