@@ -89,6 +89,28 @@ def test_equal_distances_keep_the_order_of_sql(spark):
     assert (r[3]["rank"], r[4]["rank"]) == (2, 1)
 
 
+def test_squares_round_as_the_power_of_sql(spark):
+    # two centres 145.24 px away: the C library's pow, which SQL uses, puts the second one first, x * x ties them
+    item = (353.2, 148.00000000000003, 453.2, 198.00000000000003)
+    boxes = [(3, 14.7, 214.0, 116.0, 310.0, 162.0), (4, 23.7, 224.0, 191.0, 300.0, 223.0)]
+    want = [math.sqrt(math.pow((item[0] + item[2]) / 2 - (x0 + x1) / 2, 2.0) + math.pow((item[1] + item[3]) / 2 - (y0 + y1) / 2, 2.0)) for _, _, x0, y0, x1, y1 in boxes]
+    assert want[1] < want[0]
+    d = spark.createDataFrame(boxes, "ordinal long, depth_m double, x0 double, y0 double, x1 double, y1 double")
+    c = d.select(F.lit("T").alias("trip_id"), F.lit(1).alias("frame_id"), "ordinal", F.col("ordinal").alias("track_id"), "depth_m", G.box("x0", "y0", "x1", "y1").alias("box"))
+    i = spark.range(1).select(F.lit("T").alias("trip_id"), F.lit(1).alias("frame_id"), G.box(*[F.lit(v) for v in item]).alias("box"), F.lit(10.0).alias("item_depth_m"))
+    r = {r.ordinal: r for r in rank_candidates(i, c).collect()}
+    assert [r[n].centre_distance_px for n in (3, 4)] == want
+    assert (r[3]["rank"], r[4]["rank"]) == (2, 1)
+
+
+def test_distances_of_odd_boxes(spark):
+    far, none = G.box(*[F.lit(v) for v in (1e200, 0.0, 1e200, 0.0)]), F.lit(None).cast("struct<x0: double, y0: double, x1: double, y1: double>")
+    zero = G.box(*[F.lit(0.0)] * 4)
+    assert one(spark, G.centre_distance(far, zero)) == INF
+    assert one(spark, G.centre_distance(none, zero)) is None
+    assert math.isnan(one(spark, G.centre_distance(G.box(*[F.lit(v) for v in (float("nan"), 0.0, 0.0, 0.0)]), zero)))
+
+
 def test_guard_names():
     assert len(CURRENT_GUARD) == 8
 
