@@ -37,6 +37,19 @@ def _by_frame(batches, keys):
         yield at[:-1], at[-1], rows
 
 
+def _gathered(batches, rows: int):
+    """The rows of several batches as one frame of at least ``rows`` rows; the last may have fewer."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _costs(tracks, comps):
     """Cost matrix of tracks against components, infinite outside the gates."""
     a = np.array([(*t["box"], t["cx"], t["cy"], t["depth"]) for t in tracks], float)[:, None, :]
@@ -160,10 +173,99 @@ def planar_row(x, p, accepted, d2):
     return (bool(accepted), float(d2), *map(float, x), arrive, float(row @ x) if ahead else None, float(row @ p @ row) if ahead else None)
 
 
+def planar_steps(state, t, z, speed, yaw, sigmas, gate=_GATE):
+    """``planar_step`` of many states at once: arrays with one entry a state. ``state`` is (t, x, P) or
+    rows of NaN in t for none; a yaw of NaN is unknown."""
+    t0, x, p = state
+    dt = t - t0
+    fresh = ~((dt > 0.0) & (dt <= 0.5))
+    n = len(t)
+    r = np.square(sigmas)
+    dt = np.where(fresh, 0.0, dt)
+    f = np.broadcast_to(np.eye(4), (n, 4, 4)).copy()
+    f[:, 0, 2] = f[:, 1, 3] = dt
+    g = np.zeros((n, 4, 2))
+    g[:, 0, 0] = g[:, 1, 1] = 0.5 * dt * dt
+    g[:, 2, 0] = g[:, 3, 1] = dt
+    x = (f @ x[:, :, None])[:, :, 0]
+    p = f @ p @ f.transpose(0, 2, 1) + (g * np.square(_ACCEL)) @ g.transpose(0, 2, 1)
+    v = np.maximum(0.0, speed)
+    known = ~np.isnan(yaw)
+    bent = known & (np.abs(yaw) >= 1e-4)
+    turn = np.where(known, yaw, 0.0) * dt
+    per = np.where(bent, yaw, 1.0)
+    cos, sin = np.cos(turn), np.sin(turn)
+    px = x[:, 0] - np.where(bent, v / per * sin, v * dt)
+    py = x[:, 1] - np.where(bent, v / per * (1 - cos), 0.0)
+    big = np.zeros((n, 4, 4))
+    big[:, 0, 0] = big[:, 1, 1] = big[:, 2, 2] = big[:, 3, 3] = cos
+    big[:, 0, 1] = big[:, 2, 3] = sin
+    big[:, 1, 0] = big[:, 3, 2] = -sin
+    x = np.column_stack([np.where(bent, cos * px + sin * py, px), np.where(bent, cos * py - sin * px, py),
+                         cos * x[:, 2] + sin * x[:, 3], cos * x[:, 3] - sin * x[:, 2]])
+    p = big @ p @ big.transpose(0, 2, 1)
+    e, s = z - x[:, :2], p[:, :2, :2].copy()
+    s[:, 0, 0] += r[:, 0]
+    s[:, 1, 1] += r[:, 1]
+    s[fresh] = np.eye(2)  # not used
+    d2 = np.einsum("ni,ni->n", e, np.linalg.solve(s, e[:, :, None])[:, :, 0])
+    take = d2 <= gate
+    k = np.linalg.solve(s, p[:, :2, :]).transpose(0, 2, 1)
+    after = p - k @ p[:, :2, :]
+    after = 0.5 * (after + after.transpose(0, 2, 1))
+    x = np.where(take[:, None], x + (k @ e[:, :, None])[:, :, 0], x)
+    p = np.where(take[:, None, None], after, p)
+    x[fresh] = np.column_stack([z, np.zeros((n, 2))])[fresh]
+    start = np.zeros((n, 4, 4))
+    start[:, 0, 0], start[:, 1, 1] = r[:, 0], r[:, 1]
+    start[:, 2, 2] = start[:, 3, 3] = _SPEED_VAR
+    p[fresh] = start[fresh]
+    return (t, x, p), take | fresh, np.where(fresh, 0.0, d2)
+
+
+def planar_rows(x, p, accepted, d2) -> dict[str, np.ndarray]:
+    """``planar_row`` of many states; NaN where there is no lateral distribution."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        arrive = np.where(x[:, 2] < -0.3, x[:, 0] / -x[:, 2], INF)
+    h = np.minimum(2.0, arrive)
+    mean = x[:, 1] + h * x[:, 3]
+    variance = p[:, 1, 1] + h * (p[:, 1, 3] + p[:, 3, 1]) + h * h * p[:, 3, 3]
+    none = ~(h >= 0)
+    mean[none] = variance[none] = np.nan
+    return dict(zip(PLANAR_FIELDS, (accepted, d2, x[:, 0], x[:, 1], x[:, 2], x[:, 3], arrive, mean, variance)))
+
+
+def planar_walk(state, start, t, z, speed, yaw, sigmas):
+    """The filter over rows in order. ``start``: true for the first row of a session; ``state``: what a
+    first row that starts none goes on from. Sessions advance side by side, the k-th rows of all in one
+    step. -> (state after the last row, PLANAR_FIELDS)."""
+    n = len(t)
+    begin = np.flatnonzero(start | (np.arange(n) == 0))
+    size = np.diff(np.append(begin, n))
+    order = np.argsort(-size, kind="stable")  # the longest first: those still open are a prefix
+    begin, size = begin[order], size[order]
+    now = (np.full(len(begin), np.nan), np.zeros((len(begin), 4)), np.zeros((len(begin), 4, 4)))
+    if state is not None and not start[0]:
+        first = int(np.flatnonzero(begin == 0)[0])
+        for held, value in zip(now, state):
+            held[first] = value
+    xs, ps, ok, d2 = np.empty((n, 4)), np.empty((n, 4, 4)), np.empty(n, bool), np.empty(n)
+    open_at = np.searchsorted(-size, -np.arange(size[0]), side="left")  # sessions with more than k rows
+    for k, m in enumerate(open_at):
+        rows = begin[:m] + k
+        now, ok[rows], d2[rows] = planar_steps(tuple(a[:m] for a in now), t[rows], z[rows], speed[rows], yaw[rows], sigmas[rows])
+        xs[rows], ps[rows] = now[1], now[2]
+    return (t[-1], xs[-1], ps[-1]), planar_rows(xs, ps, ok, d2)
+
+
+_WALKED = 1 << 16  # rows of a task that are walked at once
+
+
 def planar_filter(obs: DataFrame, keys=("trip_id", "track_id")) -> DataFrame:
     """Filtered planar state per observation, with the lateral distribution at min(2 s, arrival).
 
-    obs: keys, frame_id, ordinal, t_sec, forward_m, lateral_m, speed_mps, yaw (may be NULL).
+    obs: keys, frame_id, ordinal, t_sec, forward_m, lateral_m, speed_mps, yaw (may be NULL). A task
+    walks the sessions of ``_WALKED`` rows side by side; a session cut there goes on in the next rows.
     """
     keys = list(keys)
     s = G.box_depth_sigmas("forward_m")
@@ -175,17 +277,15 @@ def planar_filter(obs: DataFrame, keys=("trip_id", "track_id")) -> DataFrame:
 
     def run(batches):
         at, state = None, None
-        for pdf in batches:
-            out = []
-            for r in pdf.to_dict("records"):
-                now = (*[r[k] for k in keys], r["session"])
-                if now != at:
-                    at, state = now, None
-                yaw = None if r["yaw"] is None or math.isnan(r["yaw"]) else r["yaw"]
-                state, ok, d2 = planar_step(state, r["t_sec"], (r["forward_m"], r["lateral_m"]), r["speed_mps"], yaw, (r["_s0"], r["_s1"]))
-                out.append(planar_row(state[1], state[2], ok, d2))
-            cols = pd.DataFrame(out, columns=names)
-            yield pd.concat([pdf[[*keys, "frame_id", "ordinal"]].reset_index(drop=True), cols], axis=1)
+        for pdf in _gathered(batches, _WALKED):
+            own = pdf[[*keys, "session"]]
+            start = own.ne(own.shift()).any(axis=1).to_numpy()
+            start[0] = tuple(own.iloc[0]) != at
+            state, out = planar_walk(
+                state, start, pdf["t_sec"].to_numpy(float), pdf[["forward_m", "lateral_m"]].to_numpy(float), pdf["speed_mps"].to_numpy(float),
+                pdf["yaw"].to_numpy(float), pdf[["_s0", "_s1"]].to_numpy(float))
+            at = tuple(own.iloc[-1])
+            yield pd.concat([pdf[[*keys, "frame_id", "ordinal"]], pd.DataFrame(out, columns=names)], axis=1)
 
     head = ", ".join(f"{k} {obs.schema[k].dataType.simpleString()}" for k in (*keys, "frame_id", "ordinal"))
     return o.mapInPandas(run, f"{head}, accepted boolean, " + ", ".join(f"{n} double" for n in names[1:]))

@@ -160,6 +160,26 @@ def test_planar_gate_and_reset():
     assert ok and d == 0.0 and tuple(s[1]) == (2.0, 8.0, 0.0, 0.0)
 
 
+def test_planar_walk_equals_the_steps_of_each_row():
+    rng = np.random.default_rng(3)
+    n = 600
+    start = rng.random(n) < 0.05
+    start[0] = True
+    t = np.cumsum(rng.choice([0.05, 0.1, 0.3, 0.6, 0.0], n, p=[0.7, 0.2, 0.05, 0.03, 0.02]))
+    z, speed = np.column_stack([rng.uniform(1, 40, n), rng.normal(0, 3, n)]), rng.uniform(-1, 25, n)
+    yaw = np.where(rng.random(n) < 0.2, np.nan, np.where(rng.random(n) < 0.2, 5e-5, rng.normal(0, 0.3, n)))
+    sigmas = rng.uniform(0.2, 3, (n, 2))
+    want, s = [], None
+    for i in range(n):
+        s, ok, d2 = tracking.planar_step(None if start[i] else s, t[i], z[i], speed[i], None if np.isnan(yaw[i]) else yaw[i], sigmas[i])
+        want.append(tracking.planar_row(s[1], s[2], ok, d2))
+    got, state = [], None
+    for x in (slice(0, 201), slice(201, 202), slice(202, n)):  # sessions cut between the pieces go on
+        state, out = tracking.planar_walk(state, start[x], t[x], z[x], speed[x], yaw[x], sigmas[x])
+        got.append(np.column_stack([out[c] for c in tracking.PLANAR_FIELDS]))
+    np.testing.assert_allclose(np.concatenate(got), np.array(want, float), rtol=1e-9, atol=1e-9)
+
+
 def test_tracks_follow_and_end(spark):
     rows = []
     for f in [0, 1, 2, 6, 7, 20]:  # gaps of three frames keep tracks, longer ones end them
