@@ -149,6 +149,27 @@ def test_filters_run_alike_in_tasks_and_by_hand(spark):
         assert got[r[2]].closing_mps == pytest.approx(motion.motion_of(s, r[4])[0])
 
 
+def test_closing_reliability_fits_only_what_is_asked(spark, monkeypatch):
+    rows = [("t", k, f, 0.1 * f, 20.0 - f * (k + 1) + (f % 3)) for k in (1, 2) for f in range(30)]
+    d = spark.createDataFrame(rows, "trip_id string, track_id long, frame_id long, t_sec double, depth_m double")
+    every = {(r.track_id, r.frame_id): (r.closing_mps, r.residual_mad_m) for r in motion.closing_reliability(d).collect()}
+    asked = spark.createDataFrame([("t", 1, 0, "a"), ("t", 1, 17, "b"), ("t", 2, 29, "c"), ("t", 3, 5, "d")], "trip_id string, track_id long, frame_id long, mark string")
+    fitted, plain = spark.sparkContext.accumulator(0), motion.theil_sen
+
+    def counted(points):
+        from pyspark.sql.functions import udf
+
+        def seen(x):
+            fitted.add(1)
+            return x
+        return plain(udf(seen, "array<struct<t: double, v: double>>")(points))
+
+    monkeypatch.setattr(motion, "theil_sen", counted)
+    got = {r.mark: (r.track_id, r.frame_id, r.closing_mps, r.residual_mad_m) for r in motion.closing_reliability(d, asked=asked).collect()}
+    assert set(got) == {"a", "b", "c"} and all(r[2:] == every[r[:2]] for r in got.values())
+    assert fitted.value <= 6  # at most twice each, not the windows of all 60
+
+
 def test_planar_gate_and_reset():
     s, ok, d = tracking.planar_step(None, 0.0, (10.0, 0.0), 0.0, None, (0.3, 0.3))
     assert ok and d == 0.0
