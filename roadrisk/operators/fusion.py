@@ -57,8 +57,10 @@ def semantic_state(associations: DataFrame, rows: int = _ROWS) -> DataFrame:
     # written once: one row per stretch, read by the scan and by the join, whatever the rows cost
     dense = cut(many.withColumn("_no", F.row_number().over(Window.partitionBy(*keys).orderBy("_place")).cast("long")))
     entry = scan(dense.select(*keys, "_no", "element"), keys, "_no", _support())
-    entries = dense.join(entry, [*keys, "_no"]).select(*keys, SEG, "_part", "entry")
-    j = s.join(entries, [*keys, SEG, "_part"])
+    # the stretches of a segment as one list: the join then has the keys of the windows, and no row moves again
+    entries = dense.join(entry, [*keys, "_no"]).groupBy(*keys, SEG).agg(F.collect_list(F.struct("_part", "entry")).alias("_entries"))
+    own = F.filter("_entries", lambda e: e["_part"] == F.col("_part"))[0]["entry"]
+    j = s.join(entries, [*keys, SEG]).withColumn("entry", own).drop("_entries")
     score = F.col("_score") + F.pow(F.lit(KEEP), F.col("_at")) * F.col("entry")[1]
     misses = F.col("_at") - F.coalesce("_hit", F.lit(0)) + F.when(F.col("_hit").isNull(), F.col("entry")[3]).otherwise(0.0)
     return j.withColumns({"score": score, "misses": misses.cast("long")}).drop(SEG, "_at", "_part", "_score", "_hit", "entry")

@@ -149,6 +149,33 @@ def test_filters_run_alike_in_tasks_and_by_hand(spark):
         assert got[r[2]].closing_mps == pytest.approx(motion.motion_of(s, r[4])[0])
 
 
+def test_matches_move_rows_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [("t", f, o, int(rng.integers(0, 4)), float(rng.random()), float(rng.integers(-20, 620)), float(rng.integers(-20, 340)), float(rng.integers(0, 90)))
+            for f in range(6) for o in range(12)]
+    d = spark.createDataFrame(rows, "trip_id string, frame_id long, ordinal long, class_id int, confidence double, x double, y double, side double")
+    d = d.withColumn("box", F.when(F.col("ordinal") != 3, G.box(F.col("x"), F.col("y"), F.col("x") + F.col("side"), F.col("y") + F.col("side")))).drop("x", "y", "side")
+    a, b = d.filter("ordinal % 2 = 1 AND frame_id <> 4").localCheckpoint(), d.filter("ordinal % 2 = 0 AND frame_id <> 5").localCheckpoint()
+    out = A.best_iou_match(a, b, 0.1, 0.0, ("class_id",))
+    iou = {(r.frame_id, r.i, r.o): r.v for r in A.box_pairs(
+        a.select(*A.KEYS, F.col("ordinal").alias("i"), F.col("box").alias("p")), b.select(*A.KEYS, F.col("ordinal").alias("o"), F.col("box").alias("q")), "p", "q"
+    ).withColumn("v", G.bbox_iou("p", "q")).collect()}
+    for r in out.collect():
+        best = min([(-v, o) for (f, i, o), v in iou.items() if (f, i) == (r.frame_id, r.ordinal) and v > 0], default=None)
+        assert r.matched_iou == (-best[0] if best else 0.0)
+        assert (r.match.ordinal if r.match else None) == (best[1] if best and -best[0] >= 0.1 else None)
+    for plan in (out, A.associate_detections(a, b)):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("Join") == 1 and "Generate" not in text
+
+
+def test_semantic_entries_join_on_the_keys_of_the_windows(spark):
+    rows = [("t", 1, f, 0, f % 3 == 0, 0.5) for f in range(40)]
+    df = spark.createDataFrame(rows, "trip_id string, track_id long, frame_id long, ordinal long, matched boolean, det_confidence double")
+    text = fusion.semantic_state(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" not in [line for line in text.splitlines() if "Join" in line][0]
+
+
 def test_closing_reliability_fits_only_what_is_asked(spark, monkeypatch):
     rows = [("t", k, f, 0.1 * f, 20.0 - f * (k + 1) + (f % 3)) for k in (1, 2) for f in range(30)]
     d = spark.createDataFrame(rows, "trip_id string, track_id long, frame_id long, t_sec double, depth_m double")
