@@ -242,21 +242,23 @@ def _links(batches, distance: int):
         yield _star(_joined(key(rows), fp, distance), fp)
 
 
-def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Distinct fingerprints (fp: long) -> edges (u, v) that join exactly the fingerprints
-    reachable by steps of at most ``distance`` differing bits (at most one edge for each
-    fingerprint and bit field)."""
+def _indexed(fps: DataFrame, distance: int, *more: str) -> DataFrame:
+    """Fingerprints (fp: long, ...) once for each bit field, sorted by upper node and Gray rank:
+    (fp, field, gray, ...)."""
     fields = distance + 1
     width = BITS // fields
-    turned = fps.select("fp", F.explode(F.array(*[
+    turned = fps.select("fp", *more, F.explode(F.array(*[
         F.struct(F.lit(k).alias("field"), rotated(F.col("fp"), k * width).alias("code")) for k in range(fields)
-    ])).alias("x")).select("fp", "x.field", gray_rank(F.col("x.code")).alias("gray"))
+    ])).alias("x")).select("fp", "x.field", gray_rank(F.col("x.code")).alias("gray"), *more)
     node = F.shiftrightunsigned("gray", BITS - width)
-    return (
-        turned.repartition(shuffle_partitions(fps.sparkSession), "field", node)
-        .sortWithinPartitions("field", node, "gray")
-        .mapInArrow(lambda it: _links(it, distance), "u bigint, v bigint")
-    )
+    return turned.repartition(shuffle_partitions(fps.sparkSession), "field", node).sortWithinPartitions("field", node, "gray")
+
+
+def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Distinct fingerprints (fp: long) -> edges (u, v) that join exactly the fingerprints
+    reachable by steps of at most ``distance`` differing bits (at most one edge for each
+    fingerprint and bit field)."""
+    return _indexed(fps, distance).mapInArrow(lambda it: _links(it, distance), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE) -> DataFrame:
@@ -364,8 +366,8 @@ def _parities(h: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
 
 
 def _prefixes(batches, size: int, similarity: float, levels: np.ndarray):
-    """(doc_id, text_hash, cls, n, bits, prefix): the hash of the set, its size and bitmap, and the
-    rarest shingles, of which two sets of the similarity have one in common."""
+    """(doc_id, text_hash, cls, n, fp, bits, prefix): the hash of the set, its size, fingerprint and
+    bitmap, and the rarest shingles, of which two sets of the similarity have one in common."""
     for batch in batches:
         for part in slices(batch, "text", SLICE_BYTES):
             h, upto = _shingle_sets(part.column("text"), size)
@@ -380,8 +382,9 @@ def _prefixes(batches, size: int, similarity: float, levels: np.ndarray):
             bits = _parities(h, doc, len(n))
             yield pa.record_batch([
                 part.column("doc_id"), part.column("_text"), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(n.astype(np.int32)),
+                pa.array(shingle_votes(h, upto).view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits.ravel().view(np.int64))),
-                pa.ListArray.from_arrays(pa.array(cuts), pa.array(first.view(np.int64)))], ["doc_id", "text_hash", "cls", "n", "bits", "prefix"])
+                pa.ListArray.from_arrays(pa.array(cuts), pa.array(first.view(np.int64)))], ["doc_id", "text_hash", "cls", "n", "fp", "bits", "prefix"])
 
 
 def _possible(i, j, n, pos, similarity: float) -> np.ndarray:
@@ -400,14 +403,52 @@ def _near_bitmaps(i, j, n, bits, similarity: float) -> np.ndarray:
     return (both - apart) // 2 >= _least_overlap(both, similarity)
 
 
+def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the pairs that join the sets of ``label`` without a circle, and the labels after them."""
+    kept = [np.zeros((2, 0), np.int64)]
+    while True:
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        if not len(a):
+            return label, *np.concatenate(kept, axis=1)
+        # each set is hooked once, to one of a lower label
+        _, first = np.unique(np.maximum(label[a], label[b]), return_index=True)
+        kept.append(np.stack([a[first], b[first]]))
+        label = _merge(label.copy(), a[first], b[first])
+
+
+def _index_pairs(batches, distance: int, similarity: float):
+    """Sets (fp, field, gray, cls, n, bits) sorted by field and Gray rank -> pairs (a, b) of sets whose
+    fingerprints are near and whose bitmaps allow the similarity; of each upper node only pairs that
+    join its sets without a circle, so no more than it has members."""
+    key = _node_key(BITS // (distance + 1))
+    for rows in _whole_nodes(batches, key):
+        fp, cls, n = (np.asarray(rows.column(c)) for c in ("fp", "cls", "n"))
+        n = n.astype(np.int64)
+        bits = rows.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(fp), -1)
+        label, pairs = np.arange(len(fp)), [np.zeros((2, 0), np.int64)]
+
+        def near(i, j):
+            nonlocal label
+            good = _near_bitmaps(i, j, n, bits, similarity)
+            label, a, b = _forest(label, i[good], j[good])
+            pairs.append(np.stack([a, b]))
+            return good
+
+        _joined(key(rows), fp.view(np.uint64), distance, near)
+        i, j = np.concatenate(pairs, axis=1)
+        yield pa.record_batch([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], ["a", "b"])
+
+
 def _prefix_pairs(batches, similarity: float):
-    """Sets (token, cls, n, pos) sorted by token and cls -> candidate pairs (a, b); a group of over
-    ALL_PAIRS sets gives the pairs with its pivots, and its rows (b NULL) for the second round."""
+    """Sets (token, cls, n, pos, root) sorted by token and cls -> candidate pairs (a, b) of different
+    roots; a group of over ALL_PAIRS sets gives the pairs with its pivots, and its rows (b NULL) for
+    the second round."""
     for t in _whole_nodes(batches, lambda rows: _unsigned(rows, "token")):
-        token, cls, n, pos = (np.asarray(t.column(c)) for c in ("token", "cls", "n", "pos"))
+        token, cls, n, pos, root = (np.asarray(t.column(c)) for c in ("token", "cls", "n", "pos", "root"))
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-        token, cls, n, pos = token[new], cls[new], n[new].astype(np.int64), pos[new].astype(np.int64)
+        token, cls, n, pos, root = token[new], cls[new], n[new].astype(np.int64), pos[new].astype(np.int64), root[new]
         cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         count = np.diff(np.append(cuts, len(token)))
         count, first = np.repeat(count, count), np.repeat(cuts, count)
@@ -423,7 +464,7 @@ def _prefix_pairs(batches, similarity: float):
             i.append(first[x] + k)
             j.append(x)
         i, j = np.concatenate(i), np.concatenate(j)
-        good = _possible(i, j, n, pos, similarity)
+        good = (root[i] != root[j]) & _possible(i, j, n, pos, similarity)
         pairs = np.unique(np.stack([cls[i[good]], cls[j[good]]], 1), axis=0)
         none = pa.nulls(len(pairs), pa.int64())
         if len(pairs):
@@ -533,15 +574,22 @@ def _allowed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def similar_links(docs: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
     """Edges (u, v) between hashes of shingle sets, each of at least ``similarity``, that join
-    exactly the sets reachable over such pairs."""
+    exactly the sets reachable over such pairs: those that the index finds, then those by prefixes
+    between sets that it has not joined."""
     n = shuffle_partitions(docs.sparkSession)
-    sets = saved(rows.dropDuplicates(["cls"]).select("cls", "n", "bits", "prefix"), "sets")
-    entries = sets.select("cls", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "cls", "n", "pos")
+    sets = saved(rows.dropDuplicates(["cls"]).select("cls", "n", "fp", "bits", "prefix"), "sets")
+    near = _indexed(sets, DISTANCE, "cls", "n", "bits").mapInArrow(
+        lambda it: _index_pairs(it, DISTANCE, similarity), "a bigint, b bigint").distinct()
+    indexed = saved(_verified(saved(near, "pairs"), docs, rows, size, similarity).withColumnsRenamed({"a": "u", "b": "v"}), "links")
+    joined = components(indexed).withColumnRenamed("node", "cls")
+    rooted = sets.join(joined, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    entries = rooted.select("cls", "n", "root", F.posexplode("prefix").alias("pos", "token")).select("token", "cls", "n", "pos", "root")
     found = saved(
         entries.repartition(n, "token").sortWithinPartitions("token", "cls").mapInArrow(
             lambda it: _prefix_pairs(it, similarity), "token bigint, a bigint, b bigint, n bigint, pos bigint"), "pairs")
     pairs = _allowed(found.where("b IS NOT NULL").select("a", "b").distinct(), sets, similarity)
-    edges = saved(_verified(saved(pairs, "pairs"), docs, rows, size, similarity).withColumnsRenamed({"a": "u", "b": "v"}), "links")
+    more = _verified(saved(pairs, "pairs"), docs, rows, size, similarity).withColumnsRenamed({"a": "u", "b": "v"})
+    edges = saved(indexed.unionByName(more), "links")
     large = found.where("b IS NULL").drop("b")
     if large.isEmpty():
         return edges
@@ -567,8 +615,9 @@ def similar_rows(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Dat
     """``docs`` (doc_id, text, ...) -> (doc_id, text_hash, component, keeper): one row per row;
     texts whose sets of word shingles have ``similarity`` (Jaccard) or more in common are linked.
 
-    Sets of that similarity share one of their rarest shingles (prefix filter), so every such pair
-    meets; candidates whose bitmaps allow the similarity are verified by the exact similarity of the
+    The Gray-order index over the fingerprints of the sets gives the first candidates; what their exact
+    similarity joins is one component from then on. Sets of the similarity share one of their rarest
+    shingles (prefix filter), so every pair that the fingerprints miss still meets; candidates whose bitmaps allow the similarity are verified by the exact similarity of the
     sets. In a large group the members are compared with a few pivots first, and only pairs not yet
     in one component after that, block by block in tasks of their own; of those only what the
     bitmaps allow leaves the task. ``keeper`` marks the first row of each component by (doc_id, hash of the text), NULL ids
@@ -577,7 +626,7 @@ def similar_rows(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Dat
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, size))
     rows = saved(docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).mapInArrow(
-        lambda it: _prefixes(it, size, similarity, shared.value), f"doc_id {kind}, text_hash bigint, cls bigint, n int, bits array<bigint>, prefix array<bigint>"), "prefixes")
+        lambda it: _prefixes(it, size, similarity, shared.value), f"doc_id {kind}, text_hash bigint, cls bigint, n int, fp bigint, bits array<bigint>, prefix array<bigint>"), "prefixes")
     found = components(similar_links(docs, rows, size, similarity))
     keyed = rows.select("doc_id", "text_hash", "cls")
     named = keyed.join(found, keyed["cls"] == found["node"], "left").select(

@@ -165,6 +165,37 @@ def test_bitmaps_never_refuse_a_similar_pair():
                 assert simhash._near_bitmaps(np.array([0]), np.array([1]), np.array([len(one), len(other)]), bits, 0.8)[0]
 
 
+def test_index_gives_the_first_pairs(spark):
+    """The pairs of the stage's index join exactly what near fingerprints and bitmaps join, without a circle."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for n in (40, 900):
+        for _ in range(30):
+            w = [f"w{x}" for x in rng.integers(0, 3000, n)]
+            texts += [w, [*w[:-1], "end"], w[: int(0.97 * n)]]
+    family = [f"h{x}" for x in range(900)]
+    texts += [[*family, f"y{k}"] for k in range(90)]  # over SMALL members of one upper node
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    levels = simhash._frequencies(docs, 5)
+    sets = docs.withColumn("_text", F.xxhash64("text")).mapInArrow(
+        lambda it: simhash._prefixes(it, 5, 0.8, levels),
+        "doc_id bigint, text_hash bigint, cls bigint, n int, fp bigint, bits array<bigint>, prefix array<bigint>").dropDuplicates(["cls"]).cache()
+    rows = sets.collect()
+    place = {r["cls"]: i for i, r in enumerate(rows)}
+    fp = np.array([r["fp"] for r in rows]).view(np.uint64)
+    n, bits = np.array([r["n"] for r in rows]), np.array([r["bits"] for r in rows]).view(np.uint64)
+    i, j = np.triu_indices(len(rows), 1)
+    near = np.bitwise_count(fp[i] ^ fp[j]) <= 3
+    near[near] = simhash._near_bitmaps(i[near], j[near], n, bits, 0.8)
+    want = simhash._merge(np.arange(len(rows)), i[near], j[near])
+    pairs = simhash._indexed(sets, 3, "cls", "n", "bits").mapInArrow(
+        lambda it: simhash._index_pairs(it, 3, 0.8), "a bigint, b bigint").distinct().collect()
+    a, b = np.array([[place[r["a"]], place[r["b"]]] for r in pairs]).T
+    assert set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())) <= set(zip(i[near].tolist(), j[near].tolist()))
+    assert (simhash._merge(np.arange(len(rows)), a, b) == want).all() and (want != np.arange(len(rows))).sum() > 100
+    assert len(pairs) <= 4 * len(rows) < near.sum()
+
+
 @pytest.mark.parametrize("rows", [2048, 16])
 def test_similar_rows_equal_brute_force(spark, monkeypatch, rows):
     """Pairs at 0.75 to 0.9, short texts, and a large family, whole and in blocks, against exact Jaccard."""
