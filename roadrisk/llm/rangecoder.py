@@ -61,6 +61,7 @@ class _Model:
         below = np.cumsum(share, axis=1, dtype=np.int32) - share
         self.bucket_shares = ((below << 14) | share).reshape(-1)
         if search:
+            self.bucket = None  # the old inverse goes before the new one is made
             bucket = np.broadcast_to(np.arange(BUCKETS, dtype=np.uint16), share.shape).reshape(-1)
             self.bucket = np.repeat(bucket, share.reshape(-1))
 
@@ -157,6 +158,11 @@ def settle(c) -> None:
         lanes = lanes[((low ^ (low + rng)) < TOP) | (rng < BOTTOM)]
 
 
+def as_stored(ids: np.ndarray) -> np.ndarray:
+    """32-bit ids as little-endian unsigned integers, in place where the machine holds them so."""
+    return ids.astype("<i4", copy=False).view("<u4")
+
+
 def encode(ids: np.ndarray, vocabulary: int) -> tuple[list[bytes], list[int]]:
     """Payload and crc32 of each block of ``BLOCK_IDS`` ids; the crc is that of the ids of the
     block as little-endian unsigned 32-bit integers. No ids give no blocks."""
@@ -165,13 +171,15 @@ def encode(ids: np.ndarray, vocabulary: int) -> tuple[list[bytes], list[int]]:
         return [], []
     if int(ids.min()) < 0 or int(ids.max()) >= vocabulary:
         raise ValueError("an id lies outside the vocabulary")
-    raw = ids.astype("<u4")
-    crcs = [zlib.crc32(raw[a:a + BLOCK_IDS].tobytes()) for a in range(0, n, BLOCK_IDS)]
+    raw = as_stored(ids)
+    crcs = [zlib.crc32(raw[a:a + BLOCK_IDS]) for a in range(0, n, BLOCK_IDS)]
     lanes = len(crcs)
     steps = BLOCK_IDS if lanes > 1 else n
-    grid = np.zeros(lanes * steps, np.int32)
-    grid[:n] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+    grid = np.zeros((steps, lanes), np.int32)
+    whole = n // steps
+    grid[:, :whole] = ids[:whole * steps].reshape(whole, steps).T
+    if whole < lanes:
+        grid[:n - whole * steps, whole] = ids[whole * steps:]
     m, out = _Model(lanes, vocabulary), _Writer(lanes)
     for t in range(steps):
         if t in REBUILD:
@@ -239,9 +247,10 @@ def decode(payloads: list[bytes], crcs: list[int], n: int, vocabulary: int) -> n
         member = x >> BUCKET_BITS
         grid[t] = x
         m.learn(x, x == g1, x == g2, f2, ~known, member, old == member, at)
+    del m, src
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:n]
-    raw = ids.astype("<u4")
+    raw = as_stored(ids)
     for k, crc in enumerate(crcs):
-        if zlib.crc32(raw[k * BLOCK_IDS:(k + 1) * BLOCK_IDS].tobytes()) != crc:
+        if zlib.crc32(raw[k * BLOCK_IDS:(k + 1) * BLOCK_IDS]) != crc:
             raise ValueError(f"block {k} does not match its checksum")
     return ids

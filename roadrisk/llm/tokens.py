@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from roadrisk.llm.rangecoder import decode, encode
+from roadrisk.llm.rangecoder import as_stored, decode, encode
 from roadrisk.llm.tables import shuffle_partitions
 from roadrisk.llm.words import parts, slices
 
@@ -136,6 +136,7 @@ def _segments(batches, path: str):
 
     def close():
         flat = np.concatenate(ids)
+        ids.clear()  # the ids stand once while they are coded
         blocks, crcs = encode(flat, encoder.vocabulary)
         doc_ids = pa.concat_arrays(docs)
         return pa.record_batch([
@@ -183,7 +184,7 @@ def _read(batches, digest: bool):
             np.cumsum(length, out=upto[1:])
             same = [pa.array(np.full(len(docs), row[k].as_py(), np.int32)) for k in ("part", "seg")]
             if digest:
-                raw = memoryview(ids.astype("<u4").view(np.uint8))
+                raw = memoryview(as_stored(ids).view(np.uint8))
                 last = pa.array([zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())], pa.int64())
             else:
                 last = pa.LargeListArray.from_arrays(pa.array(upto), pa.array(ids)).cast(pa.list_(pa.int32()))

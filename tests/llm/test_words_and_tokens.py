@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -52,6 +53,21 @@ def test_repeats_cost_little():
     assert sum(map(len, rangecoder.encode(ids, 49408)[0])) * 8 / len(ids) < 2
 
 
+def test_coder_holds_few_copies_of_the_ids():
+    ids = np.resize(np.random.default_rng(4).integers(0, 49408, 65536), 1 << 20).astype(np.int32)
+    tracemalloc.start()
+    try:
+        payload, crcs = rangecoder.encode(ids, 49408)
+        encoding = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        rangecoder.decode(payload, crcs, len(ids), 49408)
+        decoding = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert encoding < 4.4 * ids.nbytes and decoding < 5 * ids.nbytes
+
+
 def test_ids_equal_whole_texts(spark):
     texts = [r["text"] for r in table(spark, SMALL, "documents").select("text").collect()]
     texts += [r[1] for r in ODD_ROWS] + ["it's we'll don't", "a b​c", "12 345 ab12", "ΟΔΟΣ Σ", "<|startoftext|>x <|endoftext|>", "<|ENDOFTEXT|>", "É×Ü÷é", "Ãµª ¼½x º", "a,b.C!!d ÀB's d'S 9é", "\u0178 ÿ ž İI ß ẞ", "a\u0301 é\u0301", "…x—y"]
