@@ -11,7 +11,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,42 +84,77 @@ def symbol(ttc="ttc", reliable="reliable"):
     return F.when(F.col(reliable), code).otherwise(4).cast("int")
 
 
+CHUNK = 256  #: segments walked side by side
+
+
+def _flat(symbols: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols of the segments, and where each segment starts among them."""
+    starts = symbols.offsets.to_numpy().astype(np.int64)
+    return symbols.flatten().to_numpy(zero_copy_only=False), starts - starts[0]
+
+
+def _side_by_side(flat: np.ndarray, starts: np.ndarray, preset: pa.Array):
+    """(preset, rows, inside, symbols) of at most CHUNK segments of one preset: a row of symbols for each
+    frame number, with the idle symbol after a segment's end; ``inside`` says where there are frames."""
+    preset = np.array(preset.to_pylist(), object)
+    for p in sorted(set(preset)):
+        of = np.flatnonzero(preset == p)
+        for a in range(0, len(of), CHUNK):
+            rows = of[a:a + CHUNK]
+            sizes = starts[rows + 1] - starts[rows]
+            inside = np.arange(int(sizes.max())) < sizes[:, None]
+            grid = np.full(inside.shape, len(SYMBOLS), np.int8)
+            grid[inside] = np.concatenate([flat[starts[r]:starts[r + 1]] for r in rows])
+            yield p, rows, inside, np.ascontiguousarray(grid.T)
+
+
+def _idle(nxt, why):
+    """Tables of an automaton with one more symbol, which changes nothing."""
+    return np.vstack([nxt, np.arange(nxt.shape[1], dtype=nxt.dtype)]), np.vstack([why, np.zeros_like(why[:1])])
+
+
 def _segment_maps(presets):
-    tables = {n: automaton(preset_of(n))[1] for n in presets}
+    tables = {n: _idle(*automaton(preset_of(n))[1:])[0] for n in presets}
     states = max(t.shape[1] for t in tables.values())
 
-    @F.pandas_udf("array<double>")
-    def left_by(symbols: pd.Series, preset: pd.Series) -> pd.Series:
-        out = []
-        for syms, p in zip(symbols, preset):
+    @F.arrow_udf("array<double>")
+    def left_by(symbols: pa.Array, preset: pa.Array) -> pa.Array:
+        out = np.tile(np.arange(states + 1, dtype=float), (len(symbols), 1))
+        for p, rows, inside, grid in _side_by_side(*_flat(symbols), preset):
             nxt = tables[p]
-            to = np.arange(states + 1, dtype=float)
-            state = np.arange(nxt.shape[1])
-            for s in syms:
-                state = nxt[s][state]
-            to[:len(state)], to[-1] = state, len(syms)
-            out.append(to)
-        return pd.Series(out)
+            state = np.tile(np.arange(nxt.shape[1]), (len(rows), 1))
+            for syms in grid:
+                state = nxt[syms[:, None], state]
+            out[rows, :state.shape[1]] = state
+            out[rows, -1] = inside.sum(axis=1)
+        return pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * (states + 1), out.reshape(-1))
 
     return left_by, mapping(states)
 
 
 def _walk(presets):
-    tables = {n: automaton(preset_of(n))[1:] for n in presets}
-
-    @F.pandas_udf("struct<states: array<int>, reasons: array<int>>")
-    def walk(symbols: pd.Series, entry: pd.Series, preset: pd.Series) -> pd.DataFrame:
-        states, reasons = [], []
-        for syms, s, p in zip(symbols, entry, preset):
+    """States and reasons of the frames of segments, a byte a frame and no object a segment: a batch holds up
+    to ten thousand segments."""
+    tables = {n: _idle(*automaton(preset_of(n))[1:]) for n in presets}
+    kind, name = (np.int8, "tinyint") if all(t.shape[1] < 128 for t, _ in tables.values()) else (np.int32, "int")
+
+    @F.arrow_udf(f"struct<states: array<{name}>, reasons: array<tinyint>>")
+    def walk(symbols: pa.Array, entry: pa.Array, preset: pa.Array) -> pa.Array:
+        flat, starts = _flat(symbols)
+        states, reasons = np.empty(len(flat), kind), np.empty(len(flat), np.int8)
+        entry = entry.to_numpy(zero_copy_only=False)
+        for p, rows, inside, grid in _side_by_side(flat, starts, preset):
             nxt, why = tables[p]
-            path, because = np.empty(len(syms), np.int32), np.empty(len(syms), np.int32)
-            for i, x in enumerate(syms):
-                because[i] = why[x, s]
-                s = nxt[x, s]
-                path[i] = s
-            states.append(path)
-            reasons.append(because)
-        return pd.DataFrame({"states": states, "reasons": reasons})
+            s = entry[rows]
+            path, because = np.empty(grid.shape, kind), np.empty(grid.shape, np.int8)
+            for i, syms in enumerate(grid):
+                because[i] = why[syms, s]
+                path[i] = s = nxt[syms, s]
+            for k, r in enumerate(rows):
+                n = starts[r + 1] - starts[r]
+                states[starts[r]:starts[r + 1]], reasons[starts[r]:starts[r + 1]] = path[:n, k], because[:n, k]
+        cuts = starts.astype(np.int32)
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(cuts, states), pa.ListArray.from_arrays(cuts, reasons)], ["states", "reasons"])
 
     return walk
 
@@ -144,7 +179,7 @@ def risk_states(frames: DataFrame, presets=(DEFAULT_PRESET,), ttc="ttc", reliabl
     keys, presets = list(keys), list(presets)
     if reliable is None:
         frames, reliable = frames.withColumn("_ok", F.lit(True)), "_ok"
-    f = frames.select(*keys, "frame_id", F.col(ttc).alias("ttc"), symbol(ttc, reliable).alias("_sym"))
+    f = frames.select(*keys, "frame_id", F.col(ttc).alias("ttc"), symbol(ttc, reliable).cast("tinyint").alias("_sym"))
     f = segmented(f, **({"rows": rows} if rows else {}))
     row = F.struct("frame_id", "_sym", "ttc")
     # one array per segment: at most SEGMENT_ROWS frames, whatever the trip's length
@@ -165,7 +200,7 @@ def risk_states(frames: DataFrame, presets=(DEFAULT_PRESET,), ttc="ttc", reliabl
         *keys, "preset", F.col("z.r.frame_id").alias("frame_id"),
         (F.col("_earlier") + F.col("_i")).alias("position"), F.col("z.r.ttc").alias("ttc"),
         F.when(F.col("z.r._sym") == 4, F.lit("UNKNOWN")).otherwise(ttc_band(F.col("z.r.ttc"))).alias("raw_band"),
-        words[F.col("preset")][F.col("z.s")].alias("state"), reasons[F.col("z.y")].alias("reason"),
+        words[F.col("preset")][F.col("z.s").cast("int")].alias("state"), reasons[F.col("z.y").cast("int")].alias("reason"),
     )
 
 

@@ -1,6 +1,9 @@
 """Debounced states, events, and batch = stream."""
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +95,29 @@ def test_stream_equals_batch(spark, tmp_path):
     cols = ["trip_id", "event_no", "start_frame", "end_frame", "start_pos", "end_pos", "min_ttc_sec", "severity", "event_quality", "confidence_level"]
     key = lambda d: sorted(tuple(r[c] for c in cols) for r in d.collect() if r["trip_id"] != "z")
     assert key(spark.read.parquet(ev)) == key(batch) and len(key(batch)) > 3
+
+
+def test_walk_holds_a_few_bytes_a_frame():
+    """A batch of ten thousand segments would not fit a worker with an object a frame."""
+    rng = np.random.default_rng(3)
+    size = rng.integers(1, 1025, 2000)
+    cuts = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    syms = pa.ListArray.from_arrays(cuts, rng.integers(0, 5, cuts[-1]).astype(np.int8))
+    names = [["raw", "debounce_2", "recommended", "strict_4"][i % 4] for i in range(len(size))]
+    entry = np.zeros(len(size), np.int32)
+    walk = R._walk(list(RISK_PRESETS)).func
+    tracemalloc.start()
+    try:
+        out = walk(syms, pa.array(entry), pa.array(names))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 6 * cuts[-1]
+    for i in range(0, len(size), 97):
+        states, nxt, why = R.automaton(R.preset_of(names[i]))
+        s, path, because = 0, [], []
+        for x in syms[i].as_py():
+            because.append(why[x, s])
+            s = nxt[x, s]
+            path.append(s)
+        assert (out[i].as_py()["states"], out[i].as_py()["reasons"]) == (path, because)
