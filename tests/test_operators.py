@@ -378,3 +378,22 @@ def test_readers_and_writers(spark, tmp_path):
         (tmp_path / "img" / n).write_bytes(b"x")
     assert [x.frame_id for x in readers.list_modality_files(spark, str(tmp_path / "img"), ".jpg").collect()] == [3]
     assert [x.frame_id for x in readers.list_modality_files(spark, str(tmp_path / "img"), ".jpg", "frame_").collect()] == [7]
+
+
+def test_residual_sigmas_reads_its_observations_once(spark):
+    rng = np.random.default_rng(8)
+    rows = [("t", k, i * 0.05, float(20 - 0.1 * i + rng.normal()), float(rng.normal())) for k in (1, 2) for i in range(41)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    kind = "trip_id string, track_id long, t_sec double, depth_m double, lateral_m double"
+    got = {r.track_id: r for r in motion.residual_sigmas(spark.createDataFrame(rows, kind).mapInPandas(count, kind)).collect()}
+    for k in (1, 2):
+        t, d, x = (np.array([r[c] for r in rows if r[1] == k]) for c in (2, 3, 4))
+        mad = [1.4826 * np.median(np.abs(e - np.median(e))) for e in (d - np.polyval(np.polyfit(t, d, 1), t), x - np.polyval(np.polyfit(t, x, 1), t))]
+        assert np.allclose([got[k].median_depth_m, got[k].depth_sigma_m, got[k].lateral_sigma_m], [np.median(d), *mad])
+    assert seen.value == len(rows)
