@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from roadrisk.constants import IMAGE_HEIGHT, IMAGE_WIDTH, INF
 from roadrisk.functions import geometry as G
 from roadrisk.operators.association import KEYS
-from roadrisk.operators.lineage import spread
+from roadrisk.operators.lineage import cut, spread
 from roadrisk.operators.motion import distance_filter_sessions
 from roadrisk.operators.scoring import select_min_ttc
 from roadrisk.operators.sequence import run_starts, running_total
@@ -54,6 +54,10 @@ def _costs(tracks, comps):
     """Cost matrix of tracks against components, infinite outside the gates."""
     a = np.array([(*t["box"], t["cx"], t["cy"], t["depth"]) for t in tracks], float)[:, None, :]
     b = np.array([(c["x0"], c["y0"], c["x1"], c["y1"], c["cx"], c["cy"], c["depth_m"]) for c in comps], float)[None, :, :]
+    return _pair_costs(a, b)
+
+
+def _pair_costs(a, b):
     w = np.clip(np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0]), 0, None)
     h = np.clip(np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1]), 0, None)
     area = lambda m: np.clip(m[..., 2] - m[..., 0], 0, None) * np.clip(m[..., 3] - m[..., 1], 0, None)
@@ -95,39 +99,201 @@ def frame_tracks(tracks, made, comps, skipped, max_missed):
     return [t for t in tracks if t["missed"] <= max_missed], made, found
 
 
+# frames of a segment, and of the run before it from which its first tracks are taken; stretches whose
+# segments do not fit are walked again with the next, at last whole
+TRACK_SEGMENTS = ((256, 64), (8192, 2048))
+_LANE_ROWS = 1 << 18  #: rows of segments that are walked side by side
+_PLACE = ["x0", "y0", "x1", "y1", "cx", "cy", "depth_m"]
+_LANE = ["trip_id", "stretch", "segment"]
+LANES = ("trip_id string, stretch bigint, segment bigint, frame_id array<bigint>, ordinal array<bigint>, number array<bigint>, "
+         "hits array<bigint>, first array<struct<frame_id: bigint, ordinal: bigint, number: bigint, hits: bigint>>, "
+         "last array<struct<frame_id: bigint, ordinal: bigint, number: bigint, hits: bigint>>, made_before bigint, made bigint, tied boolean")
+
+
+def walk_lanes(lane, frame, place, begin, max_missed):
+    """``frame_tracks`` over many lanes side by side: one step takes the next frame of each.
+
+    lane, frame, place: rows by lane, frame and component; begin: the first own frame of each lane.
+    Returns track numbers and hits by row, and for each lane (tracks before its first own frame, tracks at
+    the end, tracks made before, tracks made, whether two pairs cost the same); a track is (row, number, hits).
+    """
+    n, lanes = len(lane), len(begin)
+    out_number, out_hits = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    head = np.flatnonzero(np.r_[True, (lane[1:] != lane[:-1]) | (frame[1:] != frame[:-1])])
+    size, at_frame = np.diff(np.append(head, n)), frame[head]
+    first = np.searchsorted(lane[head], np.arange(lanes + 1))
+    steps = np.diff(first)
+    order = np.argsort(-steps, kind="stable")  # the active lanes stay in front
+    done = [[[], [], None, 0, False] for _ in range(lanes)]
+    t = {"place": np.zeros((lanes, 0, 7)), **{k: np.zeros((lanes, 0), np.int64) for k in ("missed", "number", "hits", "row")}}
+    made, seen, tied = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, bool)
+
+    def tracks(i):
+        live = t["number"][i] > 0
+        return list(zip(*(t[k][i][live].tolist() for k in ("row", "number", "hits"))))
+
+    for step in range(steps.max(initial=0)):
+        active = int((steps > step).sum())
+        t, made, seen, tied = {k: v[:active] for k, v in t.items()}, made[:active], seen[:active], tied[:active]
+        g = first[order[:active]] + step
+        now = at_frame[g]
+        for i in np.flatnonzero(now >= begin[order[:active]]):
+            if done[order[i]][2] is None:
+                done[order[i]][0], done[order[i]][2] = tracks(i), int(made[i])
+        t["missed"] = t["missed"] + (now - (seen if step else now - 1) - 1)[:, None]
+        live = (t["number"] > 0) & (t["missed"] <= max_missed)
+        there = np.arange(size[g].max()) < size[g][:, None]
+        row = np.where(there, head[g][:, None] + np.arange(there.shape[1]), 0)
+        comp = place[row]
+        owner = np.full(there.shape, -1)
+        if live.any():
+            cost = _pair_costs(t["place"][:, :, None, :], comp[:, None, :, :])
+            cost[~(live[:, :, None] & there[:, None, :] & np.isfinite(cost))] = np.inf
+            flat = cost.reshape(active, -1)
+            for _ in range(min(live.shape[1], there.shape[1])):
+                k = flat.argmin(axis=1)  # of equal costs the lowest track, then the lowest component
+                best = flat[np.arange(active), k]
+                go = np.flatnonzero(np.isfinite(best))
+                if not len(go):
+                    break
+                tied[go] |= (flat[go] == best[go, None]).sum(axis=1) > 1
+                i, j = np.divmod(k[go], there.shape[1])
+                owner[go, j] = i
+                cost[go, i, :] = np.inf
+                cost[go, :, j] = np.inf
+        t["missed"] = t["missed"] + 1
+        l, j = np.nonzero(owner >= 0)
+        i, r = owner[l, j], row[l, j]
+        t["place"][l, i], t["missed"][l, i], t["row"][l, i] = comp[l, j], 0, r
+        t["hits"][l, i] += 1
+        out_number[r], out_hits[r] = t["number"][l, i], t["hits"][l, i]
+        # live tracks to the front, in the order in which they were made, and the new ones behind
+        live &= t["missed"] <= max_missed
+        fresh = there & (owner < 0)
+        kept = live.sum(axis=1)
+        width = int((kept + fresh.sum(axis=1)).max())
+        front = np.argsort(~live, axis=1, kind="stable")
+        grown = {}
+        for k, v in t.items():
+            v = np.take_along_axis(v, front[:, :, None] if v.ndim == 3 else front, axis=1)[:, :width]
+            grown[k] = np.concatenate([v, np.zeros((active, width - v.shape[1], *v.shape[2:]), v.dtype)], axis=1)
+        t = grown
+        t["number"][np.arange(width) >= kept[:, None]] = 0
+        l, j = np.nonzero(fresh)
+        nth, r = np.cumsum(fresh, axis=1)[l, j], row[l, j]
+        i = kept[l] + nth - 1
+        t["place"][l, i], t["missed"][l, i], t["number"][l, i], t["hits"][l, i], t["row"][l, i] = comp[l, j], 0, made[l] + nth, 1, r
+        out_number[r], out_hits[r] = made[l] + nth, 1
+        made, seen = made + fresh.sum(axis=1), now
+        for i in np.flatnonzero(steps[order[:active]] == step + 1):
+            done[order[i]][1], done[order[i]][3], done[order[i]][4] = tracks(i), int(made[i]), bool(tied[i])
+    return out_number, out_hits, done
+
+
+def _whole_lanes(batches):
+    """Rows of whole lanes, about ``_LANE_ROWS`` at once."""
+    rest = None
+    for pdf in _gathered(batches, _LANE_ROWS):
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        whole = (pdf[_LANE] != pdf[_LANE].iloc[-1]).any(axis=1)
+        if whole.any():
+            yield pdf[whole].reset_index(drop=True)
+        rest = pdf[~whole]
+    if rest is not None:
+        yield rest.reset_index(drop=True)
+
+
+def _walked(c: DataFrame, frames: int | None, before: int, max_missed) -> DataFrame:
+    """One row for each segment of ``frames`` frames (None: for each stretch) with its tracks."""
+    if frames:
+        here = F.floor(F.col("frame_id") / frames)
+        nearby = F.when(F.col("frame_id") >= (here + 1) * frames - before, F.array(here, here + 1)).otherwise(F.array(here))
+        c = c.withColumn("segment", F.explode(nearby))
+    else:
+        c = c.withColumn("segment", F.lit(0).cast("long"))
+    c = spread(c, *_LANE).sortWithinPartitions(*_LANE, "frame_id", "ordinal")
+
+    def run(batches):
+        for pdf in _whole_lanes(batches):
+            lane = (pdf[_LANE] != pdf[_LANE].shift()).any(axis=1).cumsum().to_numpy() - 1
+            head = np.flatnonzero(np.diff(lane, prepend=-1))
+            names = pdf[_LANE].iloc[head]
+            frame, ordinal = pdf["frame_id"].to_numpy(), pdf["ordinal"].to_numpy()
+            begin = names["segment"].to_numpy() * frames if frames else frame[head]
+            number, hits, done = walk_lanes(lane, frame, pdf[_PLACE].to_numpy(float), begin, max_missed)
+            out = []
+            for (trip, stretch, segment), a, b, b0, (old, last, made0, made, tied) in zip(
+                    names.itertuples(index=False, name=None), head, np.append(head[1:], len(lane)), begin, done):
+                if made0 is None:
+                    continue  # no frame of its own
+                x = slice(a + int(np.searchsorted(frame[a:b], b0)), b)
+                first, last = ([(int(frame[r]), int(ordinal[r]), k, h) for r, k, h in v] for v in (old, last))
+                out.append((trip, stretch, segment, frame[x], ordinal[x], number[x], hits[x], first, last, made0, made, tied))
+            yield pd.DataFrame(out, columns=[*_LANE, "frame_id", "ordinal", "number", "hits", "first", "last", "made_before", "made", "tied"])
+
+    return c.mapInPandas(run, LANES)
+
+
+def _chained(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For the segments of a trip: the number of tracks before, and numbers and hits of the tracks that
+    go on. A segment fits if it began with the tracks that the one before it left."""
+    out, made, at, left, local = [], 0, None, {}, []
+    for r in pdf.sort_values(["stretch", "segment"]).itertuples(index=False):
+        if r.stretch != at:
+            at, left, local = r.stretch, {}, []
+        first = [(x["frame_id"], x["ordinal"]) for x in r.first]
+        fits = first == local if r.tied else sorted(first) == sorted(local)
+        numbers, hits = {}, {}
+        if fits:
+            for k, x in zip(first, r.first):
+                numbers[x["number"]], had = left[k]
+                hits[x["number"]] = had - x["hits"]
+        out.append((r.trip_id, r.stretch, r.segment, made, numbers, hits, fits))
+        left = {(x["frame_id"], x["ordinal"]): (
+            numbers.get(x["number"], made + x["number"] - r.made_before), x["hits"] + hits.get(x["number"], 0)) for x in r.last}
+        local = sorted(left, key=lambda k: left[k][0])
+        made += r.made - r.made_before
+    return pd.DataFrame(out, columns=[*_LANE, "above", "numbers", "more", "fits"])
+
+
 def track_components(components: DataFrame, max_missed=3) -> DataFrame:
     """Give each component a track: cheapest pairs first, new tracks for the rest.
 
     components: KEYS, ordinal, box, depth_m. A track ends after more than ``max_missed`` frames
     without a match, so a gap that long separates independent stretches; track numbers
     rise over the trip. Adds track_id, hits.
+
+    Stretches are cut into segments that are walked side by side, each from some frames before it on.
+    A segment stands if it began with the very tracks that the one before it ended with (and in
+    their order, where two pairs cost the same); stretches with one that does not are walked again.
     """
     c = components.select(
         *KEYS, "ordinal", F.col("depth_m").cast("double").alias("depth_m"), "box.*",
         *[x.alias(n) for x, n in zip(G.centre("box"), ("cx", "cy"))])
     stretch = run_starts(c.select(*KEYS).distinct(), ["trip_id"], "frame_id", max_missed, "stretch")
-    c = spread(c.join(stretch, KEYS), "trip_id", "stretch").sortWithinPartitions("trip_id", "stretch", "frame_id", "ordinal")
-
-    def run(batches):
-        at, last, tracks, made, out = None, None, [], 0, []
-        for key, frame, comps in _by_frame(batches, ["trip_id", "stretch"]):
-            if key != at:
-                at, last, tracks, made = key, frame - 1, [], 0
-            # frames without components are misses
-            tracks, made, found = frame_tracks(tracks, made, comps, frame - last - 1, max_missed)
-            last = frame
-            out += [(key[0], key[1], frame, c["ordinal"], k, hits) for c, k, hits in found]
-            if len(out) >= 4096:
-                yield pd.DataFrame(out, columns=["trip_id", "stretch", "frame_id", "ordinal", "local_id", "hits"])
-                out = []
-        yield pd.DataFrame(out, columns=["trip_id", "stretch", "frame_id", "ordinal", "local_id", "hits"])
-
-    t = c.mapInPandas(run, "trip_id string, stretch bigint, frame_id bigint, ordinal bigint, local_id bigint, hits bigint")
-    made = t.groupBy("trip_id", "stretch").agg(F.max("local_id").alias("_made"))
-    before = running_total(made, ["trip_id"], ["stretch"], F.col("_made"), "_upto", "stretch").select(
-        "trip_id", "stretch", (F.col("_upto") - F.col("_made")).alias("_before"))
-    return t.join(before, ["trip_id", "stretch"]).select(
-        *KEYS, "ordinal", (F.col("local_id") + F.col("_before")).alias("track_id"), "hits")
+    c = c.join(stretch, KEYS)
+    state = ["first", "last", "made_before", "made", "tied"]
+    chain = "trip_id string, stretch bigint, segment bigint, above bigint, numbers map<bigint,bigint>, more map<bigint,bigint>, fits boolean"
+
+    def chained(lanes):
+        return cut(lanes.select(*_LANE, *state).groupBy("trip_id").applyInPandas(_chained, chain))
+
+    lanes = None
+    for frames, before in (*((f, b) for f, b in TRACK_SEGMENTS if b > 4 * max_missed), (None, 0)):
+        walked = cut(_walked(c, frames, before, max_missed))
+        lanes = walked if lanes is None else lanes.unionByName(walked)
+        links = chained(lanes)
+        again = links.filter("not fits").select("trip_id", "stretch").distinct()
+        if again.isEmpty():
+            break
+        lanes = lanes.join(again, ["trip_id", "stretch"], "left_anti")
+        c = c.join(again, ["trip_id", "stretch"], "left_semi")
+    row = lanes.select(*_LANE, "made_before", F.explode(F.arrays_zip("frame_id", "ordinal", "number", "hits")).alias("r"))
+    row = row.select(*_LANE, "made_before", "r.*").join(links, _LANE)
+    old = F.col("number") <= F.col("made_before")
+    return row.select(
+        *KEYS, "ordinal", F.when(old, F.col("numbers")[F.col("number")]).otherwise(F.col("above") + F.col("number") - F.col("made_before")).alias("track_id"),
+        F.when(old, F.col("hits") + F.col("more")[F.col("number")]).otherwise(F.col("hits")).alias("hits"))
 
 
 # fixed values of the planar filter: acceleration noise, start variance of speeds, chi-square gate

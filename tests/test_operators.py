@@ -397,3 +397,34 @@ def test_residual_sigmas_reads_its_observations_once(spark):
         mad = [1.4826 * np.median(np.abs(e - np.median(e))) for e in (d - np.polyval(np.polyfit(t, d, 1), t), x - np.polyval(np.polyfit(t, x, 1), t))]
         assert np.allclose([got[k].median_depth_m, got[k].depth_sigma_m, got[k].lateral_sigma_m], [np.median(d), *mad])
     assert seen.value == len(rows)
+
+
+def test_long_stretches_are_walked_in_segments(spark, monkeypatch):
+    """Segments side by side give the tracks of the plain walk, with gaps, NULL depths, ties and segments that must be walked again."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for trip in ("a", "b"):
+        f = 0
+        for _ in range(300):
+            f += int(rng.choice([1, 2, 4, 6], p=[0.9, 0.06, 0.03, 0.01]))
+            for o in range(int(rng.integers(1, 5))):
+                x = 100.0 + 60 * o + (rng.normal(0, 25) if trip == "a" else 0)  # trip b: tracks that live long, equal boxes
+                rows.append((trip, f, o, x, 100.0, None if rng.random() < 0.03 else 10.0 + (rng.random() if trip == "a" else 0)))
+                if trip == "b" and o == 0:
+                    rows.append((trip, f, 9, x, 100.0, 10.0))
+    d = spark.createDataFrame(rows, "trip_id string, frame_id long, ordinal long, x double, y double, depth_m double")
+    d = d.select("trip_id", "frame_id", "ordinal", "depth_m", G.box(F.col("x") - 20, F.col("y") - 20, F.col("x") + 20, F.col("y") + 20).alias("box"))
+    want = {}
+    for trip in ("a", "b"):
+        mine = sorted((r for r in rows if r[0] == trip), key=lambda r: r[1:3])
+        tracks, made, last = [], 0, None
+        for f in sorted({r[1] for r in mine}):
+            comps = [{"ordinal": o, "x0": x - 20, "y0": y - 20, "x1": x + 20, "y1": y + 20, "cx": x, "cy": y, "depth_m": np.nan if z is None else z}
+                     for _, g, o, x, y, z in mine if g == f]
+            tracks, made, found = tracking.frame_tracks(tracks, made, comps, 0 if last is None else f - last - 1, 3)
+            last = f
+            want |= {(trip, f, c["ordinal"]): (k, h) for c, k, h in found}
+    for segments in (((32, 16),), ((16, 13), (64, 32)), ()):
+        monkeypatch.setattr(tracking, "TRACK_SEGMENTS", segments)
+        got = {(r.trip_id, r.frame_id, r.ordinal): (r.track_id, r.hits) for r in tracking.track_components(d).collect()}
+        assert got == want
