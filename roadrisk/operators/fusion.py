@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadrisk.constants import CURRENT_GUARD, SEMANTIC_AXES
 from roadrisk.functions.geometry import guard_predicate
-from roadrisk.operators.lineage import cut
+from roadrisk.operators.lineage import shared
 from roadrisk.operators.scan import Monoid, scan
 from roadrisk.operators.sequence import SEG, seg_window, segmented, with_position
 
@@ -37,7 +37,8 @@ def semantic_state(associations: DataFrame, rows: int = _ROWS) -> DataFrame:
     a stretch of their own, because 0.6 ** -age must stay within the range of a double.
     """
     keys, order = ["trip_id", "track_id"], ["frame_id", "ordinal"]
-    s = segmented(associations, "frame_id", rows)
+    # moved once: the ends of the stretches and the rows themselves are read from the same shuffle
+    s = shared(segmented(associations, "frame_id", rows), *keys, SEG)
     at = F.row_number().over(seg_window(keys, order))
     # a stretch: rows of one segment in runs of ``_ROWS``
     part = F.floor((at - 1) / F.lit(_ROWS))
@@ -54,9 +55,9 @@ def semantic_state(associations: DataFrame, rows: int = _ROWS) -> DataFrame:
     # segments and stretches in one order: a segment has fewer than 2^20 stretches
     place = F.col(SEG) * F.lit(1 << 20) + F.col("_part")
     many = ends.select(*keys, SEG, "_part", place.alias("_place"), element.alias("element"))
-    # written once: one row per stretch, read by the scan and by the join, whatever the rows cost
-    dense = cut(many.withColumn("_no", F.row_number().over(Window.partitionBy(*keys).orderBy("_place")).cast("long")))
-    entry = scan(dense.select(*keys, "_no", "element"), keys, "_no", _support())
+    dense = many.withColumn("_no", F.row_number().over(Window.partitionBy(*keys).orderBy("_place")).cast("long"))
+    # up to 2^24 stretches of a track
+    entry = scan(dense.select(*keys, "_no", "element"), keys, "_no", _support(), fan=256, levels=3)
     # the stretches of a segment as one list: the join then has the keys of the windows, and no row moves again
     entries = dense.join(entry, [*keys, "_no"]).groupBy(*keys, SEG).agg(F.collect_list(F.struct("_part", "entry")).alias("_entries"))
     own = F.filter("_entries", lambda e: e["_part"] == F.col("_part"))[0]["entry"]

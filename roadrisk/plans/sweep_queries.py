@@ -96,7 +96,8 @@ def _(t):
 
 
 def semantic(t):
-    return M.semantic_state(cut(A.associate_detections(boxes(t), detections(t)).drop("box", "width", "det_class", "det_iou")))
+    t = t.framed
+    return M.semantic_state(A.associate_detections(boxes(t), detections(t)).drop("box", "width", "det_class", "det_iou"))
 
 
 # EMA by recursion over each track's rows
