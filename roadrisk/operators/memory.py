@@ -14,8 +14,8 @@ from roadrisk.constants import IMAGE_HEIGHT, IMAGE_WIDTH, INF, MIN_CLOSING_MPS
 from roadrisk.functions import geometry as G
 from roadrisk.functions.ttc import is_finite
 from roadrisk.operators.fusion import semantic_state
-from roadrisk.operators.motion import kalman_distance, recent, theil_sen
-from roadrisk.operators.sequence import with_position
+from roadrisk.operators.motion import kalman_distance, theil_sen
+from roadrisk.operators.sequence import by_track, last_rows
 
 MEMORY = 11      # fixed value: observations a track remembers
 PREDICTED = 2    # fixed value: frames for which an unseen track is predicted, at most
@@ -43,18 +43,20 @@ def _observed(tracked: DataFrame) -> DataFrame:
         "depth_sigma_m": G.depth_sigma("depth_mad_m", "lr_support", "depth_confidence")})
 
 
-def robust(tracked: DataFrame, only: DataFrame | None = None) -> DataFrame:
+def robust(tracked: DataFrame, only: DataFrame | Column | None = None) -> DataFrame:
     """``remembered`` without the filtered motion and the confidence, and with ``next_frame_id``, the
     frame of the track's next observation.
 
-    With ``only`` (trip_id, track_id, frame_id, once each) the rows named there: all observations are looked back at,
-    but windows leave their task, and lines are fitted, for the named rows alone.
+    With ``only`` (a condition, or trip_id, track_id, frame_id, once each) the rows named there: all observations
+    are looked back at, but windows leave their task, and lines are fitted, for the named rows alone.
+    All columns of ``tracked`` move once: pass those that are needed.
     """
-    o = with_position(_observed(tracked), _TRACK, ["frame_id"])
-    if only is not None:
-        o = o.join(only.select(*_TRACK, "frame_id", F.lit(True).alias("_only")), [*_TRACK, "frame_id"], "left")
+    if isinstance(only, Column):
+        tracked = tracked.withColumn("_only", only)
+    elif only is not None:
+        tracked = tracked.join(only.select(*_TRACK, "frame_id", F.lit(True).alias("_only")), [*_TRACK, "frame_id"], "left")
     fields = {"t": "t_sec", "v": "depth_m", "x": "center_x", "s": "depth_sigma_m", "q": "quality", "c": "depth_confidence"}
-    r = recent(o, _TRACK, MEMORY, fields, "observations", {"next_frame_id": "frame_id"})
+    r = last_rows(_observed(by_track(tracked, _TRACK)), _TRACK, MEMORY, fields, "observations", {"next_frame_id": "frame_id"})
     if only is not None:
         r = r.filter("_only").drop("_only")
     r = r.withColumns({"hits": F.col("position") + 1, "history": F.size("observations"), "_fit": theil_sen("observations")}).drop("position")
@@ -150,17 +152,23 @@ def track_diagnostics(known: DataFrame) -> DataFrame:
         "hits", "history", "residual_m", "quality", "depth_mad_m", ratio.alias("depth_mad_ratio"), "lr_support", "corridor_overlap")
 
 
-def selected_diagnostics(frames: DataFrame, selected: DataFrame, known: DataFrame) -> DataFrame:
+def _of_selected(known: DataFrame, selected: DataFrame | None) -> DataFrame:
+    return known if selected is None else selected.select(*_TRACK, "frame_id").join(known, [*_TRACK, "frame_id"])
+
+
+def selected_diagnostics(frames: DataFrame, selected: DataFrame | None, known: DataFrame) -> DataFrame:
     """Every frame with the diagnostics of its selected track (trip_id, frame_id, track_id), prefixed
-    ``selected_``; without one counts are 0 and the rest NULL."""
-    d = selected.join(track_diagnostics(known), [*_TRACK, "frame_id"])
+    ``selected_``; without one counts are 0 and the rest NULL. ``selected`` None: ``known`` has the
+    selected rows alone."""
+    d = track_diagnostics(_of_selected(known, selected))
     names = [c for c in d.columns if c not in ("trip_id", "frame_id")]
     d = d.withColumnsRenamed({c: f"selected_{c}" for c in names})
     return frames.join(d, ["trip_id", "frame_id"], "left").na.fill(0, ["selected_hits", "selected_history"])
 
 
-def selected_evidence(frames: DataFrame, selected: DataFrame, known: DataFrame) -> DataFrame:
-    """Every frame with its selected track's measurement and remembered observations.
+def selected_evidence(frames: DataFrame, selected: DataFrame | None, known: DataFrame) -> DataFrame:
+    """Every frame with its selected track's measurement and remembered observations. ``selected``
+    None: ``known`` has the selected rows alone.
 
     Without a selected track the history is 0, the observations are an empty JSON list and all
     else is NULL. Times and depths in the JSON have six decimals, positions three.
@@ -169,7 +177,7 @@ def selected_evidence(frames: DataFrame, selected: DataFrame, known: DataFrame)
         F.round(q["t"], 6).alias("timestamp"), F.round(q["v"], 6).alias("depth_m"), F.round(q["x"], 3).alias("center_x"), F.round(q["s"], 6).alias("depth_sigma_m")))
     b = F.col("box")
     box = F.to_json(F.array(*[b[c].cast("int") for c in ("x0", "y0", "x1", "y1")]))
-    e = selected.join(known, [*_TRACK, "frame_id"]).select(
+    e = _of_selected(known, selected).select(
         "trip_id", "frame_id", F.col("track_id").alias("selected_track_id"), F.col("depth_m").alias("selected_depth_m"),
         F.col("residual_m").alias("selected_motion_residual_m"), F.col("quality").alias("selected_observation_quality"),
         F.col("depth_confidence").alias("selected_depth_confidence"), F.col("lr_support").alias("selected_lr_support"),

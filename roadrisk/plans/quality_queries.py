@@ -335,14 +335,22 @@ CHOSEN = """s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trip_
 OF_FRAME = """FROM (SELECT trip_id, frame_id FROM frames) f LEFT JOIN (SELECT rs.* FROM rs JOIN s ON s.trip_id = rs.trip_id AND s.frame_id = rs.frame_id AND s.track_id = rs.track_id) c ON c.trip_id = f.trip_id AND c.frame_id = f.frame_id"""
 
 
+def chosen_rows(t, *more):
+    """What is remembered of the chosen track of each frame; the choice is made where the frame lies."""
+    t = t.framed
+    chosen = S.select_min_ttc(t.candidates).select(T, FR, F.col("track_id").alias("_chosen"))
+    m = measured(t).join(chosen, [T, FR], "left")
+    m = m.select(T, "track_id", FR, "t_sec", "box", "depth_m", "quality", "depth_mad_m", "lr_support", "depth_confidence", "_chosen", *more)
+    return K.robust(m.withColumn("_only", F.col("_chosen") == F.col("track_id")).drop("_chosen"), F.col("_only"))
+
+
 @query("selected_diagnostics", f"""WITH {Q.remembered()}, {CHOSEN}
 SELECT_FINAL f.trip_id, f.frame_id, track_id AS selected_track_id, {', '.join(f'{x} AS selected_{n}' for n, x in (
     ('center_x_norm', 'centre_x / 640'), ('bottom_y_norm', 'y1 / 360'), ('width_norm', '(x1 - x0) / 640'), ('height_norm', '(y1 - y0) / 360'), ('hits', 'coalesce(rn, 0)'), ('history', 'coalesce(n, 0)'), ('residual_m', KNOWN),
     ('quality', 'quality'), ('depth_mad_m', 'depth_mad_m'), ('depth_mad_ratio', 'depth_mad_m / depth_m'), ('lr_support', 'lr_support'), ('corridor_overlap', 'corridor_overlap')))} {OF_FRAME}""",
        " ".join(f"selected_{c}" for c in DIAG_DOUBLES.split()))
 def _(t):
-    chosen = S.select_min_ttc(t.candidates).select(T, FR, "track_id")
-    return K.selected_diagnostics(t.frames.select(T, FR), chosen, K.robust(measured(t), chosen))
+    return K.selected_diagnostics(t.frames.select(T, FR), None, chosen_rows(t, "corridor_overlap"))
 
 
 @query("selected_evidence", f"""WITH {Q.remembered()}, {CHOSEN}
@@ -351,8 +359,7 @@ SELECT_FINAL f.trip_id, f.frame_id, track_id AS selected_track_id, depth_m AS se
  coalesce('[' || array_to_string({Q.each("'{\"timestamp\":' || round(q.t, 6) || ',\"depth_m\":' || round(q.v, 6) || ',\"center_x\":' || round(q.x, 3) || ',\"depth_sigma_m\":' || round(q.s, 6) || '}'")}, ',') || ']', '[]') AS selected_observations_json {OF_FRAME}""",
        "selected_depth_m selected_motion_residual_m selected_observation_quality selected_depth_confidence selected_lr_support")
 def _(t):
-    chosen = S.select_min_ttc(t.candidates).select(T, FR, "track_id")
-    return K.selected_evidence(t.frames.select(T, FR), chosen, K.robust(measured(t), chosen))
+    return K.selected_evidence(t.frames.select(T, FR), None, chosen_rows(t))
 
 
 FC = "CASE WHEN kn >= 3 THEN -kv ELSE 0 END"

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadrisk.operators.scan import Monoid, scan
+from roadrisk.operators.sequence import by_track, last_rows
 from roadrisk.plans.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -24,7 +25,8 @@ def moved(spark, df) -> int:
     return total() - before
 
 
-@pytest.mark.parametrize("name, times", [("semantic_state", 2.3), ("semantic_fusion", 2.8), ("semantic_sweep", 2.8), ("candidate_diagnostics", 3.3)])
+@pytest.mark.parametrize("name, times", [("semantic_state", 2.3), ("semantic_fusion", 2.8), ("semantic_sweep", 2.8), ("candidate_diagnostics", 3.3),
+                                         ("selected_diagnostics", 2.6), ("selected_evidence", 2.6), ("closing_reliability", 2.6)])
 def test_rows_move_seldom(spark, name, times):
     lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
     assert moved(spark, lambda: QUERIES[name](spark, FOLDER)) < times * lines
@@ -37,3 +39,19 @@ def test_scan_without_a_look_ahead(spark):
     assert {(r.k, r.i): r.entry for r in scan(e, ["k"], "i", summed, fan=4, levels=3).collect()} == plain
     with pytest.raises(Exception, match="is not below"):
         scan(e, ["k"], "i", summed, fan=4, levels=2).collect()
+
+
+def test_last_rows(spark):
+    """Segments with few rows, with many and with none between; two tracks."""
+    frames = {1: [*range(0, 40, 3), 41, 42, 43, 90, 91, 130, 200], 2: [5, 17, 18]}
+    rows = [("t", k, f, float(f * f)) for k, fs in frames.items() for f in fs]
+    d = spark.createDataFrame(rows, "trip_id string, track_id long, frame_id long, v double")
+    keys = ["trip_id", "track_id"]
+    got = last_rows(by_track(d, keys, rows=8), keys, 5, {"f": "frame_id", "v": "v"}, following={"next_frame": "frame_id"}).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        fs = frames[r.track_id]
+        at = fs.index(r.frame_id)
+        assert r.position == at and r.v == r.frame_id ** 2
+        assert [(x.f, x.v) for x in r.recent] == [(f, float(f * f)) for f in fs[max(0, at - 4):at + 1]]
+        assert r.next_frame == (fs[at + 1] if at + 1 < len(fs) else None)
