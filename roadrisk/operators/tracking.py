@@ -10,16 +10,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadrisk.constants import IMAGE_HEIGHT, IMAGE_WIDTH, INF
 from roadrisk.functions import geometry as G
 from roadrisk.operators.association import KEYS
 from roadrisk.operators.lineage import cut, spread
-from roadrisk.operators.motion import distance_filter_sessions
 from roadrisk.operators.scoring import select_min_ttc
-from roadrisk.operators.sequence import run_starts, running_total
+from roadrisk.operators.sequence import SEG, by_track, last_rows, run_starts, running_max, running_total
 
 
 def _by_frame(batches, keys):
@@ -427,6 +426,19 @@ def planar_walk(state, start, t, z, speed, yaw, sigmas):
 _WALKED = 1 << 16  # rows of a task that are walked at once
 
 
+def _with_sessions(o: DataFrame, keys, max_gap_s=0.5) -> DataFrame:
+    """``o`` with ``session``, as ``distance_filter_sessions`` numbers the frames of a track (the least time
+    of a frame counts); the rows move once."""
+    order = ["frame_id", "ordinal"]
+    s = by_track(o, keys).withColumn("_at", F.min("t_sec").over(Window.partitionBy(*keys, SEG, "frame_id")))
+    s = last_rows(s, keys, 2, {"f": "frame_id", "t": "_at"}, "_two", order=order, keep_segment=True)
+    was = F.when(F.size("_two") > 1, F.col("_two")[0])
+    gap = F.col("_at") - was["t"]
+    opens = was["f"].isNull() | (was["f"] != F.col("frame_id"))
+    fresh = F.when(opens & (was["t"].isNull() | ~((gap > 0) & (gap <= max_gap_s))), F.col("frame_id"))
+    return running_max(s, keys, order, fresh, "session").select(*o.columns, "session")
+
+
 def planar_filter(obs: DataFrame, keys=("trip_id", "track_id")) -> DataFrame:
     """Filtered planar state per observation, with the lateral distribution at min(2 s, arrival).
 
@@ -437,8 +449,7 @@ def planar_filter(obs: DataFrame, keys=("trip_id", "track_id")) -> DataFrame:
     s = G.box_depth_sigmas("forward_m")
     o = obs.select(*keys, "frame_id", "ordinal", "t_sec", F.col("forward_m").cast("double").alias("forward_m"), "lateral_m",
                    "speed_mps", "yaw", s["forward"].alias("_s0"), s["lateral"].alias("_s1")).filter("_s0 is not null")
-    frames = distance_filter_sessions(o.groupBy(*keys, "frame_id").agg(F.min("t_sec").alias("t_sec")), keys).drop("t_sec")
-    o = spread(o.join(frames, [*keys, "frame_id"]), *keys, "session").sortWithinPartitions(*keys, "session", "frame_id", "ordinal")
+    o = spread(_with_sessions(o, keys), *keys, "session").sortWithinPartitions(*keys, "session", "frame_id", "ordinal")
     names = list(PLANAR_FIELDS)
 
     def run(batches):

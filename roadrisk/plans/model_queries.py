@@ -185,15 +185,15 @@ def _(t):
 
 @query("union_gates")
 def _(t):
-    e = A.best_iou_match(evidence(t), updates(t), 0.30)
-    o = observations(t)
-    path = M.path_intersection(o.select(T, "track_id", FR, "t_sec", "depth_m", "centre_x", "ttc", "lateral_accel")).select(T, FR, "track_id", "intersects")
+    t = t.framed
+    e = A.best_iou_match(evidence(t), updates(t), 0.30).select(
+        T, FR, "predicted_ttc", "union_source", "classical_ttc", "detector_ttc", "speed_mps", "lateral_accel", "matched_iou", F.col("match.track_id").alias("track_id"))
+    path = M.path_intersection(observations(t).select(T, "track_id", FR, "t_sec", "depth_m", "centre_x", "ttc", "lateral_accel")).select(T, FR, "track_id", "intersects")
     v = F.col("forward_mps")
     filt = planar(t).select(T, FR, "track_id", F.when(F.col("accepted") & (v < -0.3), F.col("forward_m") / -v).alias("filter_ttc"))
-    j = e.withColumn("track_id", F.col("match.track_id")).join(path, [T, FR, "track_id"], "left").join(filt, [T, FR, "track_id"], "left")
+    j = e.join(path, [T, FR, "track_id"], "left").join(filt, [T, FR, "track_id"], "left")
     # the classical TTC before any gate
-    raw = t.predictions.select(T, FR, F.col("classical_ttc").alias("raw_classical_ttc"))
-    j = j.join(raw, [T, FR], "left")
+    j = j.withColumnRenamed("classical_ttc", "raw_classical_ttc")
     g = R.union_gates(j, low_ego_floor=2.1, filter_gate=True, path_gate=True, turn_accel=0.6, turn_min_iou=0.1)
     return g.select(T, FR, "predicted_ttc", "union_source")
 

@@ -26,7 +26,7 @@ def moved(spark, df) -> int:
 
 
 @pytest.mark.parametrize("name, times", [("semantic_state", 2.3), ("semantic_fusion", 2.8), ("semantic_sweep", 2.8), ("candidate_diagnostics", 3.3),
-                                         ("selected_diagnostics", 2.6), ("selected_evidence", 2.6), ("closing_reliability", 2.6)])
+                                         ("selected_diagnostics", 2.6), ("selected_evidence", 2.6), ("closing_reliability", 2.6), ("union_gates", 6.5)])
 def test_rows_move_seldom(spark, name, times):
     lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
     assert moved(spark, lambda: QUERIES[name](spark, FOLDER)) < times * lines
@@ -55,3 +55,18 @@ def test_last_rows(spark):
         assert r.position == at and r.v == r.frame_id ** 2
         assert [(x.f, x.v) for x in r.recent] == [(f, float(f * f)) for f in fs[max(0, at - 4):at + 1]]
         assert r.next_frame == (fs[at + 1] if at + 1 < len(fs) else None)
+
+
+def test_sessions_of_planar_rows(spark):
+    """Sessions by the least time of a frame, several rows a frame, across segments."""
+    from roadrisk.operators.motion import distance_filter_sessions
+    from roadrisk.operators.tracking import _with_sessions
+
+    frames = [0, 1, 2, 20, 21, 1023, 1024, 1025, 1031, 1050, 5000]
+    rows = [("t", k, f, n, f * 0.05 + 0.01 * n) for k in (1, 2) for f in frames for n in range(1, 2 + (f + k) % 3)]
+    o = spark.createDataFrame(rows, "trip_id string, track_id long, frame_id long, ordinal long, t_sec double")
+    keys = ["trip_id", "track_id"]
+    s = distance_filter_sessions(o.groupBy(*keys, "frame_id").agg(F.min("t_sec").alias("t_sec")), keys)
+    want = {(r.track_id, r.frame_id): r.session for r in s.collect()}
+    got = _with_sessions(o, keys).collect()
+    assert len(got) == len(rows) and all(r.session == want[r.track_id, r.frame_id] for r in got)
