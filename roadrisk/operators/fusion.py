@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from roadrisk.constants import CURRENT_GUARD, SEMANTIC_AXES
 from roadrisk.functions.geometry import guard_predicate
-from roadrisk.operators.lineage import shared
 from roadrisk.operators.scan import Monoid, scan
-from roadrisk.operators.sequence import SEG, seg_window, segmented, with_position
+from roadrisk.operators.sequence import SEG, by_track, seg_window, with_position
 
 KEEP = 0.6  # fixed value: weight of the past score
 _ROWS = 512  # keeps 0.6 ** -rows within the range of a double
@@ -33,12 +32,12 @@ def semantic_state(associations: DataFrame, rows: int = _ROWS) -> DataFrame:
     taken in (frame_id, ordinal) order, in segments by frame. Within a segment the recursion is a
     running sum with weights 0.6 ** age; what a segment starts from comes from a scan over one row
     per segment, so the result is that of the recursion from the track's first row on. A segment
-    holds at most ``rows`` frames; should it hold more than 512 rows (several a frame), every 512 make
+    holds at most ``rows`` frames (or is that of rows of ``by_track``, which stay); should it hold more than 512 rows (several a frame), every 512 make
     a stretch of their own, because 0.6 ** -age must stay within the range of a double.
     """
     keys, order = ["trip_id", "track_id"], ["frame_id", "ordinal"]
     # moved once: the ends of the stretches and the rows themselves are read from the same shuffle
-    s = shared(segmented(associations, "frame_id", rows), *keys, SEG)
+    s = associations if SEG in associations.columns else by_track(associations, keys, rows=rows)
     at = F.row_number().over(seg_window(keys, order))
     # a stretch: rows of one segment in runs of ``_ROWS``
     part = F.floor((at - 1) / F.lit(_ROWS))
@@ -64,7 +63,7 @@ def semantic_state(associations: DataFrame, rows: int = _ROWS) -> DataFrame:
     j = s.join(entries, [*keys, SEG]).withColumn("entry", own).drop("_entries")
     score = F.col("_score") + F.pow(F.lit(KEEP), F.col("_at")) * F.col("entry")[1]
     misses = F.col("_at") - F.coalesce("_hit", F.lit(0)) + F.when(F.col("_hit").isNull(), F.col("entry")[3]).otherwise(0.0)
-    return j.withColumns({"score": score, "misses": misses.cast("long")}).drop(SEG, "_at", "_part", "_score", "_hit", "entry")
+    return j.withColumns({"score": score, "misses": misses.cast("long")}).select(*associations.columns, "score", "misses")
 
 
 def suppressed(score_threshold, misses, fallback_depth_m) -> Column:

@@ -14,8 +14,8 @@ from roadrisk.constants import IMAGE_HEIGHT, IMAGE_WIDTH, INF, MIN_CLOSING_MPS
 from roadrisk.functions import geometry as G
 from roadrisk.functions.ttc import is_finite
 from roadrisk.operators.fusion import semantic_state
-from roadrisk.operators.motion import kalman_distance, theil_sen
-from roadrisk.operators.sequence import by_track, last_rows
+from roadrisk.operators.motion import FILTER_ROWS, FILTERED, filter_segments, filtered_values, line_of
+from roadrisk.operators.sequence import SEG, by_track, last_rows, seg_window
 
 MEMORY = 11      # fixed value: observations a track remembers
 PREDICTED = 2    # fixed value: frames for which an unseen track is predicted, at most
@@ -55,25 +55,50 @@ def robust(tracked: DataFrame, only: DataFrame | Column | None = None) -> DataFr
         tracked = tracked.withColumn("_only", only)
     elif only is not None:
         tracked = tracked.join(only.select(*_TRACK, "frame_id", F.lit(True).alias("_only")), [*_TRACK, "frame_id"], "left")
+    r = _with_last(_observed(by_track(tracked, _TRACK))).drop(SEG)
+    return _fitted(r if only is None else r.filter("_only").drop("_only"))
+
+
+def _with_last(o: DataFrame) -> DataFrame:
+    """Rows of ``by_track`` with their last observations, hits and the frame of the next one."""
     fields = {"t": "t_sec", "v": "depth_m", "x": "center_x", "s": "depth_sigma_m", "q": "quality", "c": "depth_confidence"}
-    r = last_rows(_observed(by_track(tracked, _TRACK)), _TRACK, MEMORY, fields, "observations", {"next_frame_id": "frame_id"})
-    if only is not None:
-        r = r.filter("_only").drop("_only")
-    r = r.withColumns({"hits": F.col("position") + 1, "history": F.size("observations"), "_fit": theil_sen("observations")}).drop("position")
+    r = last_rows(o, _TRACK, MEMORY, fields, "observations", {"next_frame_id": "frame_id"}, keep_segment=True)
+    return r.withColumn("hits", F.col("position") + 1).drop("position")
+
+
+def _fitted(r: DataFrame) -> DataFrame:
+    return _with_lines(_summed(r))
+
+
+def _summed(r: DataFrame) -> DataFrame:
+    """What is needed of the last observations, in less room than they take."""
+    return r.withColumns({
+        "history": F.size("observations"), "_times": F.transform("observations", lambda q: q["t"]), "_depths": F.transform("observations", lambda q: q["v"]),
+        "mean_quality": _mean("observations", "q"), "mean_depth_confidence": _mean("observations", "c")})
+
+
+def _with_lines(r: DataFrame) -> DataFrame:
+    r = r.withColumn("_fit", line_of("_times", "_depths")).drop("_times", "_depths")
     known = (F.col("history") >= 3) & F.col("_fit.slope").isNotNull()
     closing = F.when(known, -F.col("_fit.slope")).otherwise(0.0)
     return r.withColumns({
         "closing_mps": closing, "ttc": F.when(closing > MIN_CLOSING_MPS, F.col("depth_m") / closing).otherwise(F.lit(INF)),
-        "residual_m": F.when(known, F.col("_fit.residual")).otherwise(F.lit(INF)),
-        "mean_quality": _mean("observations", "q"), "mean_depth_confidence": _mean("observations", "c")}).drop("_fit")
+        "residual_m": F.when(known, F.col("_fit.residual")).otherwise(F.lit(INF))}).drop("_fit")
+
 
+def _with_filter(r: DataFrame, o: DataFrame, ground_confidence: float, robustly) -> DataFrame:
+    """``r`` (rows of ``o`` with their place ``_nth`` in their segment) with the filtered motion, and the
+    robust one by ``robustly``. ``o``: of ``by_track``. Each row takes its state from the list of its segment."""
+    k = filter_segments(o.withColumn("sigma_m", F.col("depth_sigma_m")), _TRACK).drop("_rows")
+    j = r.join(k, [*_TRACK, SEG]).withColumns({c: F.col(c)[F.col("_nth") - 1] for c in FILTERED})
+    j = robustly(filtered_values(j, "filter_").drop(*FILTERED, "_nth", SEG))
+    return j.withColumn("confidence", confidence_of("closing_mps", "residual_m", "history", "mean_quality", "depth_m", ground_confidence))
 
-def _with_filter(tracked: DataFrame, ground_confidence: float) -> DataFrame:
-    o = _observed(tracked)
-    k = kalman_distance(o.select(*_TRACK, "frame_id", "ordinal", "t_sec", "depth_m", F.col("depth_sigma_m").alias("sigma_m")), _TRACK)
-    k = k.withColumnsRenamed({"distance_m": "filter_distance_m", "closing_mps": "filter_closing_mps", "ttc": "filter_ttc", "residual_m": "filter_residual_m"})
-    r = robust(tracked).join(k, [*_TRACK, "frame_id", "ordinal"])
-    return r.withColumn("confidence", confidence_of("closing_mps", "residual_m", "history", "mean_quality", "depth_m", ground_confidence))
+
+def _dealt(tracked: DataFrame) -> DataFrame:
+    """Rows by track in the segments of the filter, numbered in each."""
+    o = _observed(by_track(tracked, _TRACK, rows=FILTER_ROWS))
+    return o.withColumn("_nth", F.row_number().over(seg_window(_TRACK, ["frame_id", "ordinal"])))
 
 
 def remembered(tracked: DataFrame, ground_confidence: float = 1.0) -> DataFrame:
@@ -85,7 +110,8 @@ def remembered(tracked: DataFrame, ground_confidence: float = 1.0) -> DataFrame:
     the robust motion (closing_mps, ttc, residual_m), the filtered one (filter_distance_m,
     filter_closing_mps, filter_ttc, filter_residual_m), and confidence. Motion needs three observations.
     """
-    return _with_filter(tracked, ground_confidence).drop("next_frame_id")
+    o = _dealt(tracked)
+    return _with_filter(_with_last(o), o, ground_confidence, _fitted).drop("next_frame_id")
 
 
 def track_memory(tracked: DataFrame, frames: DataFrame, ground_confidence: float = 1.0, max_missed: int = 3,
@@ -99,14 +125,21 @@ def track_memory(tracked: DataFrame, frames: DataFrame, ground_confidence: float
     det_confidence) the semantic score and misses run on through the frames until the track
     ends, ``max_missed`` frames after its last observation, an unseen frame being a miss.
     """
-    known = _with_filter(tracked, ground_confidence)
-    # the frames that an observation can reach, listed at its own frame: known rows are moved before
-    # they are multiplied; an observation lasts until the next one of its track
+    # the frames that an observation can reach, listed at its own frame: rows are moved before they are
+    # multiplied; an observation lasts until the next one of its track, and its rows stay in its segment
     reach = frames.select("trip_id", F.col("t_sec").cast("double").alias("_now"), "frame_id", F.explode(F.sequence(F.lit(0), F.lit(max_missed))).alias("missed"))
     reach = reach.groupBy("trip_id", (F.col("frame_id") - F.col("missed")).alias("frame_id")).agg(F.collect_list(F.struct("missed", "_now")).alias("_reach"))
+    o = _dealt(tracked.join(reach, ["trip_id", "frame_id"], "left"))
     lasts = F.filter("_reach", lambda x: F.col("next_frame_id").isNull() | (F.col("frame_id") + x["missed"] < F.col("next_frame_id")))
-    m = known.join(reach, ["trip_id", "frame_id"]).withColumn("_m", F.explode(lasts)).drop("_reach", "next_frame_id")
+    # what is sorted later need not hold the last observations; lines are fitted at the end, because Spark
+    # forgets where rows lie when they pass through Python
+    m = _summed(_with_last(o)).withColumn("_m", F.explode(lasts)).drop("_reach", "next_frame_id")
     m = m.withColumns({"missed": F.col("_m.missed"), "_now": F.col("_m._now"), "frame_id": F.col("frame_id") + F.col("_m.missed")}).drop("_m")
+    if with_semantics:
+        m = semantic_state(m.withColumn("matched", F.col("matched") & (F.col("missed") == 0)))
+    # after the state has run on: rows that are not returned need no motion
+    m = m.filter(F.col("missed") <= (min(PREDICTED, max_missed) if include_predicted else 0))
+    m = _with_filter(m, o, ground_confidence, _with_lines)
     passed = F.greatest(F.lit(0.0), F.col("_now") - F.col("t_sec"))
     filtered = is_finite("filter_residual_m")
     distance = F.col("filter_distance_m") - passed * F.when(filtered, F.col("filter_closing_mps")).otherwise(0.0)
@@ -117,9 +150,7 @@ def track_memory(tracked: DataFrame, frames: DataFrame, ground_confidence: float
     m = m.withColumns({
         "filter_confidence": (0.80 * base + 0.20 * F.col("mean_depth_confidence")) * F.pow(F.lit(FADING), F.col("missed")),
         "confirmed": (F.col("hits") >= 3) & (F.col("history") >= 3)}).drop("_now")
-    if with_semantics:
-        m = semantic_state(m.withColumn("matched", F.col("matched") & (F.col("missed") == 0)))
-    return m.filter(F.col("missed") <= (min(PREDICTED, max_missed) if include_predicted else 0))
+    return m
 
 
 def risk_tracks(tracks: DataFrame, min_bottom=0.0, min_height=0.0, top_width=0.16, bottom_width=0.55) -> DataFrame:

@@ -328,7 +328,8 @@ KNOWN = "CASE WHEN n >= 3 THEN residual END"
 @query("track_diagnostics", f"""WITH {Q.remembered()}
 SELECT_FINAL trip_id, track_id, frame_id, {DIAG}, rn AS hits, n AS history, {KNOWN} AS residual_m, quality, depth_mad_m, depth_mad_m / depth_m AS depth_mad_ratio, lr_support, corridor_overlap FROM rs""", DIAG_DOUBLES)
 def _(t):
-    return K.track_diagnostics(K.robust(measured(t)))
+    m = measured(t.framed).select(T, "track_id", FR, "t_sec", "box", "depth_m", "quality", "depth_mad_m", "lr_support", "corridor_overlap", "depth_confidence")
+    return K.track_diagnostics(K.robust(m))
 
 
 CHOSEN = """s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trip_id, frame_id ORDER BY candidate_ttc, ordinal) AS pick FROM candidates WHERE confidence >= 55e-2 AND closing_mps BETWEEN 3e-1 AND 40 AND isfinite(candidate_ttc)) WHERE pick = 1)"""
@@ -381,7 +382,9 @@ SELECT_FINAL trip_id, track_id, at_frame AS frame_id, missed, rn AS hits, n AS h
  4e-1 * list_sum(list_transform(generate_series(1, len(seen)), lambda j: seen[j] * 6e-1 ** (len(seen) - j))) AS score, misses
 FROM ss WHERE missed <= 2""", "depth_m depth_sigma_m closing_mps filter_distance_m filter_closing_mps filter_ttc filter_residual_m confidence filter_confidence score")
 def _(t):
-    m = K.track_memory(measured(t), t.frames.select(T, FR, "t_sec"), with_semantics=True)
+    t = t.framed
+    o = measured(t).select(T, "track_id", FR, "ordinal", "t_sec", "box", "depth_m", "quality", "depth_mad_m", "lr_support", "depth_confidence", "matched", "det_confidence")
+    m = K.track_memory(o, t.frames.select(T, FR, "t_sec"), with_semantics=True)
     return m.select(T, "track_id", FR, "missed", "hits", F.col("history").cast("bigint").alias("history"), "depth_m", "depth_sigma_m", "closing_mps", "filter_distance_m",
                     "filter_closing_mps", "filter_ttc", "filter_residual_m", "confirmed", "confidence", "filter_confidence", "score", "misses")
 
