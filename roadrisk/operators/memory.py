@@ -14,7 +14,7 @@ from roadrisk.constants import IMAGE_HEIGHT, IMAGE_WIDTH, INF, MIN_CLOSING_MPS
 from roadrisk.functions import geometry as G
 from roadrisk.functions.ttc import is_finite
 from roadrisk.operators.fusion import semantic_state
-from roadrisk.operators.motion import FILTER_ROWS, FILTERED, filter_segments, filtered_values, line_of
+from roadrisk.operators.motion import FILTER_ROWS, FILTERED, filter_rows, filter_segments, filtered_values, line_of
 from roadrisk.operators.sequence import SEG, by_track, last_rows, seg_window
 
 MEMORY = 11      # fixed value: observations a track remembers
@@ -89,7 +89,7 @@ def _with_lines(r: DataFrame) -> DataFrame:
 def _with_filter(r: DataFrame, o: DataFrame, ground_confidence: float, robustly) -> DataFrame:
     """``r`` (rows of ``o`` with their place ``_nth`` in their segment) with the filtered motion, and the
     robust one by ``robustly``. ``o``: of ``by_track``. Each row takes its state from the list of its segment."""
-    k = filter_segments(o.withColumn("sigma_m", F.col("depth_sigma_m")), _TRACK).drop("_rows")
+    k = filter_segments(filter_rows(o.withColumn("sigma_m", F.col("depth_sigma_m")), _TRACK), _TRACK).drop("_rows")
     j = r.join(k, [*_TRACK, SEG]).withColumns({c: F.col(c)[F.col("_nth") - 1] for c in FILTERED})
     j = robustly(filtered_values(j, "filter_").drop(*FILTERED, "_nth", SEG))
     return j.withColumn("confidence", confidence_of("closing_mps", "residual_m", "history", "mean_quality", "depth_m", ground_confidence))
